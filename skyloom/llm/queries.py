@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mpeg, shards, tokens, urlrules
+from . import language, mpeg, shards, tokens, toxicity, urlrules
 
 #: The vocabulary file's name; its place is asked of the installed package.
 VOCABULARY = "word_bpe_49k.json"
@@ -70,11 +70,20 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.text_media(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.learn(docs.where(~held_out()).join(marked.where(~held_out()), "doc_id"))
+    out = toxicity.score_toxicity(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
     "op6_sharding": op6_sharding,
     "op8_mpeg_audio": op8_mpeg_audio,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op4_url_filters": OP4_SQL}
