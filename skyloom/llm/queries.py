@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mpeg, shards, tokens, toxicity, urlrules
+from . import language, mpeg, packing, pseudonyms, shards, tokens, toxicity, urlrules
 
 #: The vocabulary file's name; its place is asked of the installed package.
 VOCABULARY = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "distance", "rejected")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
@@ -70,6 +74,11 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.text_media(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
+    return packing.pack(counted.select("doc_id", "n_tokens"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -80,10 +89,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
     "op6_sharding": op6_sharding,
     "op8_mpeg_audio": op8_mpeg_audio,
+    "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {"op4_url_filters": OP4_SQL}
