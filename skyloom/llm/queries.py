@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mpeg, packing, pseudonyms, shards, tokens, toxicity, urlrules
+from . import language, mpeg, neardup, packing, pseudonyms, shards, tokens, toxicity, urlrules
 
 #: The vocabulary file's name; its place is asked of the installed package.
 VOCABULARY = "word_bpe_49k.json"
@@ -70,6 +70,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.text_media(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
     "op6_sharding": op6_sharding,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
