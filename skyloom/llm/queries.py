@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mpeg, neardup, packing, pseudonyms, shards, tokens, toxicity, urlrules
+from . import decontam, language, mpeg, neardup, packing, pseudonyms, shards, tokens, toxicity, urlrules
 
 #: The vocabulary file's name; its place is asked of the installed package.
 VOCABULARY = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ FROM parts p LEFT JOIN fits f ON p.page_id = f.page_id AND f.k = 1
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_token_counts": op3_token_counts,
     "op4_url_filters": op4_url_filters,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_mpeg_audio": op8_mpeg_audio,
