@@ -20,7 +20,7 @@ SHINGLE, PERCENT = 5, 80
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated score stays below the threshold; learned from the labelled ones outside the held-out quarter."""
     marked = queries.table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~queries.held_out())
-    model = toxicity.learn(docs.select("doc_id", "text").join(marked, "doc_id"))
+    model = toxicity.learn(docs, marked)
     return toxicity.score_toxicity(docs.select(*COLUMNS, F.col("text").alias("_scored")), model, text="_scored").where("predicted = 0").select(*COLUMNS)
 
 

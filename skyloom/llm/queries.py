@@ -90,7 +90,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.learn(docs.where(~held_out()).join(marked.where(~held_out()), "doc_id"))
+    model = toxicity.learn(docs, marked.where(~held_out()))
     out = toxicity.score_toxicity(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 

@@ -13,7 +13,7 @@ from .language import letters, pieces
 from .scratch import small_batches
 from .spans import SpanHash, mix, runs
 
-#: Labelled texts of each class from which terms are chosen and examples indexed; document frequencies use all labelled texts.
+#: Labelled texts of each class from which terms are chosen and examples indexed; document frequencies use all texts.
 SAMPLE_PER_CLASS = 4000
 #: Word beginnings and endings of these lengths are terms besides whole words.
 PART_LENGTHS = (4, 5, 6, 7, 8)
@@ -163,21 +163,24 @@ class Examples:
         return np.clip(score, 0, 1), ids, cosine
 
 
-def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_PER_CLASS) -> Examples:
-    """Examples from labelled rows (label 0 or 1); rows with a null text or label teach nothing.
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_PER_CLASS) -> Examples:
+    """Examples from docs (key, text) and labels (key, label 0 or 1); null texts, keys and labels teach nothing.
 
-    Terms and examples come from a hash sample of about `sample` distinct texts per class; the terms' document
-    frequencies and the class sizes come from all labelled rows.
+    Terms and examples come from a hash sample of about `sample` labelled keys per class, a table of bounded size that
+    is sent to the texts, so no text is shuffled. Class sizes come from all labels and the terms' document
+    frequencies from all of docs. A key under both labels teaches both.
     """
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     small_batches(spark)
-    rows = labelled.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    sizes = dict(rows.groupBy("label").count().collect())
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    marks = labels.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{label}`").cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
+    sizes = dict(marks.groupBy("label").count().collect())
     total, positive = sum(sizes.values()), sizes.get(1, 0)
     if not total:
         return Examples(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0, np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0), 0.0)
     share = F.when(F.col("label") == 1, min(1.0, sample / max(positive, 1))).otherwise(min(1.0, sample / max(total - positive, 1)))
-    part = rows.withColumn("h", F.xxhash64("text")).where((F.shiftrightunsigned("h", 33) / float(1 << 31)) < share).groupBy("h", "label").agg(F.min("id").alias("id"), F.min("text").alias("text")).select("id", "text", "label").persist()
+    few = marks.where((F.shiftrightunsigned(F.xxhash64("id", F.lit(10)), 33) / float(1 << 31)) < share)
+    part = rows.join(F.broadcast(few), "id").groupBy(F.xxhash64("text").alias("h"), "label").agg(F.min("id").alias("id"), F.min("text").alias("text")).select("id", "text", "label").persist()
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,19 +209,20 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     vocabulary = Vocabulary(np.array([r["term"] for r in chosen.select("term").collect()], dtype=np.int64).view(np.uint64))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(len(vocabulary.hashes), dtype=np.int64)
+        df, n = np.zeros(len(vocabulary.hashes), dtype=np.int64), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
+            n += len(texts)
             for i in range(0, len(texts), BATCH):
                 df += np.bincount(vocabulary.counts(texts[i : i + BATCH])[1], minlength=len(df))
         used = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(df[used])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(df[used], n))], names=["term", "n"])
 
-    df = np.zeros(len(vocabulary.hashes))
-    if len(df):
+    df = np.zeros(len(vocabulary.hashes) + 1)  # the last place counts the texts
+    if len(vocabulary.hashes):
         for r in rows.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
             df[r["term"]] = r["n"]
-    idf = np.log((1 + total) / (1 + df)).astype(np.float32)
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
