@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from .scratch import small_batches
 
 #: Pieces whose lengths a worker remembers; beyond it starts anew. Bounds memory, not results.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 BATCH_BYTES = 1 << 20
 
+#: Punctuation after an ASCII letter or digit, always a token run of its own where words and punctuation are parted.
+TAIL, ALNUM = b".,!?;:%$&*#", frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
 _counters: dict[str, PieceCounter] = {}
 
 
@@ -43,17 +46,27 @@ def breaks_at_space(spec: dict) -> bool:
     return spec["post_processor"] is None
 
 
+def parts_words(spec: dict) -> bool:
+    """Whether a vocabulary that breaks at white space also lower-cases and parts letters, digits and punctuation."""
+    pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"] or {}
+    first = pre.get("pretokenizers", [pre])[0].get("pattern", {}).get("Regex", "")
+    runs = first.split("|")
+    lowers = any(n["type"] == "Lowercase" for n in norm.get("normalizers", [norm]) if n)
+    return lowers and {r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"} <= set(runs) and all(r.startswith("'") for r in runs if not r.startswith("["))
+
+
 class PieceCounter:
     """Counts tokens of UTF-8 texts under one vocabulary file; one per Python worker and file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.cache: dict[bytes, int] = {}
+        self.words: dict[bytes, int] = {}
         if path.endswith(".model"):
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.by_piece = False
+            self.by_piece = self.by_word = False
             self.encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
@@ -62,17 +75,30 @@ class PieceCounter:
             model.no_truncation()
             model.no_padding()
             with open(path, encoding="utf-8") as f:
-                self.by_piece = breaks_at_space(json.load(f))
+                spec = json.load(f)
+            self.by_piece = breaks_at_space(spec)
+            self.by_word = self.by_piece and parts_words(spec)
             self.encode = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def parts(self, piece: bytes) -> tuple[bytes, ...]:
+        """A word in lower case and the punctuation after it, if the vocabulary parts them; else the piece."""
+        word = piece.rstrip(TAIL) if self.by_word else b""
+        if not word or word[-1] not in ALNUM:
+            return (piece,)
+        return (word.lower(),) if len(word) == len(piece) else (word.lower(), piece[len(word) :])
+
     def __call__(self, texts: list[bytes]) -> list[int]:
         if not self.by_piece:
             return self.encode([t.decode("utf-8", "replace") for t in texts])
         split = [t.split() for t in texts]  # bytes.split() knows ASCII white space only
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        new = [p for p in set().union(*split) if p not in self.cache]
-        self.cache.update(zip(new, self.encode([p.decode("utf-8", "replace") for p in new])))
+            self.words.clear()
+        new = {p: self.parts(p) for p in set().union(*split) if p not in self.cache}
+        words = [x for x in set().union(*new.values()) if x not in self.words]
+        self.words.update(zip(words, self.encode([x.decode("utf-8", "replace") for x in words])))
+        for p, parts in new.items():
+            self.cache[p] = sum(self.words[x] for x in parts)
         known = self.cache.__getitem__
         return [sum(map(known, pieces)) for pieces in split]
 
