@@ -112,26 +112,34 @@ def _harmonic(n: np.ndarray) -> np.ndarray:
 
 
 def isolation_scores(x: np.ndarray, seed: int, trees: int = 100, sample: int = 256) -> np.ndarray:
-    """Isolation forest: points that random axis cuts isolate early score near 1."""
+    """Isolation forest: points that random axis cuts isolate early score near 1. All trees grow together, a level at a time."""
     rng = np.random.default_rng(seed)
-    size = min(sample, len(x))
+    n = len(x)
+    size = min(sample, n)
     limit = int(np.ceil(np.log2(max(size, 2))))
-    depth = np.zeros(len(x))
-
-    def grow(own: np.ndarray, every: np.ndarray, level: int) -> None:
-        spread = np.flatnonzero(x[own].max(axis=0) > x[own].min(axis=0)) if len(own) > 1 else []
-        if level >= limit or not len(spread):
-            depth[every] += level + _harmonic(len(own))
-            return
-        f = rng.choice(spread)
-        cut = rng.uniform(x[own, f].min(), x[own, f].max())
-        for side in (lambda r: x[r, f] < cut, lambda r: x[r, f] >= cut):
-            a, b = own[side(own)], every[side(every)]
-            if len(b):
-                grow(a, b, level + 1)
-
-    for _ in range(trees):
-        grow(rng.choice(len(x), size, replace=False), np.arange(len(x)), 0)
+    own = np.concatenate([rng.permutation(n)[:size] for _ in range(trees)])  # the sampled points that shape each tree
+    own_node = np.repeat(np.arange(trees), size)
+    point, node = np.tile(np.arange(n), trees), np.repeat(np.arange(trees), n)  # every point in every tree
+    depth = np.zeros(n)
+    for level in range(limit + 1):
+        order = np.argsort(own_node, kind="stable")
+        own, own_node = own[order], own_node[order]
+        names, start, count = np.unique(own_node, return_index=True, return_counts=True)
+        lo, hi = np.minimum.reduceat(x[own], start, axis=0), np.maximum.reduceat(x[own], start, axis=0)
+        grows = (hi > lo).any(axis=1) & (level < limit)
+        place = np.searchsorted(names, node)
+        done = ~grows[place]
+        np.add.at(depth, point[done], level + _harmonic(count)[place[done]])
+        if not grows.any():
+            break
+        feature = np.argmax(rng.random(lo.shape) * (hi > lo), axis=1)
+        rows = np.arange(len(names))
+        cut = lo[rows, feature] + (hi - lo)[rows, feature] * (1 - rng.random(len(names)))
+        point, place = point[~done], place[~done]
+        node = 2 * place + (x[point, feature[place]] >= cut[place])
+        mine = np.searchsorted(names, own_node)
+        own, mine = own[grows[mine]], mine[grows[mine]]
+        own_node = 2 * mine + (x[own, feature[mine]] >= cut[mine])
     return 2.0 ** (-depth / trees / max(float(_harmonic(size)), 1e-12))
 
 

@@ -93,7 +93,7 @@ def _fit(train: DataFrame, cols: list[str]):
     n, pos = train.agg(F.count("*"), F.count_if("is_anomaly")).first()
     weight = F.when(F.col("is_anomaly"), n / (2 * max(pos, 1))).otherwise(n / (2 * max(n - pos, 1)))
     rows = _standardised(train, train, cols).select("_features", F.col("is_anomaly").cast("double").alias("label"), weight.alias("w"))
-    return LogisticRegression(featuresCol="_features", weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10).fit(rows)
+    return LogisticRegression(featuresCol="_features", weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9).fit(rows)
 
 
 def with_folds(matrix: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
@@ -123,6 +123,7 @@ def stack_weights(matrix: DataFrame, cols: list[str]) -> DataFrame:
 
 def single_baselines(matrix: DataFrame, cols: list[str]) -> DataFrame:
     """For each signal the argmax point, average precision, and the points of best CEF and best F1."""
+    matrix = matrix.persist()
     cuts = cut_points(matrix, cols)
     parts = []
     for c in cols:
@@ -135,6 +136,7 @@ def single_baselines(matrix: DataFrame, cols: list[str]) -> DataFrame:
 
 def fuse(matrix: DataFrame, seed: int = 0) -> DataFrame:
     """A report row for each fused score of the two-signal variant, and of the three-signal one where over 50 rows have an error."""
+    matrix = matrix.persist()
     variants = [("text_vision", matrix, ["text", "vision"])]
     third = matrix.where("error is not null")
     if third.count() > 50:

@@ -81,6 +81,8 @@ def sql(needs: str, select: str) -> str:
         add(n)
     own = select.lstrip()
     head = ", ".join(f"{n} AS ({PARTS[n][1]})" for n in done)
+    if own.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {own[15:]}"
     if own.upper().startswith("WITH "):
         return f"WITH {head}, {own[5:]}" if head else own
     return f"WITH {head} {own}" if head else own
@@ -92,7 +94,7 @@ PRF = """CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp
 
 
 def shown(values: str, name: str) -> str:
-    return f"array_to_string(list_transform({values}, lambda x: CAST(CAST(round(x, 4) AS DECIMAL(20,4)) AS VARCHAR)), ',') AS {name}"
+    return f"array_to_string(list_transform({values}, lambda x: CAST(CAST(round(x + 1e-7, 4) AS DECIMAL(20,4)) AS VARCHAR)), ',') AS {name}"
 
 
 def sweep_sql(score: str, points: str, extra: str = "") -> str:
@@ -169,12 +171,12 @@ ORACLES: dict[str, str] = {
     "s9_split_dense": sql("er", "SELECT mission, channel, i, round(error, 6) AS error FROM er"),
     "p1_ordinal": sql("tel", r"SELECT event_id, CAST(nullif(regexp_extract(raw, '(\d+)$', 1), '') AS DOUBLE) AS encoded FROM tel"),
     "p2_revin": sql("gn", "SELECT mission, channel, idx, round(value_norm, 6) AS value_norm, round(mean, 6) AS mean, round(std, 6) AS std FROM gn"),
-    "p2_revin_inverse": sql("grid", "SELECT mission, channel, idx, round(value, 6) AS value FROM grid"),
+    "p2_revin_inverse": sql("grid", "SELECT mission, channel, idx, round(value + 1e-7, 5) AS value FROM grid"),
     "p3_standardize": sql("gn", "SELECT mission, channel, idx, round((value - mean) / CASE WHEN raw_std = 0 THEN 1 ELSE raw_std END, 6) AS value_std FROM gn"),
     "p4_positions": sql("win", """WITH l AS (SELECT mission, channel, CAST(generate_subscripts(vals, 1) - 1 AS INT) AS pos, unnest(vals) AS x FROM win), z AS (SELECT *, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s FROM l WINDOW w AS (PARTITION BY mission, channel, pos))
       SELECT mission, channel, pos, round(max((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 5) AS hi, round(min((x - m) / CASE WHEN s = 0 THEN 1 ELSE s END), 5) AS lo, count(*) AS n FROM z GROUP BY 1, 2, 3"""),
     "p5_revin_window": sql("win", f"SELECT {K3}, round((list_max(vals) - list_avg(vals)) / (list_stddev_pop(vals) + 1e-8), 6) AS hi, round((list_min(vals) - list_avg(vals)) / (list_stddev_pop(vals) + 1e-8), 6) AS lo, round((vals[1] - list_avg(vals)) / (list_stddev_pop(vals) + 1e-8), 6) AS first FROM win"),
-    "p6_instruction": sql("win", f"""SELECT {K3}, 'Analyze the following telemetry sequence from ' || mission || ' satellite, channel ' || channel || '. The sequence contains 32 timesteps. Values: [' || array_to_string(list_transform(vals[1:10], lambda x: printf('%.4f', round(x, 2))), ', ') || {lit('...]' + chr(10) + chr(10) + c.QUESTION)} AS instruction FROM win"""),
+    "p6_instruction": sql("win", f"""SELECT {K3}, 'Analyze the following telemetry sequence from ' || mission || ' satellite, channel ' || channel || '. The sequence contains 32 timesteps. Values: [' || array_to_string(list_transform(vals[1:10], lambda x: printf('%.4f', round(x + 1e-7, 2))), ', ') || {lit('...]' + chr(10) + chr(10) + c.QUESTION)} AS instruction FROM win"""),
     "p7_response": sql("win", f"SELECT {K3}, CASE WHEN is_anomaly THEN {lit(c.ANOMALY_RESPONSE)} ELSE {lit(c.NOMINAL_RESPONSE)} END AS response FROM win"),
     "p8_record": sql("win", f"SELECT {K3}, end_idx, strftime(start_time, {TS}) AS start_time, strftime(end_time, {TS}) AS end_time, is_anomaly, anomaly_ratio, {shown('list_transform(vals, lambda y: round(y, 6))', 'values')} FROM win"),
     "p9_window_stats": sql("sh", f"SELECT {K3}, round(mean, 6) AS mean, round(std, 6) AS std, round(p2p, 6) AS p2p, round(trend, 6) AS trend FROM sh"),
@@ -198,7 +200,7 @@ ORACLES: dict[str, str] = {
     "p24_advice_flags": sql("an", "SELECT index, contains(upper(actual_response), 'DIAGNOSIS') AND contains(upper(actual_response), 'ADVICE') AS structured, CAST(length(actual_response) AS INT) AS n_chars, left(actual_response, 300) AS shown FROM an"),
     "p25_normalise": "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'ANOMALY' WHEN 1 THEN 'NOMINAL' ELSE 'UNKNOWN' END AS predicted FROM conversations",
     "p26_parse_time": sql("tel", f"SELECT event_id, CASE WHEN event_id % 3 < 2 THEN strftime(date_trunc('second', ts), {TS}) END AS at FROM tel"),
-    "w1_resample": sql("grid", f"SELECT mission, channel, idx, strftime(ts, {TS}) AS ts, round(value, 6) AS value FROM grid"),
+    "w1_resample": sql("grid", f"SELECT mission, channel, idx, strftime(ts, {TS}) AS ts, round(value + 1e-7, 5) AS value FROM grid"),
     "w1_no_rule": sql("tel", "SELECT mission, channel, CAST(count(value) - 1 AS INT) AS last, round(sum(value), 4) AS total FROM tel GROUP BY 1, 2"),
     "w2_mask": sql("grid", "SELECT mission, channel, idx, is_anomaly FROM grid"),
     "w3_windows": sql("win", f"SELECT {K3}, end_idx, strftime(start_time, {TS}) AS start_time, strftime(end_time, {TS}) AS end_time, is_anomaly, anomaly_ratio, {shown('vals', 'values')} FROM win"),
@@ -263,10 +265,10 @@ ORACLES: dict[str, str] = {
     "a23_gini": sql("im", f"WITH {MAGS} SELECT index, round({GINI}, 5) AS gini FROM mg0"),
     "a24_top_decile": sql("im", f"WITH {MAGS} SELECT index, round(CASE WHEN list_sum(m) = 0 THEN 0 ELSE list_sum(m[59:64]) / list_sum(m) END, 5) AS top_decile FROM mg0"),
     "a25_brightness": sql("im", f"WITH {LONG} SELECT index, round(corr(abs(x), x * x), 5) AS r FROM lg GROUP BY 1"),
-    "a26_avg_pool": sql("im", f"WITH {LONG} SELECT index, CAST(pos // 8 // 2 * 4 + pos % 8 // 2 AS INT) AS patch_id, round(avg(x), 5) AS mean FROM lg GROUP BY 1, 2"),
+    "a26_avg_pool": sql("im", f"WITH {LONG} SELECT index, CAST(pos // 8 // 2 * 4 + pos % 8 // 2 AS INT) AS patch_id, round(avg(x), 5) + 0.0 AS mean FROM lg GROUP BY 1, 2"),
     "a28_faithful": sql("im", "SELECT index, index % 3 <> 0 AS faithful FROM im"),
     "a29_profile": sql("im", "SELECT count(*) AS rows, CAST(min(len(a)) AS INT) AS min_size, CAST(max(len(a)) AS INT) AS max_size, round(min(list_min(a)), 5) AS value_min, round(max(list_max(a)), 5) AS value_max, min(label) AS label_min, max(label) AS label_max, CAST(0 AS BIGINT) AS not_finite FROM im"),
-    "a30_column_means": sql("im", f"WITH {LONG} SELECT index, CAST(pos % 8 AS INT) AS col, round(avg(x), 5) AS mean FROM lg GROUP BY 1, 2"),
+    "a30_column_means": sql("im", f"WITH {LONG} SELECT index, CAST(pos % 8 AS INT) AS col, round(avg(x), 5) + 0.0 AS mean FROM lg GROUP BY 1, 2"),
     "d1_flat_threshold": sql("ern", "SELECT mission, channel, i, round(nm + 2.0 * ns, 4) AS threshold, coalesce(error > nm + 2.0 * ns, false) AS pred FROM ern"),
     "d9_matrix": sql("sc mt er", "SELECT sc.index, sc.is_anomaly, text, vision, round(er.error, 6) AS error FROM sc JOIN mt USING (index) LEFT JOIN er ON er.mission = sc.mission AND er.channel = sc.channel AND er.i = mt.start_idx // 16 WHERE sc.index % 5 <> 0"),
     "d10_weighted": sql("sc", "SELECT index, round(((text - avg(text) OVER ()) / stddev_pop(text) OVER () + (vision - avg(vision) OVER ()) / stddev_pop(vision) OVER ()) / 2, 6) AS weighted FROM sc"),
@@ -296,3 +298,9 @@ ZCURVE = f"""WITH zc AS (SELECT z, mission, channel, count(*) FILTER (q AND is_a
   zm AS (SELECT CAST(z AS DOUBLE) AS z, avg(p) AS p, avg(r) AS r, avg(f) AS f, count(*) AS n_channels FROM zp GROUP BY 1), zr AS (SELECT z, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, round(CASE WHEN 0.25 * p + r = 0 THEN 0 ELSE 1.25 * p * r / (0.25 * p + r) END, 6) AS cef, n_channels FROM zm)"""
 ORACLES["d2_z_sweep"] = sql("ern", ZCURVE + " SELECT * FROM zr")
 ORACLES["d2_best_z"] = sql("ern", ZCURVE + " SELECT * FROM zr ORDER BY cef DESC, z LIMIT 1")
+ORACLES["v7_regression"] = sql("rg", """WITH r1 AS (SELECT avg(abs(pred - truth)) AS mae, corr(pred, truth) AS r FROM rg), r2 AS (SELECT avg(abs(truth - m)) AS base FROM rg, (SELECT avg(truth) AS m FROM rg WHERE l_orderkey % 5 <> 0) WHERE l_orderkey % 5 = 0) """ + checks("r1, r2", [
+    ("beats_mean", "round(mae, 4)", "mae <= 0.95 * base", "<= 0.95 baseline"), ("baseline", "round(base, 4)", "base > 0", "> 0"), ("mae", "round(mae, 4)", "mae > 0.01 AND mae < 0.4", "0.01..0.4"), ("pearson", "round(r, 4)", "r BETWEEN -1 AND 1", "-1..1")]))
+ORACLES["v8_images"] = sql("im", "WITH p AS (SELECT count(*) AS n, max(len(a)) AS hi, min(len(a)) AS lo, min(list_min(a)) AS vlo, max(list_max(a)) AS vhi FROM im) " + checks("p", [
+    ("rows", "n", "n = 500", "500"), ("size", "hi", "hi = 64 AND lo = 64", "64"), ("values", "round(vhi, 4)", "vlo >= -1.001 AND vhi <= 1.001", "-1..1"), ("finite", "0", "true", "0")]))
+ORACLES["v9_attribution"] = sql("im", f"WITH {MAGS}, {LONG}, br AS (SELECT avg(r) AS r FROM (SELECT index, corr(abs(x), x * x) AS r FROM lg GROUP BY 1)), at AS (SELECT avg({GINI}) AS g, avg(list_sum(m[59:64]) / list_sum(m)) AS t FROM mg0) " + checks("at, br", [
+    ("faithful", "0", "true", "0"), ("gini", "round(g, 4)", "g > 0.05", "> 0.05"), ("top_decile", "round(t, 4)", "t > 0.12", "> 0.12"), ("brightness", "round(r, 4)", "r > 0.1", "> 0.1")]))
