@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; 0 without variance or rows."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.coalesce(F.when(spread > 0, F.covar_pop(x, y) / F.when(spread > 0, spread).otherwise(1.0)), F.lit(0.0))
+
+
 def regression_metrics(df: DataFrame, pred: str = "pred", truth: str = "truth") -> DataFrame:
     """MAE, RMSE, bias and Pearson's r (0 without variance)."""
     e = F.col(pred) - F.col(truth)
-    return df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), F.coalesce(F.nanvl(F.corr(pred, truth), F.lit(0.0)), F.lit(0.0)).alias("pearson"), F.count("*").alias("n"))
+    return df.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"), pearson(pred, truth).alias("pearson"), F.count("*").alias("n"))
 
 
 def mean_baseline(train: DataFrame, val: DataFrame, truth: str = "truth") -> DataFrame:
@@ -48,7 +54,7 @@ def top_decile_mass(values: Column) -> Column:
 def brightness_corr(df: DataFrame, keys: list[str], attribution: str = "attribution", brightness: str = "brightness") -> DataFrame:
     """Pearson's r of attribution magnitude with patch brightness for each key (0 without variance)."""
     long = df.select(*keys, F.explode(F.arrays_zip(F.transform(attribution, lambda x: F.abs(x)).alias("a"), F.col(brightness).alias("b"))).alias("z"))
-    return long.groupBy(*keys).agg(F.coalesce(F.nanvl(F.corr("z.a", "z.b"), F.lit(0.0)), F.lit(0.0)).alias("r"))
+    return long.groupBy(*keys).agg(pearson("z.a", "z.b").alias("r"))
 
 
 def avg_pool(df: DataFrame, keys: list[str], values: str, width: int, patch: int) -> DataFrame:

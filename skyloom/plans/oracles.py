@@ -285,7 +285,7 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["t1_stream_resample"] = sql("tel wm", f"SELECT mission, channel, strftime(b, {TS}) AS ts, round(v, 6) AS value, n FROM (SELECT mission, channel, date_trunc('hour', ts) AS b, avg(value) AS v, count(value) AS n FROM tel GROUP BY 1, 2, 3), wm WHERE b + INTERVAL 1 HOUR <= wm")
 ORACLES["t2_stream_windows"] = sql("tel wm", f"""WITH sl AS (SELECT *, unnest([e // 57600 * 57600, e // 57600 * 57600 - 57600]) AS s FROM (SELECT *, epoch_us(ts) // 1000000 AS e FROM tel)) SELECT mission, channel, strftime(make_timestamp(s * 1000000), {TS}) AS start_time, strftime(make_timestamp((s + 115200) * 1000000), {TS}) AS end_time,
-  count(value) AS n, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 4) AS lo, round(max(value), 4) AS hi FROM sl, wm WHERE make_timestamp((s + 115200) * 1000000) <= wm GROUP BY mission, channel, s""")
+  count(value) AS n, round(avg(value) + 1e-7, 4) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 4) AS lo, round(max(value), 4) AS hi FROM sl, wm WHERE make_timestamp((s + 115200) * 1000000) <= wm GROUP BY mission, channel, s""")
 ORACLES["t3_stream_screen"] = sql("tel wm th", f"SELECT x.mission, x.channel, strftime(b, {TS}) AS ts, round(v, 6) AS value, v > th.m + th.s AS flag FROM (SELECT mission, channel, date_trunc('hour', ts) AS b, avg(value) AS v FROM tel GROUP BY 1, 2, 3) x JOIN th USING (mission, channel), wm WHERE b + INTERVAL 1 HOUR <= wm")
 ORACLES["t4_stream_episodes"] = sql("tel th", f"""WITH hi AS (SELECT t.* FROM tel t JOIN th USING (mission, channel) WHERE value > m + s), wmh AS (SELECT max(ts) - INTERVAL 2 HOUR AS wm FROM hi), gs AS (SELECT *, sum(new) OVER (PARTITION BY mission, channel ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY mission, channel ORDER BY ts) + INTERVAL 16 HOUR THEN 0 ELSE 1 END AS new FROM hi))
   SELECT mission, channel, strftime(date_trunc('second', min(ts)), {TS}) AS start_time, strftime(date_trunc('second', max(ts)), {TS}) AS end_time, count(*) AS n FROM gs GROUP BY mission, channel, g HAVING max(ts) + INTERVAL 16 HOUR <= (SELECT wm FROM wmh)""")
@@ -302,5 +302,5 @@ ORACLES["v7_regression"] = sql("rg", """WITH r1 AS (SELECT avg(abs(pred - truth)
     ("beats_mean", "round(mae, 4)", "mae <= 0.95 * base", "<= 0.95 baseline"), ("baseline", "round(base, 4)", "base > 0", "> 0"), ("mae", "round(mae, 4)", "mae > 0.01 AND mae < 0.4", "0.01..0.4"), ("pearson", "round(r, 4)", "r BETWEEN -1 AND 1", "-1..1")]))
 ORACLES["v8_images"] = sql("im", "WITH p AS (SELECT count(*) AS n, max(len(a)) AS hi, min(len(a)) AS lo, min(list_min(a)) AS vlo, max(list_max(a)) AS vhi FROM im) " + checks("p", [
     ("rows", "n", "n = 500", "500"), ("size", "hi", "hi = 64 AND lo = 64", "64"), ("values", "round(vhi, 4)", "vlo >= -1.001 AND vhi <= 1.001", "-1..1"), ("finite", "0", "true", "0")]))
-ORACLES["v9_attribution"] = sql("im", f"WITH {MAGS}, {LONG}, br AS (SELECT avg(r) AS r FROM (SELECT index, corr(abs(x), x * x) AS r FROM lg GROUP BY 1)), at AS (SELECT avg({GINI}) AS g, avg(list_sum(m[59:64]) / list_sum(m)) AS t FROM mg0) " + checks("at, br", [
+ORACLES["v9_attribution"] = sql("im", f"WITH {MAGS}, {LONG}, br AS (SELECT avg(r) AS r FROM (SELECT index, corr(abs(x), x * x) AS r FROM lg GROUP BY 1)), atr AS (SELECT avg({GINI}) AS g, avg(list_sum(m[59:64]) / list_sum(m)) AS t FROM mg0) " + checks("atr, br", [
     ("faithful", "0", "true", "0"), ("gini", "round(g, 4)", "g > 0.05", "> 0.05"), ("top_decile", "round(t, 4)", "t > 0.12", "> 0.12"), ("brightness", "round(r, 4)", "r > 0.1", "> 0.1")]))

@@ -838,7 +838,7 @@ def t1_stream_resample(spark, sf):
 
 @query
 def t2_stream_windows(spark, sf):
-    return st.drain(st.stream_windows(stream(spark, sf))).select(*MC, stamp("start_time"), stamp("end_time"), "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "lo", "hi")])
+    return st.drain(st.stream_windows(stream(spark, sf))).select(*MC, stamp("start_time"), stamp("end_time"), "n", F.round(F.col("mean") + TIE, 4).alias("mean"), *[F.round(c, 4).alias(c) for c in ("std", "lo", "hi")])
 
 
 @query
