@@ -113,6 +113,8 @@ class BlockMaxIndex:
 
 def isotonic(raw: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of a never falling share of label over raw (pool adjacent violators)."""
+    if not len(raw):
+        return np.array([0.0, 1.0]), np.zeros(2)
     values, inverse = np.unique(raw, return_inverse=True)
     w = np.bincount(inverse, weight)
     s = np.bincount(inverse, weight * label)
@@ -133,7 +135,7 @@ class Examples:
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, rows: np.ndarray, ids: np.ndarray, label: np.ndarray, weight: np.ndarray, base: float):
         self.vocabulary, self.idf, self.base = vocabulary, idf, base
         used = rows.any(axis=1)
-        lead = rows.argmax(axis=1)
+        lead = rows.argmax(axis=1) if rows.shape[1] else np.zeros(len(rows), dtype=np.int64)
         order = np.lexsort((ids, (rows > 0).sum(axis=1), lead))
         order = order[used[order]]
         self.ids, self.label, self.weight = ids[order], label[order].astype(np.float64), weight[order]
