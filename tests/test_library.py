@@ -294,12 +294,12 @@ def test_regression_without_variance(spark):
 
 
 def test_files_round_trip(spark, tmp_path):
-    folder = tmp_path / "raw" / "ESA-Mission2"
+    folder = tmp_path / "raw" / "Mission2"
     folder.mkdir(parents=True)
     (folder / "channels.csv").write_text("Channel,Subsystem,Physical Unit,Group,Target\nc1,subsystem_1,physical_unit_1,1,YES\nc2,subsystem_2,physical_unit_2,1,NO\nc3,subsystem_2,physical_unit_2,1,YES\n")
     (folder / "labels.csv").write_text("ID,Channel,StartTime,EndTime\na1,c1,2024-01-01T00:00:00Z,2024-01-01T02:00:00Z\n")
     channels = io.read_channels(spark, str(tmp_path / "raw"))
-    assert [(r["mission"], r["channel"], r["ordinal"]) for r in channels.orderBy("ordinal").collect()] == [("ESA-Mission2", "c1", 0), ("ESA-Mission2", "c3", 2)]
+    assert [(r["mission"], r["channel"], r["ordinal"]) for r in channels.orderBy("ordinal").collect()] == [("Mission2", "c1", 0), ("Mission2", "c3", 2)]
     assert io.cap_channels(channels, 1).count() == 1
     assert io.filter_missions(channels, "1").count() == 0 and io.filter_missions(channels, "2").count() == 2
     assert io.read_intervals(spark, str(tmp_path / "raw")).first()["end_time"] == dt.datetime(2024, 1, 1, 2)
