@@ -18,7 +18,7 @@ SAMPLE_PER_CLASS = 4000
 #: Word beginnings and endings of these lengths are terms besides whole words.
 PART_LENGTHS = (4, 5, 6, 7, 8)
 #: A term is indexed when it marks one class: by this many standard deviations, this lift over the base rate, in this many texts.
-MIN_Z, MIN_LIFT, MIN_TEXTS, MAX_TERMS = 4.5, 3.0, 8, 4000
+MIN_Z, MIN_LIFT, MIN_TEXTS, MAX_TERMS = 4.5, 3.0, 4, 4000
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 0.5
 THRESHOLD = 0.3
 BATCH = 512

@@ -1,4 +1,4 @@
-"""The corpus pipeline's stages on the smallest tables, each against its own meaning."""
+"""The corpus pipeline's stages, each against its own meaning, and the queries' rows."""
 
 import os
 import re
@@ -14,6 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables a
 
 
 def test_stages(spark):
+    SF = "/root/testdata/sf0.01"  # toxicity needs a few dozen toxic examples to learn from
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in p.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
     seen = [docs]
