@@ -26,8 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id. Repeated rows leave one."""
-    gone = neardup.near_duplicates(docs, size=SHINGLE, percent=PERCENT).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    gone = neardup.near_duplicates(docs, size=SHINGLE, percent=PERCENT).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
+    return docs.join(gone, same, "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Every distinct shingle set has one representative. In each of TREES orders of its MinHash signature, representatives
 that share a prefix of MIN_DEPTH values form a region. A region too large for one task is read at greater depth until its
 parts are small enough, and its members are tied to its first member, which keeps large groups linear.
-Candidates pass a size test (exact) and a signature test (4.5 standard deviations below the threshold) and are
+Candidates pass a size test (exact) and two sketch tests (4.5 standard deviations below the threshold) and are
 confirmed on full sets. First every row meets its nearest neighbours only; when those links have been joined into
 components, all remaining candidates between different components follow, so no region's pairs are expanded inside a
 component.
@@ -23,6 +23,9 @@ from .spans import SpanHash, mix, runs
 
 TREES, PER_TREE, MIN_DEPTH = 16, 4, 3
 VALUES = TREES * PER_TREE
+#: Cells of a second sketch that only serves the test of pairs: the least hash in each cell, as a byte.
+CELLS = 256
+WIDTH = 4 * VALUES + CELLS
 #: Prefix lengths at which too large regions are read again.
 DEPTHS = (MIN_DEPTH, 5, 8, 12, 20, 32, VALUES)
 #: Members of a region that one task compares with each other.
@@ -87,11 +90,11 @@ def _sets(texts: list[bytes | None], held: list[int], size: int) -> tuple[np.nda
 
 
 def _signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sig): f1 and f2 are two independent sums over the set, equal for equal sets."""
+    """(doc_id, text_hash, n_shingles, f1, f2, sig): f1 and f2 are two independent sums over the set, equal for equal sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             n = np.zeros(len(texts), dtype=np.int64)
             sums = np.zeros((2, len(texts)), dtype=np.uint64)
             sig: list[bytes | None] = [None] * len(texts)
@@ -106,12 +109,23 @@ def _signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 least = np.empty((len(rows), VALUES), dtype=np.uint32)
                 for v in range(VALUES):
                     least[:, v] = np.minimum.reduceat(((h * _MULTIPLY[v] + _ADD[v]) >> np.uint64(32)).astype(np.uint32), begin)
-                for row, s in zip(rows, least):
-                    sig[row] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
+                # hashes are sorted inside a text, so the first of each cell is its least; 0 marks an empty cell
+                cell = (h >> np.uint64(56)).astype(np.int64)
+                first = np.append(True, (cell[1:] != cell[:-1]) | (owner[1:] != owner[:-1]))
+                cells = np.zeros((len(rows), CELLS), dtype=np.uint8)
+                cells[np.searchsorted(rows, owner[first]), cell[first]] = (h[first] >> np.uint64(24)).astype(np.uint8) | np.uint8(1)
+                for row, s, c in zip(rows, least, cells):
+                    sig[row] = s.tobytes() + c.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "sig"])
 
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"))
-    return slim.mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").cast("binary").alias("text"))
+    return slim.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, sig binary")
+
+
+def _unpack(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash values and cells, a row each."""
+    both = np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, WIDTH)
+    return np.ascontiguousarray(both[:, : 4 * VALUES]).view(np.uint32), both[:, 4 * VALUES :]
 
 
 def _prefixes(reps: DataFrame, depth: int, trees: DataFrame | None = None) -> DataFrame:
@@ -127,14 +141,14 @@ def _prefixes(reps: DataFrame, depth: int, trees: DataFrame | None = None) -> Da
 
     def all_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
+            sig = _unpack(batch.column(2).to_pylist())[0]
             for t in range(TREES):
                 tree = np.full(len(sig), t)
                 yield pa.RecordBatch.from_arrays([pa.array(order(sig, tree)), pa.array(tree.astype(np.int32)), batch.column(0)], names=["region", "tree", "rep"])
 
     def given(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
+            sig = _unpack(batch.column(3).to_pylist())[0]
             tree = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(order(sig, tree)), *batch.columns], names=["region", "tree", "rep", "n", "sig"])
 
@@ -187,7 +201,7 @@ def region_pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
         def compare(rows: pa.Table) -> pa.RecordBatch:
             region, rep, n = (rows.column(c).to_numpy() for c in ("region", "rep", "n"))
             comp = rows.column("comp").to_numpy() if apart else None
-            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, VALUES)
+            sig, cells = _unpack(rows.column("sig").to_pylist())
             found_a, found_b, found_s = [], [], []
             i = np.arange(len(region))
             step = 1
@@ -199,10 +213,14 @@ def region_pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
                 if apart:
                     go &= comp[i] != comp[k]
                 a, b = i[go], k[go]
-                same = np.empty(len(a), dtype=np.int64)
+                same, keep = np.empty(len(a), dtype=np.int64), np.empty(len(a), dtype=bool)
                 for at in range(0, len(a), 65536):
-                    same[at : at + 65536] = (sig[a[at : at + 65536]] == sig[b[at : at + 65536]]).sum(axis=1)
-                keep = same >= least
+                    x, y = a[at : at + 65536], b[at : at + 65536]
+                    equal = (sig[x] == sig[y]).sum(axis=1)
+                    u, v = cells[x], cells[y]
+                    used, met = ((u | v) > 0).sum(axis=1), ((u == v) & (u > 0)).sum(axis=1)
+                    same[at : at + 65536] = equal + met
+                    keep[at : at + 65536] = (equal >= least) & (met >= j * used - 4.5 * np.sqrt(j * (1 - j) * used))
                 found_a.append(a[keep]), found_b.append(b[keep]), found_s.append(same[keep])
                 step += 1
             a, b, same = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b, found_s))
@@ -278,7 +296,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable) and kept (doc_id = component_id).
+    """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), and text_hash, which tells
+    rows of one id apart.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased; the set holds distinct `size`-word shingles,
     or the whole sequence if there are fewer words. Sets link at 100 * intersection >= percent * union. A null text or
@@ -301,6 +320,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"), "copies", "root").where("copies > 1 or root is not null").drop("copies", "root")
-    out = base.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    out = base.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    named = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")

@@ -75,7 +75,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80).drop("text_hash")
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
