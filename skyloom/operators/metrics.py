@@ -112,10 +112,11 @@ def sweep(df: DataFrame, score: str, grid: list[float], label: str = "is_anomaly
 
     One pass sorts rows into the slots between thresholds; the running sum goes over at most 203 counts.
     """
-    edges = F.array(*[F.lit(float(t)) for t in grid])
-    slot = F.size(F.filter(edges, lambda t: t <= F.col(score)))
+    edges = F.expr("array(" + ", ".join(f"{float(t)!r}D" for t in grid) + ")")
+    # a null score reaches no threshold; naming the score twice also keeps its own expression out of the loop over edges
+    slot = F.when(F.col(score).isNull(), 0).otherwise(F.size(F.filter(edges, lambda t: t <= F.col(score))))
     counts = df.groupBy(slot.alias("slot")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    points = df.sparkSession.createDataFrame([(i + 1, float(t)) for i, t in enumerate(grid)], "slot int, threshold double")
+    points = df.sparkSession.range(1).select(F.posexplode(edges).alias("slot", "threshold")).withColumn("slot", F.col("slot") + 1)
     total = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, 0)
     curve = points.join(counts, "slot", "left").select("slot", "threshold", F.sum(F.coalesce("pos", F.lit(0))).over(above).alias("tp"), F.sum(F.coalesce("neg", F.lit(0))).over(above).alias("fp"))

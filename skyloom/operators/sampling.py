@@ -32,7 +32,7 @@ def shuffle(df: DataFrame, keys: list[str], seed: int = 0) -> DataFrame:
 def split(df: DataFrame, keys: list[str], shares: tuple[float, float] = (0.7, 0.15), seed: int = 0) -> DataFrame:
     """K4, K5: split (train, val, test by cut-off counts, the rest to test) and index, the row's number inside its split."""
     ranked = exact_rank(df.withColumn("_d", draw(keys, seed)), ["_d", *keys], "_r").drop("_d")
-    n = df.count()
+    n = ranked.count()  # of the stored ranks, not of df again
     a, b = int(n * shares[0]), int(n * shares[0]) + int(n * shares[1])
     name = F.when(F.col("_r") < a, "train").when(F.col("_r") < b, "val").otherwise("test")
     base = F.when(F.col("_r") < a, 0).when(F.col("_r") < b, a).otherwise(b)
@@ -60,9 +60,10 @@ def plot_manifest(records: DataFrame, n: int = 2000, folder: str = "data/plots")
 
 def holdout(df: DataFrame, share: float, keys: list[str], seed: int = 0) -> DataFrame:
     """is_val for min(max(round(n * share), 1), n - 1) drawn rows; none if there is one row only."""
-    n = df.count()
+    ranked = exact_rank(df.withColumn("_d", draw(keys, seed)), ["_d", *keys], "_r")
+    n = ranked.count()
     k = min(max(round(n * share), 1), n - 1) if n > 1 else 0
-    return exact_rank(df.withColumn("_d", draw(keys, seed)), ["_d", *keys], "_r").withColumn("is_val", F.col("_r") < k).drop("_r", "_d")
+    return ranked.withColumn("is_val", F.col("_r") < k).drop("_r", "_d")
 
 
 def take_bounded(df: DataFrame, n: int, order: list[str]) -> DataFrame:
