@@ -31,6 +31,8 @@ DEPTHS = (MIN_DEPTH, 5, 8, 12, 20, 32, VALUES)
 #: Members of a region that one task compares with each other.
 REGION = 512
 CHUNK_BYTES = 1 << 21
+#: Up to this many candidate ids (some MB) are sent to the texts; more meet them by a shuffle.
+SENT_IDS = 200_000
 
 _spaces = np.zeros(256, dtype=bool)
 _spaces[[0x20, *range(0x09, 0x0E)]] = True
@@ -250,8 +252,12 @@ def region_pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """pairs with `linked`: whether the full shingle sets reach the threshold. Only the texts of candidates are shuffled."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    """pairs with `linked`: whether the full shingle sets reach the threshold.
+
+    The ids of candidates are counted: a few are sent to the texts, more meet them by a hash join without a sort.
+    """
+    wanted = cut(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
+    wanted = wanted.hint("broadcast" if wanted.count() <= SENT_IDS else "shuffle_hash")
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +269,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, p
                 yield pa.RecordBatch.from_arrays([pa.array(ids[owner[begin]]), pa.array([h[x:y].tobytes() for x, y in zip(begin, stop)], pa.binary())], names=["rep", "members"])
 
     # an id that stands on several rows keeps its greatest set, so each pair is judged once
-    full = slim.join(wanted.hint("shuffle_hash"), "rep").mapInArrow(sets, "rep long, members binary").groupBy("rep").agg(F.max("members").alias("members"))
+    full = slim.join(wanted, "rep").mapInArrow(sets, "rep long, members binary").groupBy("rep").agg(F.max("members").alias("members"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -280,6 +280,7 @@ def near_rows(rng, n=60, copies=6):
 @pytest.mark.parametrize("region", [512, 4])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, region):
     monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "SENT_IDS", 200_000 if region > 4 else 3)
     rng = random.Random(region)
     hot = words(rng, 80, 5000).split()
     rows = near_rows(rng) + [(1000 + i, " ".join([*hot[:k], f"v{i}", *hot[k + 1 :]])) for i, k in enumerate(rng.randrange(80) for _ in range(30))]
