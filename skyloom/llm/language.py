@@ -19,7 +19,7 @@ SAMPLE_PER_LANGUAGE = 2000
 CENTROIDS_PER_LANGUAGE = 4
 #: Share of a cluster's own texts that lie within its radius; farther texts are marked as rejected.
 RADIUS_SHARE = 0.995
-CHUNK_CHARS, CHUNK_DOCS = 1 << 20, 256
+CHUNK_CHARS, CHUNK_DOCS = 1 << 19, 256
 
 
 @lru_cache(maxsize=1)

@@ -30,7 +30,7 @@ WIDTH = 4 * VALUES + CELLS
 DEPTHS = (MIN_DEPTH, 5, 8, 12, 20, 32, VALUES)
 #: Members of a region that one task compares with each other.
 REGION = 512
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Up to this many candidate ids (some MB) are sent to the texts; more meet them by a shuffle.
 SENT_IDS = 200_000
 
