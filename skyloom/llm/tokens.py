@@ -67,6 +67,7 @@ class PieceCounter:
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.by_piece = self.by_word = False
+            self.special: list[bytes] = []
             self.encode = lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             from tokenizers import Tokenizer
@@ -78,12 +79,16 @@ class PieceCounter:
                 spec = json.load(f)
             self.by_piece = breaks_at_space(spec)
             self.by_word = self.by_piece and parts_words(spec)
+            self.special = [t["content"].encode() for t in spec["added_tokens"]]
             self.encode = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def parts(self, piece: bytes) -> tuple[bytes, ...]:
-        """A word in lower case and the punctuation after it, if the vocabulary parts them; else the piece."""
+        """A word in lower case and the punctuation after it, if the vocabulary parts them; else the piece.
+
+        Special strings match before lower-casing, so a piece that holds one in any case stays as it is.
+        """
         word = piece.rstrip(TAIL) if self.by_word else b""
-        if not word or word[-1] not in ALNUM:
+        if not word or word[-1] not in ALNUM or any(s.lower() in piece.lower() for s in self.special):
             return (piece,)
         return (word.lower(),) if len(word) == len(piece) else (word.lower(), piece[len(word) :])
 

@@ -104,7 +104,7 @@ def test_pseudonymise_edges(spark):
 
 # ---------------------------------------------------------------- 3 tokens
 
-TEXTS = [x or "" for _, x in EDGE] + ["Don't stop. It's 12.5% <|endoftext|>. x<|startoftext|>y", "a\x1cb \u0085 c\u00a0d", "x'. 'S 've. ... ?!", "É é İ ΑΣ, Σ.", "tab\tnew\nline\r\x0b\x0c."]
+TEXTS = [x or "" for _, x in EDGE] + ["Don't stop. It's 12.5% <|endoftext|>. x<|startoftext|>y", "<|ENDOFTEXT|>foo, A<|endoftext|>B. <|EndOfText|>x!", "a\x1cb \u0085 c\u00a0d", "x'. 'S 've. ... ?!", "É é İ ΑΣ, Σ.", "tab\tnew\nline\r\x0b\x0c."]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
