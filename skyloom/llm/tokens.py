@@ -79,19 +79,21 @@ class PieceCounter:
                 spec = json.load(f)
             self.by_piece = breaks_at_space(spec)
             self.by_word = self.by_piece and parts_words(spec)
-            self.special = [t["content"].encode() for t in spec["added_tokens"]]
+            self.special = [t["content"].encode().lower() for t in spec["added_tokens"]]
             self.encode = lambda texts: [len(x) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def parts(self, piece: bytes) -> tuple[bytes, ...]:
-        """A word in lower case and the punctuation after it, if the vocabulary parts them; else the piece.
-
-        Special strings match before lower-casing, so a piece that holds one in any case stays as it is.
-        """
+        """A word in lower case and the punctuation after it, if the vocabulary parts them; else the piece."""
         word = piece.rstrip(TAIL) if self.by_word else b""
-        if not word or word[-1] not in ALNUM or any(s.lower() in piece.lower() for s in self.special):
+        if not word or word[-1] not in ALNUM:
             return (piece,)
         return (word.lower(),) if len(word) == len(piece) else (word.lower(), piece[len(word) :])
 
+    def holds_special(self, piece: bytes) -> bool:
+        """Whether the piece holds a special string in any case. Those match before lower-casing, so it must stay as it is."""
+        low = piece.lower()
+        return any(s in low for s in self.special)
+
     def __call__(self, texts: list[bytes]) -> list[int]:
         if not self.by_piece:
             return self.encode([t.decode("utf-8", "replace") for t in texts])
@@ -99,7 +101,11 @@ class PieceCounter:
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
             self.words.clear()
-        new = {p: self.parts(p) for p in set().union(*split) if p not in self.cache}
+        fresh = [p for p in set().union(*split) if p not in self.cache]
+        if self.holds_special(b" ".join(fresh)):  # rare, so pieces are asked one by one only then
+            new = {p: (p,) if self.holds_special(p) else self.parts(p) for p in fresh}
+        else:
+            new = {p: self.parts(p) for p in fresh}
         words = [x for x in set().union(*new.values()) if x not in self.words]
         self.words.update(zip(words, self.encode([x.decode("utf-8", "replace") for x in words])))
         for p, parts in new.items():
