@@ -6,12 +6,13 @@ parts are small enough, and its members are tied to its first member, which keep
 Candidates pass a size test (exact) and two sketch tests (4.5 standard deviations below the threshold) and are
 confirmed on full sets. First every row meets its nearest neighbours only; when those links have been joined into
 components, all remaining candidates between different components follow, so no region's pairs are expanded inside a
-component.
+component. Greater depths lose pairs, so members of large regions that are still in different components then meet by
+an equi-join on each set's rarest shingles, of which two sets at the threshold always share one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,10 @@ WIDTH = 4 * VALUES + CELLS
 DEPTHS = (MIN_DEPTH, 5, 8, 12, 20, 32, VALUES)
 #: Members of a region that one task compares with each other.
 REGION = 512
+#: Shingles of the sets under one rare shingle that one task compares; more are compared block by block, over many tasks.
+BLOCK = 1 << 20
+#: Bits of a shingle's cell in the histogram that orders shingles from rare to common, and cells of one part of it.
+ORDER_BITS, ORDER_PART = 20, 1 << 14
 CHUNK_BYTES = 1 << 20
 #: Up to this many candidate ids (some MB) are sent to the texts; more meet them by a shuffle.
 SENT_IDS = 200_000
@@ -159,11 +164,13 @@ def _prefixes(reps: DataFrame, depth: int, trees: DataFrame | None = None) -> Da
     return trees.select("tree", "rep", "n", "sig").mapInArrow(given, "region long, tree int, rep long, n long, sig binary")
 
 
-def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of regions small enough for one task, (region, rep, n, sig), and star pairs (a, b) of the larger ones."""
+def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of regions small enough for one task, (region, rep, n, sig), star pairs (a, b) of the larger ones, and all members (rep)
+    of regions that were too large at MIN_DEPTH."""
     rows = cut(_prefixes(reps, MIN_DEPTH))
     sizes = rows.groupBy("region").count().where("count > 1")
     members = cut(rows.join(sizes, "region").join(reps, "rep").select("region", "tree", "rep", "n", "sig", "count"))
+    crowd = cut(members.where(F.col("count") > REGION).select("rep").distinct())
     small, stars = [], []
     for depth in DEPTHS[1:]:
         small.append(members.where(F.col("count") <= REGION).select("region", "rep", "n", "sig"))
@@ -185,47 +192,67 @@ def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = stars[0] if stars else members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     for s in stars[1:]:
         pairs = pairs.unionByName(s)
-    return out, pairs
+    return out, pairs, crowd
 
 
-def region_pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
-    """Candidate pairs (a, b), a < b, of one region that pass the size and signature tests.
+def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that are sorted by region, so that no region is in two tables."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+        region = rows.column("region").to_numpy()
+        last = int(np.searchsorted(region, region[-1])) if len(region) else 0
+        rest = rows.slice(last)
+        if last:
+            yield rows.slice(0, last).combine_chunks()
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+
 
-    apart False: each member's best partner only. apart True: every pair whose `comp` differs. Rows arrive sorted by
-    region; the comparison runs over all regions of a batch at once, one distance in the order after another.
+def _alike(region: np.ndarray, n: np.ndarray, sig: np.ndarray, cells: np.ndarray, percent: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one region that pass the size and sketch tests and are wanted, and how many sketch values are equal.
+
+    The comparison runs over all regions at once, one distance in the order after another.
     """
     j = percent / 100
     least = int(np.ceil(VALUES * (j - 4.5 * np.sqrt(j * (1 - j) / VALUES))))
+    found_a, found_b, found_s = [], [], []
+    i = np.arange(len(region))
+    step = 1
+    while len(i):
+        i = i[i + step < len(region)]
+        i = i[region[i] == region[i + step]]
+        k = i + step
+        go = 100 * np.minimum(n[i], n[k]) >= percent * np.maximum(n[i], n[k])
+        if wanted:
+            go &= wanted(i, k)
+        a, b = i[go], k[go]
+        same, keep = np.empty(len(a), dtype=np.int64), np.empty(len(a), dtype=bool)
+        for at in range(0, len(a), 65536):
+            x, y = a[at : at + 65536], b[at : at + 65536]
+            equal = (sig[x] == sig[y]).sum(axis=1)
+            u, v = cells[x], cells[y]
+            used, met = ((u | v) > 0).sum(axis=1), ((u == v) & (u > 0)).sum(axis=1)
+            same[at : at + 65536] = equal + met
+            keep[at : at + 65536] = (equal >= least) & (met >= j * used - 4.5 * np.sqrt(j * (1 - j) * used))
+        found_a.append(a[keep]), found_b.append(b[keep]), found_s.append(same[keep])
+        step += 1
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b, found_s))
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
 
-        def compare(rows: pa.Table) -> pa.RecordBatch:
+def region_pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
+    """Candidate pairs (a, b), a < b, of one region that pass the size and signature tests.
+
+    apart False: each member's best partner only. apart True: every pair whose `comp` differs.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_regions(batches):
             region, rep, n = (rows.column(c).to_numpy() for c in ("region", "rep", "n"))
             comp = rows.column("comp").to_numpy() if apart else None
             sig, cells = _unpack(rows.column("sig").to_pylist())
-            found_a, found_b, found_s = [], [], []
-            i = np.arange(len(region))
-            step = 1
-            while len(i):
-                i = i[i + step < len(region)]
-                i = i[region[i] == region[i + step]]
-                k = i + step
-                go = 100 * np.minimum(n[i], n[k]) >= percent * np.maximum(n[i], n[k])
-                if apart:
-                    go &= comp[i] != comp[k]
-                a, b = i[go], k[go]
-                same, keep = np.empty(len(a), dtype=np.int64), np.empty(len(a), dtype=bool)
-                for at in range(0, len(a), 65536):
-                    x, y = a[at : at + 65536], b[at : at + 65536]
-                    equal = (sig[x] == sig[y]).sum(axis=1)
-                    u, v = cells[x], cells[y]
-                    used, met = ((u | v) > 0).sum(axis=1), ((u == v) & (u > 0)).sum(axis=1)
-                    same[at : at + 65536] = equal + met
-                    keep[at : at + 65536] = (equal >= least) & (met >= j * used - 4.5 * np.sqrt(j * (1 - j) * used))
-                found_a.append(a[keep]), found_b.append(b[keep]), found_s.append(same[keep])
-                step += 1
-            a, b, same = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b, found_s))
+            a, b, same = _alike(region, n, sig, cells, percent, (lambda i, k: comp[i] != comp[k]) if apart else None)
             if not apart and len(a):  # both ends look for their best partner; equal ones go to the smaller id
                 one, other, s = np.append(a, b), np.append(b, a), np.append(same, same)
                 order = np.lexsort((rep[other], -s, one))
@@ -233,32 +260,126 @@ def region_pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
                 a, b = one[first], other[first]
             lo, hi = np.minimum(rep[a], rep[b]), np.maximum(rep[a], rep[b])
             both = np.unique(np.stack([lo, hi], axis=1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-            region = rows.column("region").to_numpy()
-            last = int(np.searchsorted(region, region[-1])) if len(region) else 0
-            rest = rows.slice(last)
-            if last:
-                yield compare(rows.slice(0, last).combine_chunks())
-        if rest is not None and rest.num_rows:
-            yield compare(rest.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     columns = ["region", "rep", "n", "sig", *(["comp"] if apart else [])]
     ordered = members.select(*columns).repartition(partitions(members.sparkSession), "region").sortWithinPartitions("region", "rep")
     return ordered.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """pairs with `linked`: whether the full shingle sets reach the threshold.
+def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(rep, text, and what else wanted holds) of the texts whose id is wanted.
 
-    The ids of candidates are counted: a few are sent to the texts, more meet them by a hash join without a sort.
+    The ids are counted: a few are sent to the texts, more meet them by a hash join without a sort.
     """
-    wanted = cut(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
     wanted = wanted.hint("broadcast" if wanted.count() <= SENT_IDS else "shuffle_hash")
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null")
+    return slim.join(wanted, "rep")
+
+
+def rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(shingle, rep, comp, n, left) of the rarest shingles of each text in one order of all shingles, as many as are needed for
+    two sets at the threshold to share one: all but percent of the set, and one more.
+
+    Any order that is the same everywhere is exact; a histogram of fixed size puts rare shingles first. n is the size of the
+    set and left the number of its shingles from this one on.
+    """
+    shift, cells = np.uint64(64 - ORDER_BITS), 1 << ORDER_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(cells, dtype=np.int64)
+        for batch in batches:
+            for _, h in shingle_sets(batch.column(0).to_pylist(), size):
+                seen += np.bincount((h >> shift).astype(np.int64), minlength=cells)
+        for i in range(0, cells, ORDER_PART):
+            if seen[i : i + ORDER_PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([seen[i : i + ORDER_PART].tobytes()], pa.binary())], names=["cell", "seen"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(part, np.int64)
+        for i, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], names=["cell", "seen"])
+
+    total = np.zeros(cells, dtype=np.int64)
+    for r in texts.select("text").mapInArrow(count, "cell long, seen binary").repartition("cell").mapInArrow(add, "cell long, seen binary").collect():
+        total[r["cell"] : r["cell"] + ORDER_PART] = np.frombuffer(r["seen"], np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(total)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, comps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for owner, h in shingle_sets(batch.column(2).to_pylist(), size):
+                order = np.lexsort((h, shared.value[(h >> shift).astype(np.int64)], owner))
+                owner, h = owner[order], h[order]
+                begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+                n = np.diff(np.append(begin, len(owner)))
+                place = np.arange(len(owner)) - np.repeat(begin, n)
+                go = place <= np.repeat(n - -(-percent * n // 100), n)
+                of = np.repeat(n, n)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[go].view(np.int64), ids[owner[go]], comps[owner[go]], of[go], (of - place)[go])], names=["shingle", "rep", "comp", "n", "left"])
+
+    return texts.select("rep", "comp", "text").mapInArrow(rarest, "shingle long, rep long, comp long, n long, left long")
+
+
+def crowded_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, roots: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join all components with a pair at the threshold among `crowd`, the members of too large regions; none is left out
+    but by the sketch tests.
+
+    Sets that share a rare shingle are compared where they are of more than one component. Above BLOCK shingles, each block of
+    those outside the commonest component meets each block of all, so one component of any size is read once for each
+    block of others. A task confirms pairs on full sets and gives one link for each two components that it joins.
+    """
+    wanted = cut(crowd.join(roots, crowd["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp")))
+    rare = cut(rare_shingles(_texts(docs, wanted, key, text), size, percent))
+    each = rare.groupBy("shingle", "comp").agg(F.sum("n").alias("c"))
+    stats = each.groupBy("shingle").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    met = rare.join(stats.select("shingle", "all", (F.col("all") - F.col("main.c")).alias("others"), F.col("main.comp").alias("main")), "shingle")
+    half = BLOCK // 2
+    blocks = lambda n: F.when(F.col("all") <= BLOCK, 1).otherwise(F.ceil(F.col(n) / half)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+    every = met.select("*", mine("all").alias("y"), F.explode(F.sequence(F.lit(0), blocks("others") - 1)).alias("x"))
+    other = met.where((F.col("comp") != F.col("main")) & (F.col("all") > BLOCK)).select("*", mine("others").alias("x"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("y"))
+    members = cut(every.unionByName(other).select(F.xxhash64("shingle", "x", "y").alias("region"), "rep", "comp", "left"))
+    full = _full_sets(docs, cut(members.select("rep").distinct()), key, text, size)
+    columns = ["region", "rep", "comp", "left", "n", "sig", "members"]
+    ordered = members.join(reps.select("rep", "n", "sig"), "rep").join(full, "rep").select(*columns).repartition(partitions(docs.sparkSession), "region").sortWithinPartitions("region", "rep")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_regions(batches):
+            region, rep, comp, left, n = (rows.column(c).to_numpy() for c in columns[:5])
+            sig, cells = _unpack(rows.column("sig").to_pylist())
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("members").to_pylist()]
+            # where a pair first shares a shingle, all that it shares is among what is left of both
+            first = lambda i, k: (comp[i] != comp[k]) & ((100 + percent) * np.minimum(left[i], left[k]) >= percent * (n[i] + n[k]))
+            a, b, same = _alike(region, n, sig, cells, percent, first)
+            _, name = np.unique(np.stack([region, comp], axis=1), axis=0, return_inverse=True)
+            up = list(range(len(rep)))
+            name, found = name.ravel().tolist(), []
+
+            def top(x: int) -> int:
+                while up[x] != x:
+                    up[x] = x = up[up[x]]
+                return x
+
+            for i, k in zip(*(x[np.argsort(-same, kind="stable")].tolist() for x in (a, b))):
+                x, y = top(name[i]), top(name[k])
+                if x != y:
+                    u, v = sets[i], sets[k]
+                    both = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+                    if 100 * both >= percent * (len(u) + len(v) - both):
+                        up[x] = y
+                        found.append(sorted((rep[i], rep[k])))
+            pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return ordered.mapInArrow(links, "a long, b long").distinct()
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(rep, members) of the wanted ids: their sorted shingle hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +390,13 @@ def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, p
                 yield pa.RecordBatch.from_arrays([pa.array(ids[owner[begin]]), pa.array([h[x:y].tobytes() for x, y in zip(begin, stop)], pa.binary())], names=["rep", "members"])
 
     # an id that stands on several rows keeps its greatest set, so each pair is judged once
-    full = slim.join(wanted, "rep").mapInArrow(sets, "rep long, members binary").groupBy("rep").agg(F.max("members").alias("members"))
+    return _texts(docs, wanted, key, text).mapInArrow(sets, "rep long, members binary").groupBy("rep").agg(F.max("members").alias("members"))
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """pairs with `linked`: whether the full shingle sets reach the threshold."""
+    wanted = cut(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
+    full = _full_sets(docs, wanted, key, text, size)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,6 +428,13 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.union(floor.select("u", F.col("m").alias("v"))).distinct())
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots after more links (a, b)."""
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), and text_hash, which tells
     rows of one id apart.
@@ -314,7 +448,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     base = cut(_signatures(docs, key, text, size))
     classes = base.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
     reps = cut(classes.where("rep is not null"))
-    members, stars = forest(reps)
+    members, stars, crowd = forest(reps)
     near = region_pairs(members, percent, False).union(stars.distinct()).distinct()
     seen = cut(confirm(docs, cut(near), key, text, size, percent))
     roots = components(seen.where("linked"))
@@ -322,9 +456,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     mixed = label.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
     rest = cut(region_pairs(label.join(mixed, "region", "left_semi"), percent, True).join(seen.select("a", "b"), ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        more = cut(confirm(docs, rest, key, text, size, percent).where("linked").select("a", "b"))
-        if not more.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        roots = _joined(roots, cut(confirm(docs, rest, key, text, size, percent).where("linked").select("a", "b")))
+    if not crowd.isEmpty():
+        roots = _joined(roots, cut(crowded_links(docs, reps, crowd, roots, key, text, size, percent)))
     named = reps.join(roots, reps["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"), "copies", "root").where("copies > 1 or root is not null").drop("copies", "root")
     out = base.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -299,6 +299,45 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_a_region_above_its_bound(spark, monkeypatch):
+    """Sets of one template and words of their own: pairs of them at the threshold, none alike the leader, under every split of the work."""
+    rng = random.Random(5)
+    template, own = [f"t{i}" for i in range(85)], iter(f"o{i}" for i in itertools.count())
+    rows, pairs = [], []
+    for k in range(40):
+        both = [next(own) for _ in range(4)]  # 89 of 111 words shared: 0.802; others share 85 of 115: 0.739
+        pairs.append((1000 + k, 2000 + k))
+        rows += [(i, " ".join(rng.sample(template + both + [next(own) for _ in range(11)], 100))) for i in pairs[-1]]
+    rows += [(i, " ".join(template + [next(own) for _ in range(15)])) for i in range(220)]
+    monkeypatch.setattr(neardup, "REGION", 32)
+    for block in (neardup.BLOCK, 1600):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs(spark, rows), size=1).collect()}
+        missed = sum(got[b] != a for a, b in pairs)
+        assert missed == 0 and all(got[i] == i for i, _ in rows if i < 2000)
+
+
+def test_crowded_links_of_common_shingles_by_blocks(spark, monkeypatch):
+    """Every shingle is common: a component of 30 sets and sets outside it are compared block by block."""
+    rng, names = random.Random(6), [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.sample(names, 33))) for i in range(120)]
+    sets = {i: set(x.split()) for i, x in rows}
+    monkeypatch.setattr(neardup, "BLOCK", 600)
+    reps = neardup._signatures(docs(spark, rows), "doc_id", "text", 1).select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig")
+    roots = spark.createDataFrame([(i, 0) for i in range(1, 30)], "node long, root long")
+    got = [(r["a"], r["b"]) for r in neardup.crowded_links(docs(spark, rows), reps, reps.select("rep"), roots, "doc_id", "text", 1, 80).collect()]
+    true = [(a, b) for a, b in itertools.combinations(sets, 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+
+    def parts(links):
+        of = {i: 0 if i < 30 else i for i in sets}
+        for a, b in links:
+            x, y = sorted((of[a], of[b]))
+            of = {i: x if c == y else c for i, c in of.items()}
+        return of
+
+    assert set(got) <= set(true) and 1 < len(set(parts(true).values())) < 91 and parts(got) == parts(true)
+
+
 # ---------------------------------------------------------------- 8 audio
 
 
