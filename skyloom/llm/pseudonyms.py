@@ -22,6 +22,8 @@ KINDS = ("email", "card", "phone", "ip", "iban", "ssn", "date", "secret")
 
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 _month = "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTHS)
+#: Between the digits of a phone number with its country code, which has 7 to 15 of them (11 after +1 and +7), and beginnings that no country has.
+_gap, _unused = r"[ .()/-]{0,2}", "28|83|89"
 
 #: Every alternative starts at a border of its own characters, so a scan stays linear in the text.
 FOUND = re.compile(
@@ -37,7 +39,9 @@ FOUND = re.compile(
       )(?![0-9/]|[-.][0-9])
     | (?<!\w)(?P<n4>{_month})[ ](?P<d4>[0-9]{{1,2}}),[ ](?P<y4>[0-9]{{4}})(?![0-9]))
   | (?P<ssn>(?<![0-9-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![0-9-]))
-  | (?P<phone>(?<![\w+])(?:\+[0-9]{{1,3}}[^\w\s(+]{{0,4}}[ .-]?)?(?:\([0-9]{{3}}\)[^\w\s(+]{{0,4}}[ ]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9]))
+  | (?P<phone>(?<![\w+])(?:\+[0-9]{{1,3}}[^\w\s(+]{{0,4}}[ .-]?)?(?:\([0-9]{{3}}\)[^\w\s(+]{{0,4}}[ ]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])
+    | (?<![\w+])\+(?:[17](?:{_gap}[0-9]){{10}}|(?![017]|{_unused})[0-9](?:{_gap}[0-9]){{6,14}})(?![0-9])
+    | (?<![\w+.,/-])(?=(?:[^\w]{{0,2}}[0-9]){{9,12}}(?![0-9]|[ ./-][0-9]))(?:\(0[1-9][0-9]{{0,4}}\)[ ]?|0[1-9][0-9]{{0,4}}[ ./-])[0-9]{{2,8}}(?:[ ./-][0-9]{{2,8}}){{0,4}}(?![0-9]))
   | (?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){{12,18}}(?![0-9]))
     """,
     re.X,
@@ -239,7 +243,8 @@ class Pseudonyms:
 def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str = "text", counts: str | None = "pii") -> DataFrame:
     """docs with every validated value of `text` replaced by its pseudonym.
 
-    Kinds: e-mail addresses; card numbers (Luhn) keep length, layout and a valid check digit; phone numbers; IPv4
+    Kinds: e-mail addresses; card numbers (Luhn) keep length, layout and a valid check digit; phone numbers with + and country code,
+    with a leading 0 and 9 to 12 digits in groups, or in groups of 3, 3 and 4; IPv4
     addresses; IBANs (mod 97 kept valid); social security numbers; dates of 1900 to 2099, also across layouts; hexadecimal secrets with a digit
     after token, secret, password or api key. A number that fails its check is left alone. A null text stays null, with
     zero counts; an empty table gives an empty one. `counts` names an added map from kind to number (None: not added;

@@ -77,6 +77,16 @@ def test_pseudonyms_keep_format_and_links():
     assert p.replace(text) == (out, n) and other.replace(text)[0] != out
 
 
+def test_phone_numbers_of_other_layouts():
+    p = pseudonyms.Pseudonyms(b"k")
+    for phone in ("+14155550123", "+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "+49 (0)30 1234567", "020 7946 0958", "01 23 45 67 89", "(030) 1234567", "+9 (999) 999-9999"):
+        out, n = p.replace(f"call {phone}, or write")
+        assert n == {"phone": 1} and phone not in out and re.sub(r"\d", "9", out) == re.sub(r"\d", "9", f"call {phone}, or write"), phone
+    assert re.sub(r"\D", "", p.replace("+14155550123")[0]) == re.sub(r"\D", "", p.replace("+1 (415) 555-0123")[0])
+    for text in ("+289 1234567", "+123456", "0.123 456 789", "1234567", "x+14155550123", "0123 4567 8901 2345 6"):
+        assert p.replace(text)[1] == {}, text
+
+
 @settings(max_examples=50, deadline=None)
 @given(hs.integers(1, 500), hs.text("abcXYZ019-", max_size=12))
 def test_feistel_is_a_permutation(size, text):
