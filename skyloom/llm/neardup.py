@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, partitions, small_batches
+from .scratch import cut, partitions, small_batches, summed_array
 from .spans import SpanHash, mix, runs
 
 TREES, PER_TREE, MIN_DEPTH = 16, 4, 3
@@ -33,8 +33,8 @@ DEPTHS = (MIN_DEPTH, 5, 8, 12, 20, 32, VALUES)
 REGION = 512
 #: Shingles of the sets under one rare shingle that one task compares; more are compared block by block, over many tasks.
 BLOCK = 1 << 20
-#: Bits of a shingle's cell in the histogram that orders shingles from rare to common, and cells of one part of it.
-ORDER_BITS, ORDER_PART = 20, 1 << 14
+#: Bits of a shingle's cell in the histogram that orders shingles from rare to common.
+ORDER_BITS = 20
 CHUNK_BYTES = 1 << 20
 #: Up to this many candidate ids (some MB) are sent to the texts; more meet them by a shuffle.
 SENT_IDS = 200_000
@@ -286,27 +286,14 @@ def rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
     """
     shift, cells = np.uint64(64 - ORDER_BITS), 1 << ORDER_BITS
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         seen = np.zeros(cells, dtype=np.int64)
         for batch in batches:
             for _, h in shingle_sets(batch.column(0).to_pylist(), size):
                 seen += np.bincount((h >> shift).astype(np.int64), minlength=cells)
-        for i in range(0, cells, ORDER_PART):
-            if seen[i : i + ORDER_PART].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([seen[i : i + ORDER_PART].tobytes()], pa.binary())], names=["cell", "seen"])
+        return seen
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(part, np.int64)
-        for i, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], names=["cell", "seen"])
-
-    total = np.zeros(cells, dtype=np.int64)
-    for r in texts.select("text").mapInArrow(count, "cell long, seen binary").repartition("cell").mapInArrow(add, "cell long, seen binary").collect():
-        total[r["cell"] : r["cell"] + ORDER_PART] = np.frombuffer(r["seen"], np.int64)
-    shared = texts.sparkSession.sparkContext.broadcast(total)
+    shared = texts.sparkSession.sparkContext.broadcast(summed_array(texts.select("text"), count, cells))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,19 +6,27 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Cells of one part of a summed array.
+ARRAY_PART = 1 << 14
+
 _own: str | None = None
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this process only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; a folder of this process only where that is unset and Spark is local (tests)."""
     global _own
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="skyloom-")
         atexit.register(shutil.rmtree, _own, True)
@@ -41,6 +49,50 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
             spark.conf.set(key, str(most))
 
 
+def kept(df: DataFrame, new: Iterable[str]) -> list[str]:
+    """The columns of df whose names differ from all of `new`, in any case of letters."""
+    gone = {n.lower() for n in new}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, in any case of letters: `names`, with underscores before them where taken."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def summed_array(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all tasks of the integer array of `size` that count makes of a task's batches.
+
+    Tasks give parts of ARRAY_PART cells, each part is summed on its own, and the whole (8 bytes a cell) comes to the driver.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = count(batches)
+        for i in range(0, size, ARRAY_PART):
+            if seen[i : i + ARRAY_PART].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([seen[i : i + ARRAY_PART].astype(np.int64).tobytes()], pa.binary())], names=["cell", "seen"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(part, np.int64)
+        for i, part in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.tobytes()], pa.binary())], names=["cell", "seen"])
+
+    total = np.zeros(size, dtype=np.int64)
+    for r in rows.mapInArrow(parts, "cell long, seen binary").repartition("cell").mapInArrow(add, "cell long, seen binary").collect():
+        part = np.frombuffer(r["seen"], np.int64)
+        total[r["cell"] : r["cell"] + len(part)] = part
+    return total
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,11 +106,12 @@ def gapless_rank(df: DataFrame, group: str, order: list[str], out: str) -> DataF
     """
     spark = df.sparkSession
     n = partitions(spark)
+    at, part, of, size, first, before = fresh(df, "_at", "_part", "_group", "_n", "_first", "_before")
     sorted_rows = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order)
-    placed = cut(sorted_rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
-    runs = placed.groupBy("_part", F.col(group).alias("_group")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    placed = cut(sorted_rows.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)))
+    runs = placed.groupBy(part, F.col(group).alias(of)).agg(F.count("*").alias(size), F.min(at).alias(first))
     # at most partitions + groups rows: one for each partition that a group touches
-    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    joined = placed.join(runs.drop("_n"), (placed["_part"] == runs["_part"]) & placed[group].eqNullSafe(runs["_group"]))
-    return joined.select(*[placed[c] for c in df.columns], (F.col("_at") - F.col("_first") + F.col("_before")).alias(out))
+    w = Window.partitionBy(of).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn(before, F.coalesce(F.sum(size).over(w), F.lit(0)))
+    joined = placed.join(runs.drop(size), (placed[part] == runs[part]) & placed[group].eqNullSafe(runs[of]))
+    return joined.select(*[placed[f"`{c}`"] for c in df.columns], (F.col(at) - F.col(first) + F.col(before)).alias(out))
