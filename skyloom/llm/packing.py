@@ -6,16 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import cut, gapless_rank
-
-#: Lengths up to this are histogram cells of their own; longer ones share 256 cells per doubling.
-EXACT_LENGTHS = 32_768
-
-
-def cell(length: F.Column) -> F.Column:
-    """The upper end of a length's histogram cell: the length itself, or 8 significant binary digits, rounded up."""
-    step = F.pow(2.0, F.floor(F.log2(length.cast("double") / EXACT_LENGTHS)) + 8).cast("long")
-    return F.when(length <= EXACT_LENGTHS, length.cast("long")).otherwise(F.ceil(length / step).cast("long") * step)
+from .scratch import cut, fresh, gapless_rank, kept
 
 
 def best_borders(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -65,18 +56,19 @@ def pack(docs: DataFrame, length: str = "n_tokens", key: str = "doc_id", buckets
 
     Rows go to the bucket with the least border not below their length; a batch holds budget // border rows, one at
     least, so no batch exceeds the budget unless a single row does. A null length counts as 0. Rows inside a bucket follow
-    length, then key; equal rows are interchangeable. Columns of the output's names are replaced.
+    length, then key; a null key stands first and equal rows are interchangeable. Any length is a histogram cell of its own:
+    the distinct lengths reach the driver, at most the square root of twice all tokens. An empty table gives an empty one.
+    Columns of the output's names, in any case of letters, are replaced.
     """
-    new = ("bucket", "batch", "place", "padding")
-    kept = [c for c in docs.columns if c not in new]
-    rows = cut(docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{length}`"), F.lit(0)).cast("long").alias("_length")).withColumn("_cell", cell(F.col("_length"))))
-    # at most EXACT_LENGTHS cells and 256 for every doubling beyond reach the driver
-    histogram = sorted(tuple(r) for r in rows.groupBy("_cell").agg(F.count("*")).collect())
-    borders = best_borders(np.array([h[0] for h in histogram], dtype=np.int64), np.array([h[1] for h in histogram], dtype=np.int64), buckets)
-    bucket = F.array_min(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]), lambda b: b >= F.col("_cell"))) if borders else F.lit(0).cast("long")
-    ranked = gapless_rank(rows.withColumn("_bucket", bucket), "_bucket", ["_length", key], "_rank")
-    room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col("_bucket"), F.lit(1))))
+    names = kept(docs, ("bucket", "batch", "place", "padding"))
+    held, bucket, rank = fresh(docs, "_length", "_bucket", "_rank")
+    rows = cut(docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(f"`{length}`"), F.lit(0)).cast("long").alias(held)))
+    histogram = rows.groupBy(held).agg(F.count("*")).toPandas().sort_values(held).to_numpy(dtype=np.int64)
+    borders = best_borders(histogram[:, 0], histogram[:, 1], buckets)
+    least = F.array_min(F.filter(F.array(*[F.lit(b).cast("long") for b in borders]), lambda b: b >= F.col(held))) if borders else F.lit(0).cast("long")
+    ranked = gapless_rank(rows.withColumn(bucket, least), bucket, [held, key], rank)
+    room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest(F.col(bucket), F.lit(1))))
     return ranked.select(
-        *[F.col(f"`{c}`") for c in kept], F.col("_bucket").alias("bucket"), F.floor(F.col("_rank") / room).alias("batch"),
-        (F.col("_rank") % room).cast("int").alias("place"), (F.col("_bucket") - F.col("_length")).alias("padding"),
+        *[F.col(f"`{c}`") for c in names], F.col(bucket).alias("bucket"), F.floor(F.col(rank) / room).alias("batch"),
+        (F.col(rank) % room).cast("int").alias("place"), (F.col(bucket) - F.col(held)).alias("padding"),
     )
