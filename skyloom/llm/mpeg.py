@@ -1,8 +1,9 @@
 """MPEG audio columns: frame headers with resynchronisation, tags, variable-bitrate tables, checksums, seek offsets.
 
-`parse` reads any MPEG-1/2/2.5 layer I-III stream. `write_payload` stores bytes in a valid variable-bitrate MPEG-1
-layer III stream: its frames are silent (no coded spectrum) and carry the bytes in the room that the format leaves
-after the coded part, so a player plays silence and `parse` gives every byte back.
+`parse` reads any MPEG-1/2/2.5 layer I-III stream with stated bitrates (not the free format). `write_payload` stores bytes
+in a valid variable-bitrate MPEG-1 layer III stream: its frames are silent (no coded spectrum) and carry the bytes in the room
+that the format leaves after the coded part, so a player plays silence and `parse` gives every byte back. The stream ends
+with a tag of its own, so no payload is taken for one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import kept, small_batches
 
 # Fixed values of the MPEG audio format: kbit/s by bitrate index 1 to 14, sample rates by index.
 KBPS = {
@@ -30,6 +31,8 @@ KBPS = {
 }
 RATES = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 CRC_POLYNOMIAL = 0x8005
+# How many layer II subbands have so many bits of allocation, by table of the format.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
 TAG_KEY = "payload_bytes"
 
 
@@ -54,6 +57,48 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The checksum of the first `bits` bits."""
+    c, whole = 0xFFFF, bits // 8
+    for b in data[:whole]:
+        c = ((c << 8) & 0xFFFF) ^ _TABLE[(c >> 8) ^ b]
+    for k in range(bits % 8):
+        bit = data[whole] >> (7 - k) & 1
+        c = ((c << 1) & 0xFFFF) ^ (CRC_POLYNOMIAL if (c >> 15) ^ bit else 0)
+    return c
+
+
+def allocation_bits(word: bytes, body: bytes, head: tuple) -> int:
+    """Bits after the checksum that it covers in a layer I or II frame: the allocation and, in layer II, 2 more for each subband in use."""
+    version, layer, _, kbps, hz, _, _, mono = head
+    if layer == 1:
+        widths = [4] * 32
+    else:
+        each = kbps if mono else kbps // 2
+        name = "lsf" if version != 1 else ("d" if hz == 32000 else "c") if each <= 48 else "a" if hz == 48000 or each <= 80 else "b"
+        widths = [w for n, w in ALLOCATION[name] for _ in range(n)]
+    bound = 4 * (word[3] >> 4 & 3) + 4 if word[3] >> 6 == 1 else 32  # joint stereo shares the allocation above it
+    number, size, at, used = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+    for band, w in enumerate(widths):
+        for _ in range(1 if mono or band >= bound else 2):
+            if at + w <= size and number >> (size - at - w) & ((1 << w) - 1):
+                used += 2 if band >= bound and not mono else 1
+            at += w
+    return at + 2 * used * (layer == 2)
+
+
+def checksum_ok(data: bytes, at: int, head: tuple) -> bool:
+    """Whether a protected frame's checksum fits its header and what follows the checksum."""
+    body = at + 6
+    if head[1] == 3:
+        found = crc16(data[at + 2 : at + 4] + data[body : body + side_bytes(head[0], head[7])])
+    else:
+        part = data[body : at + min(head[5], 70)]  # allocation and selection take 64 bytes at most
+        bits = allocation_bits(data[at : at + 4], part, head)
+        found = crc16_bits(data[at + 2 : at + 4] + part, 16 + min(bits, 8 * len(part)))
+    return found == int.from_bytes(data[at + 4 : at + 6], "big")
+
+
 @lru_cache(maxsize=4096)
 def header(word: bytes) -> tuple | None:
     """(version, layer, protected, kbps, rate, frame bytes, samples, mono) of four header bytes; None if they aren't one."""
@@ -80,9 +125,9 @@ def _synchsafe(four: bytes) -> int:
     return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
 
 
-def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
-    """Text tags (ID3v2 at the start, ID3v1 at the end) and where audio begins and ends. Broken tags give none."""
-    tags, begin, end = {}, 0, len(data)
+def read_tags(data: bytes) -> tuple[dict[str, str], dict[str, str], int, int]:
+    """Text tags at the start (ID3v2) and at the end (ID3v1), and where audio begins and ends. Broken tags give none."""
+    tags, last, begin, end = {}, {}, 0, len(data)
     while data[begin : begin + 3] == b"ID3" and begin + 10 <= end:
         size, major = _synchsafe(data[begin + 6 : begin + 10]), data[begin + 3]
         at, stop = begin + 10, min(begin + 10 + size, end)
@@ -100,8 +145,8 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
         tag, end = data[end - 128 : end], end - 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93)):
             if value := tag[a:b].split(b"\0")[0].decode("latin-1").strip():
-                tags.setdefault(name, value)
-    return tags, begin, end
+                last[name] = value
+    return tags, last, begin, end
 
 
 def vbr_table(data: bytes, at: int, head: tuple) -> dict | None:
@@ -137,14 +182,17 @@ def find_frame(data: bytes, at: int, end: int, like: tuple | None) -> int:
 def parse(data: bytes) -> dict:
     """Frames, exact duration in samples, checksum counts, tags and what was skipped to find frames again.
 
-    Bytes that belong to no whole frame are counted as skipped; a stream without a frame has 0 frames and 0 samples.
+    What looks like a tag at the end but lies inside a frame that ends with the data is part of that frame. Bytes that belong to no whole frame are counted as skipped; a stream without a frame has 0 frames and 0 samples.
     `offsets` are the audio frames' byte offsets (the frame of a variable-bitrate table holds no audio).
     """
-    tags, at, end = read_tags(data)
+    tags, last, at, end = read_tags(data)
     offsets, bodies, rates, like, table = [], [], set(), None, None
     out = {"tags": tags, "skipped": 0, "resyncs": 0, "crc_ok": 0, "crc_bad": 0, "samples": 0, "rate": 0, "audio_bytes": end - at}
     while at < end:
         head = header(data[at : at + 4])
+        if head and like and end < at + head[5] == len(data):
+            last, end = {}, len(data)
+            out["audio_bytes"] += 128
         if not head or at + head[5] > end or like and (head[0], head[1], head[4]) != (like[0], like[1], like[4]) or not like and find_frame(data, at, end, None) != at:
             found = find_frame(data, at + 1, end, like)
             out["resyncs"] += found >= 0
@@ -157,13 +205,9 @@ def parse(data: bytes) -> dict:
         if not like:
             table = vbr_table(data, at, head) if layer == 3 else None
         if like or not table:
-            body = at + 4 + 2 * protected
-            if layer == 3:
-                side = side_bytes(version, mono)
-                if protected:
-                    good = crc16(data[at + 2 : at + 4] + data[body : body + side]) == int.from_bytes(data[at + 4 : at + 6], "big")
-                    out["crc_ok" if good else "crc_bad"] += 1
-                body += side
+            if protected:
+                out["crc_ok" if checksum_ok(data, at, head) else "crc_bad"] += 1
+            body = at + 4 + 2 * protected + (side_bytes(version, mono) if layer == 3 else 0)
             offsets.append(at)
             bodies.append((body, at + size))
             rates.add(kbps)
@@ -171,6 +215,8 @@ def parse(data: bytes) -> dict:
         like = like or head
         out["rate"] = hz
         at += size
+    for name, value in last.items():
+        tags.setdefault(name, value)
     out |= {"frames": len(offsets), "offsets": offsets, "bodies": bodies, "kbps": sorted(rates), "table": table, "layer": like[1] if like else 0, "version": float(like[0]) if like else 0.0}
     out["table_ok"] = table is None or table.get("frames", len(offsets)) == len(offsets)
     return out
@@ -192,7 +238,7 @@ _STARTS = _frame_starts()
 
 
 def write_payload(payload: bytes) -> bytes:
-    """A variable-bitrate stream that holds payload: tag with its length, Xing table, frames of the largest size, a fitting last one."""
+    """A variable-bitrate stream that holds payload: tag with its length, Xing table, frames of the largest size, a fitting last one, empty end tag."""
     room, start = _STARTS[-1]
     frames, at, n = [], 0, len(payload)
     while n - at > room:
@@ -209,7 +255,7 @@ def write_payload(payload: bytes) -> bytes:
     large = len(frames[0])
     toc = bytes(min(255, 256 * (first + large * (p * len(frames) // 100)) // total) for p in range(100))
     xing = (b"\xff\xfb" + bytes([1 << 4 | RATE_INDEX << 2, 0xC4]) + bytes(SIDE) + b"Xing" + struct.pack(">III", 7, len(frames), total) + toc).ljust(first, b"\0")
-    return b"".join([lead, xing, *frames])
+    return b"".join([lead, xing, *frames, b"TAG", bytes(124), b"\xff"])
 
 
 def read_payload(media: bytes, found: dict) -> bytes:
@@ -229,11 +275,12 @@ COLUMNS = "n_frames long, n_samples long, sample_rate int, duration_s double, kb
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
     """df with the columns of COLUMNS for its binary column of MPEG audio; same-named columns are replaced.
 
-    A null or frameless value has 0 frames, 0 samples, no offsets and a null bitrate.
+    A null or frameless value has 0 frames, 0 samples, no offsets and a null bitrate. Values are read whole; repeated rows give
+    repeated rows and an empty table an empty one. Columns of these names, in any case of letters, are replaced.
     """
     small_batches(df.sparkSession, 256)
     new = [c.split()[0] for c in COLUMNS.split(", ")]
-    keep = [c for c in df.columns if c not in new]
+    keep = kept(df, new)
     base = df.select(*[F.col(f"`{c}`") for c in keep])
     schema = base.select("*", *[F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in COLUMNS.split(", ")]).schema
     types = {"map<string,string>": pa.map_(pa.string(), pa.string()), "array<long>": pa.list_(pa.int64()), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
@@ -255,10 +302,12 @@ def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
 def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's padded bytes stored as a stream and read back: sizes, digests and features.
 
-    A null text counts as empty; its payload is 64 zero bytes. Repeated rows give repeated rows.
+    A null text counts as empty; its payload is 64 zero bytes. Texts of any length are stored whole, as many frames as they need.
+    A null key stays, repeated rows give repeated rows, equal texts equal values, and an empty table an empty one. Other columns of docs
+    are left out.
     """
     small_batches(docs.sparkSession)
-    slim = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("binary").alias("_text"))
+    slim = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("binary").alias(f"{key}_bytes"))
     schema = slim.select(key).withColumns({"n_bytes": F.lit(0).cast("long"), "payload_bytes": F.lit(0).cast("long"), "payload_sha256": F.lit(""), "tail_crc32": F.lit(0).cast("long"), "media_bytes": F.lit(0).cast("long"), "media_sha256": F.lit(""), "feature": F.lit("")}).schema
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
