@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import kept
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rules up to this many may be sent to every executor; more are joined by a shuffle on the short hash.
 BROADCAST_RULES = 100_000
@@ -36,8 +38,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     block over allow. Urls that no rule fits get `default`. A null url, or one without ://, has an empty host and
     path, which no rule with a host fits. Rules with a null part are ignored, and repeated ones change nothing.
 
-    Every distinct (host, path) of the urls is expanded once, into its host suffixes times the path prefixes of those
-    lengths that occur among the rules' paths; an equi-join on the first four digest bytes finds candidates and the
+    Columns named like the outputs, in any case of letters, are replaced; an empty table gives an empty one and repeated rows
+    give repeated rows.
+
+    Every distinct (host, path) of the urls is expanded once, into its host suffixes of as many labels as some rule's host
+    has, times the path prefixes of those lengths that occur among the rules' paths, so work is linear in a url's length; an equi-join on the first four digest bytes finds candidates and the
     full digest confirms them. A busy host or a repeated url thus costs one expansion, and repeated rows meet their
     verdict again by an equi-join that adaptive execution can split. All of it is DataFrame functions.
     """
@@ -47,15 +52,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     n_rules = listed.count()
     if n_rules <= BROADCAST_RULES:
         listed = F.broadcast(listed)
-    # the distinct lengths are as many as the longest rule path has characters at most
+    # the distinct lengths are as many as the longest rule path has characters and the longest rule host labels at most
     lengths = sorted(r[0] for r in given.select(F.length("path")).distinct().collect())
-    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit(".")))
+    labels = sorted(r[0] for r in given.select(dots + 1).distinct().collect())
+    names = kept(pages, ("host", "path", "rule", "verdict"))
     shaped = pages.select(*[F.col(f"`{c}`") for c in names], url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     if not lengths:
         return shaped.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
 
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.filter(F.array(*[F.when(dots >= n - 1, F.substring_index("host", ".", -n)) for n in labels]), lambda x: x.isNotNull())
     fits = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path"))
     prefixes = F.transform(fits, lambda n: F.substring(F.col("path"), F.lit(1), n))
     expanded = (
