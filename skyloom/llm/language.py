@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import fresh, kept, small_batches
 
 DIM = 8192
 #: Labelled texts per language from which centroids are clustered; document frequencies use every labelled text.
@@ -74,7 +74,8 @@ def gram_counts(texts: list[str | None]) -> np.ndarray:
         rows = [owner[mid], owner[pair], owner[one]]
         slot = np.concatenate([(x ^ x >> np.uint64(29)) * k >> np.uint64(51) for x in keys]).astype(np.int64)
         flat = np.bincount(np.concatenate(rows) * DIM + slot, minlength=len(held) * DIM).reshape(len(held), DIM)
-        np.add.at(counts, at, flat)
+        for row, mine in zip(at, flat):  # parts of a long text add up
+            counts[row] += mine
     return counts
 
 
@@ -111,6 +112,8 @@ class Centroids:
         self.column = np.array([self.names.index(x) for x in langs])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        if not self.names:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts)), np.ones(len(texts), bool)
         counts = gram_counts(texts)
         none = counts.sum(axis=1) == 0
         similar = vectors(counts, self.idf) @ self.centers.T
@@ -126,7 +129,8 @@ class Centroids:
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS_PER_LANGUAGE) -> Centroids:
-    """Centroids from labelled texts; rows with a null text or language, or without a letter, teach nothing.
+    """Centroids from labelled texts; rows with a null text or language, or without a letter, teach nothing. Without any
+    other row there are no centroids, and every text is `und`.
 
     Document frequencies come from all rows (a few thousand sums reach the driver); clusters from a hash sample of
     about `sample` distinct texts per language, so one language may hold any share of the rows.
@@ -152,7 +156,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
 
     sizes = dict(rows.groupBy("lang").count().collect())  # one row for each language
     if not sizes:
-        raise ValueError("no labelled text to learn languages from")
+        return Centroids([], np.zeros((0, DIM), np.float32), np.zeros(0), idf)
     share = F.create_map(*[x for name, c in sizes.items() for x in (F.lit(name), F.lit(min(1.0, sample / c)))])[F.col("lang")]
     part = rows.withColumn("h", F.xxhash64("text")).where((F.shiftrightunsigned("h", 33) / float(1 << 31)) < share).dropDuplicates(["lang", "h"]).select("lang", "text")
 
@@ -176,7 +180,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
     found = part.mapInArrow(weights, "lang string, slots binary, weights binary").groupBy("lang").applyInPandas(centroids, "lang string, center binary, radius double").collect()
     found = sorted(found, key=lambda r: (r["lang"], bytes(r["center"])))
     if not found:
-        raise ValueError("no labelled text to learn languages from")
+        return Centroids([], np.zeros((0, DIM), np.float32), np.zeros(0), idf)
     return Centroids([r["lang"] for r in found], np.stack([np.frombuffer(r["center"], np.float32) for r in found]), np.array([r["radius"] for r in found]), idf)
 
 
@@ -184,13 +188,16 @@ def identify(docs: DataFrame, model: Centroids, text: str = "text", reject: bool
     """docs without its text, with lang_pred, score (0 to 1), distance and rejected.
 
     A null text or one without a letter is `und` with score 0. With `reject`, a text outside its nearest centroid's
-    radius is `und` too; otherwise it keeps the nearest language and is only marked. Columns of those names are replaced.
+    radius is `und` too; otherwise it keeps the nearest language and is only marked. Whole texts count, however long; ties go to
+    the first language by name. Equal texts get equal rows, repeated rows stay, an empty table gives an empty one. Columns of
+    those names, in any case of letters, are replaced.
     """
     small_batches(docs.sparkSession)
     new = {"lang_pred": "string", "score": "double", "distance": "double", "rejected": "boolean"}
-    keep = [c for c in docs.columns if c != text and c not in new]
-    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text"))
-    schema = slim.drop("_text").select("*", *[F.lit(None).cast(t).alias(c) for c, t in new.items()]).schema
+    keep = [c for c in kept(docs, new) if c.lower() != text.lower()]
+    (held,) = fresh(docs, "_text")
+    slim = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(held))
+    schema = slim.drop(held).select("*", *[F.lit(None).cast(t).alias(c) for c, t in new.items()]).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
