@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import cut, gapless_rank
+from .scratch import cut, partitions
 
-#: Candidate borders inside each open interval and round.
+#: Candidate borders inside each open interval and round, at least.
 PROBES = 1024
-#: A border is settled when the bytes below it differ from its share by no more than this part of a shard.
-TOLERANCE = 0.0005
+#: A shard's border is settled when the bytes below it differ from its share by no more than this part of a shard, a border inside a shard by this part of a cell.
+TOLERANCE, LOOSE = 0.0005, 0.1
 
 
 @dataclass
@@ -20,6 +20,7 @@ class Border:
     """The target bytes below a border and the key interval that still holds it; `settled` is a key prefix once found."""
 
     want: int
+    slack: int
     below: int = 0
     fixed: tuple[int, ...] = ()
     lo: int = -(1 << 63)
@@ -27,31 +28,24 @@ class Border:
     settled: tuple[int, ...] | None = None
 
 
-def less(parts: list[str], key: tuple[int, ...]) -> Column:
-    """Whether the row's key stands before `key`, of which the last parts may be missing."""
-    out = F.lit(False)
-    for i in reversed(range(len(key))):
-        c = F.col(parts[i])
-        out = (c < F.lit(key[i])) | ((c == F.lit(key[i])) & out) if i + 1 < len(key) else c < F.lit(key[i])
-    return out
+def find_borders(rows: DataFrame, parts: list[str], size: str, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES, cells: int = 1) -> list[list[tuple[int, ...]]]:
+    """Keys that part the rows, ordered by the long columns `parts`, into `shards` of near-equal sums of `size`, and each shard
+    into `cells` of about equal ones: a list for each shard of where its cells begin, of which the first is the shard's own border.
 
-
-def find_borders(rows: DataFrame, parts: list[str], size: str, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[tuple[int, ...]]:
-    """Keys that part the rows, ordered by the long columns `parts`, into `shards` of near-equal sums of `size`.
-
-    Each round counts rows and exact bytes in at most `probes` cells of every open interval, over all partitions at
+    Each round counts exact bytes in the cells between candidate borders of every open interval, over all partitions at
     once; only those cells reach the driver. A cell narrows to the least and greatest key that it really holds. Where
     equal keys outweigh the tolerance, the search goes on inside them by the next column; rows equal in every
     column can't be parted and stay together.
     """
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    slack = max(1, int(tolerance * total / shards))
-    borders = [Border(want=total * i // shards) for i in range(1, shards)]
+    total, probes = rows.agg(F.sum(size)).first()[0] or 0, max(probes, 16 * shards * cells)
+    slack = {True: max(1, int(tolerance * total / shards)), False: max(1, int(LOOSE * total / (shards * cells)))}
+    borders = [Border(want=total * i // (shards * cells), slack=slack[i % cells == 0]) for i in range(1, shards * cells)]
     while open_ := [b for b in borders if b.settled is None]:
         spans = sorted({(b.fixed, b.lo, b.hi) for b in open_})
+        each = max(2, probes // len(spans))
         span_of, cell_of = F.lit(None).cast("int"), F.lit(None).cast("long")
         for i, (fixed, lo, hi) in enumerate(spans):
-            part, step = F.col(parts[len(fixed)]), max(1, -(-(hi - lo + 1) // probes))
+            part, step = F.col(parts[len(fixed)]), max(1, -(-(hi - lo + 1) // each))
             inside = part.between(F.lit(lo), F.lit(hi))
             for name, value in zip(parts, fixed):
                 inside = inside & (F.col(name) == F.lit(value))
@@ -59,19 +53,20 @@ def find_borders(rows: DataFrame, parts: list[str], size: str, shards: int, tole
             cell = F.floor((part.cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")) / F.lit(step).cast("decimal(20,0)")).cast("long")
             span_of, cell_of = F.when(inside, i).otherwise(span_of), F.when(inside, cell).otherwise(cell_of)
         keys = F.coalesce(*[F.when(F.col("_span") == i, F.col(parts[len(s[0])])) for i, s in enumerate(spans)])
-        cells: dict[int, list] = {i: [] for i in range(len(spans))}
+        seen: dict[int, list] = {i: [] for i in range(len(spans))}
         counted = rows.withColumns({"_span": span_of, "_cell": cell_of}).where("_span is not null").withColumn("_key", keys)
         for r in counted.groupBy("_span", "_cell").agg(F.sum(size).alias("bytes"), F.min("_key").alias("least"), F.max("_key").alias("most")).collect():
-            cells[r["_span"]].append((r["_cell"], r["bytes"], r["least"], r["most"]))
+            seen[r["_span"]].append((r["_cell"], r["bytes"], r["least"], r["most"]))
+        ordered = {span: sorted(seen[i]) for i, span in enumerate(spans)}
         for b in open_:
             depth, below = len(b.fixed), b.below
-            for _, held, least, most in sorted(cells[spans.index((b.fixed, b.lo, b.hi))]):
+            for _, held, least, most in ordered[b.fixed, b.lo, b.hi]:
                 if below + held < b.want:
                     below += held
                     continue
-                if b.want - below <= slack:
+                if b.want - below <= b.slack:
                     b.settled = (*b.fixed, least)
-                elif below + held - b.want <= slack and most < (1 << 63) - 1:
+                elif below + held - b.want <= b.slack and most < (1 << 63) - 1:
                     b.settled = (*b.fixed, most + 1)
                 elif least < most:
                     b.below, b.lo, b.hi = below, least, most
@@ -83,18 +78,36 @@ def find_borders(rows: DataFrame, parts: list[str], size: str, shards: int, tole
                 break
             else:
                 b.settled = (*b.fixed, b.hi)
-    return sorted(b.settled for b in borders)
+    # the columns that a border doesn't name begin with their least value
+    whole = sorted((*b.settled, *[-(1 << 63)] * (len(parts) - len(b.settled))) for b in borders)
+    whole = [(-(1 << 63),) * len(parts), *whole]
+    return [whole[i : i + cells] for i in range(0, len(whole), cells)]
+
+
+def place_of(parts: list[str], borders: Column) -> Column:
+    """How many of the sorted borders, an array of structs, aren't above the row's key."""
+    key = F.struct(*[F.col(p).alias(f"k{i}") for i, p in enumerate(parts)])
+    return F.size(F.filter(borders, lambda b: b <= key))
+
+
+def as_array(keys: list[tuple[int, ...]]) -> Column:
+    fields = ", ".join(f"k{i}: bigint" for i in range(len(keys[0])))
+    return F.from_json(F.lit("[" + ", ".join("{" + ", ".join(f'"k{i}": {v}' for i, v in enumerate(k)) + "}" for k in keys) + "]"), f"array<struct<{fields}>>")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's shard, under the law that the shards' bytes are near equal, and its slot inside the shard.
 
     Rows are ordered by the text's hash, then by key and a hash of the row, so equal texts stand together and a group of copies
-    heavier than a shard is parted by its keys. size is the text's UTF-8 bytes plus 1; a null text has size 1 and
-    the checksum of an empty one. A null key sorts first. Empty tables give empty results. grown_shard is null: this
-    law makes no promise about one more shard.
+    heavier than a shard is parted by its keys. Splitters of the shards, and looser ones inside them, say which task
+    gets a row, so rows are exchanged once and a slot is the row's place in its task after the rows of the tasks before.
+    size is the text's UTF-8 bytes plus 1; a null text has size 1 and the checksum of an empty one. A null key sorts
+    first. Rows equal in every column stay together and get slots in any order. A text longer than a shard makes its shard
+    longer. Empty tables give empty results. Other columns of docs only break ties. grown_shard is null: this law makes
+    no promise about one more shard.
     """
     doc, words = F.col(f"`{key}`"), F.col(f"`{text}`")
+    order = ["_text", "_id", "_row"]
     slim = cut(docs.select(
         doc.alias("doc_id"),
         (F.coalesce(F.octet_length(words), F.lit(0)) + 1).cast("long").alias("size"),
@@ -103,9 +116,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
         F.coalesce(doc.cast("long"), F.lit(-(1 << 63))).alias("_id"),
         F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not docs.schema[c].dataType.typeName() in ("map", "variant")]).alias("_row"),
     ))
-    order = ["_text", "_id", "_row"]
-    borders = find_borders(slim, order, "size", shards)
-    # as many comparisons as there are borders, in one pass
-    shard = sum((F.when(less(order, b), 0).otherwise(1) for b in borders), F.lit(0)).cast("int")
-    placed = gapless_rank(slim.withColumn("shard", shard), "shard", order, "slot")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    cells = -(-partitions(docs.sparkSession) // shards)
+    borders = find_borders(slim, order, "size", shards, cells=cells)
+    # a few comparisons find the shard, a few more the task inside it
+    shard = place_of(order, as_array([b[0] for b in borders])) - 1
+    inner = F.array(*[as_array(b) for b in borders])[F.col("shard")]
+    placed = slim.withColumn("shard", shard.cast("int")).withColumn("_task", (F.col("shard") * cells + place_of(order, inner) - 1).cast("int"))
+    counts = placed.groupBy("shard", F.col("_task").alias("_t")).agg(F.count("*").alias("_n"))  # a row for each task
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = placed.repartitionById(shards * cells, "_task").withColumn("_at", F.row_number().over(Window.partitionBy("_task").orderBy(*order)) - 1)
+    out = dealt.join(F.broadcast(counts.select("_t", before.alias("_before"))), F.col("_task") == F.col("_t"), "left")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_at") + F.col("_before")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
