@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import logging
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import kept, small_batches
 
-#: For tests and examples only; a real run passes its own secret.
-EXAMPLE_KEY = b"skyloom example key"
+#: The setting that holds the secret. Whoever knows it can reverse the pseudonyms.
+KEY_SETTING = "spark.skyloom.pii.key"
 ROUNDS = 10
 KINDS = ("email", "card", "phone", "ip", "iban", "ssn", "date", "secret")
 
@@ -28,7 +31,7 @@ _gap, _unused = r"[ .()/-]{0,2}", "28|83|89"
 #: Every alternative starts at a border of its own characters, so a scan stays linear in the text.
 FOUND = re.compile(
     rf"""
-    (?P<email>(?<![\w.%+-])[\w.%+-]{{1,64}}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
+    (?P<email>(?<![\w.%+-])[\w.%+-]{{1,320}}@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{{2,}})
   | (?P<secret>(?i:(?<!\w)(?:token|secret|password|api_?key)\s*[=:]\s*["']?)(?P<hex>[0-9A-Fa-f]{{24,128}})(?![0-9A-Za-z]))
   | (?P<iban>(?<!\w)[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
   | (?P<ip>(?<![0-9.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9]|\.[0-9]))
@@ -95,7 +98,7 @@ class Feistel:
                 return x
 
     def text(self, value: str, tweak: bytes, back: bool = False, hexadecimal: bool = False) -> str:
-        """value with its digits and ASCII letters permuted inside their classes; other characters stay where they are."""
+        """value with its digits and letters permuted inside their classes; other characters stay where they are."""
         classes = [_class(c, hexadecimal) for c in value]
         spots = [i for i, c in enumerate(classes) if c]
         half = len(spots) // 2
@@ -117,10 +120,17 @@ class Feistel:
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+@lru_cache(maxsize=4096)
+def _alike(c: str) -> str | None:
+    """Letters, marks and digits of the same 128 code points and Unicode category as c, itself among them; None for other characters."""
+    kind, start = unicodedata.category(c), ord(c) & ~127
+    return "".join(x for x in map(chr, range(start, start + 128)) if unicodedata.category(x) == kind) if kind[0] in "LMN" else None
+
+
 def _class(c: str, hexadecimal: bool) -> str | None:
     if hexadecimal:
         return DIGITS + LOWER[:6] if c in DIGITS + LOWER[:6] else DIGITS + UPPER[:6] if c in UPPER[:6] else None
-    return next((k for k in (DIGITS, LOWER, UPPER) if c in k), None)
+    return next((k for k in (DIGITS, LOWER, UPPER) if c in k), None) or _alike(c)
 
 
 def luhn_digit(digits: str) -> int:
@@ -159,7 +169,7 @@ def _date_parts(m: re.Match) -> tuple[int, int, int, str] | None:
 class Pseudonyms:
     """Replaces validated values under one key; the same value always gets the same pseudonym of the same form."""
 
-    def __init__(self, key: bytes = EXAMPLE_KEY):
+    def __init__(self, key: bytes):
         self.feistel = Feistel(key)
         self.plain = lru_cache(maxsize=100_000)(self._plain)
 
@@ -240,18 +250,35 @@ class Pseudonyms:
         return "".join([*out, text[done:]]), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = EXAMPLE_KEY, text: str = "text", counts: str | None = "pii") -> DataFrame:
-    """docs with every validated value of `text` replaced by its pseudonym.
+_drawn: dict[str, bytes] = {}
+
+
+def secret_key(spark: SparkSession) -> bytes:
+    """The secret of KEY_SETTING; without one a key drawn for this application, so that its pseudonyms can't be reversed or linked to other runs."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if given:
+        return given.encode()
+    app = spark.sparkContext.applicationId
+    if app not in _drawn:
+        logging.getLogger(__name__).warning("%s isn't set: pseudonyms of this application won't be linked to those of others", KEY_SETTING)
+        _drawn[app] = secrets.token_bytes(32)
+    return _drawn[app]
+
+
+def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text", counts: str | None = "pii") -> DataFrame:
+    """docs with every validated value of `text` replaced by its pseudonym under the key, or under secret_key without one.
 
-    Kinds: e-mail addresses; card numbers (Luhn) keep length, layout and a valid check digit; phone numbers with + and country code,
-    with a leading 0 and 9 to 12 digits in groups, or in groups of 3, 3 and 4; IPv4
+    Kinds: e-mail addresses, in any script; card numbers (Luhn) keep length, layout and a valid check digit; phone numbers with + and
+    country code, with a leading 0 and 9 to 12 digits in groups, or in groups of 3, 3 and 4; IPv4
     addresses; IBANs (mod 97 kept valid); social security numbers; dates of 1900 to 2099, also across layouts; hexadecimal secrets with a digit
-    after token, secret, password or api key. A number that fails its check is left alone. A null text stays null, with
-    zero counts; an empty table gives an empty one. `counts` names an added map from kind to number (None: not added;
-    a column of that name is replaced).
+    after token, secret, password or api key. A number that fails its check is left alone. Where kinds could overlap, the first in the
+    text wins, then the first in this list. Texts are searched whole, however long. A null text stays null, with
+    zero counts; repeated rows stay; an empty table gives an empty one. `counts` names an added map from kind to number (None: not added;
+    a column of that name, in any case of letters, is replaced).
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != counts]
+    key = key or secret_key(docs.sparkSession)
+    keep = docs.columns if counts is None else kept(docs, (counts,))
     base = docs.select(*[F.col(f"`{c}`") for c in keep])
     schema = base.schema if counts is None else base.withColumn(counts, F.lit(None).cast("map<string,int>")).schema
     spot = keep.index(text)
