@@ -36,6 +36,8 @@ BLOCK = 1 << 20
 #: Bits of a shingle's cell in the histogram that orders shingles from rare to common.
 ORDER_BITS = 20
 CHUNK_BYTES = 1 << 20
+#: Pairs of one leader of a large region that one task confirms.
+STAR = 64
 #: Up to this many candidate ids (some MB) are sent to the texts; more meet them by a shuffle.
 SENT_IDS = 200_000
 
@@ -165,31 +167,31 @@ def _prefixes(reps: DataFrame, depth: int, trees: DataFrame | None = None) -> Da
 
 
 def forest(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members of regions small enough for one task, (region, rep, n, sig), star pairs (a, b) of the larger ones, and all members (rep)
-    of regions that were too large at MIN_DEPTH."""
+    """Members of regions small enough for one task, (region, rep, n, sig), star pairs (a, b, fan) of the larger ones, and all members (rep)
+    of regions that were too large at MIN_DEPTH. fan is the number of tasks among which the pairs of one leader are dealt."""
     rows = cut(_prefixes(reps, MIN_DEPTH))
     sizes = rows.groupBy("region").count().where("count > 1")
     members = cut(rows.join(sizes, "region").join(reps, "rep").select("region", "tree", "rep", "n", "sig", "count"))
     crowd = cut(members.where(F.col("count") > REGION).select("rep").distinct())
-    small, stars = [], []
+    small, stars, fan = [], [], F.ceil(F.col("count") / STAR).alias("fan")
     for depth in DEPTHS[1:]:
         small.append(members.where(F.col("count") <= REGION).select("region", "rep", "n", "sig"))
         large = members.where(F.col("count") > REGION)
         if large.isEmpty():
             break
         lead = large.groupBy("region").agg(F.min("rep").alias("a"))
-        stars.append(large.join(lead, "region").where("a < rep").select("a", F.col("rep").alias("b")))
+        stars.append(large.join(lead, "region").where("a < rep").select("a", F.col("rep").alias("b"), fan))
         deeper = _prefixes(reps, depth, large)
         again = deeper.groupBy("region").count().where("count > 1")
         members = cut(deeper.join(again, "region").select("region", "tree", "rep", "n", "sig", "count"))
     else:  # rows with one signature in more than one task's share: chunks of them, tied together by their stars
         small.append(members.select(F.xxhash64("region", F.pmod(F.xxhash64("rep"), F.ceil(F.col("count") / REGION))).alias("region"), "rep", "n", "sig"))
         lead = members.where(F.col("count") > REGION).groupBy("region").agg(F.min("rep").alias("a"))
-        stars.append(members.join(lead, "region").where("a < rep").select("a", F.col("rep").alias("b")))
+        stars.append(members.join(lead, "region").where("a < rep").select("a", F.col("rep").alias("b"), fan))
     out = small[0]
     for s in small[1:]:
         out = out.unionByName(s)
-    pairs = stars[0] if stars else members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    pairs = stars[0] if stars else members.select(F.col("rep").alias("a"), F.col("rep").alias("b"), fan).limit(0)
     for s in stars[1:]:
         pairs = pairs.unionByName(s)
     return out, pairs, crowd
@@ -267,14 +269,15 @@ def region_pairs(members: DataFrame, percent: int, apart: bool) -> DataFrame:
     return ordered.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """(rep, text, and what else wanted holds) of the texts whose id is wanted.
+def _texts(docs: DataFrame, wanted: DataFrame, reps: DataFrame, key: str, text: str) -> DataFrame:
+    """(rep, text, and what else wanted holds) of the texts that stand for the wanted reps.
 
-    The ids are counted: a few are sent to the texts, more meet them by a hash join without a sort.
+    They are found by id and text hash, as an id may stand on several texts. The reps are counted: a few are sent to the
+    texts, more meet them by a hash join without a sort.
     """
-    wanted = wanted.hint("broadcast" if wanted.count() <= SENT_IDS else "shuffle_hash")
-    slim = docs.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null")
-    return slim.join(wanted, "rep")
+    named = wanted.join(reps.select("rep", "id", "hash"), "rep").hint("broadcast" if wanted.count() <= SENT_IDS else "shuffle_hash")
+    slim = docs.select(F.col(f"`{key}`").cast("long").alias("_i"), F.xxhash64(f"`{text}`").alias("_h"), F.col(f"`{text}`").cast("binary").alias("text")).where("text is not null")
+    return slim.join(named, slim["_i"].eqNullSafe(named["id"]) & (slim["_h"] == named["hash"])).select("rep", "text", *[c for c in wanted.columns if c != "rep"])
 
 
 def rare_shingles(texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -320,7 +323,7 @@ def crowded_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, roots: Dat
     block of others. A task confirms pairs on full sets and gives one link for each two components that it joins.
     """
     wanted = cut(crowd.join(roots, crowd["rep"] == roots["node"], "left").select("rep", F.coalesce("root", "rep").alias("comp")))
-    rare = cut(rare_shingles(_texts(docs, wanted, key, text), size, percent))
+    rare = cut(rare_shingles(_texts(docs, wanted, reps, key, text), size, percent))
     each = rare.groupBy("shingle", "comp").agg(F.sum("n").alias("c"))
     stats = each.groupBy("shingle").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     met = rare.join(stats.select("shingle", "all", (F.col("all") - F.col("main.c")).alias("others"), F.col("main.comp").alias("main")), "shingle")
@@ -330,7 +333,7 @@ def crowded_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, roots: Dat
     every = met.select("*", mine("all").alias("y"), F.explode(F.sequence(F.lit(0), blocks("others") - 1)).alias("x"))
     other = met.where((F.col("comp") != F.col("main")) & (F.col("all") > BLOCK)).select("*", mine("others").alias("x"), F.explode(F.sequence(F.lit(0), blocks("all") - 1)).alias("y"))
     members = cut(every.unionByName(other).select(F.xxhash64("shingle", "x", "y").alias("region"), "rep", "comp", "left"))
-    full = _full_sets(docs, cut(members.select("rep").distinct()), key, text, size)
+    full = _full_sets(docs, cut(members.select("rep").distinct()), reps, key, text, size)
     columns = ["region", "rep", "comp", "left", "n", "sig", "members"]
     ordered = members.join(reps.select("rep", "n", "sig"), "rep").join(full, "rep").select(*columns).repartition(partitions(docs.sparkSession), "region").sortWithinPartitions("region", "rep")
 
@@ -365,8 +368,8 @@ def crowded_links(docs: DataFrame, reps: DataFrame, crowd: DataFrame, roots: Dat
     return ordered.mapInArrow(links, "a long, b long").distinct()
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(rep, members) of the wanted ids: their sorted shingle hashes."""
+def _full_sets(docs: DataFrame, wanted: DataFrame, reps: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(rep, members) of the wanted reps: their sorted shingle hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,14 +379,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: in
                 stop = np.append(begin[1:], len(owner))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[owner[begin]]), pa.array([h[x:y].tobytes() for x, y in zip(begin, stop)], pa.binary())], names=["rep", "members"])
 
-    # an id that stands on several rows keeps its greatest set, so each pair is judged once
-    return _texts(docs, wanted, key, text).mapInArrow(sets, "rep long, members binary").groupBy("rep").agg(F.max("members").alias("members"))
+    # repeated rows have one set, so each pair is judged once
+    return _texts(docs, wanted, reps, key, text).mapInArrow(sets, "rep long, members binary").groupBy("rep").agg(F.max("members").alias("members"))
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """pairs with `linked`: whether the full shingle sets reach the threshold."""
+def confirm(docs: DataFrame, pairs: DataFrame, reps: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """pairs (a, b, fan) with `linked`: whether the full shingle sets reach the threshold. The pairs of one `a` are dealt among fan tasks, and its
+    set is sent to each of them that has a pair."""
     wanted = cut(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
-    full = _full_sets(docs, wanted, key, text, size)
+    full = _full_sets(docs, wanted, reps, key, text, size)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,8 +398,10 @@ def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, p
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    left, right = full.select(F.col("rep").alias("a"), F.col("members").alias("x")), full.select(F.col("rep").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, linked boolean")
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("fan")))
+    left = full.withColumnsRenamed({"rep": "a", "members": "x"}).join(dealt.select("a", "part").distinct(), "a")
+    right = full.select(F.col("rep").alias("b"), F.col("members").alias("y"))
+    return dealt.join(left, ["a", "part"]).join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -422,32 +428,70 @@ def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
+def _classes(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct sets (rep, id, hash, n, copies, sig, f1, f2), and those reps (rep) that aren't the id of a row.
+
+    id and hash name a row with the set: the least id, if any has one. rep is the id; sets without an id, and further sets of an id
+    that stands on several texts, take numbers above all ids (which must be less than 2^62).
+    """
+    some = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    lead = F.coalesce(some, F.min(F.struct(F.lit(None).cast("long").alias("doc_id"), "text_hash")))
+    sets = base.where("n_shingles > 0").groupBy("f1", "f2").agg(lead.alias("x"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
+    sets = cut(sets.select(F.col("x.doc_id").alias("id"), F.col("x.text_hash").alias("hash"), "n", "copies", "sig", "f1", "f2"))
+    again = cut(sets.where("id is not null").groupBy("id").agg(F.min(F.struct("f1", "f2")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
+    columns = ["rep", "id", "hash", "n", "copies", "sig", "f1", "f2"]
+    most, unnamed = sets.agg(F.max("id"), F.count_if(F.col("id").isNull())).first()
+    if not unnamed and again.isEmpty():
+        reps = sets.withColumn("rep", F.col("id")).select(*columns)
+        return reps, reps.select("rep").limit(0)
+    both = sets.join(again, "id", "left")
+    own = F.col("id").isNotNull() & (F.col("first").isNull() | (F.struct("f1", "f2") == F.col("first")))
+    others = cut(both.where(~own).withColumn("rep", F.monotonically_increasing_id() + F.lit((most if most is not None else 0) + 1)).select(*columns))
+    return both.where(own).withColumn("rep", F.col("id")).select(*columns).unionByName(others), others.select("rep")
+
+
+def _least_ids(reps: DataFrame, others: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, least) for the components that hold one of the others: their least id, which their root isn't then."""
+    linked = roots.select("node", "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
+    all_ = linked.union(others.join(linked, others["rep"] == linked["node"], "left_anti").select(F.col("rep").alias("node"), F.col("rep").alias("root")))
+    touched = all_.join(others, all_["node"] == others["rep"], "left_semi").select("root").distinct()
+    return all_.join(touched, "root").join(reps.select(F.col("rep").alias("node"), "id"), "node").groupBy("root").agg(F.min("id").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id), and text_hash, which tells
     rows of one id apart.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased; the set holds distinct `size`-word shingles,
     or the whole sequence if there are fewer words. Sets link at 100 * intersection >= percent * union. A null text or
-    one without words has an empty set and links with nothing. Rows with equal sets link whatever their order; an
-    empty table gives an empty result. A null id is never the least of its component, unless alone.
+    one without words has an empty set and links with nothing. Texts of any length count whole. Rows with equal sets link
+    whatever their order, and texts that share an id are told apart: each has its own links. A null id is never the least of
+    its component; a component without any id has a null component_id and keeps its rows. An empty table gives an
+    empty result. Other columns of docs are left out.
     """
     small_batches(docs.sparkSession)
     base = cut(_signatures(docs, key, text, size))
-    classes = base.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
-    reps = cut(classes.where("rep is not null"))
+    reps, others = _classes(base)
+    reps = cut(reps)
     members, stars, crowd = forest(reps)
-    near = region_pairs(members, percent, False).union(stars.distinct()).distinct()
-    seen = cut(confirm(docs, cut(near), key, text, size, percent))
+    near = region_pairs(members, percent, False).withColumn("fan", F.lit(1).cast("long")).union(stars).groupBy("a", "b").agg(F.max("fan").alias("fan"))
+    seen = cut(confirm(docs, cut(near), reps, key, text, size, percent))
     roots = components(seen.where("linked"))
     label = members.join(roots, members["rep"] == roots["node"], "left").select("region", "rep", "n", "sig", F.coalesce("root", "rep").alias("comp"))
     mixed = label.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("region")
-    rest = cut(region_pairs(label.join(mixed, "region", "left_semi"), percent, True).join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = cut(region_pairs(label.join(mixed, "region", "left_semi"), percent, True).join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("fan", F.lit(1).cast("long")))
     if not rest.isEmpty():
-        roots = _joined(roots, cut(confirm(docs, rest, key, text, size, percent).where("linked").select("a", "b")))
+        roots = _joined(roots, cut(confirm(docs, rest, reps, key, text, size, percent).where("linked").select("a", "b")))
     if not crowd.isEmpty():
         roots = _joined(roots, cut(crowded_links(docs, reps, crowd, roots, key, text, size, percent)))
-    named = reps.join(roots, reps["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"), "copies", "root").where("copies > 1 or root is not null").drop("copies", "root")
-    out = base.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
+    named = reps.join(roots, reps["rep"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"), "copies", "root")
+    if others.isEmpty():
+        named = named.where("copies > 1 or root is not null")
+    else:
+        least = cut(_least_ids(reps, others, roots)).withColumnRenamed("root", "top")
+        least = least.hint("broadcast" if least.count() <= SENT_IDS else "merge")
+        named = named.join(least, named["component_id"] == least["top"], "left").withColumn("component_id", F.when(F.col("top").isNull(), F.col("component_id")).otherwise(F.col("least")))
+    out = base.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(named.select("f1", "f2", "component_id"), ["f1", "f2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     named = out.select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
