@@ -37,6 +37,14 @@ def test_stages(spark):
     assert sorted(seen[5].columns) == ["batch", "bucket", "doc_id", "n_tokens", "padding", "place"]
 
 
+def test_leaks_go_by_text_and_id(spark):
+    """A text that holds an item goes, also without an id; a clean one that shares its id stays."""
+    item = max((r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("text").collect()), key=len)
+    rows = [(1, f"before {item} after"), (1, "a clean text of its own"), (None, f"again {item}"), (None, "clean without an id"), (2, None)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in rows], queries.DOCUMENTS)
+    assert sorted(str((r["doc_id"], r["text"])) for r in p.drop_leaks(spark, docs, SF).collect()) == sorted(str(rows[k]) for k in (1, 3, 4))
+
+
 def test_run_and_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
