@@ -24,21 +24,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.select(*COLUMNS, F.col("text").alias("_scored")), model, text="_scored").where("predicted = 0").select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of an id, or of none, and a text hash (doc_id, text_hash) that stand in gone."""
+    rows = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["_hash"])
+    return docs.join(rows, same, "left_anti").select(*COLUMNS)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the least doc_id. Repeated rows leave one."""
-    gone = neardup.near_duplicates(docs, size=SHINGLE, percent=PERCENT).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"])
-    return docs.join(gone, same, "left_anti").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
+    return without(docs, neardup.near_duplicates(docs, size=SHINGLE, percent=PERCENT).where("not kept")).dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, re-parameterised ones included."""
-    found = decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item, re-parameterised ones included; only the texts that hold one go, whatever their ids."""
+    return without(docs, decontam.contaminated(docs, queries.table(spark, sf_dir, "benchmark")))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by pseudonyms of the same form; n_chars follows the new text."""
+    """All documents, with personal data replaced by pseudonyms of the same form under the session's secret key; n_chars follows the new text."""
     masked = pseudonyms.pseudonymise(docs.select(*COLUMNS), counts=None)
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
