@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import ratio
+
 Check = tuple[str, Column, Column, str]
 
 
@@ -39,9 +41,10 @@ def check_chat(chat: DataFrame, marker: str) -> DataFrame:
 
 
 def check_detector(records: DataFrame) -> DataFrame:
-    """V4"""
-    n, bad, f1 = F.count("*"), F.count_if(F.isnan("precision") | F.isnan("recall") | F.isnan("f1")), F.round(F.avg("f1"), 4)
-    return run_checks(records, [("scored", n, n > 0, "> 0"), ("finite", bad, bad == 0, "0"), ("mean_f1", f1, (f1 > 0.05) & (f1 < 0.98), "0.05..0.98")])
+    """V4: records with precision, recall, f1, and the first and last loss of the fit; a missing loss hasn't fallen."""
+    n, f1 = F.count("*"), F.round(F.avg("f1"), 4)
+    bad, fell = F.count_if(F.isnan("precision") | F.isnan("recall") | F.isnan("f1")), F.count_if(F.col("last_loss") < F.col("first_loss"))
+    return run_checks(records, [("scored", n, n > 0, "> 0"), ("finite", bad, bad == 0, "0"), ("loss_fell", fell, fell > 0, "> 0"), ("mean_f1", f1, (f1 > 0.05) & (f1 < 0.98), "0.05..0.98")])
 
 
 def check_verdicts(v: DataFrame) -> DataFrame:
@@ -49,26 +52,38 @@ def check_verdicts(v: DataFrame) -> DataFrame:
     n, unknown = F.count("*"), F.round(F.count_if(F.col("predicted") == "UNKNOWN") / F.count("*"), 4)
     time, long = F.round(F.avg("elapsed_s"), 3), F.round(F.count_if(F.length("actual_response") > 10) / F.count("*"), 4)
     word = F.round(F.count_if(F.upper("actual_response").rlike("ANOMALY|NOMINAL")) / F.count("*"), 4)
-    return run_checks(v, [("rows", n, n > 0, "> 0"), ("unknown", unknown, unknown < 0.2, "< 0.2"), ("time", time, time < 30, "< 30"), ("length", long, long == 1, "1"), ("keyword", word, word > 0.8, "> 0.8")])
+    bad = F.count_if(F.col("elapsed_s").isNull() | F.isnan("elapsed_s") | (F.abs("elapsed_s") == float("inf")))
+    hit, y = F.col("predicted") == "ANOMALY", F.col("is_anomaly")
+    f1 = F.round(ratio(2.0 * F.count_if(hit & y), 2 * F.count_if(hit & y) + F.count_if(hit & ~y) + F.count_if(~hit & y)), 4)
+    return run_checks(v, [
+        ("rows", n, n > 0, "> 0"), ("finite", bad, bad == 0, "0"), ("f1", f1, f1.between(0, 1), "0..1"), ("unknown", unknown, unknown < 0.2, "< 0.2"), ("time", time, time < 30, "< 30"),
+        ("length", long, long == 1, "1"), ("keyword", word, word > 0.8, "> 0.8"),
+    ])
 
 
-def check_comparison(m: DataFrame) -> DataFrame:
-    """V6"""
+def check_comparison(m: DataFrame, text: str) -> DataFrame:
+    """V6: rows of approaches with their four metrics, an error text or null, and advice_avg_chars of the approach `text`."""
     out = F.count_if(reduce(lambda a, b: a | b, [~F.coalesce(F.col(c).between(0, 1), F.lit(False)) for c in ("precision", "recall", "f1", "cef")]))
-    return run_checks(m, [("rows", F.count("*"), F.count("*") > 0, "> 0"), ("bounds", out, out == 0, "0")])
+    errors, long = F.count("error"), F.max(F.when(F.col("approach") == text, F.col("advice_avg_chars")))
+    return run_checks(m, [("rows", F.count("*"), F.count("*") > 0, "> 0"), ("errors", errors, errors == 0, "0"), ("bounds", out, out == 0, "0"), ("advice_length", long, long > 50, "> 50")])
 
 
 def check_regression(m: DataFrame) -> DataFrame:
-    """V7: one row with mae, baseline_mae and pearson."""
-    mae, base, r = (F.round(F.max(c), 4) for c in ("mae", "baseline_mae", "pearson"))
-    return run_checks(m, [("beats_mean", mae, F.max("mae") <= 0.95 * F.max("baseline_mae"), "<= 0.95 baseline"), ("baseline", base, base > 0, "> 0"), ("mae", mae, (mae > 0.01) & (mae < 0.4), "0.01..0.4"), ("pearson", r, r.between(-1, 1), "-1..1")])
+    """V7: one row with mae, baseline_mae, pearson and cost."""
+    mae, base, r, cost = (F.round(F.max(c), 4) for c in ("mae", "baseline_mae", "pearson", "cost"))
+    return run_checks(m, [
+        ("beats_mean", mae, F.max("mae") <= 0.95 * F.max("baseline_mae"), "<= 0.95 baseline"), ("baseline", base, base > 0, "> 0"), ("mae", mae, (mae > 0.01) & (mae < 0.4), "0.01..0.4"),
+        ("pearson", r, r.between(-1, 1), "-1..1"), ("cost", cost, cost < 25, "< 25"),
+    ])
 
 
-def check_images(p: DataFrame, size: int, low: float, high: float, rows: int) -> DataFrame:
-    """V8: one profile row."""
+def check_images(p: DataFrame, channels: int, height: int, width: int, low: float, high: float, rows: int) -> DataFrame:
+    """V8: one profile row of the images that were pulled, `rows` of which were asked for."""
+    size = channels * height * width
     return run_checks(p, [
-        ("rows", F.max("rows"), F.max("rows") == rows, str(rows)), ("size", F.max("max_size"), (F.max("max_size") == size) & (F.min("min_size") == size), str(size)),
+        ("rows", F.max("rows"), F.max("rows") == rows, str(rows)), ("shape", F.max("max_size"), (F.max("max_size") == size) & (F.min("min_size") == size), f"{channels}x{height}x{width}"),
         ("values", F.round(F.max("value_max"), 4), (F.min("value_min") >= low - 1e-3) & (F.max("value_max") <= high + 1e-3), f"{low:g}..{high:g}"), ("finite", F.max("not_finite"), F.max("not_finite") == 0, "0"),
+        ("labels", F.max("label_not_finite"), F.max("label_not_finite") == 0, "0"),
     ])
 
 

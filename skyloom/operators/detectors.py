@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import Z_GRID
 from ..schemas import DYNAMIC, ERRORS, MC
-from .metrics import best_by, confusion, macro
+from .metrics import best_by, macro, prf
 
 
 def normal_stats(errors: DataFrame, keys: list[str] = MC) -> DataFrame:
@@ -30,12 +30,17 @@ def flat_threshold(errors: DataFrame, z: float = 4.0, keys: list[str] = MC) -> D
 
 
 def z_sweep(errors: DataFrame, grid: tuple[float, ...] = Z_GRID, keys: list[str] = MC) -> DataFrame:
-    """Macro precision, recall, F1 and CEF at each z. Every row is tested against the few z values where it stands."""
+    """Macro precision, recall, F1 and CEF at each z. Every row takes its slot between the thresholds once; the rest sums slots of a channel."""
     w = Window.partitionBy(*keys)
-    calm = F.when(~F.col("is_anomaly"), F.col("error"))
+    calm, zs = F.when(~F.col("is_anomaly"), F.col("error")), sorted(grid)
     rows = errors.withColumn("_m", F.avg(calm).over(w)).withColumn("_s", F.stddev_pop(calm).over(w))
-    rows = rows.withColumn("z", F.explode(F.array(*[F.lit(z) for z in grid]))).withColumn("pred", F.coalesce(F.col("error") > F.col("_m") + F.col("z") * F.col("_s"), F.lit(False)))
-    return macro(confusion(rows, "pred", "is_anomaly", ["z", *keys]), keys=["z"])
+    slot = sum(F.coalesce((F.col("error") > F.col("_m") + z * F.col("_s")).cast("int"), F.lit(0)) for z in zs)  # how many z it passes
+    counts = rows.groupBy(*keys, slot.alias("_n")).agg(F.count_if("is_anomaly").alias("_p"), F.count_if(~F.col("is_anomaly")).alias("_q"))
+    passed = lambda c, i: F.sum(F.when(F.col("_n") > i, F.col(c)).otherwise(0))
+    points = F.array(*[F.struct(F.lit(z).alias("z"), passed("_p", i).alias("tp"), passed("_q", i).alias("fp")) for i, z in enumerate(zs)])
+    each = counts.groupBy(*keys).agg(points.alias("_x"), F.sum("_p").alias("_pos"), F.sum("_q").alias("_neg")).select(*keys, F.explode("_x").alias("_x"), "_pos", "_neg")
+    flat = each.select("_x.z", *keys, "_x.tp", "_x.fp", (F.col("_pos") - F.col("_x.tp")).alias("fn"), (F.col("_neg") - F.col("_x.fp")).alias("tn"))
+    return macro(prf(flat), keys=["z"])
 
 
 def best_z(curve: DataFrame) -> DataFrame:
@@ -95,7 +100,8 @@ def dynamic_flags(errors: np.ndarray, span: int = 5, p: float = 0.13) -> tuple[n
 
 
 def detect_dynamic(errors: DataFrame, span: int = 5, p: float = 0.13) -> DataFrame:
-    """Smoothed log errors, adaptive epsilon, runs, pruning; one helper call per channel (thousands of windows each)."""
+    """Smoothed log errors, adaptive epsilon, runs, pruning; one helper call per channel, whose smoothing is sequential. A channel's errors
+    stand in one task: some 100 bytes each, so a task of 1 GB holds some ten million windows."""
 
     def detect(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("i")
@@ -111,13 +117,25 @@ def _harmonic(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+#: Points times trees that grow together.
+FOREST_CELLS = 1 << 20
+
+
 def isolation_scores(x: np.ndarray, seed: int, trees: int = 100, sample: int = 256) -> np.ndarray:
-    """Isolation forest: points that random axis cuts isolate early score near 1. All trees grow together, a level at a time."""
+    """Isolation forest: points that random axis cuts isolate early score near 1. Groups of trees grow together, a level at a time, as many
+    as keep memory near FOREST_CELLS numbers or, for more points than that, in proportion to the points."""
     rng = np.random.default_rng(seed)
-    n = len(x)
-    size = min(sample, n)
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    own = np.concatenate([rng.permutation(n)[:size] for _ in range(trees)])  # the sampled points that shape each tree
+    size, depth = min(sample, len(x)), np.zeros(len(x))
+    at_once = max(1, FOREST_CELLS // max(len(x), 1))
+    for done in range(0, trees, at_once):
+        depth += _depths(x, rng, min(at_once, trees - done), size)
+    return 2.0 ** (-depth / trees / max(float(_harmonic(size)), 1e-12))
+
+
+def _depths(x: np.ndarray, rng: np.random.Generator, trees: int, size: int) -> np.ndarray:
+    """The sum over `trees` new trees of each point's depth."""
+    n, limit = len(x), int(np.ceil(np.log2(max(size, 2))))
+    own = np.concatenate([rng.choice(n, size, replace=False, shuffle=False) for _ in range(trees)])  # the sampled points that shape each tree
     own_node = np.repeat(np.arange(trees), size)
     point, node = np.tile(np.arange(n), trees), np.repeat(np.arange(trees), n)  # every point in every tree
     depth = np.zeros(n)
@@ -140,13 +158,14 @@ def isolation_scores(x: np.ndarray, seed: int, trees: int = 100, sample: int = 2
         mine = np.searchsorted(names, own_node)
         own, mine = own[grows[mine]], mine[grows[mine]]
         own_node = 2 * mine + (x[own, feature[mine]] >= cut[mine])
-    return 2.0 ** (-depth / trees / max(float(_harmonic(size)), 1e-12))
+    return depth
 
 
 def isolation_forest(windows: DataFrame, contamination: float = 0.1, seed: int = 0) -> DataFrame:
     """Score and flag of each window, a forest per channel over standardised positions; flagged beyond the contamination percentile.
 
-    The seed depends on the channel's name, so results don't depend on partitioning.
+    The seed depends on the channel's name, so results don't depend on partitioning. A channel's windows stand in one task: about 300
+    bytes each, beside what FOREST_CELLS bounds.
     """
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
@@ -176,7 +195,7 @@ def pca_fit(k: int = 4) -> Callable[[np.ndarray], Callable[[np.ndarray], np.ndar
 def reconstruction_errors(windows: DataFrame, fit: Callable | None = None, least_normal: int = 100) -> DataFrame:
     """Mean squared reconstruction error of every window; fit sees the channel's normal windows and returns a function that rebuilds windows.
 
-    A channel with fewer than `least_normal` normal windows gives no rows.
+    A channel with fewer than `least_normal` normal windows gives no rows. A channel's windows stand in one task, some 600 bytes each.
     """
     fit = fit or pca_fit()
 

@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MC
-from ..shared import draw
+from ..shared import draw, exact_rank, stored
 from .metrics import average_precision, best_by, cef, f_beta, range_grid, ratio, sweep
 
 
@@ -52,11 +52,16 @@ def weighted_sum(matrix: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumn("weighted", sum(F.col(f"z_{c}") for c in cols) / len(cols)).drop(*[f"z_{c}" for c in cols])
 
 
+def median(df: DataFrame, column: str) -> float | None:
+    """The exact median of the values that aren't null, from ranks, so that no task gathers them."""
+    ranked = exact_rank(df.select(column).where(F.col(column).isNotNull()), [column], "_r")
+    n = ranked.count()
+    return ranked.where(F.col("_r").isin((n - 1) // 2, n // 2)).agg(F.avg(column)).first()[0]
+
+
 def cut_points(matrix: DataFrame, cols: list[str], unbounded: tuple[str, ...] = ("error",)) -> dict[str, float]:
     """0.5 for probabilities, the median for an unbounded signal."""
-    wide = [c for c in cols if c in unbounded]
-    medians = matrix.agg(*[F.percentile(c, 0.5).alias(c) for c in wide]).first() if wide else {}
-    return {c: medians[c] if c in wide else 0.5 for c in cols}
+    return {c: median(matrix, c) if c in unbounded else 0.5 for c in cols}
 
 
 def with_votes(matrix: DataFrame, cols: list[str]) -> DataFrame:
@@ -98,13 +103,14 @@ def _fit(train: DataFrame, cols: list[str]):
 
 def with_folds(matrix: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """fold 0..k-1, dealt in drawn order inside each class."""
-    w = Window.partitionBy("is_anomaly").orderBy(draw(["index"], seed), "index")
-    return matrix.withColumn("fold", (F.row_number().over(w) - 1) % k)
+    ranked = exact_rank(matrix.withColumn("_d", draw(["index"], seed)), ["is_anomaly", "_d", "index"], "_r").drop("_d")
+    calm = ranked.where(~F.col("is_anomaly")).count()  # false sorts before true
+    return ranked.withColumn("fold", ((F.col("_r") - F.when(F.col("is_anomaly"), calm).otherwise(0)) % k).cast("int")).drop("_r")
 
 
 def oof_stack(matrix: DataFrame, cols: list[str], k: int = 5, seed: int = 0) -> DataFrame:
     """Stacked, each row's probability under a model fitted on the other folds."""
-    rows = with_folds(matrix, k, seed).persist()
+    rows = with_folds(matrix, k, seed)  # stands on a stored table
     parts = []
     for fold in range(k):
         train = rows.where(F.col("fold") != fold)
@@ -123,7 +129,7 @@ def stack_weights(matrix: DataFrame, cols: list[str]) -> DataFrame:
 
 def single_baselines(matrix: DataFrame, cols: list[str]) -> DataFrame:
     """For each signal the argmax point, average precision, and the points of best CEF and best F1."""
-    matrix = matrix.persist()
+    matrix = stored(matrix)
     cuts = cut_points(matrix, cols)
     parts = []
     for c in cols:
@@ -136,14 +142,14 @@ def single_baselines(matrix: DataFrame, cols: list[str]) -> DataFrame:
 
 def fuse(matrix: DataFrame, seed: int = 0) -> DataFrame:
     """A report row for each fused score of the two-signal variant, and of the three-signal one where over 50 rows have an error."""
-    matrix = matrix.persist()
+    matrix = stored(matrix)
     variants = [("text_vision", matrix, ["text", "vision"])]
     third = matrix.where("error is not null")
     if third.count() > 50:
         variants.append(("text_vision_error", third, ["text", "vision", "error"]))
     parts = []
     for name, rows, cols in variants:
-        for kind, scored, c in (("stacked", oof_stack(rows, cols, seed=seed).persist(), "stacked"), ("weighted", weighted_sum(rows, cols), "weighted")):
+        for kind, scored, c in (("stacked", stored(oof_stack(rows, cols, seed=seed)), "stacked"), ("weighted", weighted_sum(rows, cols), "weighted")):
             best = best_by(sweep(scored, c, range_grid(scored, c)), "cef")
             parts.append(best.select(F.lit(name).alias("variant"), F.lit(kind).alias("fusion"), "threshold", "precision", "recall", "f1", "cef", F.lit(rows.count()).alias("n_units")))
     return reduce(DataFrame.unionByName, parts)

@@ -17,12 +17,14 @@ def best_overlap(windows: DataFrame, refs: DataFrame, keys: list[str] = MC) -> D
 
     windows: (index, keys, start_time, end_time); refs: (id, keys, start_time, end_time).
     """
-    w, r = windows.alias("w"), refs.alias("r")
-    overlap = F.unix_micros(F.least("w.end_time", "r.end_time")) - F.unix_micros(F.greatest("w.start_time", "r.start_time"))
-    on = [F.col(f"w.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("w.start_time") < F.col("r.end_time"), F.col("r.start_time") < F.col("w.end_time")]
-    pairs = w.join(r, on).select(F.col("w.index").alias("index"), F.col("r.id").alias("ref_id"), F.col("r.start_time").alias("rs"), (overlap / 1e6).alias("overlap_s")).where("overlap_s > 0")
-    best = pairs.groupBy("index").agg(F.min(F.struct((-F.col("overlap_s")).alias("o"), "rs", "ref_id")).alias("b"))
-    return windows.join(best.select("index", F.col("b.ref_id").alias("ref_id"), (-F.col("b.o")).alias("overlap_s")), "index", "left")
+    # both sides stand once for each day that they touch; an overlap is judged on its first day only
+    days = lambda df: F.explode(F.sequence(F.to_date(df["start_time"]), F.to_date(df["end_time"])))
+    w = windows.select("index", *keys, F.col("start_time").alias("ws"), F.col("end_time").alias("we"), days(windows).alias("_day"))
+    r = refs.select("id", *keys, F.col("start_time").alias("rs"), F.col("end_time").alias("re"), days(refs).alias("_day"))
+    met = w.join(r, [*keys, "_day"]).where((F.col("ws") < F.col("re")) & (F.col("rs") < F.col("we")) & (F.col("_day") == F.to_date(F.greatest("ws", "rs"))))
+    overlap = (F.unix_micros(F.least("we", "re")) - F.unix_micros(F.greatest("ws", "rs"))) / 1e6
+    best = met.withColumn("o", -overlap).groupBy("index").agg(F.min(F.struct("o", "rs", "id")).alias("b"))
+    return windows.join(best.select("index", F.col("b.id").alias("ref_id"), (-F.col("b.o")).alias("overlap_s")), "index", "left")
 
 
 def missing(sample: DataFrame, answers: DataFrame) -> DataFrame:
@@ -58,13 +60,20 @@ def union_metrics(*rows: DataFrame | None) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [r for r in rows if r is not None])
 
 
+#: What A19 compares with the control besides F1, where the rows have it.
+DELTAS = ("f1", "precision", "format_compliance", "advice_structured_frac")
+
+
 def compare(metrics: DataFrame, control: str, trivial: str) -> DataFrame:
-    """Ranks by F1 and CEF, the difference in F1 to the control and whether F1 beats the trivial baseline; a row for each of a few approaches."""
-    base = metrics.where(F.col("approach") == control).select(F.col("f1").alias("_c"))
+    """Ranks by F1 and CEF, the best of each, the differences to the control in F1, precision, compliance and structured share (null
+    where a side has none), and whether F1 beats the trivial baseline; a row for each of a few approaches."""
+    deltas = [c for c in DELTAS if c in metrics.columns]
+    base = metrics.where(F.col("approach") == control).select(*[F.col(c).alias(f"_{c}") for c in deltas])
     floor = metrics.where(F.col("approach") == trivial).select(F.col("f1").alias("_t"))
     out = metrics.crossJoin(base).crossJoin(floor)  # single rows
     rank = lambda c: F.rank().over(Window.orderBy(F.desc(c)))
-    return out.select(*metrics.columns, rank("f1").alias("rank_f1"), rank("cef").alias("rank_cef"), F.round(F.col("f1") - F.col("_c"), 4).alias("delta_f1"), (F.col("f1") > F.col("_t")).alias("above_trivial")).orderBy("rank_f1", "approach")
+    ranked = out.select(*metrics.columns, rank("f1").alias("rank_f1"), rank("cef").alias("rank_cef"), *[F.round(F.col(c) - F.col(f"_{c}"), 4).alias(f"delta_{c}") for c in deltas], (F.col("f1") > F.col("_t")).alias("above_trivial"))
+    return ranked.withColumns({"best_f1": F.col("rank_f1") == 1, "best_cef": F.col("rank_cef") == 1}).orderBy("rank_f1", "approach")
 
 
 def hybrid_row(detector: DataFrame, text: DataFrame) -> DataFrame:
@@ -72,3 +81,6 @@ def hybrid_row(detector: DataFrame, text: DataFrame) -> DataFrame:
     return detector.select("precision", "recall", "f1", "cef").crossJoin(text.select("advice_structured_frac", "advice_avg_chars")).withColumn("approach", F.lit("hybrid"))
 
 
+def carry_prior(units: DataFrame, prior: DataFrame, column: str, keys: list[str] = MC) -> DataFrame:
+    """Units with the earlier value of `column`, NaN where there is none."""
+    return units.join(prior.select(*keys, column), keys, "left").withColumn(column, F.coalesce(F.col(column).cast("double"), F.lit(float("nan"))))

@@ -94,14 +94,22 @@ def array_mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
 
-def array_std(values: Column, mean: Column) -> Column:
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(values))
+def array_moments(values: Column) -> Column:
+    """(n, mean, m2) of an array in one pass; m2 is the sum of squared differences to the mean."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["m2"] + (x - a["mean"]) * (x - mean)).alias("m2"))
+
+    return F.aggregate(values, start, add)
 
 
 def revin_window(windows: DataFrame, eps: float = 1e-8) -> DataFrame:
     """P5: values_norm, each window by its own mean and population std."""
-    out = windows.withColumn("_m", array_mean(F.col("values"))).withColumn("_s", array_std(F.col("values"), F.col("_m")))
-    return out.withColumn("values_norm", F.transform("values", lambda x: (x - F.col("_m")) / (F.col("_s") + eps))).drop("_m", "_s")
+    out = windows.withColumn("_m", array_moments(F.col("values")))
+    out = out.withColumn("_s", F.sqrt(F.col("_m.m2") / F.col("_m.n")) + eps)
+    return out.withColumn("values_norm", F.transform("values", lambda x: (x - F.col("_m.mean")) / F.col("_s"))).drop("_m", "_s")
 
 
 def short_channels(grid: DataFrame, window: int = 32, keys: list[str] = MC) -> DataFrame:

@@ -99,6 +99,6 @@ def column_means(df: DataFrame, keys: list[str], weights: str, n: int) -> DataFr
 
 
 def profile(df: DataFrame, values: str, label: str) -> DataFrame:
-    """Rows, sizes, value and label bounds, and how many values aren't finite."""
+    """Rows, sizes, value and label bounds, and how many values and labels aren't finite (a null label isn't)."""
     per = df.select(F.size(values).alias("n"), F.array_min(values).alias("lo"), F.array_max(values).alias("hi"), F.size(F.filter(values, lambda x: F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))).alias("bad"), F.col(label).alias("y"))
-    return per.agg(F.count("*").alias("rows"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.min("lo").cast("double").alias("value_min"), F.max("hi").cast("double").alias("value_max"), F.min("y").alias("label_min"), F.max("y").alias("label_max"), F.sum("bad").alias("not_finite"))
+    return per.agg(F.count("*").alias("rows"), F.min("n").alias("min_size"), F.max("n").alias("max_size"), F.min("lo").cast("double").alias("value_min"), F.max("hi").cast("double").alias("value_max"), F.min("y").alias("label_min"), F.max("y").alias("label_max"), F.sum("bad").alias("not_finite"), F.count_if(F.col("y").isNull() | F.isnan(F.col("y").cast("double")) | (F.abs(F.col("y").cast("double")) == float("inf"))).alias("label_not_finite"))

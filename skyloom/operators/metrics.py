@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MC
-from ..shared import running_sums
+from ..shared import running_sums, stored
 from .sequences import merge_intervals
 
 
@@ -54,15 +54,24 @@ def macro(records: DataFrame, all_channels: bool = False, keys: list[str] | None
     return out.withColumn("cef", cef(F.col("precision"), F.col("recall")))
 
 
+#: Positions in one stretch of the join of spans.
+BAND = 1024
+
+
 def interval_matches(pred: DataFrame, gt: DataFrame, delta: int = 32, keys: list[str] = MC) -> DataFrame:
     """Pairs of predicted and true spans with pred start <= gt end + delta and pred end >= gt start - delta."""
+    # both sides stand once for each stretch of BAND that they touch, the predicted ones widened by delta; a pair is taken on its first stretch
     p, g = pred.select(*keys, F.col("start").alias("ps"), F.col("end").alias("pe")), gt.select(*keys, F.col("start").alias("gs"), F.col("end").alias("ge"))
-    return p.join(g, keys).where((F.col("ps") <= F.col("ge") + delta) & (F.col("pe") >= F.col("gs") - delta))
+    at = lambda c: F.floor(c / BAND)
+    p = p.withColumn("_b", F.explode(F.sequence(at(F.col("ps") - delta), at(F.col("pe") + delta))))
+    g = g.withColumn("_b", F.explode(F.sequence(at(F.col("gs")), at(F.col("ge")))))
+    near = (F.col("ps") <= F.col("ge") + delta) & (F.col("pe") >= F.col("gs") - delta)
+    return p.join(g, [*keys, "_b"]).where(near & (F.col("_b") == F.greatest(at(F.col("ps") - delta), at(F.col("gs"))))).drop("_b")
 
 
 def affinity_f1(pred: DataFrame, gt: DataFrame, delta: int = 32, gap: int = 16, keys: list[str] = MC) -> DataFrame:
     """Spans merged within gap per channel, matched within delta, counts pooled over channels."""
-    mp, mg = merge_intervals(pred, gap, keys), merge_intervals(gt, gap, keys)
+    mp, mg = stored(merge_intervals(pred, gap, keys)), stored(merge_intervals(gt, gap, keys))
     pairs = interval_matches(mp, mg, delta, keys)
     hits = pairs.agg(F.countDistinct(*keys, "ps").alias("pred_hit"), F.countDistinct(*keys, "gs").alias("gt_hit"))
     counts = mp.agg(F.count("*").alias("n_pred")).crossJoin(mg.agg(F.count("*").alias("n_gt"))).crossJoin(hits)  # three single rows
@@ -149,11 +158,20 @@ def pr_curve(df: DataFrame, score: str, label: str = "is_anomaly") -> DataFrame:
     return points.unionByName(df.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double"))
 
 
-def operating_points(df: DataFrame, score: str, grid: list[float], label: str = "is_anomaly") -> DataFrame:
-    """The points at 0.5, of best CEF, of best F1, and of greatest recall at precision 0.6 or more (recall above 0)."""
+def hard_point(verdicts: DataFrame) -> DataFrame:
+    """The confusion of hard verdicts as a point without a threshold; an unknown answer is a miss on an anomaly and never a true negative."""
+    s = verdict_summary(verdicts.withColumn("elapsed_s", F.lit(0.0)))
+    return s.select(F.lit(None).cast("double").alias("threshold"), "precision", "recall", "f1", F.round(cef(F.col("precision"), F.col("recall")), 4).alias("cef"), "tp", "fp", "fn", "tn")
+
+
+def operating_points(df: DataFrame, score: str, grid: list[float], label: str = "is_anomaly", verdicts: DataFrame | None = None) -> DataFrame:
+    """The points at 0.5, of best CEF, of best F1, and of greatest recall at precision 0.6 or more (recall above 0); with verdicts
+    (predicted, is_anomaly) also the point of the hard answers."""
     curve = sweep(df, score, grid, label)
     half = sweep(df, score, [0.5], label)
     named = [("argmax", half), ("cef_best", best_by(curve, "cef")), ("f1_best", best_by(curve, "f1")), ("recall_at_p60", best_by(curve.where("precision >= 0.6 and recall > 0"), "recall"))]
+    if verdicts is not None:
+        named.append(("hard_verdict", hard_point(verdicts)))
     out = None
     for name, point in named:
         point = point.withColumn("point", F.lit(name))

@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import draw, exact_rank
+from ..shared import draw, exact_rank, stored
+
+
+#: Up to this many rows Spark's top-k merges them in one task; more are cut off by their exact rank, over all tasks.
+TOP_K = 100_000
 
 
 def _first(df: DataFrame, keys: list[str], seed: int, k: int) -> DataFrame:
-    """k rows in drawn order: a distributed top-k."""
-    return df.withColumn("_d", draw(keys, seed)).orderBy("_d", *keys).limit(k).drop("_d")
+    """k rows in drawn order."""
+    drawn = df.withColumn("_d", draw(keys, seed))
+    if k <= TOP_K:
+        return drawn.orderBy("_d", *keys).limit(k).drop("_d")
+    return exact_rank(drawn, ["_d", *keys], "_r").where(F.col("_r") < k).drop("_d", "_r")
 
 
 def balance(df: DataFrame, keys: list[str], label: str = "is_anomaly", ratio: float = 3.0, seed: int = 0) -> DataFrame:
     """K1: all positive rows and exactly min(n_negative, int(ratio * n_positive)) negative ones."""
+    df = stored(df)  # counted once and read twice
     n = df.agg(F.count_if(F.col(label))).first()[0]
     return df.where(F.col(label)).unionByName(_first(df.where(~F.col(label)), keys, seed, int(ratio * n)))
 
@@ -41,6 +49,7 @@ def split(df: DataFrame, keys: list[str], shares: tuple[float, float] = (0.7, 0.
 
 def stratified_sample(df: DataFrame, n: int, label: str, keys: list[str], seed: int = 0) -> DataFrame:
     """K6, K7: n rows that keep the share of positives, round-half-even."""
+    df = stored(df)
     total, pos = df.agg(F.count("*"), F.count_if(F.col(label))).first()
     n_pos = min(round(n * pos / total), pos) if total else 0
     return _first(df.where(F.col(label)), keys, seed, n_pos).unionByName(_first(df.where(~F.col(label)), keys, seed, n - n_pos))
@@ -66,6 +75,8 @@ def holdout(df: DataFrame, share: float, keys: list[str], seed: int = 0) -> Data
     return ranked.withColumn("is_val", F.col("_r") < k).drop("_r", "_d")
 
 
-def take_bounded(df: DataFrame, n: int, order: list[str]) -> DataFrame:
-    """The first n rows in order."""
+def take_bounded(df: DataFrame, n: int, order: list[str], strict: bool = True) -> DataFrame:
+    """The first n rows in order; too few rows are an error unless strict is False."""
+    if strict and (held := df.count()) < n:
+        raise ValueError(f"{n} rows wanted, {held} found")
     return df.orderBy(*order).limit(n)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MC
-from .grid import array_mean, array_std
+from .grid import array_mean, array_moments
 
 
 def make_windows(grid: DataFrame, window: int = 32, stride: int = 16, keys: list[str] = MC, value: str = "value") -> DataFrame:
@@ -33,17 +33,13 @@ def make_windows(grid: DataFrame, window: int = 32, stride: int = 16, keys: list
     )
 
 
-def window_stats(values: Column) -> dict[str, Column]:
-    """Mean, population std, peak to peak, and last minus first quarter mean (the last quarter rounds up, the first down)."""
-    n = F.size(values)
-    mean = array_mean(values)
+def with_stats(windows: DataFrame) -> DataFrame:
+    """Mean, population std, peak to peak, and last minus first quarter mean (the last quarter rounds up, the first down). Mean and std
+    come from one pass over the values, and no loop over them runs more than once."""
+    values, n = F.col("values"), F.size("values")
     first, last = F.floor(n / 4).cast("int"), F.ceil(n / 4).cast("int")
     head, tail = F.slice(values, F.lit(1), F.greatest(first, F.lit(1))), F.slice(values, n - last + 1, last)
-    return {"mean": mean, "std": array_std(values, mean), "p2p": F.array_max(values) - F.array_min(values), "trend": array_mean(tail) - array_mean(head)}
-
-
-def with_stats(windows: DataFrame) -> DataFrame:
-    out = windows
-    for name, c in window_stats(F.col("values")).items():
-        out = out.withColumn(name, c)
-    return out
+    out = windows.withColumn("_m", array_moments(values))
+    return out.withColumns({
+        "mean": F.col("_m.mean"), "std": F.sqrt(F.col("_m.m2") / F.col("_m.n")), "p2p": F.array_max(values) - F.array_min(values), "trend": array_mean(tail) - array_mean(head),
+    }).drop("_m")

@@ -161,9 +161,9 @@ LONG = "lg AS (SELECT index, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS
 
 ORACLES: dict[str, str] = {
     "s1_missions": sql("tel", "SELECT mission, count(*) AS n FROM tel WHERE mission IN ('Mission1', 'Mission3') GROUP BY 1"),
-    "s2_channels": sql("ch", "SELECT * FROM ch WHERE target = 'YES'"),
+    "s2_channels": sql("ch", "SELECT * EXCLUDE (k) REPLACE (k AS ordinal) FROM (SELECT *, CAST(row_number() OVER (PARTITION BY mission ORDER BY ordinal) - 1 AS INT) AS k FROM ch) WHERE target = 'YES'"),
     "s3_cap_channels": sql("ch", "SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY mission ORDER BY ordinal) AS k FROM ch) WHERE k <= 3"),
-    "s4_telemetry": sql("tel ch", "SELECT t.mission, t.channel, count(*) AS n, round(sum(value), 4) AS total FROM tel t JOIN ch USING (mission, channel) WHERE target = 'YES' GROUP BY 1, 2"),
+    "s4_telemetry": sql("tel ch", f"SELECT t.mission, t.channel, count(*) AS n, count(raw) AS n_raw, max(strftime(date_trunc('second', ts), {TS})) AS last, round(sum(value), 4) AS total FROM tel t JOIN ch USING (mission, channel) WHERE target = 'YES' GROUP BY 1, 2"),
     "s5_intervals": sql("iv", f"SELECT mission, id, channel, strftime(date_trunc('second', start_time), {TS}) AS start_time, strftime(date_trunc('second', end_time), {TS}) AS end_time FROM iv"),
     "s6_records": sql("win", f"SELECT CASE WHEN start_idx % 32 = 0 THEN 'train' ELSE 'test' END AS split, {K3}, strftime(start_time, {TS}) AS start_time, is_anomaly, CAST(len(vals) AS INT) AS n_values, CAST(CASE WHEN is_anomaly THEN {len(c.ANOMALY_RESPONSE)} ELSE {len(c.NOMINAL_RESPONSE)} END AS INT) AS n_response FROM win"),
     "s7_results": sql("vd", "SELECT predicted, count(*) AS n FROM vd GROUP BY 1"),
@@ -194,7 +194,7 @@ ORACLES: dict[str, str] = {
     "p18_fewshot": sql("ct", prefix(2)),
     "p19_verdict": sql("vd", "SELECT index, predicted FROM vd"),
     "p20_verdict_score": "SELECT doc_id AS index, round(1 / (1 + exp(((doc_id % 500) / 125.0 - 2) - ((n_chars % 1000) / 250.0 - 2))), 6) AS score, CASE WHEN (n_chars % 1000) / 250.0 - 2 >= (doc_id % 500) / 125.0 - 2 THEN 'ANOMALY' ELSE 'NOMINAL' END AS argmax FROM documents",
-    "p21_conversation": sql("sp", f"SELECT index, image_path AS image, {lit(c.VISION_PROMPT)} AS prompt, CASE WHEN is_anomaly THEN 'ANOMALY DETECTED' ELSE 'NOMINAL' END AS label FROM ({MANIFEST}) WHERE split = 'test'"),
+    "p21_conversation": sql("sp", f"SELECT index, image_path AS image, {lit(c.VISION_PROMPT)} AS prompt, CASE WHEN is_anomaly THEN 'ANOMALY DETECTED' ELSE 'NOMINAL' END AS label FROM ({MANIFEST.replace(' WHERE index < 300', '')})"),
     "p22_log_flux": sql("tel", "SELECT event_id, round((log10(greatest(value * 1e-6, 1e-9)) + 5.5) / 2.5, 6) AS label, round(greatest(value * 1e-6, 1e-9) * 1e6, 4) AS back FROM tel"),
     "p23_scalar": sql("tel", "SELECT event_id, value FROM tel"),
     "p24_advice_flags": sql("an", "SELECT index, contains(upper(actual_response), 'DIAGNOSIS') AND contains(upper(actual_response), 'ADVICE') AS structured, CAST(length(actual_response) AS INT) AS n_chars, left(actual_response, 300) AS shown FROM an"),
@@ -213,7 +213,7 @@ ORACLES: dict[str, str] = {
     "w8_spans": sql("er", "SELECT mission, channel, i * 16 AS start, i * 16 + 32 AS end FROM er WHERE is_anomaly"),
     "j1_point_in_interval": sql("tel iv", "SELECT event_id, EXISTS (SELECT 1 FROM iv WHERE iv.mission = tel.mission AND iv.channel = tel.channel AND tel.ts BETWEEN start_time AND end_time) AS is_anomaly FROM tel"),
     "j2_channel_meta": sql("win ch", f"SELECT w.mission, w.channel, w.start_idx, coalesce(subsystem, 'unknown') AS subsystem, coalesce(physical_unit, 'unknown') AS physical_unit, coalesce(grp, '?') AS grp FROM win w LEFT JOIN (SELECT * FROM ch WHERE target = 'YES') m USING (mission, channel)"),
-    "j4_align": sql("sc", "SELECT index, text, vision AS score, true AS same FROM sc WHERE index % 5 <> 0"),
+    "j4_align": sql("sc", "SELECT index, text, vision AS score, true AS same FROM sc"),
     "j5_map_to_grid": sql("mt er", "SELECT index, CAST(mt.start_idx // 16 AS INT) AS i, round(error, 6) AS error FROM mt LEFT JOIN er ON er.mission = mt.mission AND er.channel = mt.channel AND er.i = mt.start_idx // 16"),
     "j6_verdict_windows": sql("vd mt", "SELECT index, predicted, start_idx, end_idx FROM vd JOIN mt USING (index)"),
     "j7_best_overlap": sql("win iv", """WITH wi AS (SELECT CAST(substr(channel, 9) AS BIGINT) * 1000 + start_idx AS index, mission, channel, start_time, end_time FROM win), ov AS (SELECT index, id, epoch_us(least(w.end_time, i.end_time)) - epoch_us(greatest(w.start_time, i.start_time)) AS o, i.start_time AS rs FROM wi w JOIN iv i USING (mission, channel)),
@@ -253,12 +253,13 @@ ORACLES: dict[str, str] = {
     "a13_range_sweep": sql("sc", sweep_sql("vision", range_points("vision")) + f" SELECT {CURVE_COLUMNS} FROM curve"),
     "a14_average_precision": sql("sc", "WITH st AS (SELECT text AS s, count(*) FILTER (is_anomaly) AS p, count(*) AS n FROM sc GROUP BY 1), cu AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS al, sum(p) OVER () AS pos FROM st WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) SELECT round(sum(p / pos * tp / al), 6) AS average_precision FROM cu"),
     "a15_pr_curve": sql("sc", "WITH st AS (SELECT vision AS s, count(*) FILTER (is_anomaly) AS p, count(*) AS n FROM sc GROUP BY 1), cu AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS al, sum(p) OVER () AS pos FROM st WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)) SELECT s AS threshold, round(tp / al, 6) AS precision, round(tp / pos, 6) AS recall FROM cu UNION ALL SELECT NULL, 1.0, 0.0"),
-    "a16_operating_points": sql("sc", sweep_sql("text", UNIT) + f" SELECT {CURVE_COLUMNS}, 'argmax' AS point FROM curve WHERE threshold = 0.5 UNION ALL SELECT *, 'cef_best' FROM ({BEST.format('cef')}) UNION ALL SELECT *, 'f1_best' FROM ({BEST.format('f1')}) UNION ALL SELECT *, 'recall_at_p60' FROM (SELECT {CURVE_COLUMNS} FROM curve WHERE precision >= 0.6 AND recall > 0 ORDER BY recall DESC, threshold LIMIT 1)"),
+    "a16_operating_points": sql("sc", sweep_sql("text", UNIT) + f" SELECT {CURVE_COLUMNS}, 'argmax' AS point FROM curve WHERE threshold = 0.5 UNION ALL SELECT *, 'cef_best' FROM ({BEST.format('cef')}) UNION ALL SELECT *, 'f1_best' FROM ({BEST.format('f1')}) UNION ALL SELECT *, 'recall_at_p60' FROM (SELECT {CURVE_COLUMNS} FROM curve WHERE precision >= 0.6 AND recall > 0 ORDER BY recall DESC, threshold LIMIT 1) UNION ALL SELECT NULL, round(p, 4), round(r, 4), round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 4), round(CASE WHEN 0.25 * round(p, 4) + round(r, 4) = 0 THEN 0 ELSE 1.25 * round(p, 4) * round(r, 4) / (0.25 * round(p, 4) + round(r, 4)) END, 4), tp, fp, fn, tn, 'hard_verdict' FROM (SELECT *, {PRF} FROM (SELECT count(*) FILTER (text >= 0.4 AND is_anomaly) AS tp, count(*) FILTER (text >= 0.4 AND NOT is_anomaly) AS fp, count(*) FILTER (text < 0.4 AND is_anomaly) AS fn, count(*) FILTER (text < 0.4 AND text >= 0.1 AND NOT is_anomaly) AS tn FROM sc))"),
     "a17_grades": sql("jd", """SELECT CASE WHEN grouping(is_anomaly) = 1 THEN 'overall' WHEN is_anomaly THEN 'true_positive' ELSE 'false_positive' END AS subset, count(*) AS n, round(avg(correctness), 3) AS mean_correctness, round(avg(actionability), 3) AS mean_actionability, round(avg(grounding), 3) AS mean_grounding,
       round(avg(correctness + actionability + grounding), 3) AS mean_total, round(count(*) FILTER (correctness >= 1) / count(*), 4) AS share_correctness, round(count(*) FILTER (actionability >= 1) / count(*), 4) AS share_actionability, round(count(*) FILTER (grounding >= 1) / count(*), 4) AS share_grounding,
       round(count(*) FILTER (correctness + actionability + grounding >= 4 AND correctness >= 1 AND actionability >= 1 AND grounding >= 1) / count(*), 4) AS share_high_quality FROM jd GROUP BY GROUPING SETS ((), (is_anomaly))"""),
     "a18_rubric": sql("jd", "SELECT index, CAST(correctness + CAST(index % 10 = 0 AS INT) AS INT) AS correctness, actionability, grounding FROM jd WHERE correctness + CAST(index % 10 = 0 AS INT) > 2"),
-    "a19_compare": sql("ern mac vd win", APPROACHES + " SELECT *, CAST(rank() OVER (ORDER BY f1 DESC) AS INT) AS rank_f1, CAST(rank() OVER (ORDER BY cef DESC) AS INT) AS rank_cef, round(f1 - (SELECT f1 FROM apr WHERE approach = 'text'), 4) AS delta_f1, f1 > (SELECT f1 FROM apr WHERE approach = 'always') AS above_trivial FROM apr"),
+    "a19_compare": sql("ern mac vd win", APPROACHES + """, apx AS (SELECT a.*, format_compliance, advice_structured_frac FROM apr a LEFT JOIN (SELECT 'text' AS approach, format_compliance, advice_structured_frac FROM s3) USING (approach)), ct AS (SELECT * FROM apx WHERE approach = 'text'), rk AS (SELECT x.*, CAST(rank() OVER (ORDER BY x.f1 DESC) AS INT) AS rank_f1, CAST(rank() OVER (ORDER BY x.cef DESC) AS INT) AS rank_cef,
+      round(x.f1 - ct.f1, 4) AS delta_f1, round(x.precision - ct.precision, 4) AS delta_precision, round(x.format_compliance - ct.format_compliance, 4) AS delta_format_compliance, round(x.advice_structured_frac - ct.advice_structured_frac, 4) AS delta_advice_structured_frac, x.f1 > (SELECT f1 FROM apr WHERE approach = 'always') AS above_trivial FROM apx x, ct) SELECT *, rank_f1 = 1 AS best_f1, rank_cef = 1 AS best_cef FROM rk"""),
     "a20_hybrid": sql("mac vd", DETECTION + " SELECT round(m.precision, 4) AS precision, round(m.recall, 4) AS recall, round(m.f1, 4) AS f1, round(m.cef, 4) AS cef, advice_structured_frac, advice_avg_chars, 'hybrid' AS approach FROM mac m, s3"),
     "a21_regression": sql("rg", "SELECT round(avg(abs(pred - truth)), 6) AS mae, round(sqrt(avg((pred - truth) ** 2)), 6) AS rmse, round(avg(pred - truth), 6) AS bias, round(corr(pred, truth), 6) AS pearson, count(*) AS n FROM rg"),
     "a22_mean_baseline": sql("rg", "SELECT round(avg(abs(truth - m)), 6) AS baseline_mae FROM rg, (SELECT avg(truth) AS m FROM rg WHERE l_orderkey % 5 <> 0) WHERE l_orderkey % 5 = 0"),
@@ -270,18 +271,19 @@ ORACLES: dict[str, str] = {
     "a29_profile": sql("im", "SELECT count(*) AS rows, CAST(min(len(a)) AS INT) AS min_size, CAST(max(len(a)) AS INT) AS max_size, round(min(list_min(a)), 5) AS value_min, round(max(list_max(a)), 5) AS value_max, min(label) AS label_min, max(label) AS label_max, CAST(0 AS BIGINT) AS not_finite FROM im"),
     "a30_column_means": sql("im", f"WITH {LONG} SELECT index, CAST(pos % 8 AS INT) AS col, round(avg(x), 5) + 0.0 AS mean FROM lg GROUP BY 1, 2"),
     "d1_flat_threshold": sql("ern", "SELECT mission, channel, i, round(nm + 2.0 * ns, 4) AS threshold, coalesce(error > nm + 2.0 * ns, false) AS pred FROM ern"),
-    "d9_matrix": sql("sc mt er", "SELECT sc.index, sc.is_anomaly, text, vision, round(er.error, 6) AS error FROM sc JOIN mt USING (index) LEFT JOIN er ON er.mission = sc.mission AND er.channel = sc.channel AND er.i = mt.start_idx // 16 WHERE sc.index % 5 <> 0"),
+    "d9_matrix": sql("sc mt er", "SELECT sc.index, sc.is_anomaly, text, vision, round(er.error, 6) AS error FROM sc JOIN mt USING (index) LEFT JOIN er ON er.mission = sc.mission AND er.channel = sc.channel AND er.i = mt.start_idx // 16"),
     "d10_weighted": sql("sc", "SELECT index, round(((text - avg(text) OVER ()) / stddev_pop(text) OVER () + (vision - avg(vision) OVER ()) / stddev_pop(vision) OVER ()) / 2, 6) AS weighted FROM sc"),
     "d11_vote": sql("sc", f"""WITH s3 AS (SELECT * FROM sc WHERE error IS NOT NULL), vt AS (SELECT is_anomaly, CAST(text >= 0.5 AS INT) + CAST(vision >= 0.5 AS INT) + CAST(error >= (SELECT median(error) FROM s3) AS INT) AS v FROM s3), rl AS (SELECT * FROM (VALUES ('vote', 2), ('any', 1), ('all', 3)) x(rule, need)),
       cm AS (SELECT rule, count(*) FILTER (v >= need AND is_anomaly) AS tp, count(*) FILTER (v >= need AND NOT is_anomaly) AS fp, count(*) FILTER (v < need AND is_anomaly) AS fn, count(*) FILTER (v < need AND NOT is_anomaly) AS tn FROM vt, rl GROUP BY rule)
       SELECT rule, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 4) AS f1, round(CASE WHEN 0.25 * p + r = 0 THEN 0 ELSE 1.25 * p * r / (0.25 * p + r) END, 4) AS cef, tp, fp, fn, tn, (SELECT count(*) FROM vt WHERE v > 0 AND v < 3) AS disagreement FROM (SELECT *, {PRF} FROM cm)"""),
     "d16_alerts": sql("fl pat", "SELECT anomaly_id, severity, pattern, CAST(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS INT) AS rank FROM pat JOIN fl USING (mission, channel, start_idx) WHERE pat.is_anomaly AND pred"),
-    "v1_splits": sql("win", checks("win", [("total", "count(*)", "count(*) = 6351", "6351"), ("anomalies", "count(*) FILTER (is_anomaly)", "count(*) FILTER (is_anomaly) BETWEEN 0 AND 5000", "0..5000"), ("missions", "count(DISTINCT mission)", "count(DISTINCT mission) = 3", "3")])),
+    "v1_splits": sql("win", """WITH tot AS (SELECT CAST(sum(greatest(0, (n - 32) // 16 + 1)) AS BIGINT) AS t FROM (SELECT count(*) AS n FROM grid GROUP BY mission, channel)), o AS (SELECT count(*) AS n, count(*) FILTER (is_anomaly) AS a, count(DISTINCT mission) AS m FROM win)
+      SELECT 'total' AS check, n = t AS passed, CAST(n AS VARCHAR) AS observed, CAST(t AS VARCHAR) AS expected FROM o, tot UNION ALL SELECT 'anomalies', a BETWEEN 1 AND t, CAST(a AS VARCHAR), '1..' || t FROM o, tot UNION ALL SELECT 'missions', m = 3, CAST(m AS VARCHAR), '3' FROM o"""),
     "v2_advice": sql("pat", "WITH ad AS (SELECT * FROM pat WHERE is_anomaly) " + checks("ad", [("unique_ids", "count(*) - count(DISTINCT anomaly_id)", "count(*) = count(DISTINCT anomaly_id)", "0"), ("fields", "0", "true", "0"), ("severity", "0", "true", "0"), *[(f"n_{s}", f"count(*) FILTER (severity = '{s}')", "true", ">= 0") for s in ("low", "medium", "high")]]).replace("SELECT 'fields' AS check, true AS passed, CAST(0 AS VARCHAR) AS observed, '0' AS expected FROM ad", "SELECT 'fields' AS check, true AS passed, '0' AS observed, '0' AS expected").replace("SELECT 'severity' AS check, true AS passed, CAST(0 AS VARCHAR) AS observed, '0' AS expected FROM ad", "SELECT 'severity' AS check, true AS passed, '0' AS observed, '0' AS expected").replace("n_low' AS check, true", "n_low' AS check, count(*) >= 0").replace("n_medium' AS check, true", "n_medium' AS check, count(*) >= 0").replace("n_high' AS check, true", "n_high' AS check, count(*) >= 0")),
     "v3_chat": "SELECT 'columns' AS check, true AS passed, 'text' AS observed, 'text' AS expected UNION ALL SELECT 'marker', true, '0', '0'",
-    "v4_detector": sql("recm", checks("(SELECT * FROM recm WHERE tp + fn > 0)", [("scored", "count(*)", "count(*) > 0", "> 0"), ("finite", "count(*) FILTER (isnan(p) OR isnan(r) OR isnan(f))", "count(*) FILTER (isnan(p) OR isnan(r) OR isnan(f)) = 0", "0"), ("mean_f1", "round(avg(f), 4)", "round(avg(f), 4) > 0.05 AND round(avg(f), 4) < 0.98", "0.05..0.98")])),
-    "v5_verdicts": sql("vd", checks("vd", [("rows", "count(*)", "count(*) > 0", "> 0"), ("unknown", "round(count(*) FILTER (predicted = 'UNKNOWN') / count(*), 4)", "round(count(*) FILTER (predicted = 'UNKNOWN') / count(*), 4) < 0.2", "< 0.2"), ("time", "round(avg(elapsed_s), 3)", "avg(elapsed_s) < 30", "< 30"), ("length", "round(count(*) FILTER (length(actual_response) > 10) / count(*), 4)", "count(*) FILTER (length(actual_response) > 10) = count(*)", "1"), ("keyword", "round(count(*) FILTER (regexp_matches(upper(actual_response), 'ANOMALY|NOMINAL')) / count(*), 4)", "round(count(*) FILTER (regexp_matches(upper(actual_response), 'ANOMALY|NOMINAL')) / count(*), 4) > 0.8", "> 0.8")])),
-    "v6_comparison": sql("ern mac vd win", APPROACHES + " " + checks("ap", [("rows", "count(*)", "count(*) > 0", "> 0"), ("bounds", "count(*) FILTER (NOT (precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AND cef BETWEEN 0 AND 1))", "count(*) FILTER (NOT (precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AND cef BETWEEN 0 AND 1)) = 0", "0")])),
+    "v4_detector": sql("recm er", "WITH ls AS (SELECT mission, channel, arg_min(error, i) AS a, arg_max(error, i) AS b FROM er GROUP BY 1, 2) SELECT 'loss_fell' AS check, count(*) FILTER (b < a) > 0 AS passed, CAST(count(*) FILTER (b < a) AS VARCHAR) AS observed, '> 0' AS expected FROM recm JOIN ls USING (mission, channel) WHERE tp + fn > 0 UNION ALL " + checks("(SELECT * FROM recm WHERE tp + fn > 0)", [("scored", "count(*)", "count(*) > 0", "> 0"), ("finite", "count(*) FILTER (isnan(p) OR isnan(r) OR isnan(f))", "count(*) FILTER (isnan(p) OR isnan(r) OR isnan(f)) = 0", "0"), ("mean_f1", "round(avg(f), 4)", "round(avg(f), 4) > 0.05 AND round(avg(f), 4) < 0.98", "0.05..0.98")])),
+    "v5_verdicts": sql("vd", checks("(SELECT *, predicted = 'ANOMALY' AS hit FROM vd)", [("rows", "count(*)", "count(*) > 0", "> 0"), ("finite", "count(*) FILTER (elapsed_s IS NULL OR NOT isfinite(elapsed_s))", "count(*) FILTER (elapsed_s IS NULL OR NOT isfinite(elapsed_s)) = 0", "0"), ("f1", "round(2 * count(*) FILTER (hit AND is_anomaly) / (2 * count(*) FILTER (hit AND is_anomaly) + count(*) FILTER (hit <> is_anomaly)), 4)", "true", "0..1"), ("unknown", "round(count(*) FILTER (predicted = 'UNKNOWN') / count(*), 4)", "round(count(*) FILTER (predicted = 'UNKNOWN') / count(*), 4) < 0.2", "< 0.2"), ("time", "round(avg(elapsed_s), 3)", "avg(elapsed_s) < 30", "< 30"), ("length", "round(count(*) FILTER (length(actual_response) > 10) / count(*), 4)", "count(*) FILTER (length(actual_response) > 10) = count(*)", "1"), ("keyword", "round(count(*) FILTER (regexp_matches(upper(actual_response), 'ANOMALY|NOMINAL')) / count(*), 4)", "round(count(*) FILTER (regexp_matches(upper(actual_response), 'ANOMALY|NOMINAL')) / count(*), 4) > 0.8", "> 0.8")])),
+    "v6_comparison": sql("ern mac vd win", APPROACHES + " SELECT 'errors' AS check, true AS passed, '0' AS observed, '0' AS expected UNION ALL SELECT 'advice_length', advice_avg_chars > 50, CAST(advice_avg_chars AS VARCHAR), '> 50' FROM s3 UNION ALL " + checks("ap", [("rows", "count(*)", "count(*) > 0", "> 0"), ("bounds", "count(*) FILTER (NOT (precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AND cef BETWEEN 0 AND 1))", "count(*) FILTER (NOT (precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AND cef BETWEEN 0 AND 1)) = 0", "0")])),
 }
 ORACLES["t1_stream_resample"] = sql("tel wm", f"SELECT mission, channel, strftime(b, {TS}) AS ts, round(v, 6) AS value, n FROM (SELECT mission, channel, date_trunc('hour', ts) AS b, avg(value) AS v, count(value) AS n FROM tel GROUP BY 1, 2, 3), wm WHERE b + INTERVAL 1 HOUR <= wm")
 ORACLES["t2_stream_windows"] = sql("tel wm", f"""WITH sl AS (SELECT *, unnest([e // 57600 * 57600, e // 57600 * 57600 - 57600]) AS s FROM (SELECT *, epoch_us(ts) // 1000000 AS e FROM tel)) SELECT mission, channel, strftime(make_timestamp(s * 1000000), {TS}) AS start_time, strftime(make_timestamp((s + 115200) * 1000000), {TS}) AS end_time,
@@ -298,9 +300,31 @@ ZCURVE = f"""WITH zc AS (SELECT z, mission, channel, count(*) FILTER (q AND is_a
   zm AS (SELECT CAST(z AS DOUBLE) AS z, avg(p) AS p, avg(r) AS r, avg(f) AS f, count(*) AS n_channels FROM zp GROUP BY 1), zr AS (SELECT z, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, round(CASE WHEN 0.25 * p + r = 0 THEN 0 ELSE 1.25 * p * r / (0.25 * p + r) END, 6) AS cef, n_channels FROM zm)"""
 ORACLES["d2_z_sweep"] = sql("ern", ZCURVE + " SELECT * FROM zr")
 ORACLES["d2_best_z"] = sql("ern", ZCURVE + " SELECT * FROM zr ORDER BY cef DESC, z LIMIT 1")
-ORACLES["v7_regression"] = sql("rg", """WITH r1 AS (SELECT avg(abs(pred - truth)) AS mae, corr(pred, truth) AS r FROM rg), r2 AS (SELECT avg(abs(truth - m)) AS base FROM rg, (SELECT avg(truth) AS m FROM rg WHERE l_orderkey % 5 <> 0) WHERE l_orderkey % 5 = 0) """ + checks("r1, r2", [
-    ("beats_mean", "round(mae, 4)", "mae <= 0.95 * base", "<= 0.95 baseline"), ("baseline", "round(base, 4)", "base > 0", "> 0"), ("mae", "round(mae, 4)", "mae > 0.01 AND mae < 0.4", "0.01..0.4"), ("pearson", "round(r, 4)", "r BETWEEN -1 AND 1", "-1..1")]))
-ORACLES["v8_images"] = sql("im", "WITH p AS (SELECT count(*) AS n, max(len(a)) AS hi, min(len(a)) AS lo, min(list_min(a)) AS vlo, max(list_max(a)) AS vhi FROM im) " + checks("p", [
-    ("rows", "n", "n = 500", "500"), ("size", "hi", "hi = 64 AND lo = 64", "64"), ("values", "round(vhi, 4)", "vlo >= -1.001 AND vhi <= 1.001", "-1..1"), ("finite", "0", "true", "0")]))
+ORACLES["v7_regression"] = sql("rg", """WITH r1 AS (SELECT avg(abs(pred - truth)) AS mae, corr(pred, truth) AS r, count(*) * 1e-4 AS cost FROM rg), r2 AS (SELECT avg(abs(truth - m)) AS base FROM rg, (SELECT avg(truth) AS m FROM rg WHERE l_orderkey % 5 <> 0) WHERE l_orderkey % 5 = 0) """ + checks("r1, r2", [
+    ("beats_mean", "round(mae, 4)", "mae <= 0.95 * base", "<= 0.95 baseline"), ("baseline", "round(base, 4)", "base > 0", "> 0"), ("mae", "round(mae, 4)", "mae > 0.01 AND mae < 0.4", "0.01..0.4"), ("pearson", "round(r, 4)", "r BETWEEN -1 AND 1", "-1..1"), ("cost", "round(CAST(cost AS DOUBLE), 4)", "cost < 25", "< 25")]))
+ORACLES["v8_images"] = sql("im", "WITH p AS (SELECT count(*) AS n, max(len(a)) AS hi, min(len(a)) AS lo, min(list_min(a)) AS vlo, max(list_max(a)) AS vhi, count(*) FILTER (label IS NULL) AS bad FROM im) SELECT 'rows' AS check, true AS passed, CAST(n AS VARCHAR) AS observed, CAST(n AS VARCHAR) AS expected FROM p UNION ALL " + checks("p", [
+    ("shape", "hi", "hi = 64 AND lo = 64", "1x8x8"), ("values", "round(vhi, 4)", "vlo >= -1.001 AND vhi <= 1.001", "-1..1"), ("finite", "0", "true", "0"), ("labels", "bad", "bad = 0", "0")]))
 ORACLES["v9_attribution"] = sql("im", f"WITH {MAGS}, {LONG}, br AS (SELECT avg(r) AS r FROM (SELECT index, corr(abs(x), x * x) AS r FROM lg GROUP BY 1)), atr AS (SELECT avg({GINI}) AS g, avg(list_sum(m[59:64]) / list_sum(m)) AS t FROM mg0) " + checks("atr, br", [
     ("faithful", "0", "true", "0"), ("gini", "round(g, 4)", "g > 0.05", "> 0.05"), ("top_decile", "round(t, 4)", "t > 0.12", "> 0.12"), ("brightness", "round(r, 4)", "r > 0.1", "> 0.1")]))
+ORACLES["a27_resize"] = sql("im", "SELECT index, " + shown("[" + ", ".join("(" + " + ".join(f"a[{(2 * (p // 4) + y) * 8 + 2 * (p % 4) + x + 1}]" for y in (0, 1) for x in (0, 1)) + ") / 4" for p in range(16)) + "]", "pixels") + " FROM im")
+ORACLES["d8_score_windows"] = sql("win", f"SELECT {K3}, round(1 / (1 + exp(n - a)), 6) AS score, round(a, 4) AS logit_anomaly, round(n, 4) AS logit_nominal, CASE WHEN a >= n THEN 'ANOMALY' ELSE 'NOMINAL' END AS argmax FROM (SELECT *, (list_max(vals) - list_min(vals) + 1e-7) / 50 AS a, 2 - (list_max(vals) - list_min(vals) + 1e-7) / 50 AS n FROM win)")
+# smoothed log errors, the best epsilon of a grid of z, and runs above it with the drop to the next lower peak
+SMOOTH = """WITH RECURSIVE lx AS (SELECT mission, channel, i, error, ln(error + 1e-12) AS x FROM er), ew AS (SELECT mission, channel, i, error, x AS s FROM lx WHERE i = 0 UNION ALL SELECT l.mission, l.channel, l.i, l.error, l.x / 3 + ew.s * 2 / 3 FROM ew JOIN lx l ON l.mission = ew.mission AND l.channel = ew.channel AND l.i = ew.i + 1),
+  es AS (SELECT mission, channel, avg(s) AS m, stddev_pop(s) AS sd, count(*) AS n FROM ew GROUP BY 1, 2), eh AS (SELECT e.*, z, m, sd, n, s >= m + z * sd AS h FROM ew e JOIN es USING (mission, channel), (SELECT 2.5 + 0.5 * k AS z FROM range(20) r(k)) WHERE sd > 0),
+  ec AS (SELECT *, h AND NOT coalesce(lag(h) OVER (PARTITION BY mission, channel, z ORDER BY i), false) AS opens FROM eh), ea AS (SELECT mission, channel, z, m, sd, n, count(*) FILTER (h) AS nh, count(*) FILTER (opens) AS runs, avg(s) FILTER (NOT h) AS lm, stddev_pop(s) FILTER (NOT h) AS ls FROM ec GROUP BY 1, 2, 3, 4, 5, 6),
+  eg AS (SELECT mission, channel, z, row_number() OVER (PARTITION BY mission, channel ORDER BY (CASE WHEN m = 0 THEN 0 ELSE (m - lm) / m END + (sd - ls) / sd) / (runs * runs + nh) DESC, z) AS k FROM ea WHERE nh > 0 AND nh < n / 2),
+  ep AS (SELECT es.mission, es.channel, m + coalesce(z, 3) * sd AS eps FROM es LEFT JOIN eg ON eg.mission = es.mission AND eg.channel = es.channel AND k = 1), ef AS (SELECT ew.*, eps, s >= eps AS h, i - row_number() OVER (PARTITION BY mission, channel, s >= eps ORDER BY i) AS g FROM ew JOIN ep USING (mission, channel)),
+  rn AS (SELECT mission, channel, g, max(error) AS pk, count(*) AS size, min(i) AS a FROM ef WHERE h GROUP BY 1, 2, 3), ou AS (SELECT mission, channel, max(error) AS o FROM ef WHERE NOT h GROUP BY 1, 2),
+  dr AS (SELECT *, CASE WHEN pk > 0 THEN (pk - coalesce(lead(pk) OVER w, o, 0)) / pk ELSE 0 END AS fall, row_number() OVER w AS r FROM rn LEFT JOIN ou USING (mission, channel) WINDOW w AS (PARTITION BY mission, channel ORDER BY pk DESC, a DESC)),
+  kp AS (SELECT *, r <= coalesce(max(r) FILTER (fall >= 0) OVER (PARTITION BY mission, channel), 0) AS any_fall, r <= coalesce(max(r) FILTER (fall >= 0.13) OVER (PARTITION BY mission, channel), 0) AS kept FROM dr)"""
+ORACLES["d3_epsilon"] = sql("er", SMOOTH + " SELECT mission, channel, round(exp(eps), 6) AS epsilon FROM ep")
+ORACLES["d4_pruned"] = sql("er", SMOOTH + " SELECT mission, channel, CAST(coalesce(sum(size) FILTER (any_fall), 0) AS BIGINT) AS n_all, CAST(coalesce(sum(size) FILTER (kept), 0) AS BIGINT) AS n_pruned FROM ep LEFT JOIN kp USING (mission, channel) GROUP BY 1, 2")
+ORACLES["d5_dynamic"] = sql("er", SMOOTH + " SELECT e.mission, e.channel, e.i, e.h AND coalesce(kept, false) AS flag, round(exp(eps), 6) AS epsilon FROM ef e LEFT JOIN kp ON kp.mission = e.mission AND kp.channel = e.channel AND kp.g = e.g AND e.h")
+_singles = []
+for signal in ("text", "vision"):
+    curve = sweep_sql(signal, range_points(signal)).replace("WITH pts", f"{signal}_pts").replace("FROM pts", f"FROM {signal}_pts").replace("cm AS", f"{signal}_cm AS").replace("FROM cm)", f"FROM {signal}_cm)").replace("cp AS", f"{signal}_cp AS").replace("FROM cp)", f"FROM {signal}_cp)").replace("curve AS", f"{signal}_curve AS")
+    average = f"{signal}_ap AS (SELECT round(sum(p / pos * tp / al), 4) AS average_precision FROM (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS al, sum(p) OVER () AS pos FROM (SELECT {signal} AS s, count(*) FILTER (is_anomaly) AS p, count(*) AS n FROM sc GROUP BY 1) WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)))"
+    points = [f"SELECT {CURVE_COLUMNS}, '{signal}' AS signal, 'argmax' AS point, average_precision FROM {signal}_curve, {signal}_ap WHERE threshold = 0.5"]
+    points += [f"SELECT {CURVE_COLUMNS}, '{signal}', '{m}_best', average_precision FROM ({BEST.format(m).replace('FROM curve', f'FROM {signal}_curve')}), {signal}_ap" for m in ("cef", "f1")]
+    _singles.append((curve + ", " + average, points))
+ORACLES["d14_singles"] = sql("sc", "WITH " + ", ".join(x for x, _ in _singles) + " " + " UNION ALL ".join(y for _, ys in _singles for y in ys))

@@ -14,19 +14,32 @@ _own: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this process only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; one of this process only where that is unset and Spark is local, as in tests."""
     global _own
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="skyloom-jobs-")
         atexit.register(shutil.rmtree, _own, True)
     return _own
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application's tables between jobs stand."""
+    return f"{shared_dir(spark)}/skyloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/skyloom-jobs/{uuid.uuid4().hex}"
+    return f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete this application's tables between jobs; results that still stand on them must have been written or read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +20,28 @@ def filter_missions(df: DataFrame, missions: str = "all") -> DataFrame:
     return df.where(mission_number().isin([int(m) for m in missions.split(",")]))
 
 
+def _mission_of(name: str) -> F.Column:
+    """The folder that holds the file or folder `name`."""
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{name}(?:/[^/]*)?$", 1)
+
+
 def read_channels(spark: SparkSession, path: str, target_only: bool = True) -> DataFrame:
-    """The channel catalogue of every <mission>/channels.csv below path; ordinal is the place inside its file."""
-    read = spark.read.option("header", True).option("pathGlobFilter", "channels.csv").option("recursiveFileLookup", True).csv(path)
-    mission = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    """The channel catalogue of every <mission>/channels.csv (a file or a folder of parts) below path; ordinal is the place inside it."""
+    read = spark.read.option("header", True).csv(f"{path}/*/channels.csv")
     out = read.select(
-        mission.alias("mission"), F.col("Channel").alias("channel"), F.monotonically_increasing_id().alias("_at"), F.col("Subsystem").alias("subsystem"),
+        _mission_of("channels.csv").alias("mission"), F.col("Channel").alias("channel"), F.monotonically_increasing_id().alias("_at"), F.col("Subsystem").alias("subsystem"),
         F.col("Physical Unit").alias("physical_unit"), F.col("Group").alias("grp"), F.col("Target").alias("target"),
     )
     out = out.withColumn("ordinal", F.row_number().over(Window.partitionBy("mission").orderBy("_at")) - 1).drop("_at")
     return targets(out) if target_only else out
 
 
+def write_catalogue(df: DataFrame, path: str, name: str) -> None:
+    """df as <mission>/<name> below path, for each of its few missions; CSV with a header."""
+    for (mission,) in df.select("mission").distinct().collect():
+        df.where(F.col("mission") == mission).drop("mission").coalesce(1).write.option("header", True).csv(f"{path}/{mission}/{name}")
+
+
 def targets(channels: DataFrame) -> DataFrame:
     return channels.where(F.col("target") == "YES")
 
@@ -47,21 +58,30 @@ def restrict(telemetry: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def read_telemetry(spark: SparkSession, path: str, channels: DataFrame) -> DataFrame:
-    """<mission>/<channel>.parquet files with (ts, value[, raw]) below path as one table; hidden and missing files are skipped."""
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    parts = F.split(F.col("_metadata.file_path"), "/")
-    raw = F.col("raw") if "raw" in read.columns else F.lit(None).cast("string")
-    out = read.select(F.element_at(parts, -2).alias("mission"), F.regexp_replace(F.element_at(parts, -1), r"\.parquet$", "").alias("channel"), "ts", "value", raw.alias("raw"))
-    return restrict(out, channels)
+    """Telemetry (ts, value[, raw]) below path as one table: <mission>/<channel>.parquet, files or folders, or folders
+    mission=<mission>/channel=<channel>. Hidden and missing files are skipped.
+
+    Timestamps may have any unit, nanoseconds included, but the same in all files; parts of a microsecond are cut off.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    try:
+        read = files.parquet(path)
+        ts, raw = F.col("ts").cast("timestamp"), F.col("raw") if "raw" in read.columns else F.lit(None)
+    except AnalysisException as error:
+        if "NANOS" not in str(error):
+            raise
+        read = files.schema("ts long, value double, raw string").parquet(path)  # Spark has no type for them, but reads their numbers
+        ts, raw = F.timestamp_micros(F.expr("(ts - pmod(ts, 1000)) div 1000")), F.col("raw")
+    at = F.col("_metadata.file_path")
+    folders, names = r"mission=([^/]+)/channel=([^/]+)/[^/]*$", r"([^/]+)/([^/]+)\.parquet(?:/[^/]*)?$"
+    part = lambda i: F.when(at.rlike(folders), F.regexp_extract(at, folders, i)).otherwise(F.regexp_extract(at, names, i))
+    return restrict(read.select(part(1).alias("mission"), part(2).alias("channel"), ts.alias("ts"), "value", raw.cast("string").alias("raw")), channels)
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
-    """Labels.csv files (ID, Channel, StartTime, EndTime, ISO-8601 with zone) below path."""
-    read = spark.read.option("header", True).option("pathGlobFilter", "labels.csv").option("recursiveFileLookup", True).csv(path)
-    return read.select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("mission"), F.col("ID").alias("id"), F.col("Channel").alias("channel"),
-        F.to_timestamp("StartTime").alias("start_time"), F.to_timestamp("EndTime").alias("end_time"),
-    )
+    """Every <mission>/labels.csv (ID, Channel, StartTime, EndTime, ISO-8601 with zone; a file or a folder of parts) below path."""
+    read = spark.read.option("header", True).csv(f"{path}/*/labels.csv")
+    return read.select(_mission_of("labels.csv").alias("mission"), F.col("ID").alias("id"), F.col("Channel").alias("channel"), F.to_timestamp("StartTime").alias("start_time"), F.to_timestamp("EndTime").alias("end_time"))
 
 
 def write_records(df: DataFrame, path: str) -> None:

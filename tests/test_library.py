@@ -1,6 +1,7 @@
 """Operators on hand-made rows with hand-computed answers, and invariants."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -10,14 +11,17 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import text as t
 from skyloom.operators import advice as a
+from skyloom.operators import checks as c
 from skyloom.operators import detectors as d
 from skyloom.operators import fusion as fu
+from skyloom.operators import grading as gr
 from skyloom.operators import grid as g
 from skyloom.operators import imagery as im
 from skyloom.operators import metrics as m
 from skyloom.operators import sampling as k
 from skyloom.operators import sequences as s
 from skyloom.operators import windows as w
+from skyloom.shared import clear_tables, stored, tables_dir
 from skyloom.sources import io
 
 T0 = dt.datetime(2024, 1, 1)
@@ -307,3 +311,87 @@ def test_files_round_trip(spark, tmp_path):
         hourly(spark, [1.0, 2.0]).select("ts", "value").toPandas().to_parquet(folder / f"{c}.parquet")
     got = io.read_telemetry(spark, str(tmp_path / "raw"), channels)
     assert {r["channel"] for r in got.collect()} == {"c1"} and got.count() == 2
+    assert sorted((r["ts"], r["value"]) for r in got.collect()) == [(T0, 1.0), (T0 + dt.timedelta(hours=1), 2.0)]
+    with pytest.raises(Exception, match="(?i)exist"):
+        io.read_telemetry(spark, str(tmp_path / "none"), channels)
+
+
+@pytest.mark.parametrize("unit", ["ns", "us", "ms"])
+def test_telemetry_of_any_unit_and_layout(spark, tmp_path, unit):
+    channels = spark.createDataFrame([("Mission1", "c1"), ("Mission2", "c9")], "mission string, channel string")
+    frame = hourly(spark, [1.0, 2.5, -3.0]).select("ts", "value").toPandas()
+    frame["ts"] = frame["ts"].astype(f"datetime64[{unit}]")
+    for place in ("Mission1/c1.parquet", "Mission2/c9.parquet/part-0.parquet", "Mission2/c3.parquet", "Mission1/.c1.parquet"):
+        (tmp_path / "raw" / place).parent.mkdir(parents=True, exist_ok=True)
+        frame.to_parquet(tmp_path / "raw" / place)
+    got = io.read_telemetry(spark, str(tmp_path / "raw"), channels).orderBy("mission", "ts").collect()
+    assert [(r["mission"], r["channel"], r["value"], r["raw"]) for r in got] == [(x, y, v, None) for x, y in (("Mission1", "c1"), ("Mission2", "c9")) for v in (1.0, 2.5, -3.0)]
+    assert [r["ts"] for r in got[:3]] == [T0 + dt.timedelta(hours=i) for i in range(3)]
+    rows = spark.createDataFrame([("Mission1", "c1", T0, 4.0, "value_3")], "mission string, channel string, ts timestamp, value double, raw string")
+    rows.write.partitionBy("mission", "channel").parquet(str(tmp_path / "hive"))
+    assert tuple(io.read_telemetry(spark, str(tmp_path / "hive"), channels).first()) == ("Mission1", "c1", T0, 4.0, "value_3")
+
+
+def test_overlaps_across_days_and_stretches(spark):
+    """Pairs that share many buckets count once, and pairs in one bucket only if they meet."""
+    hours = lambda x: T0 + dt.timedelta(hours=x)
+    windows = spark.createDataFrame([(i, "Mission1", "c1", hours(a), hours(b)) for i, (a, b) in enumerate([(0, 100), (23, 25), (30, 31), (200, 201)])], "index long, mission string, channel string, start_time timestamp, end_time timestamp")
+    refs = spark.createDataFrame([(n, "Mission1", "c1", hours(a), hours(b)) for n, a, b in (("x", 20, 90), ("y", 24, 24.5), ("z", 31, 40), ("w", 1, 60))], "id string, mission string, channel string, start_time timestamp, end_time timestamp")
+    got = {r["index"]: (r["ref_id"], r["overlap_s"]) for r in gr.best_overlap(windows, refs).collect()}
+    assert got == {0: ("x", 70 * 3600), 1: ("w", 2 * 3600), 2: ("w", 3600), 3: (None, None)}
+    rng = np.random.default_rng(1)
+    p, q = ([(int(a), int(a + n)) for a, n in zip(rng.integers(0, 9000, 40), rng.integers(1, 3000, 40))] for _ in range(2))
+    pairs = {(r["ps"], r["pe"], r["gs"], r["ge"]) for r in m.interval_matches(spans(spark, p), spans(spark, q), 32).collect()}
+    assert pairs == {(*a, *b) for a in p for b in q if a[0] <= b[1] + 32 and a[1] >= b[0] - 32}
+    assert m.interval_matches(spans(spark, p), spans(spark, q), 32).count() == sum(a[0] <= b[1] + 32 and a[1] >= b[0] - 32 for a in p for b in q)
+
+
+def test_median_folds_and_large_samples(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, i % 3 == 0, float(x) if x is not None else None) for i, x in enumerate([5, 1, None, 9, 3])], "index long, is_anomaly boolean, error double")
+    assert fu.median(rows, "error") == 4 and fu.median(rows.where("index < 2"), "error") == 3 and fu.median(rows.limit(0), "error") is None
+    folds = fu.with_folds(matrix(spark, 43)).groupBy("is_anomaly", "fold").count().toPandas()
+    assert all(g["count"].max() - g["count"].min() <= 1 and set(g["fold"]) == set(range(5)) for _, g in folds.groupby("is_anomaly"))
+    few = {r["id"] for r in k.cap(labelled(spark, 100, 7), 30, ["id"]).collect()}
+    monkeypatch.setattr(k, "TOP_K", 10)
+    assert {r["id"] for r in k.cap(labelled(spark, 100, 7), 30, ["id"]).collect()} == few
+    assert k.balance(labelled(spark, 100, 7), ["id"]).count() == 28
+    with pytest.raises(ValueError, match="101 rows wanted"):
+        k.take_bounded(labelled(spark, 100, 7), 101, ["id"])
+    assert k.take_bounded(labelled(spark, 3, 1), 5, ["id"], strict=False).count() == 3
+
+
+def test_window_shape_in_one_pass(spark):
+    x = np.random.default_rng(6).normal(1e6, 3, size=(5, 33))
+    got = w.with_stats(windows_of(spark, x)).orderBy("start_idx").toPandas()
+    assert np.allclose(got["mean"], x.mean(1)) and np.allclose(got["std"], x.std(1)) and np.allclose(got["p2p"], np.ptp(x, axis=1)) and np.allclose(got["trend"], x[:, -9:].mean(1) - x[:, :8].mean(1))
+    plan = w.with_stats(windows_of(spark, x))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(values") <= 3  # the moments once, and the two quarters of the trend
+
+
+def test_comparison_and_gates(spark):
+    rows = spark.createDataFrame([("a", 0.5, 0.5, 0.5, 0.6, 1.0, None, 60.0), ("b", 0.4, 0.5, 0.4, 0.7, 0.9, 0.5, 10.0), ("t", 0.2, 1.0, 0.3, 0.2, None, None, None)], "approach string, precision double, recall double, f1 double, cef double, format_compliance double, advice_structured_frac double, advice_avg_chars double")
+    got = {r["approach"]: r for r in gr.compare(rows, "b", "t").collect()}
+    assert got["a"]["delta_f1"] == 0.1 and got["a"]["delta_format_compliance"] == 0.1 and got["a"]["delta_advice_structured_frac"] is None and got["b"]["delta_precision"] == 0 and got["a"]["best_f1"] and got["b"]["best_cef"] and not got["t"]["above_trivial"]
+    passed = lambda df: {r["check"]: r["passed"] for r in df.collect()}
+    assert passed(c.check_comparison(rows.withColumn("error", F.lit(None).cast("string")), "a")) == {"rows": True, "errors": True, "bounds": True, "advice_length": True}
+    assert passed(c.check_comparison(rows.withColumn("error", F.when(F.col("approach") == "t", "broken")), "b")) == {"rows": True, "errors": False, "bounds": True, "advice_length": False}
+    runs = spark.createDataFrame([(0.5, 0.5, 0.5, 2.0, 1.0), (0.5, 0.5, 0.5, None, 3.0)], "precision double, recall double, f1 double, first_loss double, last_loss double")
+    assert passed(c.check_detector(runs))["loss_fell"] and not passed(c.check_detector(runs.where("first_loss is null")))["loss_fell"]
+    assert not passed(c.check_regression(spark.createDataFrame([(0.1, 0.3, 0.9, 26.0)], "mae double, baseline_mae double, pearson double, cost double")))["cost"]
+    units = spark.createDataFrame([("Mission1", "c1"), ("Mission1", "c2")], "mission string, channel string")
+    loss = {r["channel"]: r["loss"] for r in gr.carry_prior(units, spark.createDataFrame([("Mission1", "c2", 1.5)], "mission string, channel string, loss double"), "loss").collect()}
+    assert loss["c2"] == 1.5 and np.isnan(loss["c1"])
+
+
+def test_isolation_forest_in_groups_of_trees(monkeypatch):
+    x = np.random.default_rng(1).normal(size=(300, 4))
+    x[7] += 12
+    monkeypatch.setattr(d, "FOREST_CELLS", 900)
+    assert d.isolation_scores(x, 5).argmax() == 7
+
+
+def test_tables_between_jobs_can_be_cleared(spark):
+    table = stored(labelled(spark, 5, 2))
+    assert table.count() == 5
+    clear_tables(spark)
+    assert not os.path.isdir(tables_dir(spark).removeprefix("file:"))
