@@ -32,7 +32,7 @@ DEPTHS = (MIN_DEPTH, 5, 8, 12, 20, 32, VALUES)
 #: Members of a region that one task compares with each other.
 REGION = 512
 #: Shingles of the sets under one rare shingle that one task compares; more are compared block by block, over many tasks.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Bits of a shingle's cell in the histogram that orders shingles from rare to common.
 ORDER_BITS = 20
 CHUNK_BYTES = 1 << 20

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,36 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 #: Cells of one part of a summed array.
 ARRAY_PART = 1 << 14
 
-_own: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of this process only where that is unset and Spark is local (tests)."""
-    global _own
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if _own is None:
-        _own = tempfile.mkdtemp(prefix="skyloom-")
-        atexit.register(shutil.rmtree, _own, True)
-    return _own
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once and read it back, so that later jobs neither recompute nor re-shuffle it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/skyloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
-    """Bound the rows and bytes of an Arrow batch, as whole texts may be long. Smaller settings of the user stay."""
+    """Bound the rows and bytes of an Arrow batch, as whole texts may be long. Smaller settings of the user stay; others can't be put back
+    here, as Spark reads them when a query runs."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = spark.conf.get(key).rstrip("b")
         if not now.isdigit() or int(now) <= 0 or int(now) > most:

@@ -264,7 +264,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     times = np.frombuffer(b"".join(r["times"] for r in found), np.int32)
     row = np.repeat(np.arange(len(found)), [len(r["terms"]) // 8 for r in found])
     del found
+    row = row.astype(np.int32)
     hashes, term = np.unique(h, return_inverse=True)
+    del h
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         seen = np.zeros(len(hashes) + 1, dtype=np.int64)  # the last place counts the texts
