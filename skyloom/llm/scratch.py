@@ -14,6 +14,7 @@ from ..shared import stored
 #: Cells of one part of a summed array.
 ARRAY_PART = 1 << 14
 
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder once and read it back, so that later jobs neither recompute nor re-shuffle it."""
     return stored(df)
