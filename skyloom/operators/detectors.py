@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import Z_GRID
 from ..schemas import DYNAMIC, ERRORS, MC
+from ..shared import blocks, exact_rank, join_channels
 from .metrics import best_by, macro, prf
 
 
@@ -117,67 +119,91 @@ def _harmonic(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-#: Points times trees that grow together.
-FOREST_CELLS = 1 << 20
+#: Windows that are scored in one call; windows of a channel that trees are drawn from.
+BLOCK, POOL = 8192, 25_600
 
 
-def isolation_scores(x: np.ndarray, seed: int, trees: int = 100, sample: int = 256) -> np.ndarray:
-    """Isolation forest: points that random axis cuts isolate early score near 1. Groups of trees grow together, a level at a time, as many
-    as keep memory near FOREST_CELLS numbers or, for more points than that, in proportion to the points."""
+def heads(rows: DataFrame) -> DataFrame:
+    """The blocks of rows, under columns of their own, to meet the rows again."""
+    own = [*MC, "_block"]
+    return rows.select(*[F.col(c).alias(c) for c in own]).distinct()
+
+
+def grow_forest(x: np.ndarray, seed: int, trees: int = 100, sample: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Isolation trees of `sample` rows each: (axis or -1, cut, depth of a leaf) of every node, a row for each tree; node i has children
+    2i + 1 and 2i + 2. All trees grow together, a level at a time."""
     rng = np.random.default_rng(seed)
-    size, depth = min(sample, len(x)), np.zeros(len(x))
-    at_once = max(1, FOREST_CELLS // max(len(x), 1))
-    for done in range(0, trees, at_once):
-        depth += _depths(x, rng, min(at_once, trees - done), size)
-    return 2.0 ** (-depth / trees / max(float(_harmonic(size)), 1e-12))
-
-
-def _depths(x: np.ndarray, rng: np.random.Generator, trees: int, size: int) -> np.ndarray:
-    """The sum over `trees` new trees of each point's depth."""
-    n, limit = len(x), int(np.ceil(np.log2(max(size, 2))))
-    own = np.concatenate([rng.choice(n, size, replace=False, shuffle=False) for _ in range(trees)])  # the sampled points that shape each tree
-    own_node = np.repeat(np.arange(trees), size)
-    point, node = np.tile(np.arange(n), trees), np.repeat(np.arange(trees), n)  # every point in every tree
-    depth = np.zeros(n)
+    size = min(sample, len(x))
+    limit = int(np.ceil(np.log2(max(size, 2))))
+    slots = 2 ** (limit + 1) - 1
+    axis, cut, depth = np.full(trees * slots, -1, np.int16), np.zeros(trees * slots), np.zeros(trees * slots)
+    own = np.concatenate([rng.choice(len(x), size, replace=False, shuffle=False) for _ in range(trees)])
+    node = np.repeat(np.arange(trees) * slots, size)
     for level in range(limit + 1):
-        order = np.argsort(own_node, kind="stable")
-        own, own_node = own[order], own_node[order]
-        names, start, count = np.unique(own_node, return_index=True, return_counts=True)
+        order = np.argsort(node, kind="stable")
+        own, node = own[order], node[order]
+        names, start, count = np.unique(node, return_index=True, return_counts=True)
         lo, hi = np.minimum.reduceat(x[own], start, axis=0), np.maximum.reduceat(x[own], start, axis=0)
+        depth[names] = level + _harmonic(count)
         grows = (hi > lo).any(axis=1) & (level < limit)
-        place = np.searchsorted(names, node)
-        done = ~grows[place]
-        np.add.at(depth, point[done], level + _harmonic(count)[place[done]])
         if not grows.any():
             break
-        feature = np.argmax(rng.random(lo.shape) * (hi > lo), axis=1)
-        rows = np.arange(len(names))
-        cut = lo[rows, feature] + (hi - lo)[rows, feature] * (1 - rng.random(len(names)))
-        point, place = point[~done], place[~done]
-        node = 2 * place + (x[point, feature[place]] >= cut[place])
-        mine = np.searchsorted(names, own_node)
+        chosen, rows = np.argmax(rng.random(lo.shape) * (hi > lo), axis=1), np.arange(len(names))
+        low, high = lo[rows, chosen], hi[rows, chosen]
+        at = low + (high - low) * (1 - rng.random(len(names)))
+        at = np.where(at <= low, high, at)
+        axis[names[grows]], cut[names[grows]] = chosen[grows], at[grows]
+        mine = np.searchsorted(names, node)
         own, mine = own[grows[mine]], mine[grows[mine]]
-        own_node = 2 * mine + (x[own, feature[mine]] >= cut[mine])
-    return depth
+        place = names[mine] % slots
+        node = names[mine] - place + 2 * place + 1 + (x[own, chosen[mine]] >= at[mine])
+    return axis.reshape(trees, slots), cut.reshape(trees, slots), depth.reshape(trees, slots)
+
 
+def isolation_scores(x: np.ndarray, axis: np.ndarray, cut: np.ndarray, depth: np.ndarray, size: int) -> np.ndarray:
+    """Points that random axis cuts of `size` rows isolate early score near 1."""
+    tree, row, node = np.arange(len(axis)), np.arange(len(x))[:, None], np.zeros((len(x), len(axis)), np.int32)
+    for _ in range(int(np.log2(axis.shape[1] + 1)) - 1):
+        on = axis[tree, node]
+        node = np.where(on >= 0, 2 * node + 1 + (x[row, np.maximum(on, 0)] >= cut[tree, node]), node)
+    return 2.0 ** (-depth[tree, node].mean(axis=1) / max(float(_harmonic(np.array(size))), 1e-12))
 
-def isolation_forest(windows: DataFrame, contamination: float = 0.1, seed: int = 0) -> DataFrame:
-    """Score and flag of each window, a forest per channel over standardised positions; flagged beyond the contamination percentile.
 
-    The seed depends on the channel's name, so results don't depend on partitioning. A channel's windows stand in one task: about 300
-    bytes each, beside what FOREST_CELLS bounds.
+def isolation_forest(windows: DataFrame, contamination: float = 0.1, seed: int = 0, trees: int = 100, sample: int = 256) -> DataFrame:
+    """Score and flag of each window, a forest per channel; flagged beyond the contamination percentile of all scores of the channel.
+
+    A channel's trees draw their rows from its POOL windows of least hash, all of them where it has no more. The windows then meet the trees in
+    blocks, so that a channel of any length is scored in many tasks. Random cuts don't depend on an axis' scale, so positions aren't scaled.
+    Draws depend on names and positions only, not on partitioning.
     """
+    rows = blocks(windows.select(*MC, "start_idx", "values"), MC, "start_idx", BLOCK)
+    drawn = F.xxhash64(*MC, "start_idx", F.lit(seed))
+    share = F.shiftrightunsigned(drawn, 33) / float(1 << 31)
+    few = join_channels(rows, rows.groupBy(*MC).agg(F.count("*").alias("_n")), MC).where(share <= 2.0 * POOL / F.col("_n"))
+    nth = F.row_number().over(Window.partitionBy(*MC).orderBy(drawn, "start_idx"))
+    pool = few.select(*MC, "start_idx", "values", nth.alias("_nth")).where(F.col("_nth") <= POOL)
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("start_idx")
-        x = np.stack(group["values"].to_numpy())
-        std = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(std == 0, 1, std)
-        key = "|".join([*group.iloc[0][MC], str(seed)])
-        score = isolation_scores(x, int(hashlib.md5(key.encode()).hexdigest()[:12], 16))
-        return group[[*MC, "start_idx"]].assign(score=score, flag=score > np.percentile(score, 100 * (1 - contamination)))
-
-    return windows.select(*MC, "start_idx", "values").groupBy(*MC).applyInPandas(fit, "mission string, channel string, start_idx int, score double, flag boolean")
+        group = group.sort_values("_nth")
+        key = "|".join([*group.iloc[0][MC].astype(str), str(seed)])
+        grown = grow_forest(np.stack(group["values"].to_numpy()), int(hashlib.md5(key.encode()).hexdigest()[:12], 16), trees, sample)
+        return group[MC].head(1).assign(size=min(sample, len(group)), **{n: [v.tobytes()] for n, v in zip(("axis", "cut", "depth"), grown)})
+
+    def score(key: tuple, group: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        f = forest.iloc[0]
+        parts = [np.frombuffer(f[n], kind).reshape(trees, -1) for n, kind in (("axis", np.int16), ("cut", np.float64), ("depth", np.float64))]
+        return group[[*MC, "start_idx"]].assign(score=isolation_scores(np.stack(group["values"].to_numpy()), *parts, f["size"]))
+
+    forests = pool.groupBy(*MC).applyInPandas(fit, "mission string, channel string, size int, axis binary, cut binary, depth binary")
+    near = join_channels(heads(rows), forests, MC)
+    scored = rows.groupBy(*MC, "_block").cogroup(near.groupBy(*MC, "_block")).applyInPandas(score, "mission string, channel string, start_idx int, score double")
+    ranked = exact_rank(scored, [*MC, "score"], "_rank")
+    ends = ranked.groupBy(*MC).agg(F.min("_rank").alias("_first"), ((F.count("*") - 1) * (1 - contamination)).alias("_at"))
+    placed = join_channels(ranked, ends, MC)
+    step = F.col("_rank") - F.col("_first") - F.floor("_at")
+    low, high = F.max(F.when(step == 0, F.col("score"))), F.max(F.when(step == 1, F.col("score")))
+    cuts = placed.groupBy(*MC).agg((low + F.coalesce(high - low, F.lit(0.0)) * F.max(F.col("_at") - F.floor("_at"))).alias("_cut"))
+    return join_channels(ranked, cuts, MC).select(*MC, "start_idx", "score", (F.col("score") > F.col("_cut")).alias("flag"))
 
 
 def pca_fit(k: int = 4) -> Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]]:
@@ -192,12 +218,77 @@ def pca_fit(k: int = 4) -> Callable[[np.ndarray], Callable[[np.ndarray], np.ndar
     return fit
 
 
-def reconstruction_errors(windows: DataFrame, fit: Callable | None = None, least_normal: int = 100) -> DataFrame:
-    """Mean squared reconstruction error of every window; fit sees the channel's normal windows and returns a function that rebuilds windows.
+#: (n, mean, sum of outer products about the mean) of some windows, and how many channels a task sums at a time.
+Moments = tuple[int, np.ndarray, np.ndarray]
+CHANNELS_AT_ONCE = 1000
+MOMENTS = "mission string, channel string, salt int, n bigint, mean array<double>, outer array<double>"
 
-    A channel with fewer than `least_normal` normal windows gives no rows. A channel's windows stand in one task, some 600 bytes each.
+
+def _added(a: Moments | None, b: Moments) -> Moments:
+    if a is None:
+        return b
+    n, gap = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + gap * (b[0] / n), a[2] + b[2] + np.outer(gap, gap) * (a[0] * b[0] / n)
+
+
+def principal_components(windows: DataFrame, k: int, least_normal: int) -> DataFrame:
+    """(mission, channel, mean, top): the k principal components of a channel's normal windows, from moments summed in every task, then by salt, then
+    by channel. Channels with fewer than `least_normal` normal windows are left out."""
+
+    def rows(sums: dict, salt: int) -> pd.DataFrame:
+        return pd.DataFrame([(*key, salt, n, mean, outer.ravel()) for key, (n, mean, outer) in sums.items()], columns=[*MC, "salt", "n", "mean", "outer"])
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, salt = {}, TaskContext.get().partitionId() % 64
+        for frame in frames:
+            for key, values in frame.groupby(MC, dropna=False)["values"]:
+                key, x = tuple(None if pd.isna(v) else v for v in key), np.stack(values.to_numpy())
+                mean = x.mean(axis=0)
+                sums[key] = _added(sums.get(key), (len(x), mean, (x - mean).T @ (x - mean)))
+            if len(sums) > CHANNELS_AT_ONCE:
+                yield rows(sums, salt)
+                sums = {}
+        yield rows(sums, salt)
+
+    def total(group: pd.DataFrame) -> Moments:
+        out = None
+        for n, mean, outer in zip(group["n"], group["mean"], group["outer"]):
+            out = _added(out, (int(n), np.asarray(mean), np.asarray(outer).reshape(len(mean), -1)))
+        return out
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        n, mean, outer = total(group.sort_values("n"))
+        return group[[*MC, "salt"]].head(1).assign(n=n, mean=[mean], outer=[outer.ravel()])
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        n, mean, outer = total(group.sort_values("salt"))
+        if n < least_normal:
+            return group[MC].head(0).assign(mean=None, top=None)
+        top = np.linalg.eigh(outer / n)[1][:, -k:]
+        return group[MC].head(1).assign(mean=[mean], top=[top.ravel()])
+
+    partials = windows.where(~F.col("is_anomaly")).select(*MC, "values").mapInPandas(partial, MOMENTS)
+    return partials.groupBy(*MC, "salt").applyInPandas(merge, MOMENTS).groupBy(*MC).applyInPandas(solve, "mission string, channel string, mean array<double>, top array<double>")
+
+
+def reconstruction_errors(windows: DataFrame, fit: Callable | None = None, least_normal: int = 100, k: int = 4) -> DataFrame:
+    """Mean squared reconstruction error of every window from k principal components of its channel's normal windows. A channel with fewer than
+    `least_normal` normal windows gives no rows. Moments are partial sums and windows are rebuilt in blocks, so a channel may have any length.
+
+    A caller's `fit` sees all normal windows of a channel and returns a function that rebuilds windows: a channel stands in one task then.
     """
-    fit = fit or pca_fit()
+    if fit is None:
+        rows = blocks(windows.select(*MC, "start_idx", "values", "is_anomaly"), MC, "start_idx", BLOCK)
+
+        def rebuild(key: tuple, group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+            if model.empty or group.empty:
+                return group[[*MC, "i", "start_idx"]].head(0).assign(error=0.0, is_anomaly=False)
+            mean = np.asarray(model["mean"].iloc[0])
+            top, x = np.asarray(model["top"].iloc[0]).reshape(len(mean), -1), np.stack(group["values"].to_numpy()) - mean
+            return group[[*MC, "i", "start_idx"]].assign(error=((x - x @ top @ top.T) ** 2).mean(axis=1), is_anomaly=group["is_anomaly"])
+
+        near = join_channels(heads(rows), principal_components(rows, k, least_normal), MC)
+        return rows.groupBy(*MC, "_block").cogroup(near.groupBy(*MC, "_block")).applyInPandas(rebuild, ERRORS)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start_idx").reset_index(drop=True)

@@ -4,6 +4,7 @@ import datetime as dt
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as hs
@@ -111,6 +112,18 @@ def test_ewma(spark):
     assert column(s.ewma(rows, 1), "ewma", "i") == [1, 2, 3]
 
 
+def test_ewma_of_segments_is_that_of_whole_keys(spark):
+    x = np.random.default_rng(5).normal(size=400)
+    x[[0, 1, 30, 399]] = np.nan
+    rows = spark.createDataFrame([("Mission1", c, i, None if np.isnan(v) else float(v)) for c in ("c1", None) for i, v in enumerate(x[: 400 if c else 9])], "mission string, channel string, i int, error double")
+    got = s.ewma(rows.repartition(6), 5).toPandas()
+    for c, n in (("c1", 400), (None, 9)):
+        mine = got[got["channel"] == c] if c else got[got["channel"].isna()]
+        want = pd.Series(x[:n]).ewm(span=5, adjust=False, ignore_na=True).mean()
+        assert np.allclose(mine.sort_values("i")["ewma"].to_numpy(float), want, equal_nan=True)
+    assert s.ewma(rows.limit(0), 5).count() == 0
+
+
 def test_affinity(spark):
     assert m.affinity_f1(spans(spark, [(0, 32)]), spans(spark, [(64, 96)])).first()["affinity_f1"] == 1
     assert m.affinity_f1(spans(spark, [(0, 31)]), spans(spark, [(64, 96)])).first()["affinity_f1"] == 0
@@ -198,8 +211,39 @@ def test_epsilon_falls_back_and_finds():
 def test_isolation_forest_ranks_outliers_first():
     x = np.random.default_rng(1).normal(size=(300, 4))
     x[7] += 12
-    one_, two = d.isolation_scores(x, 5), d.isolation_scores(x, 5)
+    one_, two = (d.isolation_scores(x, *d.grow_forest(x, 5), 256) for _ in range(2))
     assert (one_ == two).all() and one_.argmax() == 7 and (one_ > 0).all() and (one_ < 1).all()
+    assert (d.isolation_scores(x[:1], *d.grow_forest(x[:1], 5), 1) > 0).all()
+
+
+def by_walk(point, axis, cut, depth):
+    node = 0
+    while axis[node] >= 0:
+        node = 2 * node + (2 if point[axis[node]] >= cut[node] else 1)
+    return depth[node]
+
+
+def test_isolation_scores_against_a_walk():
+    x = np.round(np.random.default_rng(2).normal(size=(90, 3)), 1)
+    axis, cut, depth = d.grow_forest(x, 3, trees=7, sample=32)
+    want = [2 ** (-np.mean([by_walk(p, axis[t], cut[t], depth[t]) for t in range(7)]) / d._harmonic(np.array(32))) for p in x]
+    assert np.allclose(d.isolation_scores(x, axis, cut, depth, 32), want)
+
+
+def test_isolation_forest_in_blocks(spark, monkeypatch):
+    x = np.random.default_rng(1).normal(size=(300, 4))
+    x[7] += 12
+    rows = windows_of(spark, x)
+    whole = {r["start_idx"]: (r["score"], r["flag"]) for r in d.isolation_forest(rows).collect()}
+    monkeypatch.setattr(d, "BLOCK", 37)
+    assert {r["start_idx"]: (r["score"], r["flag"]) for r in d.isolation_forest(rows.repartition(5)).collect()} == whole
+    scores = np.array([s for s, _ in whole.values()])
+    assert {i for i, (s, f) in whole.items() if f} == {i for i, (s, _) in whole.items() if s > np.percentile(scores, 90)}
+    assert max(whole, key=lambda i: whole[i][0]) == 7 * 16
+    monkeypatch.setattr(d, "POOL", 64)
+    few = {r["start_idx"]: r["score"] for r in d.isolation_forest(rows).collect()}
+    assert len(few) == 300 and max(few, key=few.get) == 7 * 16
+    assert d.isolation_forest(rows.limit(0)).count() == 0
 
 
 def windows_of(spark, x, anomalous=()):
@@ -208,15 +252,27 @@ def windows_of(spark, x, anomalous=()):
 
 def test_reconstruction(spark):
     x = np.random.default_rng(2).normal(size=(120, 8))
-    full = d.reconstruction_errors(windows_of(spark, x), d.pca_fit(8)).toPandas()
+    full = d.reconstruction_errors(windows_of(spark, x), k=8).toPandas()
     assert len(full) == 120 and full["error"].max() < 1e-18
     line = np.outer(np.arange(120), np.ones(8)) + np.random.default_rng(3).normal(size=(120, 8)) * 0.01
     line[50, 3] += 40
-    out = d.reconstruction_errors(windows_of(spark, line, {50}), d.pca_fit(1)).toPandas()
+    out = d.reconstruction_errors(windows_of(spark, line, {50}), k=1).toPandas()
     assert out.sort_values("error")["i"].iloc[-1] == 50
     assert d.reconstruction_errors(windows_of(spark, x[:50])).count() == 0
 
 
+def test_reconstruction_in_blocks_is_that_of_whole_channels(spark, monkeypatch):
+    x = 1000 + np.cumsum(np.random.default_rng(4).normal(size=(150, 6)), axis=1)
+    rows = windows_of(spark, x, {3, 70})
+    rows = rows.union(rows.where("start_idx < 1920").withColumn("channel", F.lit(None).cast("string"))).repartition(7)
+    monkeypatch.setattr(d, "BLOCK", 16)
+    monkeypatch.setattr(d, "CHANNELS_AT_ONCE", 1)
+    key = lambda r: (r["channel"] or "", r["i"], r["start_idx"], r["is_anomaly"])
+    got, want = ({key(r): r["error"] for r in df.collect()} for df in (d.reconstruction_errors(rows, k=2), d.reconstruction_errors(rows, d.pca_fit(2))))
+    assert len(got) == 270 and got.keys() == want.keys() and all(np.isclose(got[c], want[c]) for c in got)
+    assert d.reconstruction_errors(rows.limit(0)).count() == 0
+
+
 def test_score_windows_survives_failures(spark):
     def predict(batch):
         if (batch["start_idx"] == 16).any():
@@ -383,13 +439,6 @@ def test_comparison_and_gates(spark):
     assert loss["c2"] == 1.5 and np.isnan(loss["c1"])
 
 
-def test_isolation_forest_in_groups_of_trees(monkeypatch):
-    x = np.random.default_rng(1).normal(size=(300, 4))
-    x[7] += 12
-    monkeypatch.setattr(d, "FOREST_CELLS", 900)
-    assert d.isolation_scores(x, 5).argmax() == 7
-
-
 def test_tables_between_jobs_can_be_cleared(spark):
     table = stored(labelled(spark, 5, 2))
     assert table.count() == 5
