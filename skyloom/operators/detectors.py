@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import Z_GRID
 from ..schemas import DYNAMIC, ERRORS, MC
-from ..shared import blocks, exact_rank, join_channels
+from ..shared import exact_rank, join_channels, stored
 from .metrics import best_by, macro, prf
 
 
@@ -119,14 +119,20 @@ def _harmonic(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-#: Windows that are scored in one call; windows of a channel that trees are drawn from.
-BLOCK, POOL = 8192, 25_600
+#: Positions whose windows are scored in one call; windows of a channel that trees are drawn from.
+BLOCK, POOL = 131_072, 25_600
+
+
+def in_blocks(windows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns with `_block`, stored: a channel and a block name at most BLOCK starts."""
+    return stored(windows.select(*MC, "start_idx", *columns, F.floor(F.col("start_idx") / BLOCK).alias("_block")))
 
 
 def heads(rows: DataFrame) -> DataFrame:
-    """The blocks of rows, under columns of their own, to meet the rows again."""
-    own = [*MC, "_block"]
-    return rows.select(*[F.col(c).alias(c) for c in own]).distinct()
+    """A channel's blocks with the number of rows before each."""
+    own = rows.groupBy(*[F.col(c).alias(c) for c in (*MC, "_block")]).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*MC).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return own.select(*MC, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
 
 
 def grow_forest(x: np.ndarray, seed: int, trees: int = 100, sample: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +182,7 @@ def isolation_forest(windows: DataFrame, contamination: float = 0.1, seed: int =
     blocks, so that a channel of any length is scored in many tasks. Random cuts don't depend on an axis' scale, so positions aren't scaled.
     Draws depend on names and positions only, not on partitioning.
     """
-    rows = blocks(windows.select(*MC, "start_idx", "values"), MC, "start_idx", BLOCK)
+    rows = in_blocks(windows, ["values"])
     drawn = F.xxhash64(*MC, "start_idx", F.lit(seed))
     share = F.shiftrightunsigned(drawn, 33) / float(1 << 31)
     few = join_channels(rows, rows.groupBy(*MC).agg(F.count("*").alias("_n")), MC).where(share <= 2.0 * POOL / F.col("_n"))
@@ -197,7 +203,7 @@ def isolation_forest(windows: DataFrame, contamination: float = 0.1, seed: int =
     forests = pool.groupBy(*MC).applyInPandas(fit, "mission string, channel string, size int, axis binary, cut binary, depth binary")
     near = join_channels(heads(rows), forests, MC)
     scored = rows.groupBy(*MC, "_block").cogroup(near.groupBy(*MC, "_block")).applyInPandas(score, "mission string, channel string, start_idx int, score double")
-    ranked = exact_rank(scored, [*MC, "score"], "_rank")
+    ranked = exact_rank(stored(scored), [*MC, "score"], "_rank")
     ends = ranked.groupBy(*MC).agg(F.min("_rank").alias("_first"), ((F.count("*") - 1) * (1 - contamination)).alias("_at"))
     placed = join_channels(ranked, ends, MC)
     step = F.col("_rank") - F.col("_first") - F.floor("_at")
@@ -278,14 +284,16 @@ def reconstruction_errors(windows: DataFrame, fit: Callable | None = None, least
     A caller's `fit` sees all normal windows of a channel and returns a function that rebuilds windows: a channel stands in one task then.
     """
     if fit is None:
-        rows = blocks(windows.select(*MC, "start_idx", "values", "is_anomaly"), MC, "start_idx", BLOCK)
+        rows = in_blocks(windows, ["values", "is_anomaly"])
 
         def rebuild(key: tuple, group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
             if model.empty or group.empty:
-                return group[[*MC, "i", "start_idx"]].head(0).assign(error=0.0, is_anomaly=False)
+                return group[MC].head(0).assign(i=0, start_idx=0, error=0.0, is_anomaly=False)
+            group = group.sort_values("start_idx")
             mean = np.asarray(model["mean"].iloc[0])
             top, x = np.asarray(model["top"].iloc[0]).reshape(len(mean), -1), np.stack(group["values"].to_numpy()) - mean
-            return group[[*MC, "i", "start_idx"]].assign(error=((x - x @ top @ top.T) ** 2).mean(axis=1), is_anomaly=group["is_anomaly"])
+            i = model["_before"].iloc[0] + np.arange(len(group))
+            return group[MC].assign(i=i, start_idx=group["start_idx"], error=((x - x @ top @ top.T) ** 2).mean(axis=1), is_anomaly=group["is_anomaly"])
 
         near = join_channels(heads(rows), principal_components(rows, k, least_normal), MC)
         return rows.groupBy(*MC, "_block").cogroup(near.groupBy(*MC, "_block")).applyInPandas(rebuild, ERRORS)

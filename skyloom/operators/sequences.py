@@ -2,59 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MC
-from ..shared import stored
+from ..shared import join_channels, stored
+
+
+#: Positions that are smoothed in one call.
+SEGMENT = 65_536
 
 
 def ewma(df: DataFrame, span: int, keys: list[str] = MC, order: str = "i", value: str = "error") -> DataFrame:
-    """Recursive exponentially weighted mean, alpha = 2 / (span + 1); a span of 1 or less changes nothing.
+    """Recursive exponentially weighted mean over whole-number positions `order`, alpha = 2 / (span + 1); a span of 1 or less changes nothing.
 
-    A missing value takes the last mean; before the first value there is none. Rows are dealt by ranges of keys and order, so that a long key
-    is smoothed in many tasks: each segment starts from 0, then what the one before ends with is added, weighed down by the values since.
+    A missing value takes the last mean; before the first value there is none. Segments of SEGMENT positions are smoothed from 0 each, so that a
+    long key is spread over tasks; then what the segment before ends with is added, weighed down by the values since.
     """
     if span <= 1:
         return df.select(*keys, order, F.col(value).alias("ewma"))
     kinds, alpha = dict(df.dtypes), 2 / (span + 1)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def smooth(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, mean, seen, row, segment = None, 0.0, 0, 0, TaskContext.get().partitionId() << 32
-        for frame in frames:
-            for name, group in frame.groupby(keys, sort=False, dropna=False):
-                name = tuple(None if pd.isna(v) else v for v in name)
-                if name != key:
-                    key, mean, seen, row, segment = name, 0.0, 0, 0, segment + 1
-                x = group[value].astype(float)
-                local = pd.concat([pd.Series([mean]), x]).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
-                valid, rows = seen + x.notna().cumsum().to_numpy(), row + 1 + np.arange(len(x))
-                mean, seen, row = local[-1], int(valid[-1]), int(rows[-1])
-                yield group.assign(_segment=segment, _row=rows, _valid=valid, _local=local)
+    names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def smooth(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values([order, "_x"])
+        x = group["_x"].astype(float)
+        local = pd.concat([pd.Series([0.0]), x]).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
+        return group[[*keys, order, "_segment"]].assign(_valid=x.notna().cumsum().to_numpy(), _local=local, _first=x.dropna().iloc[0] if x.notna().any() else np.nan, _last=local[-1])
 
     def carry(group: pd.DataFrame) -> pd.DataFrame:
-        group, mean, out = group.sort_values("_segment"), np.nan, []
-        for first, last, valid in zip(group["_x"], group["_last"], group["_valid"]):
-            started = not np.isnan(mean)
-            mean = mean if started else float(first if first is not None else np.nan)
-            out.append((started, mean))
-            mean = last + (1 - alpha) ** valid * mean
-        return group[["_segment"]].assign(_started=[s for s, _ in out], _before=[m for _, m in out])
-
-    own = df.select(*keys, order, F.col(value).cast("double").alias(value)).repartitionByRange(n, *keys, order).sortWithinPartitions(*keys, order, value)
-    columns = ", ".join([*[f"`{k}` {kinds[k]}" for k in [*keys, order]], f"`{value}` double", "_segment bigint, _row bigint, _valid bigint, _local double"])
-    placed = stored(own.mapInPandas(smooth, columns))
-    there = F.col(value).isNotNull() & ~F.isnan(value)
-    ends = placed.groupBy(*keys, "_segment").agg(F.min_by(value, F.when(there, F.col("_row"))).alias("_x"), F.max_by("_local", "_row").alias("_last"), F.max("_valid").alias("_valid"))
-    before = ends.groupBy(*keys).applyInPandas(carry, "_segment bigint, _started boolean, _before double")  # as many rows a key as partitions hold it
-    out = F.col("_local") + F.pow(F.lit(1 - alpha), F.col("_valid")) * F.col("_before")
-    return placed.join(before, "_segment").select(*keys, order, F.when(F.col("_started") | (F.col("_valid") > 0), out).alias("ewma"))
+        group, mean, before = group.sort_values("_segment"), np.nan, []
+        for first, last, valid in zip(group["_first"], group["_last"], group["_valid"]):
+            before.append(mean)
+            mean = last + (1 - alpha) ** valid * (first if np.isnan(mean) else mean)
+        return group[[*keys, "_segment", "_first"]].assign(_before=before)
+
+    own = df.select(*keys, order, F.col(value).cast("double").alias("_x"), F.floor(F.col(order) / SEGMENT).alias("_segment"))
+    placed = stored(own.groupBy(*keys, "_segment").applyInPandas(smooth, f"{names}, `{order}` {kinds[order]}, _segment bigint, _valid bigint, _local double, _first double, _last double"))
+    ends = placed.groupBy(*keys, "_segment").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_valid").alias("_valid"))
+    before = ends.groupBy(*keys).applyInPandas(carry, f"{names}, _segment bigint, _first double, _before double")  # a row for each segment
+    both = join_channels(placed.drop("_first"), before, [*keys, "_segment"])
+    started = ~F.isnan("_before") & F.col("_before").isNotNull()
+    out = F.col("_local") + F.pow(F.lit(1 - alpha), F.col("_valid")) * F.when(started, F.col("_before")).otherwise(F.col("_first"))
+    return both.select(*keys, order, F.when(started | (F.col("_valid") > 0), out).alias("ewma"))
 
 
 def contiguous_runs(df: DataFrame, flag: str, keys: list[str] = MC, order: str = "i") -> DataFrame:

@@ -85,12 +85,3 @@ def join_channels(df: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
     """df with the columns of `per`, a row for each value of keys; a missing key meets a missing key. Rows without a partner go."""
     named = per.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in per.columns if c not in keys])
     return df.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])
-
-
-def blocks(df: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
-    """df with `i`, the 0-based position by `order` inside keys, and `_block`; keys and _block name at most `size` rows, however many a key holds."""
-    ranked = exact_rank(df, [*keys, order], "_rank")
-    first = ranked.groupBy(*keys).agg(F.min("_rank").alias("_first"))
-    placed = join_channels(ranked, first, keys)
-    at = F.col("_rank") - F.col("_first")
-    return placed.withColumns({"i": at.cast("int"), "_block": F.floor(at / size).cast("int")}).drop("_rank", "_first")

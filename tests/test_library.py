@@ -112,7 +112,8 @@ def test_ewma(spark):
     assert column(s.ewma(rows, 1), "ewma", "i") == [1, 2, 3]
 
 
-def test_ewma_of_segments_is_that_of_whole_keys(spark):
+def test_ewma_of_segments_is_that_of_whole_keys(spark, monkeypatch):
+    monkeypatch.setattr(s, "SEGMENT", 30)
     x = np.random.default_rng(5).normal(size=400)
     x[[0, 1, 30, 399]] = np.nan
     rows = spark.createDataFrame([("Mission1", c, i, None if np.isnan(v) else float(v)) for c in ("c1", None) for i, v in enumerate(x[: 400 if c else 9])], "mission string, channel string, i int, error double")
@@ -235,7 +236,7 @@ def test_isolation_forest_in_blocks(spark, monkeypatch):
     x[7] += 12
     rows = windows_of(spark, x)
     whole = {r["start_idx"]: (r["score"], r["flag"]) for r in d.isolation_forest(rows).collect()}
-    monkeypatch.setattr(d, "BLOCK", 37)
+    monkeypatch.setattr(d, "BLOCK", 37 * 16)
     assert {r["start_idx"]: (r["score"], r["flag"]) for r in d.isolation_forest(rows.repartition(5)).collect()} == whole
     scores = np.array([s for s, _ in whole.values()])
     assert {i for i, (s, f) in whole.items() if f} == {i for i, (s, _) in whole.items() if s > np.percentile(scores, 90)}
@@ -265,7 +266,7 @@ def test_reconstruction_in_blocks_is_that_of_whole_channels(spark, monkeypatch):
     x = 1000 + np.cumsum(np.random.default_rng(4).normal(size=(150, 6)), axis=1)
     rows = windows_of(spark, x, {3, 70})
     rows = rows.union(rows.where("start_idx < 1920").withColumn("channel", F.lit(None).cast("string"))).repartition(7)
-    monkeypatch.setattr(d, "BLOCK", 16)
+    monkeypatch.setattr(d, "BLOCK", 16 * 16)
     monkeypatch.setattr(d, "CHANNELS_AT_ONCE", 1)
     key = lambda r: (r["channel"] or "", r["i"], r["start_idx"], r["is_anomaly"])
     got, want = ({key(r): r["error"] for r in df.collect()} for df in (d.reconstruction_errors(rows, k=2), d.reconstruction_errors(rows, d.pca_fit(2))))
