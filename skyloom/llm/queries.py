@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, mpeg, neardup, packing, pseudonyms, shards, tokens, toxicity, urlrules
+from . import decontam, language, mpeg, neardup, packing, pseudonyms, shards, tokens, toxicity, urlrules, vectorcodes
 
 #: The vocabulary file's name; its place is asked of the installed package.
 VOCABULARY = "word_bpe_49k.json"
@@ -95,6 +95,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = vectorcodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "code", "error", F.col("group_error").alias("label_error"), "codebooks_sha256")
+
+
+def op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds unrolled: each assigns every part to its nearest entry, then moves the entries."""
+    steps = [f"""kept AS MATERIALIZED (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (n // {parts}) AS p, (i - 1) % (n // {parts}) AS i, CAST(floor(4096 * x::DOUBLE) AS BIGINT) AS x
+  FROM (SELECT vec_id, len(embedding) AS n, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM kept)
+), first AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}
+), book0 AS MATERIALIZED (SELECT p, e, i, x AS c FROM cells JOIN first USING (vec_id))"""]
+    for k in range(rounds + 1):
+        steps.append(f"""away{k} AS MATERIALIZED (SELECT vec_id, p, e, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM cells JOIN book{k} USING (p, i) GROUP BY vec_id, p, e),
+near{k} AS MATERIALIZED (SELECT vec_id, p, e, d FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) AS k FROM away{k}) WHERE k = 1)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, b.i, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN (
+    SELECT p, e, i, CAST(sum(x) AS BIGINT) // count(*) - CASE WHEN CAST(sum(x) AS BIGINT) % count(*) < 0 THEN 1 ELSE 0 END AS c
+    FROM cells JOIN near{k} USING (vec_id, p) GROUP BY p, e, i) m USING (p, e, i))""")
+    steps.append(f"""coded AS MATERIALIZED (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_pii": op2_pii,
@@ -106,5 +137,6 @@ QUERIES = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op4_url_filters": OP4_SQL}
+ORACLES = {"op4_url_filters": OP4_SQL, "op13_vector_codes": op13_sql()}
