@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, mpeg, neardup, packing, pseudonyms, shards, tokens, toxicity, urlrules, vectorcodes
+from . import decontam, language, mpeg, neardup, packing, pseudonyms, shards, tokens, toxicity, turns, urlrules, vectorcodes
 
 #: The vocabulary file's name; its place is asked of the installed package.
 VOCABULARY = "word_bpe_49k.json"
@@ -95,6 +95,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"), damaged=True)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectorcodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return out.select("vec_id", "code", "error", F.col("group_error").alias("label_error"), "codebooks_sha256")
@@ -137,6 +141,7 @@ QUERIES = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
 ORACLES = {"op4_url_filters": OP4_SQL, "op13_vector_codes": op13_sql()}
