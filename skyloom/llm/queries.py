@@ -99,6 +99,60 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(table(spark, sf_dir, "conversations"), damaged=True)
 
 
+def op12_sql() -> str:
+    """A recursion from a conversation's last row to its first that keeps the least (cost, audit, lines) for each of the four last roles."""
+    names, after = ["", "system", "user", "assistant"], [2, 2, 3, 2]
+    option = lambda cost, edit, line, to: f"{{'c': {cost} + w.b[{to + 1}].c, 'a': '{edit}' || w.b[{to + 1}].a, 't': {line} || w.b[{to + 1}].t}}"
+
+    def row(s: int) -> str:
+        to = after[s]
+        kept = f"CASE WHEN NOT r.gone AND left(r.role, 1) = '{names[to][0]}' THEN {option('r.cut', 'K', 'r.line', to)} END"
+        first = f", CASE WHEN NOT r.gone AND left(r.role, 1) = 's' THEN {option('r.cut', 'K', 'r.line', 1)} END" if s == 0 else ""
+        given = f"CASE WHEN NOT r.gone THEN {option('2 + r.cut', 'R', f"'{names[to]}:' || r.text || chr(10)", to)} END"
+        return f"list_sort([{option('3', 'D', "''", s)}, {kept}, {given}{first}], 'ASC', 'NULLS LAST')[1]"
+
+    def inserted(s: int) -> str:
+        """What may be inserted before the rest x, two rows at most: more never pay."""
+        ways, to, audit, lines = [f"x[{s + 1}]"], s, "", ""
+        for k in (1, 2):
+            to = after[to]
+            audit, lines = audit + "I", lines + f"'{names[to]}:' || chr(10) || "
+            ways.append(f"{{'c': {2 * k} + x[{to + 1}].c, 'a': '{audit}' || x[{to + 1}].a, 't': {lines}x[{to + 1}].t}}")
+        return f"list_sort([{', '.join(ways)}])[1]"
+
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) x(i)
+), spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), keyed AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, x: xor(a >> 8, t[1 + (xor(a, x) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS k
+  FROM spaced, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE k WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM keyed WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[ \t-\r]', '', 'g') AS bare FROM damaged
+), judged AS (
+  SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+), rowed AS MATERIALIZED (
+  SELECT conv_id, i, turn, role, text, before, blank, again AND NOT blank AS duplicate, NOT blank AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated, blank OR again AS gone,
+    CASE WHEN right(bare, 1) IN ('.', '!', '?') THEN 0 ELSE 1 END AS cut, role || ':' || text || chr(10) AS line FROM judged
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (i > 1 AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM rowed GROUP BY conv_id
+), walk(conv_id, i, b) AS (
+  SELECT conv_id, n + 1, [{{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}}, {{'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}}, {{'c': 2, 'a': 'I', 't': 'assistant:' || chr(10)}}, {{'c': 0, 'a': '', 't': ''}}] FROM counted
+  UNION ALL
+  SELECT conv_id, i, [{', '.join(inserted(s) for s in range(4))}] FROM (
+    SELECT w.conv_id, r.i, [{', '.join(row(s) for s in range(4))}] AS x FROM walk w JOIN rowed r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i - 1)
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(w.b[1].c, 0) AS cost, coalesce(w.b[1].a, '') AS audit, sha256(coalesce(left(w.b[1].t, greatest(length(w.b[1].t) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.i = 1
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = vectorcodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return out.select("vec_id", "code", "error", F.col("group_error").alias("label_error"), "codebooks_sha256")
@@ -144,4 +198,4 @@ QUERIES = {
     "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
-ORACLES = {"op4_url_filters": OP4_SQL, "op13_vector_codes": op13_sql()}
+ORACLES = {"op4_url_filters": OP4_SQL, "op12_conversation_repair": op12_sql(), "op13_vector_codes": op13_sql()}
