@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, mpeg, neardup, packing, pseudonyms, shards, tokens, toxicity, turns, urlrules, vectorcodes
+from . import decontam, language, mpeg, neardup, packing, pseudonyms, secretscan, shards, tokens, toxicity, turns, urlrules, vectorcodes
 
 #: The vocabulary file's name; its place is asked of the installed package.
 VOCABULARY = "word_bpe_49k.json"
@@ -95,6 +95,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted", "evidence")
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secretscan.find_secrets(docs, secretscan.learn(docs)).select("doc_id", "found")
+    base = F.filter("found", lambda x: ~x["learned"])
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    counts = [F.size(F.filter("found", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in secretscan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(table(spark, sf_dir, "conversations"), damaged=True)
 
@@ -195,6 +204,7 @@ QUERIES = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_secret_scans": op11_secret_scans,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
