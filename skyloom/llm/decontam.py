@@ -5,7 +5,7 @@ lower-cased. A capitalised word that opens a sentence may be a name or not, so a
 Windows of WINDOW tokens are hashed; one that is mostly placeholders keeps its values, so bare placeholders never match,
 and is also read as a placeholder window of WIDE tokens if enough of them are plain. A document is a candidate for an item when
 it holds one of the item's rarest windows, of which at least one must match if the wanted share of all windows does. A
-candidate counts when within one stretch of the document the share of the item's windows that match, with every slot
+candidate counts when within any stretch of the document the share of the item's windows that match, with every slot
 value standing for one value, is high enough.
 """
 
@@ -243,7 +243,7 @@ class Template:
 
     def __init__(self, canon: list[int], value: list[int], kinds: list[int], more: list[int], spot: list[int], length: list[int], size: int):
         self.slot = [c != v for c, v in zip(canon, value)]
-        self.value, self.span, self.stands = value, int(1.5 * len(kinds)) + 8, {}
+        self.value, self.span_own, self.span, self.stands = value, len(kinds) - 1, int(1.5 * len(kinds)) + 8, {}
         for i, h in enumerate(kinds):
             self.stands.setdefault(h, (h, i, size))
         for h, i, n in zip(more, spot, length):
@@ -253,39 +253,39 @@ class Template:
         self.classes = list(dict.fromkeys(v for v, s in zip(value, self.slot) if s))
 
 
-def best_stretch(t: Template, hashes: list[int], places: list[int]) -> tuple[float, list[tuple[int, int]]]:
-    """The greatest share of the template's distinct windows inside a stretch of the document of 1.5 item lengths and 8 tokens, and
-    the document windows (hash, place) in that stretch."""
-    found = sorted((p, h) for h, p in zip(hashes, places) if h in t.stands)
-    seen: dict[int, int] = {}
-    left, best, where = 0, 0, (0, 0)
-    for right, (place, h) in enumerate(found):
-        kind = t.stands[h][0]
-        seen[kind] = seen.get(kind, 0) + 1
-        while place - found[left][0] > t.span:
-            old = t.stands[found[left][1]][0]
-            seen[old] -= 1
-            if not seen[old]:
-                del seen[old]
-            left += 1
-        if len(seen) > best:
-            best, where = len(seen), (left, right + 1)
-    return best / t.n, [(h, p) for p, h in found[where[0] : where[1]]]
-
-
-def consistent(t: Template, found: list[tuple[int, int]], values: dict[int, int]) -> tuple[float, dict[int, int]]:
-    """The share of the template's distinct windows whose slots keep one value for one value, both ways, and those values."""
+class _Stretch:
+    """The found windows from a first one on, within `span` tokens: how often each of the template's windows is among them."""
+
+    def __init__(self, t: Template, found: list[tuple[int, int]], span: int):
+        self.t, self.found, self.span, self.right, self.seen = t, found, span, 0, {}
+
+    def begin(self, left: int) -> None:
+        most = self.found[left][0] + self.span
+        while self.right < len(self.found) and self.found[self.right][0] <= most:
+            kind = self.t.stands[self.found[self.right][1]][0]
+            self.seen[kind] = self.seen.get(kind, 0) + 1
+            self.right += 1
+
+    def leave(self, left: int) -> None:
+        kind = self.t.stands[self.found[left][1]][0]
+        self.seen[kind] -= 1
+        if not self.seen[kind]:
+            del self.seen[kind]
+
+
+Slots = tuple[int, list[tuple[int, int]]]
+
+
+def consistent(t: Template, pairs: list[Slots]) -> tuple[float, dict[int, int]]:
+    """The share of the template's distinct windows whose slots keep one value for one value, both ways, and those values: the most frequent
+    first, then those found first."""
     votes: dict[tuple[int, int], int] = {}
-    pairs: list[tuple[int, list[tuple[int, int]]]] = []
-    for h, p in found:
-        kind, i, n = t.stands[h]
-        slots = [(t.value[i + k], values[p + k]) for k in range(n) if t.slot[i + k]]
-        pairs.append((kind, slots))
+    for _, slots in pairs:
         for s in slots:
             votes[s] = votes.get(s, 0) + 1
     there: dict[int, int] = {}
     back: set[int] = set()
-    for (a, b), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+    for (a, b), _ in sorted(votes.items(), key=lambda x: -x[1]):
         if a not in there and b not in back:
             there[a] = b
             back.add(b)
@@ -293,13 +293,44 @@ def consistent(t: Template, found: list[tuple[int, int]], values: dict[int, int]
     return len(good) / t.n, there
 
 
+def judge_stretches(t: Template, hashes: list[int], places: list[int], values: dict[int, int], share: float) -> tuple[float, list[int]]:
+    """The greatest consistent coverage of a stretch that reaches `share` (0: none does), and the digests of the slot values of all that do.
+
+    From each found window on, two stretches are judged: as many windows as the template has, which a copy of the same length fills alone, and
+    1.5 times as many and 8, which leaves room for words put in. What begins inside a copy that is found whole is not judged again.
+    """
+    found = sorted(((p, h) for h, p in zip(hashes, places) if h in t.stands), key=lambda x: (x[0], t.stands[x[1]][1:]))
+    pairs: list[Slots] = []
+    for p, h in found:
+        kind, i, n = t.stands[h]
+        pairs.append((kind, [(t.value[i + k], values[p + k]) for k in range(n) if t.slot[i + k]]))
+    tight, wide = _Stretch(t, found, t.span_own), _Stretch(t, found, t.span)
+    best, owns, done = 0.0, {}, -1
+    for left, (place, _) in enumerate(found):
+        last = -1
+        for s in (tight, wide):
+            s.begin(left)
+            if place > done and s.right != last and len(s.seen) / t.n >= share:
+                covered, there = consistent(t, pairs[left : s.right])
+                if covered >= share:
+                    best = max(best, covered)
+                    # without all slots only the template's own item can be told
+                    same = all(a == b for a, b in there.items())
+                    owns[digest([there[c] for c in t.classes]) if len(there) == len(t.classes) else digest(t.classes) if same else None] = None
+                if covered == 1 and s is tight:
+                    done = found[s.right - 1][0]
+            last = s.right
+            s.leave(left)
+    return best, [x for x in owns if x is not None]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, n_items, coverage, reparameterised, items, text_hash) for each document and each benchmark template it holds.
 
-    Items with one canonical form are one template of n_items. items lists those whose very slot values the document has, and
-    reparameterised tells that there are none; item_id is the least of them, else the least of the template. A document that holds only a
+    Items with one canonical form are one template of n_items. items lists those whose very slot values a stretch of the document has, and
+    reparameterised tells that there are none; item_id is the least of them, else the least of the template. A stretch that holds only a
     part of the slots has the values of the template's least item, if of any. coverage is the share of the template's distinct windows
-    found consistently. Null or wordless texts on either side hold and match nothing; texts of any length count
+    found consistently in the best stretch. Null or wordless texts on either side hold and match nothing; texts of any length count
     whole. Repeated rows give repeated rows; text_hash tells rows of one id, or without one, apart. An empty table gives an
     empty result; other columns are left out. A template of fewer than WINDOW tokens is one window and must match with its very values.
     """
@@ -334,23 +365,19 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         for batch in batches:
             rows = []
             for i, r in enumerate(batch.select(given).to_pylist()):
-                t = Template(*[r[c] for c in columns])
-                covered, use = best_stretch(t, r["hashes"], r["places"])
-                if covered >= share:
-                    covered, there = consistent(t, use, dict(zip(r["under"], r["values"])))
-                    if covered >= share:
-                        same = all(a == b for a, b in there.items())
-                        # without all slots only the template's own item can be told
-                        own = digest([there[c] for c in t.classes]) if len(there) == len(t.classes) else digest(t.classes) if same else None
-                        rows.append((i, r["form"], r["item"], r["n_items"], covered, own))
+                covered, owns = judge_stretches(Template(*[r[c] for c in columns]), r["hashes"], r["places"], dict(zip(r["under"], r["values"])), share)
+                if covered:
+                    rows.append((i, r["form"], r["item"], r["n_items"], covered, owns))
             pick = [list(x) for x in zip(*rows)] if rows else [[] for _ in range(6)]
             which = pa.array(pick[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *[pa.array(x, t) for x, t in zip(pick[1:], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()))]], names=["doc_id", "text_hash", "form", "item", "n_items", "coverage", "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in range(3)), *[pa.array(x, t) for x, t in zip(pick[1:], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())))]], names=["row", "doc_id", "text_hash", "form", "item", "n_items", "coverage", "owns"])
 
     kind = dict(found.dtypes)["doc_id"]
-    judged = sides.select("doc_id", "text_hash", *given).mapInArrow(judge, f"doc_id {kind}, text_hash long, form long, item long, n_items long, coverage double, own long")
-    named = judged.join(members, ["form", "own"], "left")
-    return named.select(
+    judged = cut(sides.select("row", "doc_id", "text_hash", *given).mapInArrow(judge, f"row long, doc_id {kind}, text_hash long, form long, item long, n_items long, coverage double, owns array<long>"))
+    # what stretches with different values name comes together again for each row and template
+    named = judged.select("row", "form", F.explode("owns").alias("own")).join(members, ["form", "own"])
+    named = named.groupBy("row", "form").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return judged.join(named, ["row", "form"], "left").select(
         "doc_id", F.coalesce(F.get("items", F.lit(0)), "item").alias("item_id"), "n_items", "coverage", F.col("items").isNull().alias("reparameterised"),
         F.coalesce("items", F.array().cast("array<long>")).alias("items"), "text_hash",
     )

@@ -375,35 +375,33 @@ def true_leaks(docs_, items, share=0.8):
                     stands.setdefault(x, (w[0][0], i, x[1]))
             n = len({w[0][0] for w in wins})
             hits = [(p, x) for p, w in enumerate(doc_wins) for x in dict.fromkeys(w) if x in stands]
-            best, use = 0, []
-            for right, (p, _) in enumerate(hits):
-                inside = [h for h in hits[: right + 1] if p - h[0] <= int(1.5 * len(wins)) + 8]
-                if len({stands[x][0] for _, x in inside}) > best:
-                    best, use = len({stands[x][0] for _, x in inside}), inside
-            if not n or best / n < share:
-                continue
-            pairs, votes = [], {}
-            for p, x in use:
-                kind, i, size = stands[x]
-                slots = [(tokens[i + k][1], doc_tokens[p + k][1]) for k in range(size) if tokens[i + k][0] != tokens[i + k][1]]
-                pairs.append((kind, slots))
-                for s in slots:
-                    votes[s] = votes.get(s, 0) + 1
-            options = []  # every order of equal votes is a right answer
-            for flip in (False, True):
-                there = {}
-                for a, b in sorted(votes, key=lambda s: (-votes[s], s if not flip else tuple(s[::-1]))):
-                    if a not in there and b not in there.values():
-                        there[a] = b
-                good = {kind for kind, slots in pairs if all(there.get(a) == b for a, b in slots)}
-                classes = list(dict.fromkeys(v for c, v in tokens if c != v))
-                if len(there) == len(classes):
-                    same = [i for i, t, _ in members if list(dict.fromkeys(v for c, v in t if c != v)) == [there[c] for c in classes]]
-                else:
-                    mine = list(dict.fromkeys(v for c, v in tokens if c != v))
-                    same = [i for i, t, _ in members if list(dict.fromkeys(v for c, v in t if c != v)) == mine] if all(a == b for a, b in there.items()) else []
-                options.append((d, same[0] if same else item, len(members), round(len(good) / n, 9), not same, tuple(same)) if len(good) / n >= share else None)
-            rows.append(options)
+            best, named = 0, set()
+            classes = list(dict.fromkeys(v for c, v in tokens if c != v))
+            own = lambda t: list(dict.fromkeys(v for c, v in t if c != v))
+            hits.sort(key=lambda h: (h[0], stands[h[1]][1:]))
+            for first in range(len(hits)):
+                for span in (len(wins) - 1, int(1.5 * len(wins)) + 8):
+                    use = [h for h in hits[first:] if h[0] - hits[first][0] <= span]
+                    if len({stands[x][0] for _, x in use}) / n < share:
+                        continue
+                    pairs, votes = [], {}
+                    for p, x in use:
+                        kind, i, size = stands[x]
+                        slots = [(tokens[i + k][1], doc_tokens[p + k][1]) for k in range(size) if tokens[i + k][0] != tokens[i + k][1]]
+                        pairs.append((kind, slots))
+                        for s in slots:
+                            votes[s] = votes.get(s, 0) + 1
+                    there = {}
+                    for a, b in sorted(votes, key=lambda s: -votes[s]):
+                        if a not in there and b not in there.values():
+                            there[a] = b
+                    good = len({kind for kind, slots in pairs if all(there.get(a) == b for a, b in slots)}) / n
+                    if good >= share:
+                        best = max(best, good)
+                        wanted = [there[c] for c in classes] if len(there) == len(classes) else classes if all(a == b for a, b in there.items()) else None
+                        named |= {i for i, t, _ in members if own(t) == wanted}
+            if best:
+                rows.append((d, min(named, default=item), len(members), round(best, 9), not named, tuple(sorted(named))))
     return rows
 
 
@@ -433,18 +431,27 @@ def test_leaks_against_brute_force(spark):
         passage = passage.lower() if i % 7 == 1 else passage
         rows.append((i, f"{words(rng, 12, 60)}{rng.choice(['. ', ' ', ', '])}{passage} {words(rng, 9, 60)}"))
     rows += [(300, "Eve has 8 apples. Eve buys 2 km more. How many apples does Eve have"), (301, "Eve has 8 apples. Tom buys 2 km more. How many apples does Oslo have"), (302, items[60 + 6][1])]
-    got = {}
-    for r in decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect():
-        got.setdefault((r["doc_id"], r["n_items"], r["item_id"]), []).append((r["doc_id"], r["item_id"], r["n_items"], round(r["coverage"], 9), r["reparameterised"], tuple(r["items"])))
-    flat, wanted = [x for v in got.values() for x in v], true_leaks(rows, items)
-    left = list(flat)
-    for options in wanted:
-        if fits := [o for o in options if o in left]:
-            left.remove(fits[0])
-        else:
-            assert None in options, options
-    assert not left and len(flat) > 40 and any(x[4] for x in flat) and any(len(x[5]) > 1 for x in flat)
-    assert {x[0] for x in flat} >= {300, 302} and 301 not in {x[0] for x in flat}
+    # several stretches of one item in a text: other values, mixed values, the very words, in both orders
+    turns_ = [x for _, x in items[200:] or items[-2:]] + ["Eve has 8 apples. Anna buys 9 km more. How many apples does Paris have", "Oslo has 77 apples. Oslo buys 8 km more. How many apples does Oslo have"]
+    for k in range(60):
+        parts = [rng.choice([*turns_, items[k % 60][1], sentence(rng.choice(shapes)), words(rng, rng.randrange(1, 30), 60)]) for _ in range(rng.randrange(2, 6))]
+        rows.append((400 + k, rng.choice([" ", ". ", f" {words(rng, 20, 60)} "]).join(parts)))
+    got = [(r["doc_id"], r["item_id"], r["n_items"], round(r["coverage"], 9), r["reparameterised"], tuple(r["items"])) for r in decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got) == sorted(true_leaks(rows, items))
+    assert len(got) > 60 and any(x[4] for x in got) and any(len(x[5]) > 1 for x in got)
+    assert {x[0] for x in got} >= {300, 302} and 301 not in {x[0] for x in got}
+
+
+def test_copies_after_inconsistent_variants(spark):
+    """A variant with mixed values doesn't hide the item itself, wherever it stands; all values of a template are listed."""
+    item = "Tom has 3 apples and gives 3 apples to Anna before he buys 9 pears and sells 9 pears at the market near the river"
+    mixed = "Tom has 5 apples and gives 8 apples to Anna before he buys 9 pears and sells 4 pears at the market near the river"
+    other = item.replace("3", "6").replace("9", "2")
+    filler = words(random.Random(4), 300)
+    items = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    rows = [(1, f"{mixed} {filler} {item}"), (2, f"{item} {filler} {mixed}"), (3, f"{mixed} {filler} {mixed}"), (4, f"{mixed} {item} {mixed}"), (5, f"{other} {item}"), (6, f"{item} " * 300 + other)]
+    got = {r["doc_id"]: r["items"] for r in decontam.contaminated(docs(spark, rows), items).collect()}
+    assert got == {1: [1], 2: [1], 4: [1], 5: [1, 2], 6: [1, 2]}
 
 
 # ---------------------------------------------------------------- 6 shards
