@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import Z_GRID
-from ..schemas import DYNAMIC, ERRORS, MC
-from ..shared import exact_rank, join_channels, stored
+from ..schemas import ERRORS, MC
+from ..shared import exact_rank, join_channels, join_spread, numbered_groups, stored
 from .metrics import best_by, macro, prf
+from .sequences import SEGMENT, ewma
 
 
 def normal_stats(errors: DataFrame, keys: list[str] = MC) -> DataFrame:
@@ -25,17 +26,15 @@ def normal_stats(errors: DataFrame, keys: list[str] = MC) -> DataFrame:
 
 def flat_threshold(errors: DataFrame, z: float = 4.0, keys: list[str] = MC) -> DataFrame:
     """threshold = mean + z std of the normal errors, flag = error > threshold; a channel without normal windows flags nothing."""
-    w = Window.partitionBy(*keys)
-    calm = F.when(~F.col("is_anomaly"), F.col("error"))
-    out = errors.withColumn("threshold", F.avg(calm).over(w) + z * F.stddev_pop(calm).over(w))
+    stats = normal_stats(errors, keys).select(*keys, (F.col("mean") + z * F.col("std")).alias("threshold"))
+    out = join_spread(errors, stats, keys)
     return out.withColumn("flag", F.coalesce(F.col("error") > F.col("threshold"), F.lit(False)))
 
 
 def z_sweep(errors: DataFrame, grid: tuple[float, ...] = Z_GRID, keys: list[str] = MC) -> DataFrame:
     """Macro precision, recall, F1 and CEF at each z. Every row takes its slot between the thresholds once; the rest sums slots of a channel."""
-    w = Window.partitionBy(*keys)
-    calm, zs = F.when(~F.col("is_anomaly"), F.col("error")), sorted(grid)
-    rows = errors.withColumn("_m", F.avg(calm).over(w)).withColumn("_s", F.stddev_pop(calm).over(w))
+    zs = sorted(grid)
+    rows = join_spread(errors, normal_stats(errors, keys).withColumnsRenamed({"mean": "_m", "std": "_s"}), keys)
     slot = sum(F.coalesce((F.col("error") > F.col("_m") + z * F.col("_s")).cast("int"), F.lit(0)) for z in zs)  # how many z it passes
     counts = rows.groupBy(*keys, slot.alias("_n")).agg(F.count_if("is_anomaly").alias("_p"), F.count_if(~F.col("is_anomaly")).alias("_q"))
     passed = lambda c, i: F.sum(F.when(F.col("_n") > i, F.col(c)).otherwise(0))
@@ -53,64 +52,81 @@ def best_z(curve: DataFrame) -> DataFrame:
 EPS_FROM, EPS_TO, EPS_STEP, EPS_FALLBACK = 2.5, 12.0, 0.5, 3.0
 
 
-def runs_of(flag: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end inclusive) of the runs of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], flag, [False])).astype(np.int8)))
-    return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
+def slots_of(smooth: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, slot, prev, n, mean, m2): how many positions stand in a slot between the thresholds of the grid of z after one in slot `prev` (-1: none),
+    and the moments of their values. smooth has _segment, m and s of the channel, and _last, the value that ends the segment before."""
+    zs = [EPS_FROM + EPS_STEP * k for k in range(int((EPS_TO - EPS_FROM) / EPS_STEP) + 1)]
+    slot = lambda x: sum((x >= F.col("m") + z * F.col("s")).cast("int") for z in zs)
+    inside = Window.partitionBy(*keys, "_segment").orderBy("i")
+    rows = smooth.where("s > 0").withColumn("slot", slot(F.col("ewma"))).withColumn("prev", F.coalesce(F.lag("slot").over(inside), slot(F.col("_last")), F.lit(-1)))
+    return rows.groupBy(*keys, "slot", "prev", "m", "s").agg(F.count("*").alias("n"), F.avg("ewma").alias("mean"), (F.var_pop("ewma") * F.count("*")).alias("m2"))
 
 
-def find_epsilon(smooth: np.ndarray) -> float:
-    """D3: mean + z std with the z whose removal lowers mean and std most for the runs and points it takes away.
+def epsilons(smooth: DataFrame, keys: list[str] = MC) -> DataFrame:
+    """D3: (keys, eps): mean + z std of the smoothed errors, with the z whose removal lowers mean and std most for the runs and points it takes away.
 
-    Only a z that flags something, but less than half, counts; the least z wins ties. Without any, z = 3.
+    Only a z that flags something, but less than half, counts; the least z wins ties. Without any, z = 3. Moments of the slots between
+    thresholds are merged for each z, and runs are counted as steps up from a lower slot.
     """
-    m, s = smooth.mean(), smooth.std()
-    choices = [(-np.inf, m + EPS_FALLBACK * s)]
-    for z in np.arange(EPS_FROM, EPS_TO + EPS_STEP / 2, EPS_STEP) if s else ():
-        high = smooth >= m + z * s
-        if 0 < high.sum() < len(smooth) / 2:
-            left = smooth[~high]
-            gain = ((m - left.mean()) / m if m else 0.0) + (s - left.std()) / s
-            choices.append((gain / (len(runs_of(high)) ** 2 + high.sum()), m + z * s))
-    return float(max(choices, key=lambda c: c[0])[1])
-
-
-def prune(errors: np.ndarray, found: list[tuple[int, int]], p: float = 0.13) -> list[tuple[int, int]]:
-    """Runs above the last drop of p or more between falling peaks, the highest unflagged error being the last peak."""
-    if not found:
-        return []
-    outside = np.ones(len(errors), dtype=bool)
-    for a, b in found:
-        outside[a : b + 1] = False
-    ranked = sorted(((errors[a : b + 1].max(), i) for i, (a, b) in enumerate(found)), reverse=True)
-    peaks = np.array([x[0] for x in ranked] + [errors[outside].max() if outside.any() else 0.0])
-    drops = np.where(peaks[:-1] > 0, (peaks[:-1] - peaks[1:]) / np.where(peaks[:-1] > 0, peaks[:-1], 1), 0)
-    large = np.flatnonzero(drops >= p)
-    kept = {i for _, i in ranked[: large[-1] + 1]} if len(large) else set()
-    return [r for i, r in enumerate(found) if i in kept]
-
-
-def dynamic_flags(errors: np.ndarray, span: int = 5, p: float = 0.13) -> tuple[np.ndarray, float]:
-    smooth = np.log(errors + 1e-12)
-    if span > 1:
-        smooth = pd.Series(smooth).ewm(span=span, adjust=False).mean().to_numpy()
-    epsilon = find_epsilon(smooth)
-    out = np.zeros(len(errors), dtype=bool)
-    for a, b in prune(errors, runs_of(smooth >= epsilon), p):
-        out[a : b + 1] = True
-    return out, float(np.exp(epsilon))
+    steps = int((EPS_TO - EPS_FROM) / EPS_STEP) + 1
+    each = slots_of(smooth, keys).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    high, low = F.col("slot") > F.col("j"), F.col("slot") <= F.col("j")
+    off = F.col("mean") - F.col("m")  # moments about the channel's mean keep their digits
+    total = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    sums = each.groupBy(*keys, "j", "m", "s").agg(
+        F.sum("n").alias("n"), total(high, F.col("n")).alias("nh"), total(high & (F.col("prev") <= F.col("j")), F.col("n")).alias("runs"),
+        total(low, F.col("n") * off).alias("a"), total(low, F.col("m2") + F.col("n") * off * off).alias("b"),
+    )
+    left, m, s = F.col("n") - F.col("nh"), F.col("m"), F.col("s")
+    shift = F.col("a") / left
+    lower = F.sqrt(F.greatest(F.col("b") / left - shift * shift, F.lit(0.0)))
+    gain = F.when(m == 0, 0.0).otherwise(-shift / F.when(m == 0, 1.0).otherwise(m)) + (s - lower) / s
+    # z that take the same points away are one choice, the least of them
+    fits = sums.where((F.col("nh") > 0) & (F.col("nh") < F.col("n") / 2)).withColumn("score", gain / (F.col("runs") * F.col("runs") + F.col("nh")))
+    fits = fits.groupBy(*keys, "nh").agg(F.min_by(F.struct("score", "m", "s", "j"), "j").alias("x"))
+    best = fits.groupBy(*keys).agg(F.max(F.struct("x.score", (-F.col("x.j")).alias("k"))).alias("x")).select(*keys, (EPS_FROM - EPS_STEP * F.col("x.k")).alias("_z"))
+    stats = smooth.groupBy(*keys).agg(F.max("m").alias("m"), F.max("s").alias("s"))
+    named = best.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_z")
+    both = stats.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], "left")
+    return both.select(*keys, (m + F.coalesce("_z", F.lit(EPS_FALLBACK)) * s).alias("eps"))
+
+
+def pruned(runs: DataFrame, p: float = 0.13, keys: list[str] = MC) -> DataFrame:
+    """Runs (keys, g, peak, start, outside) above the last drop of p or more between falling peaks; `outside`, the highest unflagged error of the
+    channel or null, is the last peak. Windows see a row for each run."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("peak"), F.desc("start"))
+    following = F.coalesce(F.lead("peak").over(order), F.col("outside"), F.lit(0.0))
+    ranked = runs.withColumn("_drop", F.when(F.col("peak") > 0, (F.col("peak") - following) / F.col("peak")).otherwise(0.0)).withColumn("_rank", F.row_number().over(order))
+    return ranked.withColumn("_to", F.max(F.when(F.col("_drop") >= p, F.col("_rank"))).over(Window.partitionBy(*keys))).where(F.col("_rank") <= F.col("_to")).select(*keys, "g")
+
+
+def smoothed(errors: DataFrame, span: int, keys: list[str] = MC) -> DataFrame:
+    """Stored: i, error, ewma (the smoothed log error), _segment, the channel's mean m and std s of it, and _last, with which the segment before ends."""
+    logs = errors.select(*keys, "i", "error", F.log(F.col("error") + 1e-12).alias("_log"))
+    rows = stored(ewma(logs, span, keys, "i", "_log", ("error",)).withColumn("_segment", F.floor(F.col("i") / SEGMENT)))
+    stats = rows.groupBy(*keys).agg(F.avg("ewma").alias("m"), F.stddev_pop("ewma").alias("s"))
+    ends = rows.groupBy(*keys, "_segment").agg(F.max_by("ewma", "i").alias("_end"))
+    last = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_segment"))  # a row for each segment
+    per = join_channels(ends.withColumn("_last", last).drop("_end"), stats, keys)
+    return join_channels(rows, per, [*keys, "_segment"])
 
 
 def detect_dynamic(errors: DataFrame, span: int = 5, p: float = 0.13) -> DataFrame:
-    """Smoothed log errors, adaptive epsilon, runs, pruning; one helper call per channel, whose smoothing is sequential. A channel's errors
-    stand in one task: some 100 bytes each, so a task of 1 GB holds some ten million windows."""
-
-    def detect(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("i")
-        flag, epsilon = dynamic_flags(group["error"].to_numpy(), span, p)
-        return group[[*MC, "i"]].assign(flag=flag, epsilon=epsilon)
-
-    return errors.select(*MC, "i", "error").groupBy(*MC).applyInPandas(detect, DYNAMIC)
+    """Smoothed log errors, adaptive epsilon, runs, pruning. A channel of any length is worked on in segments of positions: moments are merged,
+    runs are carried over borders, and only runs, not positions, are ranked together. Errors that are missing or NaN aren't provided for."""
+    smooth = stored(smoothed(errors, span))
+    rows = join_spread(smooth, epsilons(smooth), MC).withColumn("high", F.col("ewma") >= F.col("eps"))
+    before = F.coalesce(F.lag("high").over(Window.partitionBy(*MC, "_segment").orderBy("i")), F.col("_last") >= F.col("eps"), F.lit(False))
+    rows = rows.withColumn("_opens", F.col("high") & ~before)
+    rows = stored(numbered_groups(rows, MC, F.col("_opens"), "g", "_segment", "i").select(*MC, "i", "error", "eps", "high", "_segment", F.when(F.col("high"), F.col("g")).alias("g")))
+    pieces = rows.groupBy(*MC, "_segment", "g").agg(F.max("error").alias("peak"), F.min("i").alias("start"))  # g is null outside of runs
+    outside = pieces.groupBy(*[F.col(c).alias(f"_of_{c}") for c in MC]).agg(F.max(F.when(F.col("g").isNull(), F.col("peak"))).alias("outside"))
+    runs = pieces.where("g is not null").groupBy(*MC, "g").agg(F.max("peak").alias("peak"), F.min("start").alias("start"))
+    kept = pruned(runs.join(outside, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in MC]).drop(*[f"_of_{c}" for c in MC]), p)
+    # a run stands once for each segment that it touches, and meets the rows there
+    held = join_channels(pieces.where("g is not null").select(*MC, "g", "_segment"), kept, [*MC, "g"]).select(*[F.col(c).alias(f"_of_{c}") for c in (*MC, "_segment", "g")])
+    flags = rows.join(held, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in MC] + [F.col("_segment") == F.col("_of__segment"), F.col("g") == F.col("_of_g")], "left")
+    return flags.select(*MC, F.col("i").cast("int").alias("i"), F.col("_of_g").isNotNull().alias("flag"), F.exp("eps").alias("epsilon"))
 
 
 def _harmonic(n: np.ndarray) -> np.ndarray:

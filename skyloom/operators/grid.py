@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MC
+from ..shared import carried, in_order, join_spread
 from .sequences import merge_intervals
 
 
@@ -18,32 +19,37 @@ def resample(telemetry: DataFrame, seconds: int | None = 3600, keys: list[str] =
     """Mean per bucket, every bucket from the first to the last of a channel, gaps filled linearly and ends by the nearest value.
 
     Buckets are closed and labelled at the left and start at the midnight of the channel's first day. NaN counts as null. None
-    for seconds keeps the rows and drops nulls. The averages are partial before the only exchange on (keys, bucket);
-    the rest works on buckets, in one exchange on keys.
+    for seconds keeps the rows, drops nulls and numbers them by time, then value. The averages are partial before the exchange on (keys, bucket).
+    Buckets then stand in fragments of a channel that hand each other the nearest known value on either side.
     """
     value = F.nanvl(F.col("value").cast("double"), F.lit(None).cast("double"))
     rows = telemetry.withColumn("value", value)
-    w = Window.partitionBy(*keys).orderBy("ts")
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at")
     if seconds is None:
-        return rows.where("value is not null").select(*keys, "ts", "value").withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+        placed = in_order(rows.where("value is not null").select(*keys, "ts", "value"), keys, ["ts", "value"])
+        placed = carried(placed, keys, {"_n": F.count("*")}, before={"_before": ("sum", "_n")})
+        return placed.select(*keys, "ts", "value", (F.row_number().over(inside) - 1 + F.coalesce("_before", F.lit(0))).cast("int").alias("idx"))
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     if 86400 % seconds:
         first = rows.groupBy(*keys).agg((F.floor(F.min(at) / 86400) * 86400).alias("_from"))
-        rows = rows.join(first, keys)
+        rows = join_spread(rows, first, keys)
     else:
         rows = rows.withColumn("_from", F.lit(0))
     bucket = F.floor((at - F.col("_from")) / seconds) * seconds + F.col("_from")
-    means = rows.groupBy(*keys, bucket.alias("_b")).agg(F.avg("value").alias("_v"))
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy("_b")
-    means = means.withColumn("_first", F.min("_b").over(whole)).withColumn("_last", F.max("_b").over(whole)).where("_v is not null")
-    means = means.withColumn("_nb", F.lead("_b").over(ordered)).withColumn("_nv", F.lead("_v").over(ordered)).withColumn("_pb", F.lag("_b").over(ordered))
+    means = in_order(rows.groupBy(*keys, bucket.alias("_b")).agg(F.avg("value").alias("_v")), keys, ["_b"])
+    known = F.when(F.col("_v").isNotNull(), F.struct("_b", "_v"))
+    ends = {"_lo": F.min("_b"), "_hi": F.max("_b"), "_kf": F.min(known), "_kl": F.max(known)}
+    means = carried(means, keys, ends, before={"_pk": ("max", "_kl")}, after={"_nk": ("min", "_kf")}, whole={"_first": ("min", "_lo"), "_last": ("max", "_hi")}).where("_v is not null")
+    means = means.withColumns({
+        "_next": F.coalesce(F.lead(F.struct("_b", "_v")).over(inside), F.col("_nk")), "_pb": F.coalesce(F.lag("_b").over(inside), F.col("_pk._b")),
+    }).withColumns({"_nb": F.col("_next._b"), "_nv": F.col("_next._v")})
     start = F.when(F.col("_pb").isNull(), F.col("_first")).otherwise(F.col("_b"))
     stop = F.coalesce(F.col("_nb") - seconds, F.col("_last"))
     filled = means.withColumn("_t", F.explode(F.sequence(start, stop, F.lit(seconds).cast("long"))))
     line = F.col("_v") + (F.col("_nv") - F.col("_v")) * (F.col("_t") - F.col("_b")) / (F.col("_nb") - F.col("_b"))
-    out = filled.select(*keys, F.timestamp_seconds("_t").alias("ts"), F.when((F.col("_t") <= F.col("_b")) | F.col("_nb").isNull(), F.col("_v")).otherwise(line).alias("value"))
-    return out.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
+    kept = (F.col("_t") <= F.col("_b")) | F.col("_nb").isNull()
+    # the grid has no holes, so a bucket's number follows from its time
+    return filled.select(*keys, F.timestamp_seconds("_t").alias("ts"), F.when(kept, F.col("_v")).otherwise(line).alias("value"), ((F.col("_t") - F.col("_first")) / seconds).cast("int").alias("idx"))
 
 
 def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str] = MC) -> DataFrame:
@@ -62,8 +68,8 @@ def in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str] = MC)
 
 
 def channel_stats(df: DataFrame, keys: list[str] = MC) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.withColumn("mean", F.avg("value").over(w)).withColumn("std", F.stddev_pop("value").over(w))
+    """df with mean and population std of its channel's values, from partial sums."""
+    return join_spread(df, df.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), keys).select(*df.columns, "mean", "std")
 
 
 def revin(df: DataFrame, keys: list[str] = MC, eps: float = 1e-5) -> DataFrame:
@@ -83,11 +89,14 @@ def standardize(df: DataFrame, keys: list[str] = MC) -> DataFrame:
 
 
 def standardize_positions(windows: DataFrame, keys: list[str] = MC) -> DataFrame:
-    """Each window position as a standard score over the channel's windows: (keys, start_idx, pos, value)."""
-    long = windows.select(*keys, "start_idx", F.posexplode("values").alias("pos", "value"))
-    w = Window.partitionBy(*keys, "pos")
-    std = F.stddev_pop("value").over(w)
-    return long.withColumn("value", (F.col("value") - F.avg("value").over(w)) / F.when(std == 0, 1.0).otherwise(std))
+    """Each window position as a standard score over the channel's windows: (keys, start_idx, pos, value). A channel's windows meet its moments,
+    a pair for each position, as whole arrays."""
+    per = windows.select(*keys, F.posexplode("values").alias("pos", "value")).groupBy(*keys, "pos").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    per = per.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("mean", "std")))).alias("_at"))  # as many as a window has positions
+    both = join_spread(windows.select(*keys, "start_idx", "values"), per, keys)
+    long = both.select(*keys, "start_idx", "_at", F.posexplode("values").alias("pos", "value"))
+    m = F.col("_at")[F.col("pos")]
+    return long.select(*keys, "start_idx", "pos", ((F.col("value") - m["mean"]) / F.when(m["std"] == 0, 1.0).otherwise(m["std"])).alias("value"))
 
 
 def array_mean(values: Column) -> Column:

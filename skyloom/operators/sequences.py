@@ -8,21 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MC
-from ..shared import join_channels, stored
+from ..shared import carried, in_order, join_channels, numbered_groups, stored
 
 
 #: Positions that are smoothed in one call.
 SEGMENT = 65_536
 
 
-def ewma(df: DataFrame, span: int, keys: list[str] = MC, order: str = "i", value: str = "error") -> DataFrame:
+def ewma(df: DataFrame, span: int, keys: list[str] = MC, order: str = "i", value: str = "error", carry: tuple[str, ...] = ()) -> DataFrame:
     """Recursive exponentially weighted mean over whole-number positions `order`, alpha = 2 / (span + 1); a span of 1 or less changes nothing.
 
     A missing value takes the last mean; before the first value there is none. Segments of SEGMENT positions are smoothed from 0 each, so that a
-    long key is spread over tasks; then what the segment before ends with is added, weighed down by the values since.
+    long key is spread over tasks; then what the segment before ends with is added, weighed down by the values since. Columns in `carry` are kept.
     """
     if span <= 1:
-        return df.select(*keys, order, F.col(value).alias("ewma"))
+        return df.select(*keys, order, *carry, F.col(value).alias("ewma"))
     kinds, alpha = dict(df.dtypes), 2 / (span + 1)
     names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
@@ -30,38 +30,47 @@ def ewma(df: DataFrame, span: int, keys: list[str] = MC, order: str = "i", value
         group = group.sort_values([order, "_x"])
         x = group["_x"].astype(float)
         local = pd.concat([pd.Series([0.0]), x]).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
-        return group[[*keys, order, "_segment"]].assign(_valid=x.notna().cumsum().to_numpy(), _local=local, _first=x.dropna().iloc[0] if x.notna().any() else np.nan, _last=local[-1])
+        return group[[*keys, order, *carry, "_segment"]].assign(_valid=x.notna().cumsum().to_numpy(), _local=local, _first=x.dropna().iloc[0] if x.notna().any() else np.nan, _last=local[-1])
 
-    def carry(group: pd.DataFrame) -> pd.DataFrame:
+    def hand_on(group: pd.DataFrame) -> pd.DataFrame:
         group, mean, before = group.sort_values("_segment"), np.nan, []
         for first, last, valid in zip(group["_first"], group["_last"], group["_valid"]):
             before.append(mean)
             mean = last + (1 - alpha) ** valid * (first if np.isnan(mean) else mean)
         return group[[*keys, "_segment", "_first"]].assign(_before=before)
 
-    own = df.select(*keys, order, F.col(value).cast("double").alias("_x"), F.floor(F.col(order) / SEGMENT).alias("_segment"))
-    placed = stored(own.groupBy(*keys, "_segment").applyInPandas(smooth, f"{names}, `{order}` {kinds[order]}, _segment bigint, _valid bigint, _local double, _first double, _last double"))
+    kept = "".join(f"`{c}` {kinds[c]}, " for c in carry)
+    own = df.select(*keys, order, *carry, F.col(value).cast("double").alias("_x"), F.floor(F.col(order) / SEGMENT).alias("_segment"))
+    placed = stored(own.groupBy(*keys, "_segment").applyInPandas(smooth, f"{names}, `{order}` {kinds[order]}, {kept}_segment bigint, _valid bigint, _local double, _first double, _last double"))
     ends = placed.groupBy(*keys, "_segment").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_valid").alias("_valid"))
-    before = ends.groupBy(*keys).applyInPandas(carry, f"{names}, _segment bigint, _first double, _before double")  # a row for each segment
+    before = ends.groupBy(*keys).applyInPandas(hand_on, f"{names}, _segment bigint, _first double, _before double")  # a row for each segment
     both = join_channels(placed.drop("_first"), before, [*keys, "_segment"])
     started = ~F.isnan("_before") & F.col("_before").isNotNull()
     out = F.col("_local") + F.pow(F.lit(1 - alpha), F.col("_valid")) * F.when(started, F.col("_before")).otherwise(F.col("_first"))
-    return both.select(*keys, order, F.when(started | (F.col("_valid") > 0), out).alias("ewma"))
+    return both.select(*keys, order, *carry, F.when(started | (F.col("_valid") > 0), out).alias("ewma"))
 
 
 def contiguous_runs(df: DataFrame, flag: str, keys: list[str] = MC, order: str = "i") -> DataFrame:
-    """(keys, start, end, n) of each maximal run of consecutive positions where flag is true."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    on = df.where(F.col(flag)).withColumn("_g", F.col(order) - F.row_number().over(w))
-    return on.groupBy(*keys, "_g").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).drop("_g")
+    """(keys, start, end, n) of each maximal run of consecutive positions where flag is true. Equal positions stand in one run. Runs are found
+    inside fragments of a key and joined where one ends on a border."""
+    placed = in_order(df.where(F.col(flag)).select(*keys, order), keys, [order])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at")
+    rows = carried(placed, keys, {"_end": F.max(order)}, before={"_last": ("max", "_end")})
+    rows = rows.withColumn("_prev", F.coalesce(F.lag(order).over(inside), F.col("_last")))
+    runs = numbered_groups(rows, keys, F.col("_prev").isNull() | (F.col(order) - F.col("_prev") > 1))
+    return runs.groupBy(*keys, "_g").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).drop("_g")
 
 
 def merge_intervals(df: DataFrame, gap: int = 16, keys: list[str] = MC) -> DataFrame:
-    """(keys, start, end), joined where a start is at most gap after the greatest end so far."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
+    """(keys, start, end), joined where a start is at most gap after the greatest end so far. That end is a running maximum in fragments of a
+    key, carried from one to the next."""
+    placed = in_order(df.select(*keys, "start", "end"), keys, ["start", "end"])
+    inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = carried(placed, keys, {"_end": F.max("end")}, before={"_reach": ("max", "_end")})
+    reach = F.greatest(F.max("end").over(inside), F.col("_reach"))  # the one that isn't null
+    rows = rows.withColumn("_upto", reach)
+    merged = numbered_groups(rows, keys, F.col("_upto").isNull() | (F.col("start") > F.col("_upto") + gap))
+    return merged.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
 
 def spans(df: DataFrame, starts: str, window: int = 32) -> DataFrame:

@@ -324,7 +324,10 @@ _singles = []
 for signal in ("text", "vision"):
     curve = sweep_sql(signal, range_points(signal)).replace("WITH pts", f"{signal}_pts").replace("FROM pts", f"FROM {signal}_pts").replace("cm AS", f"{signal}_cm AS").replace("FROM cm)", f"FROM {signal}_cm)").replace("cp AS", f"{signal}_cp AS").replace("FROM cp)", f"FROM {signal}_cp)").replace("curve AS", f"{signal}_curve AS")
     average = f"{signal}_ap AS (SELECT round(sum(p / pos * tp / al), 4) AS average_precision FROM (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS al, sum(p) OVER () AS pos FROM (SELECT {signal} AS s, count(*) FILTER (is_anomaly) AS p, count(*) AS n FROM sc GROUP BY 1) WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)))"
-    points = [f"SELECT {CURVE_COLUMNS}, '{signal}' AS signal, 'argmax' AS point, average_precision FROM {signal}_curve, {signal}_ap WHERE threshold = 0.5"]
+    # another point of the grid may round to 0.5 too, so the point is taken before rounding
+    half = sweep_sql(signal, "SELECT 0.5 AS t").replace("WITH pts", "h_pts").replace("FROM pts", "FROM h_pts").replace("cm AS", "h_cm AS").replace("FROM cm)", "FROM h_cm)").replace("cp AS", "h_cp AS").replace("FROM cp)", "FROM h_cp)").replace("curve AS", "h_curve AS").replace("h_", f"{signal}_half_")
+    curve += ", " + half
+    points = [f"SELECT {CURVE_COLUMNS}, '{signal}' AS signal, 'argmax' AS point, average_precision FROM {signal}_half_curve, {signal}_ap"]
     points += [f"SELECT {CURVE_COLUMNS}, '{signal}', '{m}_best', average_precision FROM ({BEST.format(m).replace('FROM curve', f'FROM {signal}_curve')}), {signal}_ap" for m in ("cef", "f1")]
     _singles.append((curve + ", " + average, points))
 ORACLES["d14_singles"] = sql("sc", "WITH " + ", ".join(x for x, _ in _singles) + " " + " UNION ALL ".join(y for _, ys in _singles for y in ys))

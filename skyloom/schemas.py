@@ -8,6 +8,5 @@ RECORD = (
     "start_time: string, end_time: string, is_anomaly: boolean, anomaly_ratio: double, values: array<double>>"
 )
 ERRORS = "mission string, channel string, i int, start_idx int, error double, is_anomaly boolean"
-DYNAMIC = "mission string, channel string, i int, flag boolean, epsilon double"
 
 MC = ["mission", "channel"]

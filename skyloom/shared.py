@@ -85,3 +85,39 @@ def join_channels(df: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
     """df with the columns of `per`, a row for each value of keys; a missing key meets a missing key. Rows without a partner go."""
     named = per.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in per.columns if c not in keys])
     return df.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])
+
+
+#: Shares in which the rows of one key meet what belongs to the key.
+SALTS = 32
+
+
+def join_spread(df: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
+    """join_channels for keys that may hold most of the rows: `per`, small beside df, stands SALTS times, and a key's rows meet any of these copies."""
+    copies = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return join_channels(df.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")), copies, [*keys, "_salt"]).drop("_salt")
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """df stored in the order of keys and `order`, with `_at`, which ascends in it, and `_part`: a range partition holds a fragment of a key, so
+    that a key of any size is spread over tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    return stored(placed.withColumn("_part", F.shiftright("_at", 33)))
+
+
+def carried(placed: DataFrame, keys: list[str], within: dict[str, Column], before: dict[str, tuple[str, str]] | None = None, after: dict[str, tuple[str, str]] | None = None, whole: dict[str, tuple[str, str]] | None = None, part: str = "_part") -> DataFrame:
+    """placed with what fragments hand on. `within` names aggregates of a fragment; the others are name: (SQL function, one of these) over the
+    fragments of the key that come before, after, or over all. A row for each fragment is all that windows see."""
+    own = placed.groupBy(*keys, part).agg(*[c.alias(n) for n, c in within.items()])
+    w = Window.partitionBy(*keys).orderBy(part)
+    frames = [(before, w.rowsBetween(Window.unboundedPreceding, -1)), (after, w.rowsBetween(1, Window.unboundedFollowing)), (whole, Window.partitionBy(*keys))]
+    handed = [F.expr(f"{f}({c})").over(frame).alias(n) for cols, frame in frames for n, (f, c) in (cols or {}).items()]
+    return join_channels(placed, own.select(*keys, part, *handed), [*keys, part])
+
+
+def numbered_groups(placed: DataFrame, keys: list[str], new: Column, out: str = "_g", part: str = "_part", at: str = "_at") -> DataFrame:
+    """placed with `out`: the `at` of the last row for which `new` held, within a fragment or before it."""
+    inside = Window.partitionBy(*keys, part).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.withColumn("_new", F.when(new, F.col(at)))
+    rows = carried(rows, keys, {"_top": F.max("_new")}, before={"_held": ("max", "_top")}, part=part)
+    return rows.withColumn(out, F.coalesce(F.max("_new").over(inside), F.col("_held"))).drop("_new", "_held")
