@@ -111,14 +111,17 @@ def smoothed(errors: DataFrame, span: int, keys: list[str] = MC) -> DataFrame:
     return join_channels(rows, per, [*keys, "_segment"])
 
 
-def detect_dynamic(errors: DataFrame, span: int = 5, p: float = 0.13) -> DataFrame:
-    """Smoothed log errors, adaptive epsilon, runs, pruning. A channel of any length is worked on in segments of positions: moments are merged,
-    runs are carried over borders, and only runs, not positions, are ranked together. Errors that are missing or NaN aren't provided for."""
+def dynamic_runs(errors: DataFrame, span: int = 5) -> DataFrame:
+    """Stored: i, error, eps, high and g, the run of high positions, each with its segment."""
     smooth = stored(smoothed(errors, span))
     rows = join_spread(smooth, epsilons(smooth), MC).withColumn("high", F.col("ewma") >= F.col("eps"))
     before = F.coalesce(F.lag("high").over(Window.partitionBy(*MC, "_segment").orderBy("i")), F.col("_last") >= F.col("eps"), F.lit(False))
     rows = rows.withColumn("_opens", F.col("high") & ~before)
-    rows = stored(numbered_groups(rows, MC, F.col("_opens"), "g", "_segment", "i").select(*MC, "i", "error", "eps", "high", "_segment", F.when(F.col("high"), F.col("g")).alias("g")))
+    return stored(numbered_groups(rows, MC, F.col("_opens"), "g", "_segment", "i").select(*MC, "i", "error", "eps", "high", "_segment", F.when(F.col("high"), F.col("g")).alias("g")))
+
+
+def flag_runs(rows: DataFrame, p: float = 0.13) -> DataFrame:
+    """(i, flag, epsilon): flag tells the positions of the runs that pruning keeps."""
     pieces = rows.groupBy(*MC, "_segment", "g").agg(F.max("error").alias("peak"), F.min("i").alias("start"))  # g is null outside of runs
     outside = pieces.groupBy(*[F.col(c).alias(f"_of_{c}") for c in MC]).agg(F.max(F.when(F.col("g").isNull(), F.col("peak"))).alias("outside"))
     runs = pieces.where("g is not null").groupBy(*MC, "g").agg(F.max("peak").alias("peak"), F.min("start").alias("start"))
@@ -129,6 +132,12 @@ def detect_dynamic(errors: DataFrame, span: int = 5, p: float = 0.13) -> DataFra
     return flags.select(*MC, F.col("i").cast("int").alias("i"), F.col("_of_g").isNotNull().alias("flag"), F.exp("eps").alias("epsilon"))
 
 
+def detect_dynamic(errors: DataFrame, span: int = 5, p: float = 0.13) -> DataFrame:
+    """Smoothed log errors, adaptive epsilon, runs, pruning. A channel of any length is worked on in segments of positions: moments are merged,
+    runs are carried over borders, and only runs, not positions, are ranked together. Errors that are missing or NaN aren't provided for."""
+    return flag_runs(dynamic_runs(errors, span), p)
+
+
 def _harmonic(n: np.ndarray) -> np.ndarray:
     """Mean path length of an unsuccessful search among n."""
     n = np.asarray(n, dtype=float)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,20 +86,98 @@ def vote(matrix: DataFrame, cols: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).crossJoin(split)  # one row
 
 
-def _standardised(train: DataFrame, rows: DataFrame, cols: list[str]) -> DataFrame:
-    stats = train.agg(*[f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    out = rows.crossJoin(F.broadcast(stats))  # one row
-    for c in cols:
-        out = out.withColumn(f"_x_{c}", (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}")))
-    return VectorAssembler(inputCols=[f"_x_{c}" for c in cols], outputCol="_features").transform(out)
-
-
-def _fit(train: DataFrame, cols: list[str]):
-    """Logistic regression with balanced classes and the penalty of half the squared weights against the sum of losses."""
-    n, pos = train.agg(F.count("*"), F.count_if("is_anomaly")).first()
-    weight = F.when(F.col("is_anomaly"), n / (2 * max(pos, 1))).otherwise(n / (2 * max(n - pos, 1)))
-    rows = _standardised(train, train, cols).select("_features", F.col("is_anomaly").cast("double").alias("label"), weight.alias("w"))
-    return LogisticRegression(featuresCol="_features", weightCol="w", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-9).fit(rows)
+#: What Newton's method stops at: steps, and the change of a weight.
+STEPS, SETTLED = 60, 1e-10
+
+
+@dataclass
+class Stackers:
+    """Logistic models of some signals, one for each left-out fold (or one of all rows): the means and spreads that signals are standardised by,
+    and weights, the intercept last; a row a model."""
+
+    cols: list[str]
+    mean: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray
+
+    def score(self, model: Column) -> Column:
+        """The probability under the model of that number."""
+        of = lambda x: F.element_at(F.lit(x.tolist()), model + 1)
+        z = sum(of(self.weights[:, j]) * (F.col(c) - of(self.mean[:, j])) / of(self.spread[:, j]) for j, c in enumerate(self.cols))
+        return 1 / (1 + F.exp(-(z + of(self.weights[:, -1]))))
+
+
+def _fold_moments(rows: DataFrame, cols: list[str], folds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(n, positives, mean, sum of squared differences) of each fold, from one grouped pass."""
+    aggs = [f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("v", F.var_pop))]
+    n, pos, mean, m2 = np.zeros(folds), np.zeros(folds), np.zeros((folds, len(cols))), np.zeros((folds, len(cols)))
+    for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.count_if("is_anomaly").alias("pos"), *aggs).collect():  # a row for each fold
+        f = r["fold"]
+        n[f], pos[f] = r["n"], r["pos"]
+        mean[f] = [r[f"m{i}"] for i in range(len(cols))]
+        m2[f] = [r[f"v{i}"] * r["n"] for i in range(len(cols))]
+    return n, pos, mean, m2
+
+
+def fit_stackers(rows: DataFrame, cols: list[str], folds: int, leave_out: bool = True) -> Stackers:
+    """Logistic regressions with balanced classes and the penalty of half the squared weights, without the intercept's, against the sum of losses:
+    one for each fold left out, or one of all rows. rows: (fold, is_anomaly, the signals without nulls).
+
+    All models take Newton's steps together: a step is one pass in which each task sums gradients and small Hessians of every model, and the
+    sums, a few numbers a model, are added up by a grouped sum. A step that raises a model's loss is halved.
+    """
+    n, pos, mean, m2 = _fold_moments(rows, cols, folds)
+    uses = ~np.eye(folds, dtype=bool) if leave_out else np.ones((1, folds), bool)  # model x fold
+    k, size = len(uses), len(cols) + 1
+    total, positive = np.maximum(uses @ n, 1), uses @ pos
+    centre = (uses * n) @ mean / total[:, None]
+    spread = np.sqrt(np.maximum(np.array([((m2 + n[:, None] * (mean - c) ** 2) * u[:, None]).sum(axis=0) for u, c in zip(uses, centre)]) / total[:, None], 0))
+    spread[spread == 0] = 1.0
+    balance = np.stack([total / (2 * np.maximum(total - positive, 1)), total / (2 * np.maximum(positive, 1))], axis=1)
+    ridge = np.diag([1.0] * len(cols) + [0.0])
+    slim = rows.select("fold", "is_anomaly", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+
+    def sums(weights: np.ndarray) -> np.ndarray:
+        """Loss, gradient and Hessian of each model at its weights."""
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((k, 1 + size + size * size))
+            for batch in batches:
+                fold, y = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False).astype(int)
+                x = np.column_stack([*(batch.column(2 + i).to_numpy() for i in range(len(cols))), np.ones(len(y))])
+                for m in range(k):
+                    mine = uses[m][fold]
+                    own, label = x[mine].copy(), y[mine]
+                    own[:, :-1] = (own[:, :-1] - centre[m]) / spread[m]
+                    z, w = own @ weights[m], balance[m][label]
+                    q = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    out[m, 0] += (w * (np.logaddexp(0, z) - label * z)).sum()
+                    out[m, 1 : 1 + size] += own.T @ (w * (q - label))
+                    out[m, 1 + size :] += (own.T @ (own * (w * q * (1 - q))[:, None])).ravel()
+            model, at = np.indices(out.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(model.ravel(), pa.int32()), pa.array(at.ravel(), pa.int32()), pa.array(out.ravel())], names=["model", "at", "value"])
+
+        out = np.zeros((k, 1 + size + size * size))
+        for r in slim.mapInArrow(add, "model int, at int, value double").groupBy("model", "at").agg(F.sum("value").alias("value")).collect():
+            out[r["model"], r["at"]] = r["value"]
+        return out
+
+    weights, step, before = np.zeros((k, size)), np.zeros((k, size)), np.full(k, np.inf)
+    for _ in range(STEPS):
+        got = sums(weights)
+        loss = got[:, 0] + 0.5 * np.einsum("mi,ij,mj->m", weights, ridge, weights)
+        for m in range(k):
+            if loss[m] > before[m] + 1e-9 * abs(before[m]):
+                step[m] /= 2
+                weights[m] -= step[m]
+                continue
+            before[m] = loss[m]
+            hessian = got[m, 1 + size :].reshape(size, size) + ridge
+            step[m] = -np.linalg.lstsq(hessian, got[m, 1 : 1 + size] + ridge @ weights[m], rcond=None)[0]
+            weights[m] += step[m]
+        if np.abs(step).max() < SETTLED:
+            break
+    return Stackers(cols, centre, spread, weights)
 
 
 def with_folds(matrix: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
@@ -109,22 +188,17 @@ def with_folds(matrix: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
 
 
 def oof_stack(matrix: DataFrame, cols: list[str], k: int = 5, seed: int = 0) -> DataFrame:
-    """Stacked, each row's probability under a model fitted on the other folds."""
+    """Stacked, each row's probability under a model fitted on the other folds. A signal that is null gives a null."""
     rows = with_folds(matrix, k, seed)  # stands on a stored table
-    parts = []
-    for fold in range(k):
-        train = rows.where(F.col("fold") != fold)
-        model = _fit(train, cols)
-        held = model.transform(_standardised(train, rows.where(F.col("fold") == fold), cols))
-        parts.append(held.select(*matrix.columns, "fold", vector_to_array("probability")[1].alias("stacked")))
-    return reduce(DataFrame.unionByName, parts)
+    whole = rows.dropna(subset=cols)
+    return rows.select(*matrix.columns, "fold", fit_stackers(whole, cols, k).score(F.col("fold")).alias("stacked"))
 
 
 def stack_weights(matrix: DataFrame, cols: list[str]) -> DataFrame:
     """(name, weight) of a fit on all rows, 4 decimals, the intercept last."""
-    model = _fit(matrix, cols)
-    rows = [*zip(cols, [round(float(c), 4) for c in model.coefficients]), ("intercept", round(float(model.intercept), 4))]
-    return matrix.sparkSession.createDataFrame(rows, "name string, weight double")
+    rows = stored(matrix.select("is_anomaly", *cols, F.lit(0).alias("fold")).dropna(subset=cols))
+    weights = fit_stackers(rows, cols, 1, leave_out=False).weights[0]
+    return matrix.sparkSession.createDataFrame([(name, round(float(w), 4)) for name, w in zip([*cols, "intercept"], weights)], "name string, weight double")
 
 
 def single_baselines(matrix: DataFrame, cols: list[str]) -> DataFrame:
@@ -143,15 +217,15 @@ def single_baselines(matrix: DataFrame, cols: list[str]) -> DataFrame:
 def fuse(matrix: DataFrame, seed: int = 0) -> DataFrame:
     """A report row for each fused score of the two-signal variant, and of the three-signal one where over 50 rows have an error."""
     matrix = stored(matrix)
-    variants = [("text_vision", matrix, ["text", "vision"])]
     third = matrix.where("error is not null")
-    if third.count() > 50:
-        variants.append(("text_vision_error", third, ["text", "vision", "error"]))
+    n, n_third = matrix.agg(F.count("*"), F.count("error")).first()
+    variants = [("text_vision", matrix, ["text", "vision"], n)] + ([("text_vision_error", third, ["text", "vision", "error"], n_third)] if n_third > 50 else [])
     parts = []
-    for name, rows, cols in variants:
-        for kind, scored, c in (("stacked", stored(oof_stack(rows, cols, seed=seed)), "stacked"), ("weighted", weighted_sum(rows, cols), "weighted")):
-            best = best_by(sweep(scored, c, range_grid(scored, c)), "cef")
-            parts.append(best.select(F.lit(name).alias("variant"), F.lit(kind).alias("fusion"), "threshold", "precision", "recall", "f1", "cef", F.lit(rows.count()).alias("n_units")))
+    for name, rows, cols, units in variants:
+        scored = stored(weighted_sum(oof_stack(rows, cols, seed=seed), cols).select("is_anomaly", "stacked", "weighted"))
+        for kind in ("stacked", "weighted"):
+            best = best_by(sweep(scored, kind, range_grid(scored, kind)), "cef")
+            parts.append(best.select(F.lit(name).alias("variant"), F.lit(kind).alias("fusion"), "threshold", "precision", "recall", "f1", "cef", F.lit(units).alias("n_units")))
     return reduce(DataFrame.unionByName, parts)
 
 

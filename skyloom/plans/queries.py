@@ -705,15 +705,15 @@ def d2_best_z(spark, sf):
 
 @query
 def d3_epsilon(spark, sf):
-    return d.detect_dynamic(b.errors(spark, sf)).groupBy(*MC).agg(F.round(F.max("epsilon"), 6).alias("epsilon"))
+    return d.epsilons(d.smoothed(b.errors(spark, sf), 5)).select(*MC, F.round(F.exp("eps"), 6).alias("epsilon"))
 
 
 @query
 def d4_pruned(spark, sf):
     """Flags before and after pruning."""
-    e = b.errors(spark, sf)
-    all_ = d.detect_dynamic(e, p=0.0).groupBy(*MC).agg(F.count_if("flag").alias("n_all"))
-    return all_.join(d.detect_dynamic(e).groupBy(*MC).agg(F.count_if("flag").alias("n_pruned")), MC)
+    rows = d.dynamic_runs(b.errors(spark, sf))
+    all_ = d.flag_runs(rows, p=0.0).groupBy(*MC).agg(F.count_if("flag").alias("n_all"))
+    return all_.join(d.flag_runs(rows).groupBy(*MC).agg(F.count_if("flag").alias("n_pruned")), MC)
 
 
 @query
