@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MC
+from .overlaps import meeting
 
 AXES = ("correctness", "actionability", "grounding")
 
@@ -17,11 +18,11 @@ def best_overlap(windows: DataFrame, refs: DataFrame, keys: list[str] = MC) -> D
 
     windows: (index, keys, start_time, end_time); refs: (id, keys, start_time, end_time).
     """
-    # both sides stand once for each day that they touch; an overlap is judged on its first day only
-    days = lambda df: F.explode(F.sequence(F.to_date(df["start_time"]), F.to_date(df["end_time"])))
-    w = windows.select("index", *keys, F.col("start_time").alias("ws"), F.col("end_time").alias("we"), days(windows).alias("_day"))
-    r = refs.select("id", *keys, F.col("start_time").alias("rs"), F.col("end_time").alias("re"), days(refs).alias("_day"))
-    met = w.join(r, [*keys, "_day"]).where((F.col("ws") < F.col("re")) & (F.col("rs") < F.col("we")) & (F.col("_day") == F.to_date(F.greatest("ws", "rs"))))
+    w = windows.select("index", *keys, F.col("start_time").alias("ws"), F.col("end_time").alias("we"))
+    r = refs.select("id", *keys, F.col("start_time").alias("rs"), F.col("end_time").alias("re"))
+    day = lambda c: F.unix_date(F.to_date(c)).cast("long")
+    near = meeting(w, r, keys, (day("ws"), day("we")), (day("rs"), day("re")))
+    met = near.select(*[F.col(f"`a.{c}`").alias(c) for c in ("index", "ws", "we")], *[F.col(f"`b.{c}`").alias(c) for c in ("id", "rs", "re")]).where((F.col("ws") < F.col("re")) & (F.col("rs") < F.col("we")))
     overlap = (F.unix_micros(F.least("we", "re")) - F.unix_micros(F.greatest("ws", "rs"))) / 1e6
     best = met.withColumn("o", -overlap).groupBy("index").agg(F.min(F.struct("o", "rs", "id")).alias("b"))
     return windows.join(best.select("index", F.col("b.id").alias("ref_id"), (-F.col("b.o")).alias("overlap_s")), "index", "left")

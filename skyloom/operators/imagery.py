@@ -51,18 +51,56 @@ def top_decile_mass(values: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(_sum(F.slice(m, F.greatest(F.size(m) - k + 1, F.lit(1)), k)) / F.when(total == 0, 1.0).otherwise(total))
 
 
-def brightness_corr(df: DataFrame, keys: list[str], attribution: str = "attribution", brightness: str = "brightness") -> DataFrame:
-    """Pearson's r of attribution magnitude with patch brightness for each key (0 without variance)."""
-    long = df.select(*keys, F.explode(F.arrays_zip(F.transform(attribution, lambda x: F.abs(x)).alias("a"), F.col(brightness).alias("b"))).alias("z"))
-    return long.groupBy(*keys).agg(pearson("z.a", "z.b").alias("r"))
+def array_pearson(x: Column, y: Column) -> Column:
+    """Pearson's r of two arrays of one length, in two passes inside the row; 0 without variance, for empty arrays and for arrays of two lengths."""
+    n = F.size(x)
+    mean = lambda v: _sum(v) / F.when(n > 0, n)
+    both = F.struct(x.alias("x"), y.alias("y"), mean(x).alias("mx"), mean(y).alias("my"))
 
+    def r(s: Column) -> Column:
+        off = F.zip_with(s["x"], s["y"], lambda a, b: F.struct((a - s["mx"]).alias("a"), (b - s["my"]).alias("b")))
+        add = lambda t, d: F.struct((t["ab"] + d["a"] * d["b"]).alias("ab"), (t["aa"] + d["a"] * d["a"]).alias("aa"), (t["bb"] + d["b"] * d["b"]).alias("bb"))
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in ("ab", "aa", "bb")])
+        spread = lambda t: F.sqrt(t["aa"]) * F.sqrt(t["bb"])
+        return F.aggregate(off, zero, add, lambda t: F.when(spread(t) > 0, t["ab"] / F.when(spread(t) > 0, spread(t)).otherwise(1.0)).otherwise(0.0))
 
-def avg_pool(df: DataFrame, keys: list[str], values: str, width: int, patch: int) -> DataFrame:
-    """Mean of each patch x patch square of a row-major image: (keys, patch_id, mean)."""
-    across = width // patch
-    long = df.select(*keys, F.posexplode(values).alias("pos", "v"))
-    spot = F.floor(F.floor(F.col("pos") / width) / patch) * across + F.floor((F.col("pos") % width) / patch)
-    return long.groupBy(*keys, spot.cast("int").alias("patch_id")).agg(F.avg(F.col("v").cast("double")).alias("mean"))
+    return F.coalesce(F.when(F.size(x) == F.size(y), F.transform(F.array(both), r)[0]), F.lit(0.0))
+
+
+def brightness_corr(df: DataFrame, keys: list[str], attribution: str = "attribution", brightness: str = "brightness", channels: int = 1) -> DataFrame:
+    """(keys, r, by_channel): Pearson's r of attribution magnitude with patch brightness (0 without variance), the mean of one for each of the
+    image's channels, whose brightness arrays stand one after another. Works inside each row."""
+    mags = F.transform(attribution, lambda v: F.abs(v).cast("double"))
+    n = F.floor(F.size(brightness) / channels).cast("int")
+    each = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.transform(F.slice(brightness, c * n + 1, n), lambda v: v.cast("double")))
+    out = df.select(*keys, mags.alias("_m"), each.alias("_b")).select(*keys, F.transform("_b", lambda b: array_pearson(F.col("_m"), b)).alias("by_channel"))
+    return out.select(*keys, (_sum(F.col("by_channel")) / channels).alias("r"), "by_channel")
+
+
+def _avg(values: Column) -> Column:
+    """The mean of an array without its nulls, null without any."""
+    known = F.array_compact(values)
+    return F.when(F.size(known) > 0, _sum(F.transform(known, lambda v: v.cast("double"))) / F.size(known))
+
+
+def patch_means(values: Column, width: int, patch: int, height: int, channels: int = 1) -> Column:
+    """The mean of each whole patch x patch square of a channel-first, row-major image, channel by channel; rows and columns beyond whole
+    squares are left out. Index ranges inside the array: no row for a pixel, no exchange. Null for an image that is null or empty."""
+    across, down = width // patch, height // patch
+
+    def mean(i: Column) -> Column:
+        c, spot = F.floor(i / (across * down)), i % (across * down)
+        corner = (c * height + F.floor(spot / across) * patch) * width + (spot % across) * patch + 1
+        rows = F.transform(F.sequence(F.lit(0), F.lit(patch - 1)), lambda k: F.slice(values, (corner + k * width).cast("int"), F.lit(patch)))
+        return _avg(F.flatten(rows))
+
+    means = F.transform(F.sequence(F.lit(0), F.lit(channels * across * down - 1)), mean) if across * down else F.array().cast("array<double>")
+    return F.when(F.size(values) > 0, means)
+
+
+def avg_pool(df: DataFrame, keys: list[str], values: str, width: int, patch: int, height: int | None = None, channels: int = 1) -> DataFrame:
+    """(keys, patch_id, mean) of each patch x patch square; patches are numbered channel by channel. height: that of a square image if not given."""
+    return df.select(*keys, F.posexplode(patch_means(F.col(values), width, patch, height or width, channels)).alias("patch_id", "mean"))
 
 
 def _weights(n: int, m: int) -> np.ndarray:
@@ -77,12 +115,16 @@ def _weights(n: int, m: int) -> np.ndarray:
 
 
 def resize_bilinear(values: Column, channels: int, height: int, width: int, to_height: int, to_width: int) -> Column:
-    """A channel-first image resized without anti-aliasing; a helper over small batches."""
+    """Channel-first images resized without anti-aliasing, a batch as one block."""
     up, across = _weights(height, to_height), _weights(width, to_width)
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def resize(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda v: None if v is None else (up @ np.asarray(v, dtype=float).reshape(channels, height, width) @ across.T).ravel())
+        out, known = pd.Series([None] * len(batch), index=batch.index, dtype=object), batch[batch.notna()]
+        if len(known):
+            block = np.stack(known.to_numpy()).astype(float).reshape(len(known), channels, height, width)
+            out[known.index] = list((up @ block @ across.T).reshape(len(known), -1))
+        return out
 
     return resize(values)
 
@@ -93,9 +135,10 @@ def faithfulness(parts: Column, total: Column, tolerance: float = 1e-3) -> Colum
 
 
 def column_means(df: DataFrame, keys: list[str], weights: str, n: int) -> DataFrame:
-    """Mean of each column of an n x n row-major matrix: (keys, col, mean)."""
-    long = df.select(*keys, F.posexplode(weights).alias("pos", "v"))
-    return long.groupBy(*keys, (F.col("pos") % n).alias("col")).agg(F.avg(F.col("v").cast("double")).alias("mean"))
+    """Mean of each column of an n x n row-major matrix: (keys, col, mean), by index ranges inside the array."""
+    w = F.col(weights)
+    column = lambda c: _avg(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(w, (k * n + c).cast("int"))))
+    return df.where(F.size(w) > 0).select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), column)).alias("col", "mean"))
 
 
 def profile(df: DataFrame, values: str, label: str) -> DataFrame:

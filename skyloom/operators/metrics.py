@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import MC
 from ..shared import running_sums, stored
+from .overlaps import meeting
 from .sequences import merge_intervals
 
 
@@ -54,19 +55,17 @@ def macro(records: DataFrame, all_channels: bool = False, keys: list[str] | None
     return out.withColumn("cef", cef(F.col("precision"), F.col("recall")))
 
 
-#: Positions in one stretch of the join of spans.
+#: Positions in one unit of the join of spans.
 BAND = 1024
 
 
 def interval_matches(pred: DataFrame, gt: DataFrame, delta: int = 32, keys: list[str] = MC) -> DataFrame:
     """Pairs of predicted and true spans with pred start <= gt end + delta and pred end >= gt start - delta."""
-    # both sides stand once for each stretch of BAND that they touch, the predicted ones widened by delta; a pair is taken on its first stretch
+    band = lambda c: F.floor(c / BAND)
     p, g = pred.select(*keys, F.col("start").alias("ps"), F.col("end").alias("pe")), gt.select(*keys, F.col("start").alias("gs"), F.col("end").alias("ge"))
-    at = lambda c: F.floor(c / BAND)
-    p = p.withColumn("_b", F.explode(F.sequence(at(F.col("ps") - delta), at(F.col("pe") + delta))))
-    g = g.withColumn("_b", F.explode(F.sequence(at(F.col("gs")), at(F.col("ge")))))
-    near = (F.col("ps") <= F.col("ge") + delta) & (F.col("pe") >= F.col("gs") - delta)
-    return p.join(g, [*keys, "_b"]).where(near & (F.col("_b") == F.greatest(at(F.col("ps") - delta), at(F.col("gs"))))).drop("_b")
+    met = meeting(p, g, keys, (band(F.col("ps") - delta), band(F.col("pe") + delta)), (band(F.col("gs")), band(F.col("ge"))))
+    pairs = met.select(*[F.col(f"`a.{c}`").alias(c) for c in (*keys, "ps", "pe")], *[F.col(f"`b.{c}`").alias(c) for c in ("gs", "ge")])
+    return pairs.where((F.col("ps") <= F.col("ge") + delta) & (F.col("pe") >= F.col("gs") - delta))
 
 
 def affinity_f1(pred: DataFrame, gt: DataFrame, delta: int = 32, gap: int = 16, keys: list[str] = MC) -> DataFrame:

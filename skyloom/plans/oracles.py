@@ -265,7 +265,7 @@ ORACLES: dict[str, str] = {
     "a22_mean_baseline": sql("rg", "SELECT round(avg(abs(truth - m)), 6) AS baseline_mae FROM rg, (SELECT avg(truth) AS m FROM rg WHERE l_orderkey % 5 <> 0) WHERE l_orderkey % 5 = 0"),
     "a23_gini": sql("im", f"WITH {MAGS} SELECT index, round({GINI}, 5) AS gini FROM mg0"),
     "a24_top_decile": sql("im", f"WITH {MAGS} SELECT index, round(CASE WHEN list_sum(m) = 0 THEN 0 ELSE list_sum(m[59:64]) / list_sum(m) END, 5) AS top_decile FROM mg0"),
-    "a25_brightness": sql("im", f"WITH {LONG} SELECT index, round(corr(abs(x), x * x), 5) AS r FROM lg GROUP BY 1"),
+    "a25_brightness": sql("im", "SELECT index, round((corr(abs(x), x * x) + corr(abs(x), y * y)) / 2, 5) + 0.0 AS r FROM (SELECT index, unnest(a) AS x, unnest(list_reverse(a)) AS y FROM im) GROUP BY 1"),
     "a26_avg_pool": sql("im", f"WITH {LONG} SELECT index, CAST(pos // 8 // 2 * 4 + pos % 8 // 2 AS INT) AS patch_id, round(avg(x), 5) + 0.0 AS mean FROM lg GROUP BY 1, 2"),
     "a28_faithful": sql("im", "SELECT index, index % 3 <> 0 AS faithful FROM im"),
     "a29_profile": sql("im", "SELECT count(*) AS rows, CAST(min(len(a)) AS INT) AS min_size, CAST(max(len(a)) AS INT) AS max_size, round(min(list_min(a)), 5) AS value_min, round(max(list_max(a)), 5) AS value_max, min(label) AS label_min, max(label) AS label_max, CAST(0 AS BIGINT) AS not_finite FROM im"),
@@ -283,8 +283,10 @@ ORACLES: dict[str, str] = {
     "v3_chat": "SELECT 'columns' AS check, true AS passed, 'text' AS observed, 'text' AS expected UNION ALL SELECT 'marker', true, '0', '0'",
     "v4_detector": sql("recm er", "WITH ls AS (SELECT mission, channel, arg_min(error, i) AS a, arg_max(error, i) AS b FROM er GROUP BY 1, 2) SELECT 'loss_fell' AS check, count(*) FILTER (b < a) > 0 AS passed, CAST(count(*) FILTER (b < a) AS VARCHAR) AS observed, '> 0' AS expected FROM recm JOIN ls USING (mission, channel) WHERE tp + fn > 0 UNION ALL " + checks("(SELECT * FROM recm WHERE tp + fn > 0)", [("scored", "count(*)", "count(*) > 0", "> 0"), ("finite", "count(*) FILTER (isnan(p) OR isnan(r) OR isnan(f))", "count(*) FILTER (isnan(p) OR isnan(r) OR isnan(f)) = 0", "0"), ("mean_f1", "round(avg(f), 4)", "round(avg(f), 4) > 0.05 AND round(avg(f), 4) < 0.98", "0.05..0.98")])),
     "v5_verdicts": sql("vd", checks("(SELECT *, predicted = 'ANOMALY' AS hit FROM vd)", [("rows", "count(*)", "count(*) > 0", "> 0"), ("finite", "count(*) FILTER (elapsed_s IS NULL OR NOT isfinite(elapsed_s))", "count(*) FILTER (elapsed_s IS NULL OR NOT isfinite(elapsed_s)) = 0", "0"), ("f1", "round(2 * count(*) FILTER (hit AND is_anomaly) / (2 * count(*) FILTER (hit AND is_anomaly) + count(*) FILTER (hit <> is_anomaly)), 4)", "true", "0..1"), ("unknown", "round(count(*) FILTER (predicted = 'UNKNOWN') / count(*), 4)", "round(count(*) FILTER (predicted = 'UNKNOWN') / count(*), 4) < 0.2", "< 0.2"), ("time", "round(avg(elapsed_s), 3)", "avg(elapsed_s) < 30", "< 30"), ("length", "round(count(*) FILTER (length(actual_response) > 10) / count(*), 4)", "count(*) FILTER (length(actual_response) > 10) = count(*)", "1"), ("keyword", "round(count(*) FILTER (regexp_matches(upper(actual_response), 'ANOMALY|NOMINAL')) / count(*), 4)", "round(count(*) FILTER (regexp_matches(upper(actual_response), 'ANOMALY|NOMINAL')) / count(*), 4) > 0.8", "> 0.8")])),
-    "v6_comparison": sql("ern mac vd win", APPROACHES + " SELECT 'errors' AS check, true AS passed, '0' AS observed, '0' AS expected UNION ALL SELECT 'advice_length', advice_avg_chars > 50, CAST(advice_avg_chars AS VARCHAR), '> 50' FROM s3 UNION ALL " + checks("ap", [("rows", "count(*)", "count(*) > 0", "> 0"), ("bounds", "count(*) FILTER (NOT (precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AND cef BETWEEN 0 AND 1))", "count(*) FILTER (NOT (precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AND cef BETWEEN 0 AND 1)) = 0", "0")])),
+    "v6_comparison": sql("ern mac vd win", APPROACHES + " SELECT 'errors' AS check, count(*) FILTER (f1 IS NULL OR isnan(f1)) = 0 AS passed, CAST(count(*) FILTER (f1 IS NULL OR isnan(f1)) AS VARCHAR) AS observed, '0' AS expected FROM ap UNION ALL SELECT 'advice_length', advice_avg_chars > 50, CAST(advice_avg_chars AS VARCHAR), '> 50' FROM s3 UNION ALL " + checks("ap", [("rows", "count(*)", "count(*) > 0", "> 0"), ("bounds", "count(*) FILTER (NOT (precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AND cef BETWEEN 0 AND 1))", "count(*) FILTER (NOT (precision BETWEEN 0 AND 1 AND recall BETWEEN 0 AND 1 AND f1 BETWEEN 0 AND 1 AND cef BETWEEN 0 AND 1)) = 0", "0")])),
 }
+ORACLES["t1_stream_late"] = sql("tel wm", f"""WITH cut AS (SELECT max(ts) - INTERVAL 2 HOUR AS wl FROM tel WHERE event_id % 10 <> 0), ok AS (SELECT tel.* FROM tel, cut WHERE event_id % 10 <> 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > wl)
+  SELECT mission, channel, strftime(b, {TS}) AS ts, round(v, 6) AS value, n FROM (SELECT mission, channel, date_trunc('hour', ts) AS b, avg(value) AS v, count(value) AS n FROM ok GROUP BY 1, 2, 3), wm WHERE b + INTERVAL 1 HOUR <= wm""")
 ORACLES["t1_stream_resample"] = sql("tel wm", f"SELECT mission, channel, strftime(b, {TS}) AS ts, round(v, 6) AS value, n FROM (SELECT mission, channel, date_trunc('hour', ts) AS b, avg(value) AS v, count(value) AS n FROM tel GROUP BY 1, 2, 3), wm WHERE b + INTERVAL 1 HOUR <= wm")
 ORACLES["t2_stream_windows"] = sql("tel wm", f"""WITH sl AS (SELECT *, unnest([e // 57600 * 57600, e // 57600 * 57600 - 57600]) AS s FROM (SELECT *, epoch_us(ts) // 1000000 AS e FROM tel)) SELECT mission, channel, strftime(make_timestamp(s * 1000000), {TS}) AS start_time, strftime(make_timestamp((s + 115200) * 1000000), {TS}) AS end_time,
   count(value) AS n, round(avg(value) + 1e-7, 4) AS mean, round(stddev_pop(value), 4) AS std, round(min(value), 4) AS lo, round(max(value), 4) AS hi FROM sl, wm WHERE make_timestamp((s + 115200) * 1000000) <= wm GROUP BY mission, channel, s""")
@@ -302,7 +304,7 @@ ORACLES["d2_z_sweep"] = sql("ern", ZCURVE + " SELECT * FROM zr")
 ORACLES["d2_best_z"] = sql("ern", ZCURVE + " SELECT * FROM zr ORDER BY cef DESC, z LIMIT 1")
 ORACLES["v7_regression"] = sql("rg", """WITH r1 AS (SELECT avg(abs(pred - truth)) AS mae, corr(pred, truth) AS r, count(*) * 1e-4 AS cost FROM rg), r2 AS (SELECT avg(abs(truth - m)) AS base FROM rg, (SELECT avg(truth) AS m FROM rg WHERE l_orderkey % 5 <> 0) WHERE l_orderkey % 5 = 0) """ + checks("r1, r2", [
     ("beats_mean", "round(mae, 4)", "mae <= 0.95 * base", "<= 0.95 baseline"), ("baseline", "round(base, 4)", "base > 0", "> 0"), ("mae", "round(mae, 4)", "mae > 0.01 AND mae < 0.4", "0.01..0.4"), ("pearson", "round(r, 4)", "r BETWEEN -1 AND 1", "-1..1"), ("cost", "round(CAST(cost AS DOUBLE), 4)", "cost < 25", "< 25")]))
-ORACLES["v8_images"] = sql("im", "WITH p AS (SELECT count(*) AS n, max(len(a)) AS hi, min(len(a)) AS lo, min(list_min(a)) AS vlo, max(list_max(a)) AS vhi, count(*) FILTER (label IS NULL) AS bad FROM im) SELECT 'rows' AS check, true AS passed, CAST(n AS VARCHAR) AS observed, CAST(n AS VARCHAR) AS expected FROM p UNION ALL " + checks("p", [
+ORACLES["v8_images"] = sql("im", "WITH p AS (SELECT count(*) AS n, max(len(a)) AS hi, min(len(a)) AS lo, min(list_min(a)) AS vlo, max(list_max(a)) AS vhi, count(*) FILTER (label IS NULL) AS bad FROM im) SELECT 'rows' AS check, n = want AS passed, CAST(n AS VARCHAR) AS observed, CAST(want AS VARCHAR) AS expected FROM p, (SELECT max(index) - min(index) + 1 AS want FROM im) UNION ALL " + checks("p", [
     ("shape", "hi", "hi = 64 AND lo = 64", "1x8x8"), ("values", "round(vhi, 4)", "vlo >= -1.001 AND vhi <= 1.001", "-1..1"), ("finite", "0", "true", "0"), ("labels", "bad", "bad = 0", "0")]))
 ORACLES["v9_attribution"] = sql("im", f"WITH {MAGS}, {LONG}, br AS (SELECT avg(r) AS r FROM (SELECT index, corr(abs(x), x * x) AS r FROM lg GROUP BY 1)), atr AS (SELECT avg({GINI}) AS g, avg(list_sum(m[59:64]) / list_sum(m)) AS t FROM mg0) " + checks("atr, br", [
     ("faithful", "0", "true", "0"), ("gini", "round(g, 4)", "g > 0.05", "> 0.05"), ("top_decile", "round(t, 4)", "t > 0.12", "> 0.12"), ("brightness", "round(r, 4)", "r > 0.1", "> 0.1")]))

@@ -26,10 +26,10 @@ def _mission_of(name: str) -> F.Column:
 
 
 def read_channels(spark: SparkSession, path: str, target_only: bool = True) -> DataFrame:
-    """The channel catalogue of every <mission>/channels.csv (a file or a folder of parts) below path; ordinal is the place inside it."""
+    """The channel catalogue of every <mission>/channels.csv (a file or a folder of parts, taken in order of their names) below path; ordinal is the place inside it."""
     read = spark.read.option("header", True).csv(f"{path}/*/channels.csv")
     out = read.select(
-        _mission_of("channels.csv").alias("mission"), F.col("Channel").alias("channel"), F.monotonically_increasing_id().alias("_at"), F.col("Subsystem").alias("subsystem"),
+        _mission_of("channels.csv").alias("mission"), F.col("Channel").alias("channel"), F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id()).alias("_at"), F.col("Subsystem").alias("subsystem"),
         F.col("Physical Unit").alias("physical_unit"), F.col("Group").alias("grp"), F.col("Target").alias("target"),
     )
     out = out.withColumn("ordinal", F.row_number().over(Window.partitionBy("mission").orderBy("_at")) - 1).drop("_at")

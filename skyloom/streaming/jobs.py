@@ -34,11 +34,18 @@ def stream_episodes(flags: DataFrame, gap: str = "16 hours", delay: str = "2 hou
     return e.select(*MC, "start_time", "end_time", "n")
 
 
-def drain(stream: DataFrame) -> DataFrame:
-    """Everything available now, written in append mode to the shared folder and read back."""
-    spark, path = stream.sparkSession, new_path(stream.sparkSession)
-    query = stream.writeStream.format("parquet").option("checkpointLocation", path + "-state").outputMode("append").trigger(availableNow=True).start(path)
+def run_available(stream: DataFrame, path: str, state: str) -> int:
+    """Everything available now, appended to `path`; `state` keeps where the job stands, so that a later run, also by another driver, goes on from
+    there. Returns how many late groups the watermark has dropped: rows of one batch, key and window count once."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start(path)
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """Everything available now, written in append mode to the shared folder and read back."""
+    spark, path = stream.sparkSession, new_path(stream.sparkSession)
+    run_available(stream, path, path + "-state")
     return spark.read.schema(stream.schema).parquet(path)

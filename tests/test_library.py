@@ -193,22 +193,6 @@ def test_flat_threshold(spark):
     assert out[0]["threshold"] == 4 and [r["flag"] for r in out] == [False, False, False, True, False]
 
 
-def test_pruning():
-    base = np.array([1.0, 10, 1, 9.5, 5])
-    assert d.prune(base, [(1, 1), (3, 3)]) == [(1, 1), (3, 3)]
-    assert d.prune(np.array([1.0, 10, 1, 5.2, 5]), [(1, 1), (3, 3)]) == [(1, 1)]
-    assert d.prune(base, []) == []
-
-
-def test_epsilon_falls_back_and_finds():
-    assert d.find_epsilon(np.ones(10)) == 1.0
-    x = np.concatenate([np.random.default_rng(0).normal(0, 1, 200), [30.0]])
-    eps = d.find_epsilon(x)
-    assert x[:200].max() < eps <= 30
-    flag, _ = d.dynamic_flags(np.exp(x / 3))
-    assert flag[200]
-
-
 def test_isolation_forest_ranks_outliers_first():
     x = np.random.default_rng(1).normal(size=(300, 4))
     x[7] += 12
