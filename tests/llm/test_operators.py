@@ -491,7 +491,7 @@ def test_shard_query_against_brute_force(spark, tmp_path):
     assert result._jdf.queryExecution().executedPlan().toString().count("rangepartitioning") == 0
 
 
-@pytest.mark.parametrize("cells", [1, 5])
+@pytest.mark.parametrize("cells", [1, 5, 250])
 def test_borders_fit_their_tolerance(spark, cells):
     rng = random.Random(cells)
     rows = [(rng.choice([5, 5, 5, -(1 << 63), (1 << 63) - 1, rng.getrandbits(63)]), rng.getrandbits(62), rng.randrange(1, 30)) for _ in range(3000)]
@@ -503,7 +503,7 @@ def test_borders_fit_their_tolerance(spark, cells):
     for i, k in enumerate(flat):
         below = sum(w for a, b, w in rows if (a, b) < k)
         assert abs(below - total * i / (4 * cells)) <= (0.01 * total / 4 if i % cells == 0 else 0.1 * total / (4 * cells)) + 30
-    counted = df.select(shards.place_of(["a", "b"], shards.as_array(flat)).alias("p"), "a", "b").collect()
+    counted = shards.with_place(df, ["a", "b"], flat, "p").collect()
     assert all(r["p"] == sum(k <= (r["a"], r["b"]) for k in flat) for r in counted)
 
 
