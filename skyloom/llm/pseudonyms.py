@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .scratch import kept, small_batches
 
-#: The setting that holds the secret. Whoever knows it can reverse the pseudonyms.
-KEY_SETTING = "spark.skyloom.pii.key"
+#: The setting that holds the secret. Whoever knows it can reverse the pseudonyms; Spark redacts settings of such a name in its UI and event logs.
+KEY_SETTING = "spark.skyloom.pii.secret"
 ROUNDS = 10
 KINDS = ("email", "card", "phone", "ip", "iban", "ssn", "date", "secret")
 
@@ -139,6 +139,12 @@ def luhn_digit(digits: str) -> int:
     return -sum(x - 9 * (x > 9) for x in doubled) % 10
 
 
+def issued(ssn: str) -> bool:
+    """Whether a social security number's parts are ones that are given out."""
+    area, group, serial = ssn.split("-")
+    return area not in ("000", "666") and area[0] != "9" and group != "00" and serial != "0000"
+
+
 def iban_check(country: str, rest: str) -> int:
     return 98 - int("".join(str(int(c, 36)) for c in rest + country + "00")) % 97
 
@@ -191,9 +197,12 @@ class Pseudonyms:
             new = iter(f.text(digits, b"phone"))
             return "".join(next(new) if c in DIGITS else c for c in value)
         if kind == "ssn":
-            if digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000":
+            if not issued(value):
                 return None
-            return f.text(value, b"ssn")
+            value = f.text(value, b"ssn")
+            while not issued(value):  # walks on inside the cycle, so pseudonyms stay one for one
+                value = f.text(value, b"ssn")
+            return value
         if kind == "ip":
             parts = [int(p) for p in value.split(".")]
             if max(parts) > 255 or any(len(p) > 1 and p[0] == "0" for p in value.split(".")):
@@ -254,10 +263,13 @@ _drawn: dict[str, bytes] = {}
 
 
 def secret_key(spark: SparkSession) -> bytes:
-    """The secret of KEY_SETTING; without one a key drawn for this application, so that its pseudonyms can't be reversed or linked to other runs."""
+    """The secret of KEY_SETTING; without one, under a local master only, a key drawn for this application, so that its pseudonyms can't be reversed
+    or linked to other runs. A cluster's job may be restarted, and its parts must stay linked, so there the setting is required."""
     given = spark.conf.get(KEY_SETTING, None)
     if given:
         return given.encode()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY_SETTING} must hold the secret that pseudonyms are made with")
     app = spark.sparkContext.applicationId
     if app not in _drawn:
         logging.getLogger(__name__).warning("%s isn't set: pseudonyms of this application won't be linked to those of others", KEY_SETTING)
@@ -271,7 +283,9 @@ def pseudonymise(docs: DataFrame, key: bytes | None = None, text: str = "text",
     Kinds: e-mail addresses, in any script; card numbers (Luhn) keep length, layout and a valid check digit; phone numbers with + and
     country code, with a leading 0 and 9 to 12 digits in groups, or in groups of 3, 3 and 4; IPv4
     addresses; IBANs (mod 97 kept valid); social security numbers; dates of 1900 to 2099, also across layouts; hexadecimal secrets with a digit
-    after token, secret, password or api key. A number that fails its check is left alone. Where kinds could overlap, the first in the
+    after token, secret, password or api key. A number that fails its check is left alone, and so is what no layout above has: IPv6 addresses,
+    phone numbers that begin with 00 or (0) or are bare digits, passwords that aren't hexadecimal, and addresses whose local part
+    exceeds 320 characters or whose domain exceeds 400. Where kinds could overlap, the first in the
     text wins, then the first in this list. Texts are searched whole, however long. A null text stays null, with
     zero counts; repeated rows stay; an empty table gives an empty one. `counts` names an added map from kind to number (None: not added;
     a column of that name, in any case of letters, is replaced).

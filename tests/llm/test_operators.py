@@ -208,6 +208,60 @@ def test_pii_query_on_planted_values(spark, tmp_path):
     assert pseudonyms.secret_key(spark) == pseudonyms.secret_key(spark) != b"one secret"
 
 
+def naive_kind(value):
+    """What a value is by plain parsing, or None."""
+    import ipaddress
+
+    digits = [int(c) for c in value if c.isdigit()]
+    if re.fullmatch(r"[a-z0-9.]+@[a-z]+\.[a-z]+", value):
+        return "email"
+    if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", value):
+        try:
+            return ipaddress.IPv4Address(value) and "ip"
+        except ValueError:
+            return None
+    if re.fullmatch(r"[A-Z]{2}[0-9]{2}[0-9 ]+", value):
+        packed = value.replace(" ", "")
+        return "iban" if int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4])) % 97 == 1 else None
+    if re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", value):
+        try:
+            return "date" if 1900 <= dt.date.fromisoformat(value).year <= 2099 else None
+        except ValueError:
+            return None
+    if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", value):
+        area, group, serial = value.split("-")
+        return "ssn" if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000" else None
+    if re.fullmatch(r"[0-9]{4}( [0-9]{4}){3}", value):
+        doubled = sum(d if i % 2 else 2 * d - 9 * (d > 4) for i, d in enumerate(digits))
+        return "card" if doubled % 10 == 0 and len(set(digits)) > 1 else None
+    return "phone" if re.fullmatch(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", value) else None
+
+
+def test_pseudonyms_against_a_plain_reader(spark):
+    """Values and near misses between words: exactly the valid ones change, each to a valid one of its kind and layout, one for one."""
+    rng = random.Random(9)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: f"{rng.choice('abc')}{number(2)}.x@host{rng.choice('xyz')}.org".replace("host", "mail"), lambda: ".".join(str(rng.randrange(300)) for _ in range(4)), lambda: f"{rng.randrange(1890, 2110)}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 33):02d}",
+        lambda: f"{rng.choice(['000', '666', number(3)])}-{rng.choice(['00', number(2)])}-{rng.choice(['0000', number(4)])}", lambda: " ".join(number(4) for _ in range(4)), lambda: f"({number(3)}) {number(3)}-{number(4)}",
+        lambda: (lambda rest: f"DE{rng.choice([pseudonyms.iban_check('DE', rest), 11]):02d} " + " ".join(rest[i : i + 4] for i in range(0, 18, 4)))(number(18)), lambda: rng.choice(["word", "v1.2", "3", "1990", "@home", "a@b", "12-34", "x9", "7.5 kg,"]),
+    ]
+    texts = [[rng.choice(makers)() if k % 2 else rng.choice(["und", "the (", "ü漢;", "and\n"]) for k in range(rng.randrange(1, 40))] for _ in range(300)]
+    got = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonymise(docs(spark, [(i, " | ".join(t)) for i, t in enumerate(texts)]), key=b"k").collect()}
+    there, changed = {}, 0
+    for i, parts in enumerate(texts):
+        out = got[i].split(" | ")
+        assert len(out) == len(parts)
+        for old, new in zip(parts, out):
+            kind = naive_kind(old)
+            changed += old != new
+            assert naive_kind(new) == kind if kind else new == old, (old, new)
+            assert re.sub("[0-9]", "9", re.sub("[a-z]", "a", old)) == re.sub("[0-9]", "9", re.sub("[a-z]", "a", new)) or kind == "ip"
+            assert there.setdefault((kind, old), new) == new
+    valid = {k: v for k, v in there.items() if k[0]}
+    assert changed > 500 and len({(k[0], v) for k, v in valid.items()}) == len(valid) and {k[0] for k in valid} == {"email", "ip", "date", "ssn", "card", "phone", "iban"}
+
+
 def test_pseudonymise_edges(spark):
     got = pseudonymise_rows = pseudonyms.pseudonymise(docs(spark, EDGE, pii="clash"))
     by = {(r["doc_id"], r["text"]) for r in got.collect()}
