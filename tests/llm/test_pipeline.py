@@ -55,8 +55,10 @@ def test_run_and_empty_documents(spark):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_keep_every_row(spark, name):
     rows = queries.QUERIES[name](spark, SF)
-    if name == "op4_url_filters":
-        assert rows.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+    if name in (tables := {"op4_url_filters": "pages", "op13_vector_codes": "embeddings"}):
+        assert rows.count() == spark.read.parquet(f"{SF}/{tables[name]}.parquet").count()
+    elif name == "op12_conversation_repair":  # a row for each conversation
+        assert rows.count() == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
     elif name != "op5_decontamination":
         assert rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
 
