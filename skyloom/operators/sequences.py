@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,32 +21,59 @@ def ewma(df: DataFrame, span: int, keys: list[str] = MC, order: str = "i", value
     """Recursive exponentially weighted mean over whole-number positions `order`, alpha = 2 / (span + 1); a span of 1 or less changes nothing.
 
     A missing value takes the last mean; before the first value there is none. Segments of SEGMENT positions are smoothed from 0 each, so that a
-    long key is spread over tasks; then what the segment before ends with is added, weighed down by the values since. Columns in `carry` are kept.
+    long key is spread over tasks, as a stream of frames that hold many short segments or a part of a long one; then what the segment before ends with is added, weighed down by the values since. Columns in `carry` are kept.
     """
     if span <= 1:
         return df.select(*keys, order, *carry, F.col(value).alias("ewma"))
     kinds, alpha = dict(df.dtypes), 2 / (span + 1)
     names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
 
-    def smooth(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values([order, "_x"])
-        x = group["_x"].astype(float)
-        local = pd.concat([pd.Series([0.0]), x]).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()[1:]
-        return group[[*keys, order, *carry, "_segment"]].assign(_valid=x.notna().cumsum().to_numpy(), _local=local, _first=x.dropna().iloc[0] if x.notna().any() else np.nan, _last=local[-1])
+    def smooth(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All segments of a frame at once; the last one's state goes on into the next frame."""
+        held, mean, valid, first, n = None, 0.0, 0, np.nan, 0
+        for frame in frames:
+            if frame.empty:
+                continue
+            named = pd.concat([held, frame[[*keys, "_segment"]]], ignore_index=True)
+            same = ((named == named.shift()) | (named.isna() & named.shift().isna())).all(axis=1).to_numpy()
+            opens = ~same[-len(frame) :]
+            opens[0] |= held is None
+            starts = np.union1d(0, np.flatnonzero(opens))
+            at = np.searchsorted(starts, np.arange(len(frame)), side="right") - 1
+            x = frame["_x"].to_numpy(dtype=float)
+            goes_on = 0 if opens[0] else 1
+            seeds = np.where(np.arange(len(starts)) < goes_on, mean, 0.0)
+            local = pd.Series(np.insert(x, starts, seeds)).groupby(np.insert(at, starts, at[starts])).ewm(alpha=alpha, adjust=False, ignore_na=True).mean().to_numpy()
+            local = np.delete(local, starts + np.arange(len(starts)))
+            there = ~np.isnan(x)
+            count = np.cumsum(there)
+            base, rows, heads = (count - there)[starts], 1 - starts, np.full(len(starts), np.nan)
+            base[:goes_on] -= valid
+            rows[:goes_on] += n
+            count = count - base[at]
+            opened = there & (count == 1)
+            heads[:goes_on] = first
+            heads[at[opened]] = x[opened]
+            rows = np.arange(len(frame)) + rows[at]
+            firsts = np.where(count > 0, heads[at], np.nan)
+            yield frame[[*keys, order, *carry, "_segment"]].assign(_n=rows, _valid=count, _local=local, _first=firsts)
+            held, mean, valid, first, n = named.tail(1), local[-1], count[-1], firsts[-1], rows[-1]
 
     def hand_on(group: pd.DataFrame) -> pd.DataFrame:
         group, mean, before = group.sort_values("_segment"), np.nan, []
         for first, last, valid in zip(group["_first"], group["_last"], group["_valid"]):
             before.append(mean)
             mean = last + (1 - alpha) ** valid * (first if np.isnan(mean) else mean)
-        return group[[*keys, "_segment", "_first"]].assign(_before=before)
+        return group[[*keys, "_segment"]].assign(_before=before)
 
     kept = "".join(f"`{c}` {kinds[c]}, " for c in carry)
     own = df.select(*keys, order, *carry, F.col(value).cast("double").alias("_x"), F.floor(F.col(order) / SEGMENT).alias("_segment"))
-    placed = stored(own.groupBy(*keys, "_segment").applyInPandas(smooth, f"{names}, `{order}` {kinds[order]}, {kept}_segment bigint, _valid bigint, _local double, _first double, _last double"))
-    ends = placed.groupBy(*keys, "_segment").agg(F.max("_first").alias("_first"), F.max("_last").alias("_last"), F.max("_valid").alias("_valid"))
-    before = ends.groupBy(*keys).applyInPandas(hand_on, f"{names}, _segment bigint, _first double, _before double")  # a row for each segment
-    both = join_channels(placed.drop("_first"), before, [*keys, "_segment"])
+    dealt = own.repartition(*keys, "_segment").sortWithinPartitions(*keys, "_segment", order, F.col("_x").asc_nulls_last())
+    placed = stored(dealt.mapInPandas(smooth, f"{names}, `{order}` {kinds[order]}, {kept}_segment bigint, _n bigint, _valid bigint, _local double, _first double"))
+    ends = placed.groupBy(*keys, "_segment").agg(F.max("_first").alias("_first"), F.max_by("_local", "_n").alias("_last"), F.max("_valid").alias("_valid"))
+    ends = ends.withColumn("_of", F.count("*").over(Window.partitionBy(*keys))).where("_of > 1").drop("_of")  # others have nothing before them
+    before = ends.groupBy(*keys).applyInPandas(hand_on, f"{names}, _segment bigint, _before double")  # a row for each segment
+    both = join_channels(placed, before, [*keys, "_segment"], "left")
     started = ~F.isnan("_before") & F.col("_before").isNotNull()
     out = F.col("_local") + F.pow(F.lit(1 - alpha), F.col("_valid")) * F.when(started, F.col("_before")).otherwise(F.col("_first"))
     return both.select(*keys, order, *carry, F.when(started | (F.col("_valid") > 0), out).alias("ewma"))

@@ -20,7 +20,7 @@ from ..operators import sampling as k
 from ..operators import sequences as s
 from ..operators import windows as w
 from ..schemas import MC
-from ..shared import new_path
+from ..shared import new_path, stored
 from ..sources import io
 from ..streaming import jobs as st
 from . import bindings as b
@@ -319,7 +319,7 @@ def w6_runs(spark, sf):
 
 
 def pred_gt(spark, sf):
-    e = d.flat_threshold(b.errors(spark, sf), 1.0)
+    e = stored(d.flat_threshold(stored(b.errors(spark, sf)), 1.0))  # read four times
     span = lambda x: x.select(*MC, F.col("start_idx").alias("start"), (F.col("start_idx") + 32).alias("end"))
     return span(e.where("flag")), span(e.where("is_anomaly"))
 

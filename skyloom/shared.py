@@ -81,10 +81,10 @@ def running_sums(df: DataFrame, order: str, sums: list[str], descending: bool =
     return out.select(*[c for c in df.columns], *[(F.col(f"_r_{s}") + F.col(f"_b_{s}")).alias(f"cum_{s}") for s in sums])
 
 
-def join_channels(df: DataFrame, per: DataFrame, keys: list[str]) -> DataFrame:
-    """df with the columns of `per`, a row for each value of keys; a missing key meets a missing key. Rows without a partner go."""
+def join_channels(df: DataFrame, per: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """df with the columns of `per`, a row for each value of keys; a missing key meets a missing key. Rows without a partner go, but for a left join."""
     named = per.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *[c for c in per.columns if c not in keys])
-    return df.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])
+    return df.join(named, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], how).drop(*[f"_of_{k}" for k in keys])
 
 
 #: Shares in which the rows of one key meet what belongs to the key.

@@ -112,12 +112,18 @@ def test_ewma(spark):
     assert column(s.ewma(rows, 1), "ewma", "i") == [1, 2, 3]
 
 
-def test_ewma_of_segments_is_that_of_whole_keys(spark, monkeypatch):
+@pytest.mark.parametrize("rows_a_frame", ["10000", "7", "1"])
+def test_ewma_of_segments_is_that_of_whole_keys(spark, monkeypatch, rows_a_frame):
+    """Frames that hold many segments, and segments that go over many frames."""
     monkeypatch.setattr(s, "SEGMENT", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_frame)
     x = np.random.default_rng(5).normal(size=400)
     x[[0, 1, 30, 399]] = np.nan
     rows = spark.createDataFrame([("Mission1", c, i, None if np.isnan(v) else float(v)) for c in ("c1", None) for i, v in enumerate(x[: 400 if c else 9])], "mission string, channel string, i int, error double")
-    got = s.ewma(rows.repartition(6), 5).toPandas()
+    try:
+        got = s.ewma(rows.repartition(6), 5).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for c, n in (("c1", 400), (None, 9)):
         mine = got[got["channel"] == c] if c else got[got["channel"].isna()]
         want = pd.Series(x[:n]).ewm(span=5, adjust=False, ignore_na=True).mean()
