@@ -9,27 +9,38 @@ from ..schemas import MC
 from .grid import array_mean, array_moments
 
 
+#: Strides of a channel that stand together in a task.
+CHUNK = 4096
+
+
 def make_windows(grid: DataFrame, window: int = 32, stride: int = 16, keys: list[str] = MC, value: str = "value") -> DataFrame:
     """Complete windows at starts 0, stride, 2 stride ... of each channel: values, index and time bounds, any-anomaly flag and ratio.
 
-    If stride divides window, points are gathered into blocks of one stride, which is parallel inside a channel, and a
-    window is a block with the next ones; otherwise each point goes to every window that holds it.
+    If stride divides window, points are gathered into blocks of one stride and a window is a block with the next ones; otherwise each point goes to
+    every window that holds it. Blocks meet in chunks of a channel, by one exchange: the first blocks of a chunk also stand in the chunk before,
+    where the last windows need them, so that a channel of any length is spread over tasks. Windows that miss a point are left out.
     """
     point = F.struct("idx", "ts", F.col(value).alias("value"), "is_anomaly")
+    block = F.floor(F.col("idx") / stride)
     if window % stride == 0:
-        blocks = grid.groupBy(*keys, F.floor(F.col("idx") / stride).alias("_b")).agg(F.array_sort(F.collect_list(point)).alias("_p"))
-        w = Window.partitionBy(*keys).orderBy("_b")
-        points = F.concat(F.col("_p"), *[F.coalesce(F.lead("_p", i).over(w), F.array().cast(blocks.schema["_p"].dataType)) for i in range(1, window // stride)])
-        out = blocks.select(*keys, (F.col("_b") * stride).cast("int").alias("start_idx"), points.alias("_p"))
+        more = window // stride - 1
+        chunks = F.sequence(F.greatest(F.lit(0), F.floor((block - more) / CHUNK)), F.floor(block / CHUNK))
+        dealt = grid.select(*keys, point.alias("_x"), block.alias("_b"), F.explode(chunks).alias("_c")).repartition(*keys, "_c")
+        blocks = dealt.groupBy(*keys, "_c", "_b").agg(F.array_sort(F.collect_list("_x")).alias("_p"), F.count_if("_x.is_anomaly").alias("_h"))
+        w = Window.partitionBy(*keys, "_c").orderBy("_b")
+        none = F.array().cast(blocks.schema["_p"].dataType)
+        points = F.concat(F.col("_p"), *[F.coalesce(F.lead("_p", i).over(w), none) for i in range(1, more + 1)])
+        hits = sum((F.coalesce(F.lead("_h", i).over(w), F.lit(0)) for i in range(1, more + 1)), F.col("_h"))
+        out = blocks.select(*keys, "_c", "_b", points.alias("_p"), hits.alias("_h")).where(F.floor(F.col("_b") / CHUNK) == F.col("_c"))
     else:
-        last = F.floor(F.col("idx") / stride)
         first = F.greatest(F.lit(0), F.ceil((F.col("idx") - window + 1) / stride))
-        spread = grid.select(*keys, point.alias("_x"), F.explode(F.sequence(first, last)).alias("_b"))
-        out = spread.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list("_x")).alias("_p")).select(*keys, (F.col("_b") * stride).cast("int").alias("start_idx"), "_p")
-    hits = F.size(F.filter("_p", lambda x: x["is_anomaly"]))
-    return out.where(F.size("_p") == window).select(
-        *keys, "start_idx", (F.col("start_idx") + window).alias("end_idx"), F.col("_p")[0]["ts"].alias("start_time"), F.col("_p")[window - 1]["ts"].alias("end_time"),
-        F.transform("_p", lambda x: x["value"]).alias("values"), (hits > 0).alias("is_anomaly"), (hits / window).alias("anomaly_ratio"),
+        spread = grid.select(*keys, point.alias("_x"), F.explode(F.sequence(first, block)).alias("_b"))
+        out = spread.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list("_x")).alias("_p"), F.count_if("_x.is_anomaly").alias("_h"))
+    start = (F.col("_b") * stride).cast("int")
+    whole = (F.size("_p") == window) & (F.get("_p", F.lit(window - 1))["idx"] == start + window - 1)
+    return out.where(whole).select(
+        *keys, start.alias("start_idx"), (start + window).alias("end_idx"), F.col("_p")[0]["ts"].alias("start_time"), F.col("_p")[window - 1]["ts"].alias("end_time"),
+        F.col("_p.value").alias("values"), (F.col("_h") > 0).alias("is_anomaly"), (F.col("_h") / window).alias("anomaly_ratio"),
     )
 
 

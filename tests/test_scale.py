@@ -17,6 +17,7 @@ from skyloom.operators import imagery as im
 from skyloom.operators import metrics as m
 from skyloom.operators import overlaps
 from skyloom.operators import sequences as s
+from skyloom.operators import windows as w
 from skyloom.shared import new_path
 from skyloom.sources import io
 from skyloom.streaming import jobs as st
@@ -202,6 +203,33 @@ def test_pruning_of_runs(spark):
     assert kept([10, 9.5], 5.0) == [0, 1] and kept([10, 5.2], 5.0) == [0] and kept([10, 10], None) == [0, 1] and kept([0.0], None) == [] and kept([1, 1], 1.0, 0.0) == [0, 1]
 
 
+# ---------------------------------------------------------------- W3
+
+@pytest.mark.parametrize("window, stride", [(32, 16), (6, 2), (4, 4), (5, 2), (9, 1)])
+def test_windows_over_chunks(spark, monkeypatch, window, stride):
+    """Windows that cross chunks, a missing channel name, channels that are too short and one that lacks a point."""
+    monkeypatch.setattr(w, "CHUNK", 3)
+    lengths = {"c1": 400, None: 131, "short": 3, "hole": 90}
+    idx = {k: [i for i in range(n) if (k, i) != ("hole", 40)] for k, n in lengths.items()}
+    rows = [("Mission1", k, T0 + dt.timedelta(hours=i), float(i * i % 17), i, i % 23 == 0) for k, at in idx.items() for i in at]
+    df = spark.createDataFrame(rows, "mission string, channel string, ts timestamp, value double, idx int, is_anomaly boolean").repartition(5)
+    out = w.make_windows(df, window, stride)
+    got = {(r["channel"], r["start_idx"]): (r["end_idx"], r["values"], r["is_anomaly"], r["anomaly_ratio"], r["start_time"], r["end_time"]) for r in out.collect()}
+    want = {}
+    for k, n in lengths.items():
+        for start in range(0, n - window + 1, stride):
+            at = range(start, start + window)
+            if k == "hole" and 40 in at:
+                continue
+            hits = sum(i % 23 == 0 for i in at)
+            hour = [T0 + dt.timedelta(hours=i) for i in (at[0], at[-1])]
+            want[k, start] = (start + window, [float(i * i % 17) for i in at], hits > 0, hits / window, *hour)
+    assert got == want and w.make_windows(df.limit(0), window, stride).count() == 0
+    if window % stride == 0 and window > stride:  # the window function sees a chunk at most, and points are exchanged once
+        plan = w.make_windows(df.coalesce(1), window, stride)._jdf.queryExecution().executedPlan().toString()
+        assert "_c#" in plan.split("windowspecdefinition(")[1].split(" ASC")[0] and plan.count("REPARTITION_BY_COL") == 1 and "ENSURE_REQUIREMENTS" not in plan
+
+
 # ---------------------------------------------------------------- D12, D13
 
 
