@@ -304,8 +304,10 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     A null text counts as empty; its payload is 64 zero bytes. Texts of any length are stored whole, as many frames as they need.
     A null key stays, repeated rows give repeated rows, equal texts equal values, and an empty table an empty one. Other columns of docs
-    are left out.
+    are left out. A key named like an output, in any case of letters, is an error.
     """
+    if key.lower() in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"):
+        raise ValueError(f"the key {key} has the name of an output column")
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").cast("binary").alias(f"{key}_bytes"))
     schema = slim.select(key).withColumns({"n_bytes": F.lit(0).cast("long"), "payload_bytes": F.lit(0).cast("long"), "payload_sha256": F.lit(""), "tail_crc32": F.lit(0).cast("long"), "media_bytes": F.lit(0).cast("long"), "media_sha256": F.lit(""), "feature": F.lit("")}).schema

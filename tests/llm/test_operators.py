@@ -804,6 +804,46 @@ def test_media_columns_and_text_media(spark):
     assert all(r["media_bytes"] > r["payload_bytes"] and r["feature"].startswith("mpeg1 layer3 ") and " 0bad " not in r["feature"] and "+0bad" in r["feature"] for r in out)
 
 
+def plain_frames(media):
+    """Offsets of the frames after the leading tag, header by header, where they end, and their sample rate."""
+    at, rate, seen = 10 + sum(b << s for b, s in zip(media[6:10], (21, 14, 7, 0))), 0, []
+    while media[at] == 0xFF and media[at + 1] >> 1 == 0x7D:
+        kbps = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[media[at + 2] >> 4]
+        rate = (44100, 48000, 32000)[media[at + 2] >> 2 & 3]
+        seen.append(at)
+        at += 144_000 * kbps // rate + (media[at + 2] >> 1 & 1)
+    return seen, at, rate
+
+
+def test_media_query_against_a_plain_reader(spark, tmp_path):
+    """Every column of the query: stored bytes by the writer, frames and seek offsets by walking over headers."""
+    import hashlib
+    import zlib
+
+    rng = random.Random(12)
+    rows = [*EDGE, *[(100 + n, "x" * n) for n in (63, 64, 65, 1365, 1366, 1367)], *[(200 + i, words(rng, 40 * i)) for i in range(1, 8)], (300, "ID3 TAG Xing \u00ff" * 400)]
+    docs(spark, rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def row(i, text):
+        raw = (text or "").encode()
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media = mpeg.write_payload(padded)
+        (_, *frames), end, rate = plain_frames(media)  # the first one holds the table
+        assert media[end : end + 3] == b"TAG" and len(media) == end + 128
+        seek = zlib.crc32(b"".join(o.to_bytes(8, "little") for o in frames))
+        shape = (str(len(frames)), str(1152 * len(frames)), str(rate), f"{seek:08x}")
+        return (i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(media), hashlib.sha256(media).hexdigest(), shape)
+
+    got = llm_queries.op8_mpeg_audio(spark, str(tmp_path)).collect()
+    read = [(*tuple(r)[:7], re.search(r"frames=(\d+) samples=(\d+)/(\d+) .*table=ok .*seek=(\w+)$", r["feature"]).groups()) for r in got]
+    assert sorted(map(str, read)) == sorted(str(row(*r)) for r in rows)
+
+
+def test_media_keys_named_like_an_output(spark):
+    with pytest.raises(ValueError, match="name of an output"):
+        mpeg.text_media(docs(spark, EDGE).withColumn("Payload_Bytes", F.lit(1)), key="Payload_Bytes")
+
+
 # ---------------------------------------------------------------- 9 packing
 
 
@@ -840,6 +880,30 @@ def test_packing(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_packing_query_against_brute_force(spark, tmp_path):
+    """Token counts by the tokenizer itself, least padding over all choices of 16 borders, and batches within the budget."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(13)
+    rows = [*EDGE, *[(100 + i, words(rng, rng.randint(1, 300))) for i in range(60)]]
+    docs(spark, rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = llm_queries.op9_packing(spark, str(tmp_path)).toPandas()
+    count = Tokenizer.from_file(llm_queries.vocabulary())
+    want = [len(count.encode(text or "", add_special_tokens=False).ids) for _, text in rows]
+    key = lambda pairs: sorted((-1 if np.isnan(float(i)) else int(i), int(n)) for i, n in pairs)
+    assert key(zip(got["doc_id"], got["n_tokens"])) == key((np.nan if i is None else i, n) for (i, _), n in zip(rows, want))
+    lengths = sorted(set(want))
+    pad = lambda a, b: sum(lengths[b] - n for n in want if lengths[a] <= n <= lengths[b])
+    least = [0] + [float("inf")] * len(lengths)
+    for _ in range(16):
+        least = [0] + [min(least[j + 1], *(least[a] + pad(a, j) for a in range(j + 1))) for j in range(len(lengths))]
+    assert len(lengths) > 16 and got["bucket"].nunique() <= 16 and got["padding"].sum() == least[-1]
+    assert (got["padding"] == got["bucket"] - got["n_tokens"]).all()
+    for bucket, g in got.groupby("bucket"):
+        room = max(1, 65_536 // max(bucket, 1))
+        assert sorted(zip(g["batch"], g["place"])) == [(i // room, i % room) for i in range(len(g))]
+
+
 # ---------------------------------------------------------------- 10 toxicity
 
 
