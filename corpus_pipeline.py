@@ -18,7 +18,11 @@ SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated score stays below the threshold; learned from the labelled ones outside the held-out quarter."""
+    """Documents whose calibrated score stays below the threshold; learned from the labelled ones outside the held-out quarter.
+
+    Rows of null or empty texts get the base rate and stay where it is below the threshold. Repeated rows stay or go together, a null id stays
+    null, and without labels every row stays. Columns that documents don't have are left out.
+    """
     marked = queries.table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~queries.held_out())
     model = toxicity.learn(docs, marked)
     return toxicity.score_toxicity(docs.select(*COLUMNS, F.col("text").alias("_scored")), model, text="_scored").where("predicted = 0").select(*COLUMNS)
