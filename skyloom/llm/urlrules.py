@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .scratch import kept
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Rules up to this many may be sent to every executor; more are joined by a shuffle on the short hash.
-BROADCAST_RULES = 100_000
+#: Rules up to this many may be sent to every executor; more are joined by a shuffle on the short hash and one of SALTS shares.
+BROADCAST_RULES, SALTS = 100_000, 32
 
 
 def url_host(url: Column) -> Column:
@@ -44,14 +44,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     Every distinct (host, path) of the urls is expanded once, into its host suffixes of as many labels as some rule's host
     has, times the path prefixes of those lengths that occur among the rules' paths, so work is linear in a url's length; an equi-join on the first four digest bytes finds candidates and the
     full digest confirms them. A busy host or a repeated url thus costs one expansion, and repeated rows meet their
-    verdict again by an equi-join that adaptive execution can split. All of it is DataFrame functions.
+    verdict again by an equi-join that adaptive execution can split. A url of any length counts whole; a long one's row grows
+    only by the suffixes and prefixes that rules could fit. All of it is DataFrame functions.
+
+    Up to BROADCAST_RULES rules go to every executor. More are shuffled, SALTS copies of each: a suffix like `org` may stand
+    in a third of the urls under one short hash, and the hash of host and path deals these among the copies.
     """
     spark = pages.sparkSession
     given = rules.dropna().where(F.col("host") != "").select("host", "path", "verdict").distinct()
     listed = given.select(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_len"), digest(F.concat_ws("\n", "host", "path")).alias("full"), F.length("path").alias("path_len"))
-    n_rules = listed.count()
-    if n_rules <= BROADCAST_RULES:
-        listed = F.broadcast(listed)
+    listed = listed.withColumn("short", F.substring("full", 1, 4))
     # the distinct lengths are as many as the longest rule path has characters and the longest rule host labels at most
     lengths = sorted(r[0] for r in given.select(F.length("path")).distinct().collect())
     dots = F.length("host") - F.length(F.replace(F.col("host"), F.lit(".")))
@@ -71,7 +73,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .withColumn("digest", digest(F.concat_ws("\n", "suffix", "prefix")))
         .withColumn("short", F.substring("digest", 1, 4))
     )
-    found = expanded.join(listed.withColumn("short", F.substring("full", 1, 4)), "short").where(F.col("digest") == F.col("full"))
+    if listed.count() <= BROADCAST_RULES:
+        near = expanded.join(F.broadcast(listed), "short")
+    else:
+        copies = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = expanded.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(copies, ["short", "salt"])
+    found = near.where(F.col("digest") == F.col("full"))
     rank = F.struct(F.length("rule"), "host_len", F.when(F.col("verdict") == "block", 1).otherwise(0), "rule", "verdict")
     best = found.groupBy("host", "path").agg(F.max(rank).alias("best")).select("host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
     return shaped.join(best, ["host", "path"], "left").select(*names, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))

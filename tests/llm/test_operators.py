@@ -341,6 +341,24 @@ def test_urls_against_brute_force(spark):
     assert urlrules.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_more_rules_than_are_broadcast(spark):
+    few = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/de/", "block"), ("com", "/fr/", "allow"), ("com", "/fr/", "block")]
+    many = spark.range(urlrules.BROADCAST_RULES).select(F.concat(F.lit("h"), "id", F.lit(".org")).alias("host"), F.lit("/p").alias("path"), F.lit("block").alias("verdict"))
+    rules = many.union(spark.createDataFrame(few, "host string, path string, verdict string"))
+    # one host suffix in most urls
+    urls = [f"http://h{i * 7}.org/{'pq'[i % 2]}{i}" for i in range(3000)] + [f"http://x.h{i}.org/p" for i in range(99_990, 100_010)]
+    urls += [None, "nothing", "http://EXAMPLE.org/es/1", "http://b.com/fr/2", "http://b.com/de/?q", "http://net/"] * 2
+    got = urlrules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules)
+    named = {(f"h{i}.org", "/p"): "block" for i in range(urlrules.BROADCAST_RULES)}
+
+    def plain(url):
+        host, path, rule, verdict = judged(url, few)
+        mine = ".".join(host.split(".")[-2:])
+        return (host, path, mine + "/p", "block") if (mine, "/p") in named and path.startswith("/p") else (host, path, rule, verdict)
+
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in got.collect()} == {i: plain(u) for i, u in enumerate(urls)}
+
+
 def test_urls_of_many_labels(spark):
     """Long hosts and paths cost time in proportion to their length."""
     rules = [("org", "/", "allow"), ("b.a.org", "/x", "block"), (".org", "", "block")]
