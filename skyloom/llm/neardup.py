@@ -467,7 +467,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     one without words has an empty set and links with nothing. Texts of any length count whole. Rows with equal sets link
     whatever their order, and texts that share an id are told apart: each has its own links. A null id is never the least of
     its component; a component without any id has a null component_id and keeps its rows. An empty table gives an
-    empty result. Other columns of docs are left out.
+    empty result. Other columns of docs are left out. Ids are integers below 2^62, as a component is named by its least;
+    ids of another kind need a number first, for instance their rank.
     """
     small_batches(docs.sparkSession)
     base = cut(_signatures(docs, key, text, size))

@@ -165,7 +165,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     size is the text's UTF-8 bytes plus 1; a null text has size 1 and the checksum of an empty one. A null key sorts
     first. Rows equal in every column stay together and get slots in any order. A text longer than a shard makes its shard
     longer. Empty tables give empty results. Other columns of docs only break ties. grown_shard is null: this law makes
-    no promise about one more shard.
+    no promise about one more shard. The key is an integer, or a text of one; any other text is an error under ANSI rules.
     """
     doc, words = F.col(f"`{key}`"), F.col(f"`{text}`")
     order = ["_text", "_id", "_row"]

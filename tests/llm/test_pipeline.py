@@ -4,9 +4,10 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from skyloom.llm import queries
+from skyloom.llm import pseudonyms, queries
 from skyloom.llm.scratch import cut
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +46,25 @@ def test_leaks_go_by_text_and_id(spark):
     assert sorted(str((r["doc_id"], r["text"])) for r in p.drop_leaks(spark, docs, SF).collect()) == sorted(str(rows[k]) for k in (1, 3, 4))
 
 
+def test_stages_with_clashing_columns_and_repeated_rows(spark):
+    """Columns named like a stage's own results change nothing; nulls, empty texts and repeated rows have the result that docstrings give."""
+    rows = [(1, "a text of some plain words", "en", "s", 26), (1, "a text of some plain words", "en", "s", 26), (None, None, None, None, None), (3, "", "en", None, 0), (4, "mail ann.lee@example.com now", "en", "s", 29)]
+    plain = spark.createDataFrame(rows, queries.DOCUMENTS)
+    more = ["_scored", "_id", "_hash", "text_hash", "component_id", "kept", "score", "Predicted", "evidence", "pii", "n_tokens", "bucket", "batch", "place", "padding", "items", "row"]
+    clash = plain.select("*", *[F.lit("clash").alias(c) for c in more])
+    left = {"toxicity": 5, "near_duplicates": 4, "decontamination": 5, "pii": 5, "packing": 5}
+    with_key = spark.conf.get(pseudonyms.KEY_SETTING, None)
+    spark.conf.set(pseudonyms.KEY_SETTING, "a secret of the tests")
+    try:
+        for name, stage in p.STAGES:
+            want, got = stage(spark, plain, SF), stage(spark, clash, SF)
+            assert got.columns == want.columns and (name == "packing" or got.columns == p.COLUMNS)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), name
+            assert got.count() == left[name], name
+    finally:
+        spark.conf.set(pseudonyms.KEY_SETTING, with_key) if with_key else spark.conf.unset(pseudonyms.KEY_SETTING)
+
+
 def test_run_and_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
