@@ -12,6 +12,16 @@ from .metrics import ratio
 Check = tuple[str, Column, Column, str]
 
 
+def fails(ok: Column) -> Column:
+    """How many rows aren't ok; a missing value isn't."""
+    return F.count_if(~F.coalesce(ok, F.lit(False)))
+
+
+def above(x: Column, least: float) -> Column:
+    """Spark ranks NaN above every number; here it isn't above any."""
+    return (x > least) & ~F.isnan(x)
+
+
 def run_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
     """Each check is (name, observed aggregate, whether it passes, expectation); all in one pass, a row each."""
     one = df.agg(*[x for i, (_, seen, ok, _) in enumerate(checks) for x in (seen.cast("string").alias(f"o{i}"), F.coalesce(ok, F.lit(False)).alias(f"p{i}"))])
@@ -29,21 +39,21 @@ def check_advice(advice: DataFrame, required: list[str]) -> DataFrame:
     """V2"""
     copies = F.count("*") - F.countDistinct("anomaly_id")
     empty = F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() | (F.col(c) == "") for c in required]))
-    bad = F.count_if(~F.col("severity").isin("low", "medium", "high"))
+    bad = fails(F.col("severity").isin("low", "medium", "high"))
     levels = [(f"n_{s}", F.count_if(F.col("severity") == s), F.count_if(F.col("severity") == s) >= 0, ">= 0") for s in ("low", "medium", "high")]
     return run_checks(advice, [("unique_ids", copies, copies == 0, "0"), ("fields", empty, empty == 0, "0"), ("severity", bad, bad == 0, "0"), *levels])
 
 
 def check_chat(chat: DataFrame, marker: str) -> DataFrame:
     """V3: columns, and rows that don't start with the system marker."""
-    names, bad = ",".join(chat.columns), F.count_if(~F.col("text").startswith(marker))
+    names, bad = ",".join(chat.columns), fails(F.col("text").startswith(marker))
     return run_checks(chat, [("columns", F.lit(names), F.lit(names == "text"), "text"), ("marker", bad, bad == 0, "0")])
 
 
 def check_detector(records: DataFrame) -> DataFrame:
     """V4: records with precision, recall, f1, and the first and last loss of the fit; a missing loss hasn't fallen."""
     n, f1 = F.count("*"), F.round(F.avg("f1"), 4)
-    bad, fell = F.count_if(F.isnan("precision") | F.isnan("recall") | F.isnan("f1")), F.count_if(F.col("last_loss") < F.col("first_loss"))
+    bad, fell = fails(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in ("precision", "recall", "f1")])), F.count_if(F.col("last_loss") < F.col("first_loss"))
     return run_checks(records, [("scored", n, n > 0, "> 0"), ("finite", bad, bad == 0, "0"), ("loss_fell", fell, fell > 0, "> 0"), ("mean_f1", f1, (f1 > 0.05) & (f1 < 0.98), "0.05..0.98")])
 
 
@@ -72,7 +82,7 @@ def check_regression(m: DataFrame) -> DataFrame:
     """V7: one row with mae, baseline_mae, pearson and cost."""
     mae, base, r, cost = (F.round(F.max(c), 4) for c in ("mae", "baseline_mae", "pearson", "cost"))
     return run_checks(m, [
-        ("beats_mean", mae, F.max("mae") <= 0.95 * F.max("baseline_mae"), "<= 0.95 baseline"), ("baseline", base, base > 0, "> 0"), ("mae", mae, (mae > 0.01) & (mae < 0.4), "0.01..0.4"),
+        ("beats_mean", mae, (F.max("mae") <= 0.95 * F.max("baseline_mae")) & ~F.isnan(F.max("baseline_mae")), "<= 0.95 baseline"), ("baseline", base, above(base, 0), "> 0"), ("mae", mae, (mae > 0.01) & (mae < 0.4), "0.01..0.4"),
         ("pearson", r, r.between(-1, 1), "-1..1"), ("cost", cost, cost < 25, "< 25"),
     ])
 
@@ -89,5 +99,5 @@ def check_images(p: DataFrame, channels: int, height: int, width: int, low: floa
 
 def check_attribution(a: DataFrame) -> DataFrame:
     """V9: rows with faithful, gini, top_decile and r."""
-    bad, g, t, r = F.count_if(~F.col("faithful")), F.round(F.avg("gini"), 4), F.round(F.avg("top_decile"), 4), F.round(F.avg("r"), 4)
-    return run_checks(a, [("faithful", bad, bad == 0, "0"), ("gini", g, g > 0.05, "> 0.05"), ("top_decile", t, t > 0.12, "> 0.12"), ("brightness", r, r > 0.1, "> 0.1")])
+    bad, g, t, r = fails(F.col("faithful")), F.round(F.avg("gini"), 4), F.round(F.avg("top_decile"), 4), F.round(F.avg("r"), 4)
+    return run_checks(a, [("faithful", bad, bad == 0, "0"), ("gini", g, above(g, 0.05), "> 0.05"), ("top_decile", t, above(t, 0.12), "> 0.12"), ("brightness", r, above(r, 0.1), "> 0.1")])

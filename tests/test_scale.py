@@ -340,6 +340,18 @@ def test_gates_that_fail(spark):
     assert passed(c.check_comparison(rows, "a")) == {"rows": True, "errors": False, "bounds": False, "advice_length": False}
     images = spark.createDataFrame([([0.5, 2.0], 1.0), ([float("nan")], None)], "v array<double>, y double")
     assert passed(c.check_images(im.profile(images, "v", "y"), 1, 1, 2, -1.0, 1.0, 3)) == {"rows": False, "shape": False, "values": False, "finite": False, "labels": False}
+    # what is missing or not a number passes no gate
+    advice = spark.createDataFrame([("a", "x", None), ("b", "y", "low")], "anomaly_id string, advice string, severity string")
+    assert not passed(c.check_advice(advice, ["advice"]))["severity"] and passed(c.check_advice(advice.where("severity = 'low'"), ["advice"]))["severity"]
+    assert not passed(c.check_chat(spark.createDataFrame([("<s> a",), (None,)], "text string"), "<s>"))["marker"]
+    fits = spark.createDataFrame([(0.5, None, 0.5, 2.0, 1.0), (0.5, 0.5, 0.5, 2.0, 1.0)], "precision double, recall double, f1 double, first_loss double, last_loss double")
+    assert not passed(c.check_detector(fits))["finite"] and passed(c.check_detector(fits.dropna()))["finite"]
+    nan = float("nan")
+    shape = "mae double, baseline_mae double, pearson double, cost double"
+    got = passed(c.check_regression(spark.createDataFrame([(0.1, nan, nan, nan)], shape)))
+    assert got == {"beats_mean": False, "baseline": False, "mae": True, "pearson": False, "cost": False}
+    marks = spark.createDataFrame([(None, nan, nan, nan)], "faithful boolean, gini double, top_decile double, r double")
+    assert passed(c.check_attribution(marks)) == {"faithful": False, "gini": False, "top_decile": False, "brightness": False}
 
 
 def test_catalogue_of_several_parts_keeps_its_order(spark, tmp_path):
