@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,17 @@ def classify_pattern(ratio: Column, mean: Column, std: Column, p2p: Column, tren
     return _pick(ratio, mean, std, p2p, trend, {k: F.lit(k) for k in PATTERN_ADVICE})
 
 
-def pattern_desc(ratio: Column, mean: Column, std: Column, p2p: Column, trend: Column) -> Column:
-    """The pattern as a clause; percent is cut off, not rounded."""
+def pattern_desc(ratio: Column, mean: Column, std: Column, p2p: Column, trend: Column, shown: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The pattern as a clause; percent is cut off, not rounded. `shown` rounds what the clause tells; the pattern follows from the values themselves."""
     pct = (ratio * 100).cast("int")
     say = F.format_string
     return _pick(ratio, mean, std, p2p, trend, {
-        "sustained_offset": say("persistent offset (mean=%.2fσ) throughout %d%% of the window", mean, pct),
-        "sustained_oscillation": say("high-amplitude oscillation (σ=%.2f) over %d%% of the window", std, pct),
+        "sustained_offset": say("persistent offset (mean=%.2fσ) throughout %d%% of the window", shown(mean), pct),
+        "sustained_oscillation": say("high-amplitude oscillation (σ=%.2f) over %d%% of the window", shown(std), pct),
         "persistent_anomaly": say("anomalous behaviour across %d%% of the window", pct),
-        "spike": say("transient spike (peak-to-peak=%.2fσ, %d%% of window flagged)", p2p, pct),
-        "drift": say("monotonic %s drift (Δ=%.2fσ across window)", F.when(trend > 0, "upward").otherwise("downward"), trend),
-        "oscillation": say("elevated variability (σ=%.2f) with %d%% anomalous timesteps", std, pct),
+        "spike": say("transient spike (peak-to-peak=%.2fσ, %d%% of window flagged)", shown(p2p), pct),
+        "drift": say("monotonic %s drift (Δ=%.2fσ across window)", F.when(trend > 0, "upward").otherwise("downward"), shown(trend)),
+        "oscillation": say("elevated variability (σ=%.2f) with %d%% anomalous timesteps", shown(std), pct),
         "subtle_deviation": say("subtle deviation (%d%% of timesteps outside nominal envelope)", pct),
     })
 
