@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from skyloom.operators import advice as a
+from skyloom.operators import checks as c
 from skyloom.plans import queries as q
 
 
@@ -14,3 +15,12 @@ def test_pattern_follows_from_values_and_texts_from_rounded_ones(spark):
         "monotonic upward drift (Δ=1.50σ across window)", "subtle deviation (6% of timesteps outside nominal envelope)", "monotonic downward drift (Δ=-2.13σ across window)",
         "transient spike (peak-to-peak=4.50σ, 6% of window flagged)", "elevated variability (σ=1.80) with 6% anomalous timesteps", "subtle deviation (6% of timesteps outside nominal envelope)",
     ]
+
+
+def test_observed_numbers_have_no_exponent(spark):
+    shape = "mae double, baseline_mae double, pearson double, cost double"
+    row = (0.1, 0.3, 1e-4, 12345678.25)
+    got = {r.check: (r.passed, r.observed) for r in c.check_regression(spark.createDataFrame([row], shape)).collect()}
+    assert got["pearson"] == (True, "0.0001") and got["cost"] == (False, "12345678.25") and got["mae"] == (True, "0.1")
+    got = {r.check: r.observed for r in c.check_regression(spark.createDataFrame([(float("nan"), 3.0, -2e-4, 1e8)], shape)).collect()}
+    assert got == {"beats_mean": "NaN", "mae": "NaN", "baseline": "3.0", "pearson": "-0.0002", "cost": "100000000.0"}
