@@ -59,7 +59,7 @@ def restrict(telemetry: DataFrame, channels: DataFrame) -> DataFrame:
 
 def read_telemetry(spark: SparkSession, path: str, channels: DataFrame) -> DataFrame:
     """Telemetry (ts, value[, raw]) below path as one table: <mission>/<channel>.parquet, files or folders, or folders
-    mission=<mission>/channel=<channel>. Hidden and missing files are skipped.
+    mission=<mission>/channel=<channel>, or files with a column channel in folders mission=<mission>. Hidden and missing files are skipped.
 
     Timestamps may have any unit, nanoseconds included, but the same in all files; parts of a microsecond are cut off.
     """
@@ -67,15 +67,18 @@ def read_telemetry(spark: SparkSession, path: str, channels: DataFrame) -> DataF
     try:
         read = files.parquet(path)
         ts, raw = F.col("ts").cast("timestamp"), F.col("raw") if "raw" in read.columns else F.lit(None)
+        named = "channel" in read.columns
     except AnalysisException as error:
         if "NANOS" not in str(error):
             raise
         read = files.schema("ts long, value double, raw string").parquet(path)  # Spark has no type for them, but reads their numbers
-        ts, raw = F.timestamp_micros(F.expr("(ts - pmod(ts, 1000)) div 1000")), F.col("raw")
+        ts, raw, named = F.timestamp_micros(F.expr("(ts - pmod(ts, 1000)) div 1000")), F.col("raw"), False
     at = F.col("_metadata.file_path")
     folders, names = r"mission=([^/]+)/channel=([^/]+)/[^/]*$", r"([^/]+)/([^/]+)\.parquet(?:/[^/]*)?$"
     part = lambda i: F.when(at.rlike(folders), F.regexp_extract(at, folders, i)).otherwise(F.regexp_extract(at, names, i))
-    return restrict(read.select(part(1).alias("mission"), part(2).alias("channel"), ts.alias("ts"), "value", raw.cast("string").alias("raw")), channels)
+    mission = F.regexp_extract(at, r"mission=([^/]+)/", 1)
+    mission, channel = (F.when(mission == "", part(1)).otherwise(mission), F.coalesce(F.col("channel"), part(2))) if named else (part(1), part(2))
+    return restrict(read.select(mission.alias("mission"), channel.alias("channel"), ts.alias("ts"), "value", raw.cast("string").alias("raw")), channels)
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
