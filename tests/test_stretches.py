@@ -37,3 +37,33 @@ def test_windows_of_stretches_are_those_of_points(spark, monkeypatch):
 def test_stretches_hold_no_row_for_a_point(spark):
     telemetry = spark.createDataFrame([("M", "a", DAY, 1.0), ("M", "a", DAY + dt.timedelta(days=900), 2.0)], "mission string, channel string, ts timestamp, value double")
     assert g.stretches(telemetry).count() == 2 and g.resample(telemetry).count() == 900 * 24 + 1
+
+
+def test_short_channels_finish_in_a_task_as_long_ones_do_over_many(spark, monkeypatch):
+    import numpy as np
+
+    from skyloom.operators import detectors as d
+
+    rng = np.random.default_rng(3)
+    rows = [("M", c, i * 16, [float(v) for v in rng.normal(size=8)], bool(i % 9 == 0)) for c, n in (("a", 70), ("b", 41), ("c", 1)) for i in range(n)]
+    windows = spark.createDataFrame(rows, "mission string, channel string, start_idx int, values array<double>, is_anomaly boolean").localCheckpoint()
+    seen = lambda df: {(r.channel, r.start_idx): r for r in df.collect()}
+    forest, errors = seen(d.isolation_forest(windows)), seen(d.reconstruction_errors(windows, least_normal=20))
+    shuffled = []
+    spread = d._spread_forest
+    monkeypatch.setattr(d, "_spread_forest", lambda rows, *a: shuffled.append(1) or spread(rows, *a))
+    assert not shuffled
+    monkeypatch.setattr(d, "by_size", lambda rows, most: (rows.where("false"), rows))
+    slow, far = seen(d.isolation_forest(windows)), seen(d.reconstruction_errors(windows, least_normal=20))
+    assert shuffled and len(forest) == 112 and {k: (round(r.score, 12), r.flag) for k, r in forest.items()} == {k: (round(r.score, 12), r.flag) for k, r in slow.items()}
+    assert len(errors) == 111 and {k: (r.i, round(r.error, 9), r.is_anomaly) for k, r in errors.items()} == {k: (r.i, round(r.error, 9), r.is_anomaly) for k, r in far.items()}
+
+
+def test_telemetry_with_channels_beside_readings(spark, tmp_path):
+    from skyloom.sources import io
+
+    rows = [("M1", f"channel_{i % 40}", DAY, float(i), None) for i in range(200)] + [("M2", "channel_1", DAY, 7.0, "on")]
+    df = spark.createDataFrame(rows, "mission string, channel string, ts timestamp, value double, raw string")
+    df.coalesce(2).write.partitionBy("mission").parquet(str(tmp_path / "t"))
+    back = io.read_telemetry(spark, str(tmp_path / "t"), df.select("mission", "channel").where("channel <> 'channel_3'"))
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.where("channel <> 'channel_3'").collect()}
