@@ -67,3 +67,54 @@ def test_telemetry_with_channels_beside_readings(spark, tmp_path):
     df.coalesce(2).write.partitionBy("mission").parquet(str(tmp_path / "t"))
     back = io.read_telemetry(spark, str(tmp_path / "t"), df.select("mission", "channel").where("channel <> 'channel_3'"))
     assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.where("channel <> 'channel_3'").collect()}
+
+
+def test_long_channels_in_fragments_and_windows_laid_out_in_parts(spark, monkeypatch):
+    """Fragments of 50 buckets, chunks of 3 strides and 100 points at a time give what whole channels give; shapes and moments are those of the values."""
+    rng = random.Random(8)
+    at = lambda h: DAY + dt.timedelta(hours=h)
+    rows = [("M", c, at(h), rng.choice([None, 1e3 + rng.uniform(0, 9)])) for c, n, top in (("a", 90, 900), ("b", 70, 3000), (None, 80, 400), ("few", 5, 3000)) for h in (rng.uniform(3, top) for _ in range(n))]
+    telemetry = spark.createDataFrame(rows, "mission string, channel string, ts timestamp, value double").localCheckpoint()
+    spans = [("M", c, at(x := rng.uniform(0, 2500)), at(x + rng.choice([0, 9, 2000]))) for c in ("a", "b", "few") for _ in range(6)]
+    intervals = spark.createDataFrame(spans, "mission string, channel string, start_time timestamp, end_time timestamp")
+    whole = sorted(map(str, g.stretches(telemetry).drop("_ref").collect()))
+    points = g.in_intervals(g.resample(telemetry), intervals).localCheckpoint()
+    plain = rows_of(w.make_windows(points))
+    monkeypatch.setattr(g, "LONG", 50)
+    seen = g.stretches(telemetry).localCheckpoint()
+    assert sorted(map(str, seen.drop("_ref").collect())) == whole and seen.select("channel", "_ref").distinct().count() > 6
+    monkeypatch.setattr(w, "CHUNK", 3)
+    monkeypatch.setattr(w, "POINTS", 100)
+    got = w.windows_of_stretches(seen, intervals, shape=True, moments=True).localCheckpoint()
+    assert rows_of(got) == plain
+    stats = {r.channel: (r.m, r.s) for r in points.groupBy("channel").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s")).collect()}
+    shaped = {(r.channel, r.start_idx): r for r in w.with_stats(w.make_windows(points)).collect()}
+    normal = {(r.channel, r.start_idx): r for r in w.with_stats(w.make_windows(g.revin(points), value="value_norm")).collect()}
+    for r in got.collect():
+        assert abs(r._mean - stats[r.channel][0]) < 1e-8 and abs(r._std - stats[r.channel][1]) < 1e-8
+        assert all(abs(r[c] - shaped[r.channel, r.start_idx][c]) < 1e-7 for c in w.SHAPE)
+    for r in w.normalised_shape(got).collect():
+        assert all(abs(r[c] - normal[r.channel, r.start_idx][c]) < 1e-7 for c in w.SHAPE)
+    bare = w.windows_of_stretches(seen, intervals, values=False)
+    assert "values" not in bare.columns and bare.count() == len(plain)
+
+
+def test_windows_shuffle_no_values(spark):
+    """The exchange holds stretches and intervals, neither points nor windows: no array passes it."""
+    telemetry = spark.createDataFrame([("M", "a", DAY, 1.0), ("M", "a", DAY + dt.timedelta(days=900), 2.0)], "mission string, channel string, ts timestamp, value double")
+    intervals = spark.createDataFrame([("M", "a", DAY, DAY)], "mission string, channel string, start_time timestamp, end_time timestamp")
+    windows = w.windows_of_stretches(g.stretches(telemetry), intervals)
+    assert windows.count() == 1349
+    plan = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
+def test_only_keys_of_many_rows_are_spread(spark, monkeypatch):
+    from skyloom import shared
+
+    monkeypatch.setattr(shared, "SHARE", 10)
+    rows = [("M", c, float(i)) for c, n in (("hot", 40), ("c", 3), (None, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "mission string, channel string, x double")
+    per = df.groupBy("mission", "channel").agg(F.sum("x").alias("total"), F.count("*").alias("_rows"))
+    got = shared.join_spread(df, per, ["mission", "channel"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, [df.sparkSession.createDataFrame([(*r, {"hot": 780.0, "c": 3.0, None: 66.0}[r[1]])], "mission string, channel string, x double, total double").first() for r in rows]))
