@@ -23,8 +23,10 @@ def stream_windows(stream: DataFrame, window: str = "32 hours", slide: str = "16
 
 
 def stream_screen(stream: DataFrame, thresholds: DataFrame, z: float = 2.0, rule: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Hourly means against the stored (mission, channel, mean, std) of their channel: flag = value > mean + z std."""
-    t = thresholds.select(*MC, F.col("mean").alias("_m"), F.col("std").alias("_s"))
+    """Hourly means against the stored (mission, channel, mean, std) of their channel: flag = value > mean + z std.
+
+    The last batch has no rows of its own but gives what the state holds. Spark takes it for empty and would broadcast it, so the join is named."""
+    t = thresholds.select(*MC, F.col("mean").alias("_m"), F.col("std").alias("_s")).hint("merge")
     return stream_resample(stream, rule, delay).join(t, MC).select(*MC, "ts", "value", (F.col("value") > F.col("_m") + z * F.col("_s")).alias("flag"))
 
 

@@ -118,3 +118,18 @@ def test_only_keys_of_many_rows_are_spread(spark, monkeypatch):
     per = df.groupBy("mission", "channel").agg(F.sum("x").alias("total"), F.count("*").alias("_rows"))
     got = shared.join_spread(df, per, ["mission", "channel"])
     assert sorted(map(str, got.collect())) == sorted(map(str, [df.sparkSession.createDataFrame([(*r, {"hot": 780.0, "c": 3.0, None: 66.0}[r[1]])], "mission string, channel string, x double, total double").first() for r in rows]))
+
+
+def test_screened_state_is_not_broadcast(spark, tmp_path):
+    """The batch without rows of its own, whose state may be large, meets the thresholds by an exchange."""
+    from skyloom.streaming import jobs as st
+
+    rows = [("M", f"c{i % 3}", DAY + dt.timedelta(hours=i), float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "mission string, channel string, ts timestamp, value double")
+    df.write.parquet(f"{tmp_path}/in")
+    thresholds = df.groupBy("mission", "channel").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    job = st.stream_screen(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), thresholds).writeStream.format("memory").queryName("screened").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    job.awaitTermination()
+    plan = job._jsq.explainInternal(False)
+    assert "StateStoreSave" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert spark.table("screened").count() == 57
