@@ -133,3 +133,13 @@ def test_screened_state_is_not_broadcast(spark, tmp_path):
     plan = job._jsq.explainInternal(False)
     assert "StateStoreSave" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
     assert spark.table("screened").count() == 57
+
+
+def test_windows_sort_by_a_number_first_and_once(spark):
+    """Rows of a channel stand together by a number of its name, and all windows over known hours share that sort."""
+    telemetry = spark.createDataFrame([("M", "a", DAY, 1.0), ("M", "a", DAY + dt.timedelta(days=900), 2.0)], "mission string, channel string, ts timestamp, value double")
+    intervals = spark.createDataFrame([("M", "a", DAY, DAY)], "mission string, channel string, start_time timestamp, end_time timestamp")
+    sorts = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if " Sort [" in x]
+    seen = g.stretches(telemetry)
+    assert all("Sort [_key" in x for x in sorts(seen)) and sum("_at" in x for x in sorts(seen)) == 1
+    assert any("Sort [_key" in x and "_lo" in x for x in sorts(w.windows_of_stretches(seen.localCheckpoint(), intervals)))
