@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import MC
-from ..shared import carried, in_order, join_channels, numbered_groups, stored
+from ..shared import by_rows, carried, in_order, join_channels, key_hash, numbered_groups, stored
 
 
 #: Positions that are smoothed in one call.
@@ -90,15 +90,36 @@ def contiguous_runs(df: DataFrame, flag: str, keys: list[str] = MC, order: str =
     return runs.groupBy(*keys, "_g").agg(F.min(order).alias("start"), F.max(order).alias("end"), F.count("*").alias("n")).drop("_g")
 
 
+#: Intervals of a key that one task merges.
+WHOLE = 100_000
+
+
 def merge_intervals(df: DataFrame, gap: int = 16, keys: list[str] = MC) -> DataFrame:
-    """(keys, start, end), joined where a start is at most gap after the greatest end so far. That end is a running maximum in fragments of a
-    key, carried from one to the next."""
-    placed = in_order(df.select(*keys, "start", "end"), keys, ["start", "end"])
+    """(keys, start, end), joined where a start is at most gap after the greatest end so far. Keys of WHOLE intervals at most are merged in one
+    exchange; for longer ones that end is a running maximum in fragments of a key, carried from one to the next."""
+    short, long = by_rows(df.select(*keys, "start", "end"), keys, WHOLE)
+    whole = _merged(short, gap, keys)
+    return whole if long is None else whole.unionByName(_merged_in_fragments(long, gap, keys))
+
+
+def _opens(upto: Column, gap: int) -> Column:
+    return upto.isNull() | (F.col("start") > upto + gap)
+
+
+def _merged(df: DataFrame, gap: int, keys: list[str]) -> DataFrame:
+    rows = df.repartition(*keys).withColumn("_key", key_hash(keys))
+    upto_here = Window.partitionBy("_key", *keys).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_upto", F.max("end").over(upto_here.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_g", F.count(F.when(_opens(F.col("_upto"), gap), True)).over(upto_here))
+    return rows.groupBy("_key", *keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_key", "_g")
+
+
+def _merged_in_fragments(df: DataFrame, gap: int, keys: list[str]) -> DataFrame:
+    placed = in_order(df, keys, ["start", "end"])
     inside = Window.partitionBy(*keys, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     rows = carried(placed, keys, {"_end": F.max("end")}, before={"_reach": ("max", "_end")})
     reach = F.greatest(F.max("end").over(inside), F.col("_reach"))  # the one that isn't null
-    rows = rows.withColumn("_upto", reach)
-    merged = numbered_groups(rows, keys, F.col("_upto").isNull() | (F.col("start") > F.col("_upto") + gap))
+    merged = numbered_groups(rows.withColumn("_upto", reach), keys, _opens(F.col("_upto"), gap))
     return merged.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
 

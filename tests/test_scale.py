@@ -65,6 +65,20 @@ def test_intervals_merge_across_partitions(many_parts, seed):
     assert s.merge_intervals(df.limit(0)).count() == 0
 
 
+def test_short_keys_merge_in_one_task_and_long_ones_in_fragments(many_parts, monkeypatch):
+    rng = random.Random(9)
+    spans = {n: [(x := rng.randrange(3000), x + rng.choice([0, 3, 40])) for _ in range(k)] for n, k in zip([*NAMES, ("M", None)], (400, 9, 30, 12))}
+    df = many_parts.createDataFrame([(*n, *x) for n, v in spans.items() for x in v], "mission string, channel string, start long, end long").repartition(5)
+    fragments = []
+    spread = s._merged_in_fragments
+    monkeypatch.setattr(s, "_merged_in_fragments", lambda rows, *a: fragments.append(rows.count()) or spread(rows, *a))
+    want = {n: merged(v, 16) for n, v in spans.items()}
+    assert by_key(s.merge_intervals(df, 16), "start", "end") == want and not fragments
+    for most, rows in ((30, 400), (10, 442), (5, 451)):
+        monkeypatch.setattr(s, "WHOLE", most)
+        assert by_key(s.merge_intervals(df, 16), "start", "end") == want and fragments.pop() == rows
+
+
 def test_runs_across_partitions(many_parts):
     rng = random.Random(4)
     flags = {NAMES[0]: [rng.random() < 0.9 for _ in range(500)], NAMES[1]: [True] * 300, NAMES[2]: [False, True, True, False]}
