@@ -68,12 +68,12 @@ def ewma(df: DataFrame, span: int, keys: list[str] = MC, order: str = "i", value
 
     kept = "".join(f"`{c}` {kinds[c]}, " for c in carry)
     own = df.select(*keys, order, *carry, F.col(value).cast("double").alias("_x"), F.floor(F.col(order) / SEGMENT).alias("_segment"))
-    dealt = own.repartition(*keys, "_segment").sortWithinPartitions(*keys, "_segment", order, F.col("_x").asc_nulls_last())
+    dealt = own.repartition(*keys, "_segment").withColumn("_key", key_hash(keys)).sortWithinPartitions("_key", *keys, "_segment", order, F.col("_x").asc_nulls_last()).drop("_key")
     placed = stored(dealt.mapInPandas(smooth, f"{names}, `{order}` {kinds[order]}, {kept}_segment bigint, _n bigint, _valid bigint, _local double, _first double"))
     ends = placed.groupBy(*keys, "_segment").agg(F.max("_first").alias("_first"), F.max_by("_local", "_n").alias("_last"), F.max("_valid").alias("_valid"))
     ends = ends.withColumn("_of", F.count("*").over(Window.partitionBy(*keys))).where("_of > 1").drop("_of")  # others have nothing before them
     before = ends.groupBy(*keys).applyInPandas(hand_on, f"{names}, _segment bigint, _before double")  # a row for each segment
-    both = join_channels(placed, before, [*keys, "_segment"], "left")
+    both = join_channels(placed, F.broadcast(before), [*keys, "_segment"], "left")  # as few as positions / SEGMENT, twice at most
     started = ~F.isnan("_before") & F.col("_before").isNotNull()
     out = F.col("_local") + F.pow(F.lit(1 - alpha), F.col("_valid")) * F.when(started, F.col("_before")).otherwise(F.col("_first"))
     return both.select(*keys, order, *carry, F.when(started | (F.col("_valid") > 0), out).alias("ewma"))

@@ -183,6 +183,28 @@ def plain_dynamic(errors, span=5, p=0.13):
     return out, np.exp(epsilon)
 
 
+def test_flags_are_counted_by_runs(spark, monkeypatch):
+    """Counts are those of the flags, also of channels without a run and of runs over borders of segments, and no position is joined for them."""
+    monkeypatch.setattr(s, "SEGMENT", 20)
+    monkeypatch.setattr(d, "SEGMENT", 20)
+    rng = np.random.default_rng(12)
+    errors = {("Mission1", f"c{k}"): np.exp(rng.normal(-2, 0.4, 90 if k else 15)) for k in range(5)} | {("Mission2", None): np.exp(rng.normal(-2, 0.4, 70)), ("Mission2", "flat"): np.full(30, 1 - 1e-12)}
+    for k in (1, 2, 3):
+        errors["Mission1", f"c{k}"][17 : 17 + 3 * k] *= 40
+        errors["Mission1", f"c{k}"][60:62] *= 41
+    errors["Mission1", "c4"][30:34] *= 40_000
+    df = spark.createDataFrame([(*n, i, float(x)) for n, v in errors.items() for i, x in enumerate(v)], "mission string, channel string, i int, error double").repartition(5)
+    rows = d.dynamic_runs(df)
+    got = d.flag_counts(rows, {"a": 0.0, "b": 0.99})
+    want = {}
+    for name, p in (("a", 0.0), ("b", 0.99)):
+        for r in d.flag_runs(rows, p).collect():
+            want.setdefault((r.mission, r.channel), {"a": 0, "b": 0})[name] += r.flag
+    assert {(r.mission, r.channel): {"a": r.a, "b": r.b} for r in got.collect()} == want and len(want) == len(errors)
+    assert any(x["a"] > x["b"] for x in want.values()) and any(x["b"] > 0 for x in want.values()) and {"a": 0, "b": 0} in want.values()
+    assert not any("Join" in x and "_segment" in x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines())
+
+
 @pytest.mark.parametrize("span, p", [(5, 0.13), (1, 0.0)])
 def test_dynamic_thresholds_by_segments(spark, monkeypatch, span, p):
     rng = np.random.default_rng(11)
