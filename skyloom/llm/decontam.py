@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .language import letters, pieces
-from .scratch import cut, partitions, small_batches
+from .scratch import cut, freeing, partitions, small_batches
 from .spans import SpanHash, mix, runs
 
 WINDOW, SHARE = 5, 0.8
@@ -178,7 +178,7 @@ def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
                     own = digest(list(dict.fromkeys(t.value.view(np.int64)[t.named != t.value].tolist())))
                     yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([own]), *[pa.array([x], pa.list_(pa.int64())) for x in arrays], pa.array([size], pa.int32())], names=["item", "own", *names, "size"])
 
-    return slim.mapInArrow(cut_up, "item long, own long, " + ", ".join(f"{n} array<long>" for n in names) + ", size int")
+    return slim.mapInArrow(freeing(cut_up), "item long, own long, " + ", ".join(f"{n} array<long>" for n in names) + ", size int")
 
 
 def doc_windows(docs: DataFrame, key: str, text: str, sizes: list[int], bits: np.ndarray) -> DataFrame:
@@ -213,7 +213,7 @@ def doc_windows(docs: DataFrame, key: str, text: str, sizes: list[int], bits: np
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + doc, 1), batch.column(1).slice(i + doc, 1), *[pa.array([x], pa.list_(pa.int64())) for x in arrays]], names=["doc_id", "text_hash", "hashes", "places", "under", "values"])
 
     kind = dict(slim.dtypes)["doc_id"]
-    return slim.mapInArrow(find, f"doc_id {kind}, text_hash long, hashes array<long>, places array<long>, under array<long>, values array<long>")
+    return slim.mapInArrow(freeing(find), f"doc_id {kind}, text_hash long, hashes array<long>, places array<long>, under array<long>, values array<long>")
 
 
 def window_filter(hashes: DataFrame, n: int) -> np.ndarray:
@@ -373,7 +373,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in range(3)), *[pa.array(x, t) for x, t in zip(pick[1:], (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())))]], names=["row", "doc_id", "text_hash", "form", "item", "n_items", "coverage", "owns"])
 
     kind = dict(found.dtypes)["doc_id"]
-    judged = cut(sides.select("row", "doc_id", "text_hash", *given).mapInArrow(judge, f"row long, doc_id {kind}, text_hash long, form long, item long, n_items long, coverage double, owns array<long>"))
+    judged = cut(sides.select("row", "doc_id", "text_hash", *given).mapInArrow(freeing(judge), f"row long, doc_id {kind}, text_hash long, form long, item long, n_items long, coverage double, owns array<long>"))
     # what stretches with different values name comes together again for each row and template
     named = judged.select("row", "form", F.explode("owns").alias("own")).join(members, ["form", "own"])
     named = named.groupBy("row", "form").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

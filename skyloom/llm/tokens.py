@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh, kept, small_batches
+from .scratch import freeing, fresh, kept, small_batches
 
 #: Pieces whose lengths a worker remembers; beyond it starts anew. Bounds memory, not results.
 CACHE_PIECES = 500_000
@@ -186,4 +186,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
             tokens = np.concatenate([np.zeros(0, np.int64), *[count(texts.slice(a, b - a)) for a, b in by_bytes(sizes)]])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], names=[*keep, *out])
 
-    return slim.mapInArrow(encode, schema)
+    return slim.mapInArrow(freeing(encode), schema)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .language import letters, pieces
-from .scratch import cut, fresh, kept, small_batches, summed_array
+from .scratch import cut, free_unused, freeing, fresh, kept, small_batches, summed_array
 from .spans import SpanHash, mix, runs
 
 #: Labelled texts of each class that are indexed, and their bytes in all; document frequencies use all texts.
@@ -192,9 +192,11 @@ class Examples:
 
     @property
     def index(self) -> BlockMaxIndex:
-        """Built once in each Python worker, so that the dense lists aren't sent."""
+        """Built once in each Python worker, so that the dense lists aren't sent; it takes the postings' place."""
         if self._index is None:
             self._index = BlockMaxIndex(*self.postings, len(self.ids), len(self.terms.hashes))
+            self.postings = None
+            free_unused()
         return self._index
 
     def votes(self, cosine: np.ndarray, near: np.ndarray) -> np.ndarray:
@@ -258,7 +260,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 each = [(h[a:b].tobytes(), times[a:b].astype(np.int32).tobytes()) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *[pa.array(list(x), pa.binary()) for x in zip(*each)]], names=["id", "label", "terms", "times"])
 
-    found = sorted(part.mapInArrow(gather, "id long, label int, terms binary, times binary").collect(), key=lambda r: (r["id"], r["label"]))
+    found = sorted(part.mapInArrow(freeing(gather), "id long, label int, terms binary, times binary").collect(), key=lambda r: (r["id"], r["label"]))
     ids, y = np.array([r["id"] for r in found], dtype=np.int64), np.array([r["label"] for r in found], dtype=np.int64)
     h = np.frombuffer(b"".join(r["terms"] for r in found), np.uint64)
     times = np.frombuffer(b"".join(r["times"] for r in found), np.int32)
@@ -307,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 own = np.array([places_of[x] for x in zip(some.column(0).to_pylist(), some.column(1).to_pylist())], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(shared.value.without_self(some.column(2).to_pylist(), own))], names=["place", "raw"])
 
-    asked = sorted(tuple(r) for r in part.mapInArrow(ask, "place long, raw double").collect())
+    asked = sorted(tuple(r) for r in part.mapInArrow(freeing(ask), "place long, raw double").collect())
     shared.unpersist()
     at, raw = np.array([a[0] for a in asked], dtype=np.int64), np.array([a[1] for a in asked])
     model.steps = isotonic(raw, model.label[at].astype(np.float64), model.stands_for[at])
@@ -338,4 +340,4 @@ def score_toxicity(docs: DataFrame, model: Examples, text: str = "text", thresho
                 seen = [[{"doc_id": int(d), "cosine": float(c)} for d, c in zip(a[:evidence], b) if d != -1] for a, b in zip(ids, cosine)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(seen, shape)], names=[*keep, *new])
 
-    return slim.mapInArrow(predict, schema)
+    return slim.mapInArrow(freeing(predict), schema)
