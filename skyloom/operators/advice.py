@@ -103,10 +103,13 @@ def enrich_response(response: Column, pattern: Column, severity_: Column, advice
 
 
 def attach_advice(records: DataFrame, advice: DataFrame) -> DataFrame:
-    """Enriched response, severity and pattern on anomalous records, by anomaly_id; others keep their response."""
-    side = advice.select("anomaly_id", "severity", "pattern", "advice", "recommended_action")
-    out = records.withColumn("_id", F.when(F.col("is_anomaly"), F.col("anomaly_id"))).join(side.withColumnRenamed("anomaly_id", "_id"), "_id", "left").drop("_id")
-    return out.withColumn("response", enrich_response(F.col("response"), F.col("pattern"), F.col("severity"), F.col("advice"), F.col("recommended_action"))).drop("advice", "recommended_action")
+    """Enriched response, severity and pattern on anomalous records, by anomaly_id; others keep their response. Only anomalous records, which a read
+    of their own finds, meet advice: the others have nothing to meet it by and would all be dealt to one task."""
+    side = advice.select(F.col("anomaly_id").alias("_id"), "severity", "pattern", "advice", "recommended_action")
+    meets = F.coalesce(F.col("is_anomaly"), F.lit(False)) & F.col("anomaly_id").isNotNull()
+    out = records.where(meets).withColumn("_id", F.col("anomaly_id")).join(side, "_id", "left").drop("_id")
+    out = out.withColumn("response", enrich_response(F.col("response"), F.col("pattern"), F.col("severity"), F.col("advice"), F.col("recommended_action"))).drop("advice", "recommended_action")
+    return out.unionByName(records.where(~meets), allowMissingColumns=True)
 
 
 def advice_counts(advice: DataFrame, by: str) -> DataFrame:

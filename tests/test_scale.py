@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from skyloom.operators import advice as ad
 from skyloom.operators import checks as c
 from skyloom.operators import detectors as d
 from skyloom.operators import fusion as fu
@@ -432,3 +433,18 @@ def test_streams_drop_late_rows_and_survive_restarts(spark, name):
     assert one == again and late > 0 and late_again > 0
     punctual = [*batches[:3], [batches[3][1]], batches[4]]
     assert one == delivered(spark, job, punctual, True)[0] and len(one) >= 3  # what was late left no trace
+
+
+def test_records_without_advice_stay_where_they_are(spark):
+    """Records that are not anomalous have no id to meet advice by; they must not all be dealt to one task. Those that are keep every meeting."""
+    kind = "id long, is_anomaly boolean, anomaly_id string, response string"
+    few = [(1, True, "a", "bad"), (2, True, "b", "bad"), (3, True, None, "bad"), (4, None, "a", "odd"), (5, False, "a", "good"), (6, True, "a", "bad")]
+    many = spark.range(100, 20_100, 1, 8).select("id", F.lit(False).alias("is_anomaly"), F.concat(F.lit("x"), F.col("id")).alias("anomaly_id"), F.lit("good").alias("response"))
+    given = spark.createDataFrame([("a", "high", "spike", "look", "act"), ("c", "low", "drift", "wait", "rest"), (None, "low", "drift", "wait", "rest")], "anomaly_id string, severity string, pattern string, advice string, recommended_action string")
+    out = ad.attach_advice(spark.createDataFrame(few, kind).union(many), given)
+    assert out.columns == ["id", "is_anomaly", "anomaly_id", "response", "severity", "pattern"]
+    told = "bad\n\nDIAGNOSIS: SPIKE (severity: high)\nADVICE: look\nACTION: act"
+    rows = {r["id"]: (r["response"], r["severity"], r["pattern"]) for r in out.where("id < 100").collect()}
+    assert rows == {1: (told, "high", "spike"), 2: ("bad", None, None), 3: ("bad", None, None), 4: ("odd", None, None), 5: ("good", None, None), 6: (told, "high", "spike")}
+    parts = [r["count"] for r in out.where("id >= 100 and response = 'good' and severity is null").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) == 20_000 and max(parts) <= 10_000, parts
