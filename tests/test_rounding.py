@@ -24,3 +24,25 @@ def test_observed_numbers_have_no_exponent(spark):
     assert got["pearson"] == (True, "0.0001") and got["cost"] == (False, "12345678.25") and got["mae"] == (True, "0.1")
     got = {r.check: r.observed for r in c.check_regression(spark.createDataFrame([(float("nan"), 3.0, -2e-4, 1e8)], shape)).collect()}
     assert got == {"beats_mean": "NaN", "mae": "NaN", "baseline": "3.0", "pearson": "-0.0002", "cost": "100000000.0"}
+
+
+def test_regression_checks_are_the_sqls(spark, tmp_path):
+    """Pearson's r a little below 0 is written -0.0, and an error of 0.39998, written 0.4, is below 0.4."""
+    import duckdb
+
+    from skyloom.plans import oracles
+
+    prices = [(1000.0, 1.0), (1000.0, 10.0), (10_000.0, 1.0), (10_000.0, 9.999)]
+    rows = [(k, k % 7, quantity, price) for k, (price, quantity) in enumerate(prices * 5)]
+    high = [(k, 1, 10.0, 15_000 * 10**e) for k in range(10) for e in (0.39998, -0.39998)]
+    for name, table, want in (("low", rows, {"pearson": "-0.0"}), ("high", high, {"mae": "0.4"})):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(table, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{path}/lineitem.parquet/*.parquet'")
+        sql = {r[0]: r[1:] for r in c.execute(f"SELECT * FROM ({oracles.ORACLES['v7_regression']})").fetchall()}
+        got = {r["check"]: (r["passed"], r["observed"], r["expected"]) for r in q.v7_regression(spark, path).collect()}
+        if name == "high":  # without variance SQL has no r
+            sql.pop("pearson"), got.pop("pearson")
+        assert got == sql and {k: got[k][1] for k in want} == want
+        assert name == "low" or got["mae"][0]
