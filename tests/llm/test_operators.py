@@ -208,6 +208,16 @@ def test_pii_query_on_planted_values(spark, tmp_path):
     assert pseudonyms.secret_key(spark) == pseudonyms.secret_key(spark) != b"one secret"
 
 
+def test_pseudonyms_on_a_cluster_without_a_secret(spark, monkeypatch, caplog):
+    """A key is drawn for the application, with a warning; all its jobs share it."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(pseudonyms, "_drawn", {})
+    df = docs(spark, [(1, "mail ann.lee@example.com"), (2, "to ann.lee@example.com")])
+    first, again = ({r["doc_id"]: r["text"].split()[-1] for r in pseudonyms.pseudonymise(df).collect()} for _ in range(2))
+    assert first == again and first[1] == first[2] != "ann.lee@example.com"
+    assert len([r for r in caplog.records if pseudonyms.KEY_SETTING in r.getMessage()]) == 1
+
+
 def naive_kind(value):
     """What a value is by plain parsing, or None."""
     import ipaddress
