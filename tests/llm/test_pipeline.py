@@ -65,6 +65,17 @@ def test_stages_with_clashing_columns_and_repeated_rows(spark):
         spark.conf.set(pseudonyms.KEY_SETTING, with_key) if with_key else spark.conf.unset(pseudonyms.KEY_SETTING)
 
 
+def test_pipeline_on_a_cluster_without_a_secret(spark, monkeypatch, tmp_path):
+    """It runs to its end where the master isn't a local one, with the shared folder given and no secret of pseudonyms."""
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(spark.conf, "get", lambda key, *default, get=spark.conf.get: f"file://{tmp_path}/shared" if key == "spark.checkpoint.dir" else get(key, *default))
+    rows = [(1, "a text of some plain words", "en", "s", 26), (4, "mail ann.lee@example.com now", "en", "s", 29), (5, None, None, None, None)]
+    spark.createDataFrame(rows, queries.DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        os.symlink(f"{SF}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    assert sorted(r["doc_id"] for r in p.run(spark, str(tmp_path)).collect()) == [1, 4, 5]
+
+
 def test_run_and_empty_documents(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in p.STAGES:
