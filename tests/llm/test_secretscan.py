@@ -128,3 +128,25 @@ def test_every_word_counts(spark, monkeypatch):
         # every word enters the root once
         root = secretscan.visits(secretscan.states_of(secretscan.Tree([(b"", len(known[kind]), 0)])), known[kind])
         assert root[0, 256] == sum(len(w) <= secretscan.LONGEST for w in known[kind]) and root.sum() == sum(min(len(w), 80) for w in known[kind]) + root[0, 256]
+
+
+def test_rare_prefixes_and_long_words_have_their_states(spark, monkeypatch):
+    """A format that few words have, and what follows in long words, come in later rounds: rounds of 8 branches and 5 characters leave out no character,
+    and tell the rare format as a single round does."""
+    rng = random.Random(7)
+    known = lambda: "ZQ7-KXW9=JV-" + drawn(rng, "0123456789", 3)
+    rare = {known() for _ in range(60)}
+    words = sorted({*(drawn(rng, "abcdefgh", rng.randrange(12, 20)) for _ in range(2000)), *rare, *("m" + "n" * k + drawn(rng, "op", 150) for k in range(3))})
+    counts = []
+    kept = secretscan.automaton_of
+    monkeypatch.setattr(secretscan, "automaton_of", lambda step, count: (counts.append(count), kept(step, count))[1])
+    whole = secretscan.infer([w.encode() for w in words])
+    monkeypatch.setattr(secretscan, "BRANCHES", 8), monkeypatch.setattr(secretscan, "LONGEST", 5)
+    rounds = secretscan.infer([w.encode() for w in words])
+    df = spark.createDataFrame([("plain", w) for w in words], "kind string, word string").repartition(3)
+    got = secretscan._automata(df, {"plain": len(words)})["plain"]
+    assert np.array_equal(got.step, rounds.step) and np.allclose(got.log, rounds.log) and np.allclose(got.end, rounds.end)
+    assert [c.sum() for c in counts] == [sum(len(w) + 1 for w in words)] * 3 and [c[:, 256].sum() for c in counts] == [len(words)] * 3
+    fresh, other = [known().encode() for _ in range(40)], [drawn(rng, "ZQ7-KXW9=JV", 15).encode() for _ in range(40)]
+    for automaton in (whole, rounds):
+        assert automaton.likelihood(fresh).min() > automaton.likelihood(other).max() + 1
